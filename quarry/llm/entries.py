@@ -14,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import warc
+
+    return warc.archive(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import quality_rules
 
@@ -38,7 +44,13 @@ def op6_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_quality_rules, op6_two_pass_shuffle)}
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import media
+
+    return media.media_columns(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_warc_bundles, op5_quality_rules, op6_two_pass_shuffle, op9_media_columns)}
 
 ORACLE: dict[str, str] = {}
 
