@@ -14,6 +14,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quarry.llm import bpe
+
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import warc
 
@@ -50,7 +58,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_warc_bundles, op5_quality_rules, op6_two_pass_shuffle, op9_media_columns)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_prefix_bpe, op3_warc_bundles, op5_quality_rules, op6_two_pass_shuffle, op9_media_columns)}
 
 ORACLE: dict[str, str] = {}
 
