@@ -52,13 +52,21 @@ def op6_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quarry.llm import packing
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import media
 
     return media.media_columns(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_prefix_bpe, op3_warc_bundles, op5_quality_rules, op6_two_pass_shuffle, op9_media_columns)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_prefix_bpe, op3_warc_bundles, op5_quality_rules, op6_two_pass_shuffle, op8_cost_balanced_packing, op9_media_columns)}
 
 ORACLE: dict[str, str] = {}
 
