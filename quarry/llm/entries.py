@@ -28,6 +28,12 @@ def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import pii
+
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import quality_rules
 
@@ -66,7 +72,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_prefix_bpe, op3_warc_bundles, op5_quality_rules, op6_two_pass_shuffle, op8_cost_balanced_packing, op9_media_columns)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_prefix_bpe, op3_warc_bundles, op4_information_theoretic_pii, op5_quality_rules, op6_two_pass_shuffle, op8_cost_balanced_packing, op9_media_columns)}
 
 ORACLE: dict[str, str] = {}
 
