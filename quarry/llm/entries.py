@@ -45,17 +45,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import sharding
 
-    placed = sharding.two_pass_shuffle(_table(spark, sf_dir, "documents"), ("doc_id", "text"), shards=40)
+    shuffled = sharding.two_pass_shuffle(_table(spark, sf_dir, "documents"), ("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
-    return placed.select(
+    told = shuffled.select(
+        "__bucket",
+        "__at",
         "doc_id",
         (F.octet_length(text) + sharding.ROW_BYTES).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.lit("rows").alias("law"),
-        "shard",
-        "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+    return sharding.deal(told, shuffled, shards=40)
 
 
 def op8_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

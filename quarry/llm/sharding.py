@@ -22,8 +22,8 @@ from quarry.llm.common import narrow, spool
 ROW_BYTES = 16
 
 
-def two_pass_shuffle(df: DataFrame, columns: tuple[str, ...], shards: int, seed: int = 17, bucket_bytes: int = 8 << 20, text: str = "text") -> DataFrame:
-    """The columns with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard), in shuffled order."""
+def two_pass_shuffle(df: DataFrame, columns: tuple[str, ...], seed: int = 17, bucket_bytes: int = 8 << 20, text: str = "text") -> DataFrame:
+    """The columns in shuffled order, stored: ``__bucket`` and ``__at``, the place in the bucket, tell a record's place."""
     rows = narrow(df, *columns)
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES
     total = rows.agg(F.sum(size)).first()[0] or 0
@@ -31,12 +31,20 @@ def two_pass_shuffle(df: DataFrame, columns: tuple[str, ...], shards: int, seed:
     scattered = rows.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(columns[0]), F.monotonically_increasing_id()), F.lit(buckets)).cast("int"))
     gathered = scattered.repartition(buckets, "__bucket").groupBy("__bucket").agg(F.collect_list(F.struct(*columns)).alias("__rows"))
     mixed = gathered.select("__bucket", F.posexplode(F.shuffle(F.sort_array("__rows"), seed)).alias("__at", "__row"))
-    written = spool(mixed.select("__bucket", "__at", "__row.*"), "shuffled")
-    counts = written.groupBy("__bucket").agg(F.count("*").alias("__n"))
+    return spool(mixed.select("__bucket", "__at", "__row.*"), "shuffled")
+
+
+def deal(shuffled: DataFrame, shuffled_ids: DataFrame, shards: int) -> DataFrame:
+    """``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard) in place of the bucket and the place in it.
+
+    shuffled: what is wanted of the stored records, which may be less than they hold; shuffled_ids: all of them, to count the buckets.
+    """
+    counts = shuffled_ids.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))  # a row for each bucket only
     place = F.col("__first") + F.col("__at")
-    return written.join(offsets, "__bucket").select(*columns, (place % shards).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"))
+    kept = [c for c in shuffled.columns if c not in ("__bucket", "__at")]
+    return shuffled.join(offsets, "__bucket").select(*kept, (place % shards).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
