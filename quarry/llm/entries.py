@@ -59,6 +59,12 @@ def op6_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.deal(told, shuffled, shards=40)
 
 
+def op7_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import jaccard
+
+    return jaccard.groups(_table(spark, sf_dir, "documents"))
+
+
 def op8_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,7 +79,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_prefix_bpe, op3_warc_bundles, op4_information_theoretic_pii, op5_quality_rules, op6_two_pass_shuffle, op8_cost_balanced_packing, op9_media_columns)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_prefix_bpe, op3_warc_bundles, op4_information_theoretic_pii, op5_quality_rules, op6_two_pass_shuffle, op7_multi_order_jaccard, op8_cost_balanced_packing, op9_media_columns)}
 
 ORACLE: dict[str, str] = {}
 
