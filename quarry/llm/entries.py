@@ -79,7 +79,13 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_prefix_bpe, op3_warc_bundles, op4_information_theoretic_pii, op5_quality_rules, op6_two_pass_shuffle, op7_multi_order_jaccard, op8_cost_balanced_packing, op9_media_columns)}
+def op10_content_defined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import cdc
+
+    return cdc.deduplicate(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_prefix_bpe, op3_warc_bundles, op4_information_theoretic_pii, op5_quality_rules, op6_two_pass_shuffle, op7_multi_order_jaccard, op8_cost_balanced_packing, op9_media_columns, op10_content_defined_chunks)}
 
 ORACLE: dict[str, str] = {}
 
