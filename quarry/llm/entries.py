@@ -22,6 +22,12 @@ def op1_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import repeats
+
+    return repeats.remove(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import warc
 
@@ -85,7 +91,7 @@ def op10_content_defined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.deduplicate(_table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_prefix_bpe, op3_warc_bundles, op4_information_theoretic_pii, op5_quality_rules, op6_two_pass_shuffle, op7_multi_order_jaccard, op8_cost_balanced_packing, op9_media_columns, op10_content_defined_chunks)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_prefix_bpe, op2_suffix_array_repeats, op3_warc_bundles, op4_information_theoretic_pii, op5_quality_rules, op6_two_pass_shuffle, op7_multi_order_jaccard, op8_cost_balanced_packing, op9_media_columns, op10_content_defined_chunks)}
 
 ORACLE: dict[str, str] = {}
 
