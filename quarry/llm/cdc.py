@@ -99,8 +99,8 @@ def without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
-def deduplicate(docs: DataFrame, bits: int = BITS, min_run: int = MIN_RUN) -> DataFrame:
-    """doc_id, n_bytes, n_chunks, n_repeated (bytes in runs of repeated chunks, first ones included), n_removed, n_spans, kept_sha256 and kept (bytes)."""
+def deduplicate(docs: DataFrame, bits: int = BITS, min_run: int = MIN_RUN, texts: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_chunks, n_repeated (bytes in runs of repeated chunks, first ones included), n_removed, n_spans and kept_sha256; with ``texts`` also the kept bytes."""
     arrow_limits(docs.sparkSession)
     rows = narrow(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -116,9 +116,9 @@ def deduplicate(docs: DataFrame, bits: int = BITS, min_run: int = MIN_RUN) -> Da
                 ends = cuts(data, table, bits)
                 repeated, runs = removed_runs(ends, at, min_run)
                 kept = without(data, runs)
-                found.append((doc_id, len(data), len(ends), repeated, len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
+                found.append((doc_id, len(data), len(ends), repeated, len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), *([kept] if texts else [])))
             if found:
-                kinds = (*[pa.int64()] * 6, pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_chunks", "n_repeated", "n_removed", "n_spans", "kept_sha256", "kept"])
+                kinds = (*[pa.int64()] * 6, pa.string(), *([pa.binary()] if texts else []))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_chunks", "n_repeated", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])])
 
-    return both.mapInArrow(told, "doc_id long, n_bytes long, n_chunks long, n_repeated long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return both.mapInArrow(told, "doc_id long, n_bytes long, n_chunks long, n_repeated long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)

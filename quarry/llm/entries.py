@@ -25,7 +25,7 @@ def op1_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import repeats
 
-    return repeats.remove(_table(spark, sf_dir, "documents")).drop("kept")
+    return repeats.remove(_table(spark, sf_dir, "documents"))
 
 
 def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,10 +88,16 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_content_defined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import cdc
 
-    return cdc.deduplicate(_table(spark, sf_dir, "documents")).drop("kept")
+    return cdc.deduplicate(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_prefix_bpe, op2_suffix_array_repeats, op3_warc_bundles, op4_information_theoretic_pii, op5_quality_rules, op6_two_pass_shuffle, op7_multi_order_jaccard, op8_cost_balanced_packing, op9_media_columns, op10_content_defined_chunks)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_prefix_bpe, op2_suffix_array_repeats, op3_warc_bundles, op4_information_theoretic_pii, op5_quality_rules, op6_two_pass_shuffle, op7_multi_order_jaccard, op8_cost_balanced_packing, op9_media_columns, op10_content_defined_chunks, pipeline)}
 
 ORACLE: dict[str, str] = {}
 

@@ -224,16 +224,16 @@ def _class_of(tokens) -> int:
 
 
 def members(docs: DataFrame) -> DataFrame:
-    """doc_id, the size of its set and its class (null for an empty set), stored."""
+    """row (in reading order), doc_id, the size of its set and its class (null for an empty set), stored."""
     arrow_limits(docs.sparkSession)
 
     def told(batches):
         shingles = Shingler()
         for batch in batches:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()), batch.column(2)], names=["doc_id", "n_shingles", "cls", "row"])
 
-    return spool(narrow(docs, "doc_id", "text").mapInArrow(told, "doc_id long, n_shingles long, cls long"), "members")
+    return spool(narrow(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()).mapInArrow(told, "doc_id long, n_shingles long, cls long, row long"), "members")
 
 
 def _first_filter(docs: DataFrame, total: int) -> DataFrame:
@@ -392,8 +392,8 @@ def _longs(column: str):
     return F.transform(F.sequence(F.lit(0), (F.length(c) / 8).cast("int") - 1), lambda i: F.conv(F.hex(F.substring(c, i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members, and for each class the label of its component: cls, doc_id (its least), comp."""
     arrow_limits(docs.sparkSession)
     told = members(docs)
     classes = told.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
@@ -415,6 +415,25 @@ def groups(docs: DataFrame) -> DataFrame:
     if more.limit(1).count():
         comps = components(links.union(more))
     owned = classes.select("cls", "doc_id").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    return told, owned
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    told, owned = _classes(docs)
     least = owned.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = owned.join(least, "comp").select("cls", "component_id")
     return told.join(named, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The columns of one row of each component, that with the least doc_id (a null one last) and then the first read, and of all rows with an empty set.
+
+    docs must be a stored table, as its rows are numbered in reading order twice.
+    """
+    told, owned = _classes(docs)
+    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("row"))
+    of_class = told.where("cls is not null").groupBy("cls").agg(F.min(place).alias("place"))
+    chosen = of_class.join(owned.select("cls", "comp"), "cls").groupBy("comp").agg(F.min("place").alias("place")).select("place.row")
+    kept = told.where("cls is null").select("row").union(chosen)
+    return narrow(docs, *columns).withColumn("row", F.monotonically_increasing_id()).join(kept, "row", "left_semi").select(*columns)

@@ -194,15 +194,15 @@ def covered(found: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return list(zip(pairs[first, 0].tolist(), reach[last].tolist(), strict=True))
 
 
-def remove(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """The columns, n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes) of every row."""
+def remove(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), length: int = LENGTH, anchor: int = ANCHOR, texts: bool = False) -> DataFrame:
+    """The columns, n_bytes, n_removed, n_spans and kept_sha256 of every row; with ``texts`` also kept_text, without characters that a removal cut (null where the text is)."""
     spark = docs.sparkSession
     arrow_limits(spark)
     rows = narrow(docs, *dict.fromkeys((*columns, "text"))).withColumn("row", F.monotonically_increasing_id())
     found = repeated_windows(rows.select("row", "text"), length, anchor)
     both = rows.join(found, "row", "left").select("text", "found", *(F.col(c).alias(f"own_{k}") for k, c in enumerate(columns)))
     kinds = [rows.schema[c].dataType.simpleString() for c in columns]
-    schema = ", ".join(f"own_{k} {t}" for k, t in enumerate(kinds)) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    schema = ", ".join(f"own_{k} {t}" for k, t in enumerate(kinds)) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,11 +211,12 @@ def remove(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), length: int
                 data = (text or "").encode()
                 runs = covered(spans, length)
                 kept = without(data, runs)
-                results.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
+                results.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), *([None if text is None else kept.decode(errors="ignore")] if texts else [])))
             if results:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.string()] if texts else []))
                 made = [pa.array(c, t) for c, t in zip(zip(*results, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[2:], *made], names=[*(f"own_{k}" for k in range(len(columns))), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[2:], *made], names=[*(f"own_{k}" for k in range(len(columns))), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if texts else [])])
 
     made = both.mapInArrow(told, schema)
-    return made.select(*(F.col(f"own_{k}").alias(c) for k, c in enumerate(columns)), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    return made.select(*(F.col(f"own_{k}").alias(c) for k, c in enumerate(columns)), *made.columns[len(columns) :])
+
