@@ -18,6 +18,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +27,7 @@ from quarry.llm.common import arrow_limits, narrow
 
 CAPACITY = 4096
 END = 2
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 @dataclass(frozen=True)
@@ -88,11 +90,12 @@ def plan(lengths: list[int], capacity: int = CAPACITY, look: int = 32) -> list[P
 class WordTokens:
     """Token ids of whole texts, as little-endian unsigned 16-bit bytes.
 
-    The tokenizer never joins across ASCII white space, so ids are remembered by the word between such spaces, up to a
-    fixed number; new words are encoded together, and told apart by their offsets.
+    The tokenizer never joins across ASCII white space, so ids are remembered by the word between such spaces; new words
+    are encoded together, and told apart by their offsets. Two generations of a fixed number are remembered: a full one
+    becomes the older, from which words still in use move up.
     """
 
-    REMEMBERED = 500_000
+    REMEMBERED = 700_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -102,6 +105,11 @@ class WordTokens:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.known: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
+
+    def _move_up(self, words: set[bytes]) -> None:
+        older = self.older
+        self.known.update({w: older[w] for w in words if w in older})
 
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, bytes]:
@@ -109,28 +117,43 @@ class WordTokens:
         low = word.lower()
         return (low[:-1], low[-1:]) if low[-1:] in b".," and low[-2:-1].isalnum() else (low, b"")
 
+    def _move_up(self, words: set[bytes]) -> None:
+        older = self.older
+        self.known.update({w: older[w] for w in words if w in older})
+
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, bytes]:
+        """A word in lower case, as the tokenizer takes it, and apart from it the marks at its end (no apostrophes) where an ASCII letter or digit is before them: they are a piece of their own."""
+        low = word.lower()
+        core = low.rstrip(MARKS)
+        return (core, low[len(core) :]) if core[-1:].isalnum() else (low, b"")
+
     def _learn(self, words: list[bytes]) -> None:
         import numpy as np
 
-        texts = [w.decode() for w in words]
-        found = self.tokenizer.encode("\n".join(texts), add_special_tokens=False)
-        ids = np.array(found.ids, "<u2")
-        starts = np.array([a for a, _ in found.offsets], np.int64)
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        cuts = np.searchsorted(starts, ends).tolist()
-        data, at = ids.tobytes(), 0
-        for word, cut in zip(words, cuts, strict=True):
-            self.known[word] = data[2 * at : 2 * cut]
-            at = cut
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text without the end token."""
-        split = [(t or "").encode().split() for t in texts]
-        fresh = set().union(*split)
+        for first in range(0, len(words), 200):  # short runs stay in the processor's caches
+            some = words[first : first + 200]
+            texts = [w.decode() for w in some]
+            found = self.tokenizer.encode("\n".join(texts), add_special_tokens=False)
+            starts = np.array([a for a, _ in found.offsets], np.int64)
+            cuts = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])).tolist()
+            data, at = np.array(found.ids, "<u2").tobytes(), 0
+            for word, cut in zip(some, cuts, strict=True):
+                self.known[word] = data[2 * at : 2 * cut]
+                at = cut
+
+    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """The ids of each text (in UTF-8) without the end token."""
+        split = [(t or b"").split() for t in texts]
+        fresh = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
         if len(self.known) + len(fresh) > self.REMEMBERED:
-            self.known = {b"": b""}
+            self.known, self.older = {b"": b""}, self.known
+            fresh = set().union(*split)
+        self._move_up(fresh)
         parts = {w: self._parts(w) for w in fresh.difference(self.known)}
-        if new := set().union(*parts.values()).difference(self.known):
+        new = set().union(*parts.values()).difference(self.known)
+        self._move_up(new)
+        if new := new.difference(self.known):
             self._learn(sorted(new))
         for word, (core, tail) in parts.items():
             self.known[word] = self.known[core] + self.known[tail]
@@ -179,7 +202,7 @@ def pack(docs: DataFrame, path: str, block_tokens: int = 8 << 20, ids: bool = Fa
 
         names, data, held = [], [], 0
         for batch in batches:
-            for name, found in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist()), strict=True):
+            for name, found in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).cast(pa.binary()).to_pylist()), strict=True):
                 names.append(name)
                 data.append(found + end)
                 held += len(found) // 2 + 1
