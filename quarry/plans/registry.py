@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with queries of the engine's own operators.
-MODULES: tuple[str, ...] = ("quarry.plans.q_retrieval",)
+MODULES: tuple[str, ...] = ("quarry.plans.q_retrieval", "quarry.plans.q_index")
 FLAGSHIP = "R01_bm25"
 
 
