@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from math import exp, log
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _count(tokens: Column, token: Column) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == token))
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: a lambda variable is never inlined."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _numbered(tokens: Column) -> Column:
+    """Each token with how many equal ones come before it, so that a set of them stands for the multiset."""
+    return bind(F.array_sort(tokens), lambda s: F.transform(s, lambda t, i: F.concat(t, F.lit("\x1f"), (i + 1 - F.array_position(s, t)).cast("string"))))
 
 
 def overlap(a: Column, b: Column) -> Column:
     """Size of the intersection of two multisets."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(_count(a, t), _count(b, t)))
+    return F.size(F.array_intersect(_numbered(a), _numbered(b)))
 
 
 def f1(hits: Column, a: Column, b: Column) -> Column:
@@ -35,37 +45,47 @@ def set_f1(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0) | (hits == 0), 0.0).otherwise(2 * (hits / F.size(x)) * (hits / F.size(y)) / (hits / F.size(x) + hits / F.size(y)))
 
 
-def common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: one row of the table is folded over the other text's tokens."""
-    start = F.transform(F.array_insert(b, 1, F.lit("")), lambda _: F.lit(0))
+@F.pandas_udf("int")
+def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence: a row of the table is the bits of one whole number, so a step is a few operations on it."""
 
-    def row(before: Column, x: Column) -> Column:
-        step = F.zip_with(F.zip_with(b, F.slice(before, F.lit(2), F.size(b)), lambda t, up: F.struct(t.alias("t"), up.alias("up"))), F.slice(before, F.lit(1), F.size(b)), lambda u, diagonal: F.when(u["t"] == x, diagonal + 1).otherwise(u["up"]))
-        return F.aggregate(step, F.array(F.lit(0)), lambda out, v: F.concat(out, F.array(F.greatest(v, F.element_at(out, -1)))))
+    def length(x, y) -> int:
+        places: dict[str, int] = {}
+        for i, token in enumerate(x):
+            places[token] = places.get(token, 0) | 1 << i
+        full = (1 << len(x)) - 1
+        row = full
+        for token in y:
+            shared = row & places.get(token, 0)
+            row = (row + shared | row - shared) & full
+        return len(x) - row.bit_count()
 
-    return F.element_at(F.aggregate(a, start, row), -1)
+    return pd.Series([length(x, y) for x, y in zip(a, b, strict=True)])
 
 
 def rouge_l(a: Column, b: Column) -> Column:
     return f1(common_subsequence(a, b), a, b)
 
 
-def _ngrams(tokens: Column, n: int) -> Column:
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), "\x1f"))).otherwise(F.array().cast("array<string>"))
-
-
 def bleu(prediction: Column, reference: Column, order: int) -> Column:
     """Smoothed BLEU with equal weights up to an order; an order without n-grams has precision 1."""
-    logs = F.lit(0.0)
-    for n in range(1, order + 1):
-        p, r = _ngrams(prediction, n), _ngrams(reference, n)
-        logs = logs + F.when(F.size(p) == 0, 0.0).otherwise(F.log((overlap(p, r) + 0.1) / (F.size(p) + 0.1))) / order
-    brevity = F.when(F.size(prediction) > F.size(reference), 1.0).otherwise(F.exp(1.0 - F.size(reference) / F.greatest(F.size(prediction), F.lit(1))))
-    return F.when((F.size(prediction) == 0) | (F.size(reference) == 0), 0.0).otherwise(brevity * F.exp(logs))
-
-
-def number_match(prediction: Column, reference: Column, exact: Column) -> Column:
-    """Whether the first numbers agree; without numbers in both, the exact match."""
-    first = lambda c: F.expr("try_cast(x as double)") if c is None else F.regexp_extract(c, r"-?[0-9]+\.?[0-9]*", 0).try_cast("double")
-    a, b = first(prediction), first(reference)
-    return F.when(a.isNotNull() & b.isNotNull(), (F.abs(a - b) <= 1e-6).cast("double")).otherwise(exact)
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        def grams(tokens, n: int) -> Counter:
+            return Counter(zip(*(tokens[i:] for i in range(n)), strict=False))
+
+        def one(x, y) -> float:
+            x, y = list(x), list(y)
+            if not x or not y:
+                return 0.0
+            total = 0.0
+            for n in range(1, order + 1):
+                p = grams(x, n)
+                if p:
+                    total += log((sum((p & grams(y, n)).values()) + 0.1) / (sum(p.values()) + 0.1)) / order
+            return (1.0 if len(x) > len(y) else exp(1.0 - len(y) / max(len(x), 1))) * exp(total)
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+
+    return score(prediction, reference)
