@@ -9,8 +9,9 @@ either hold them. The filters use that in turn, each under another order, and on
 2. Order B (all tokens, those shared first), among the classes left: three quarters must be shared.
 3. The classes left are grouped by their first token under several more orders. Large groups are split by a hash. In a
    task, links that join two groups of linked classes are found by comparing sets; links within one are implied.
-4. The same filter again, where only tokens shared with *another* component count. What is left is joined on the
-   prefixes of two rare-first orders, a pair must appear under both, and pairs across components are compared.
+4. The same filter again, where only tokens shared with *another* component count. What is left is split into regions
+   that such tokens connect in the prefixes of a rare-first order. A region is compared in blocks, across components
+   only, and a pair only if it also shares prefix tokens under two more orders.
 
 Filters count marks, they never list pairs: postings travel as sorted binary blocks, each block sends a token once, and
 a token that a third of all rows hold costs one posting for each block. Every step loses no link, so components are exact.
@@ -36,9 +37,9 @@ from quarry.llm.common import arrow_limits, narrow, spool
 WIDTH = 5
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Tokens in a block of postings, rows of a block (they are numbered with 16 bits), tokens for a task that counts them.
-BLOCK_TOKENS, BLOCK_ROWS, TASK_TOKENS = 2_000_000, 60_000, 1_500_000
-#: The largest group compared in one piece.
-GROUP = 256
+BLOCK_TOKENS, BLOCK_ROWS, TASK_TOKENS = 1_500_000, 60_000, 400_000
+#: The largest groups compared in one piece: of the same first token, and of a region.
+GROUP, UNIT = 256, 1024
 
 
 def _mix(x, seed: int):
@@ -99,8 +100,8 @@ def _required(n: int) -> tuple[int, int]:
 def _marks(sets: Iterator[tuple[int, int, object]], buckets: int, whole: bool, first: int) -> Iterator[dict]:
     """Blocks of postings. sets: (identity, class, sorted tokens); whole: all tokens count, not a prefix.
 
-    A row for each class (``cls``, ``n``, marks from its own block) and for each bucket of tokens one with the postings
-    that occur once in the block (token, row in block, identity) and the tokens that more identities of the block share.
+    A row for each block (its classes, their sizes, and their marks from the block itself) and for each bucket of tokens
+    one with the postings of one identity (token, row in block, identity) and the tokens that more identities share.
     """
     import numpy as np
 
@@ -121,8 +122,7 @@ def _marks(sets: Iterator[tuple[int, int, object]], buckets: int, whole: bool, f
         several = np.minimum.reduceat(ident, starts) != np.maximum.reduceat(ident, starts)
         counted = np.repeat(several, sizes)
         marks = np.bincount(row[counted], minlength=len(rows))
-        for i, (_, cls, n) in enumerate(rows):
-            yield {"bucket": (block + i) % buckets, "block": block, "row": i, "marks": int(marks[i]), "cls": cls, "n": n}
+        yield {"bucket": block % buckets, "block": block, "marks": marks.astype(np.int32).tobytes(), "cls": np.array([r[1] for r in rows], np.int64).tobytes(), "n": np.array([r[2] for r in rows], np.int32).tobytes()}
         # Tokens of one identity: a posting for each row. Tokens of several: the token alone, as its rows are marked.
         once = ~counted
         token_1, row_1, ident_1 = token[once], row[once], ident[once]
@@ -152,21 +152,22 @@ def _marks(sets: Iterator[tuple[int, int, object]], buckets: int, whole: bool, f
         yield from flush()
 
 
-_MARK_FIELDS = (("bucket", pa.int32()), ("block", pa.int64()), ("row", pa.int32()), ("marks", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary()), ("rows", pa.binary()), ("idents", pa.binary()), ("shared", pa.binary()))
-_MARK_SCHEMA = "bucket int, block long, row int, marks long, cls long, n int, tokens binary, rows binary, idents binary, shared binary"
+_MARK_FIELDS = (("bucket", pa.int32()), ("block", pa.int64()), ("marks", pa.binary()), ("cls", pa.binary()), ("n", pa.binary()), ("tokens", pa.binary()), ("rows", pa.binary()), ("idents", pa.binary()), ("shared", pa.binary()))
+_MARK_SCHEMA = "bucket int, block long, marks binary, cls binary, n binary, tokens binary, rows binary, idents binary, shared binary"
+_MET_FIELDS = (("block", pa.int64()), ("marks", pa.binary()), ("cls", pa.binary()), ("n", pa.binary()), ("rows", pa.binary()))
+_MET_SCHEMA = "block long, marks binary, cls binary, n binary, rows binary"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks of a task's buckets: rows whose token another identity holds too."""
+    """Marks of a task's buckets, a row for each block: rows of the block whose token another identity holds too, and how many of theirs."""
     import numpy as np
 
-    names = ["block", "row", "marks", "cls", "n"]
     tokens, rows, idents, blocks, shared = [], [], [], [], []
     for batch in batches:
-        own = batch.filter(pc.is_valid(batch.column("cls")))
-        if own.num_rows:
-            yield own.select(names)
-        for r in batch.filter(pc.is_null(batch.column("cls"))).select(["block", "tokens", "rows", "idents", "shared"]).to_pylist():
+        for r in batch.to_pylist():
+            if r["cls"] is not None:
+                yield pa.RecordBatch.from_pylist([{k: r[k] for k in ("block", "marks", "cls", "n")}], pa.schema(_MET_FIELDS))
+                continue
             t = np.frombuffer(r["tokens"], np.uint64)
             tokens.append(t)
             row = np.frombuffer(r["rows"], np.uint16)
@@ -192,18 +193,45 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several |= elsewhere[at] == token[starts]
     hit = np.repeat(several, sizes)
     where, counts = np.unique((block[hit] << np.int64(16)) | row[hit], return_counts=True)
-    for i in range(0, len(where), 50_000):
-        w = where[i : i + 50_000]
-        nothing = pa.nulls(len(w), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(w >> 16), pa.array((w & 0xFFFF).astype(np.int32)), pa.array(counts[i : i + 50_000]), nothing, nothing.cast(pa.int32())], names=names)
+    own = where >> np.int64(16)
+    ends = np.flatnonzero(np.concatenate((own[1:] != own[:-1], [True]))) + 1 if len(own) else []
+    start = 0
+    for end in ends:
+        yield pa.RecordBatch.from_pylist([{"block": int(own[start]), "rows": (where[start:end] & 0xFFFF).astype(np.uint16).tobytes(), "marks": counts[start:end].astype(np.int32).tobytes()}], pa.schema(_MET_FIELDS))
+        start = end
+
+
+def _enough(whole: bool):
+    """Sums a task's blocks; (cls, n) of the classes with marks enough."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        tables: dict[int, list] = {}
+        early: dict[int, list] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                marks = np.frombuffer(r["marks"], np.int32)
+                if r["cls"] is not None:
+                    tables[r["block"]] = [np.frombuffer(r["cls"], np.int64), np.frombuffer(r["n"], np.int32), marks.copy()]
+                else:
+                    early.setdefault(r["block"], []).append((np.frombuffer(r["rows"], np.uint16), marks))
+        for block, (cls, n, marks) in tables.items():
+            for rows, more in early.get(block, []):
+                marks[rows] += more
+            need = -(-3 * n.astype(np.int64) // 4)
+            kept = np.flatnonzero(marks >= (need if whole else np.maximum(1, need // 12)))
+            if len(kept):
+                yield pa.RecordBatch.from_arrays([pa.array(cls[kept]), pa.array(n[kept])], names=["cls", "n"])
+
+    return told
 
 
 def _filtered(blocks: DataFrame, total: int, whole: bool) -> DataFrame:
     """(cls, n) of the classes with marks enough."""
-    met = blocks.repartition(max(1, ceil(total / TASK_TOKENS)), "bucket").mapInArrow(_meet, "block long, row int, marks long, cls long, n int")
-    summed = met.groupBy("block", "row").agg(F.sum("marks").alias("marks"), F.max("cls").alias("cls"), F.max("n").alias("n"))
-    need = F.ceil(F.col("n") * 3 / 4) if whole else F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * 3 / 4) / 12))
-    return summed.where(F.col("marks") >= need).groupBy("cls").agg(F.max("n").alias("n"))
+    tasks = max(1, ceil(total / TASK_TOKENS))
+    met = blocks.repartition(tasks, "bucket").mapInArrow(_meet, _MET_SCHEMA)
+    return met.repartition(tasks, "block").mapInArrow(_enough(whole), "cls long, n int").groupBy("cls").agg(F.max("n").alias("n"))
 
 
 def _batches(rows: Iterator[dict], fields, size: int = 64) -> Iterator[pa.RecordBatch]:
@@ -319,20 +347,8 @@ def _group_links(sets: DataFrame, order: int) -> DataFrame:
     def links(batches):
         import numpy as np
 
-        def groups():
-            held, now = [], None
-            for batch in batches:
-                for g, c, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    if g != now and held:
-                        yield held
-                        held = []
-                    now = g
-                    held.append((c, frozenset(np.frombuffer(t, np.uint64).tolist())))
-            if held:
-                yield held
-
-        for held in groups():
-            found = list(_linked_in([c for c, _ in held], [s for _, s in held]))
+        for held in _runs(batches, 3):
+            found = list(_linked_in([c for c, _ in held], [frozenset(np.frombuffer(t, np.uint64).tolist()) for _, t in held]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
@@ -354,36 +370,90 @@ def components(links: DataFrame, seed: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def _pair_links(sets: DataFrame) -> DataFrame:
-    """Links across components among the classes left (cls, comp, n, tokens): candidates share a prefix token under each of two orders."""
-    token = sets.select("cls", "comp", "n", F.posexplode(_longs("tokens")).alias("_", "token")).select("cls", "comp", "n", "token")
-    df = token.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    ranked = token.join(df, "token").withColumn("alone", F.col("lo") == F.col("hi"))
-    room = F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1
+def _regions(left: DataFrame) -> DataFrame:
+    """(cls, region): classes that prefix tokens of different components connect, under the order: tokens of one component, then rare ones."""
+    token = left.select("cls", "comp", "n", F.explode(_longs("tokens")).alias("token"))
+    df = token.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).select("token", "df", (F.col("lo") != F.col("hi")).alias("crossing"))
+    line = F.sort_array(F.collect_list(F.struct("crossing", "df", "token")))
+    room = (F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1).cast("int")
+    prefix = token.join(df, "token").groupBy("cls", "n").agg(line.alias("line")).select("cls", F.explode(F.filter(F.slice("line", F.lit(1), room), lambda t: t["crossing"])).alias("t")).select("cls", "t.token")
+    first = prefix.groupBy("token").agg(F.min("cls").alias("b"))
+    return components(prefix.join(first, "token").where("cls <> b").select(F.col("cls").alias("a"), "b").distinct()).withColumnRenamed("comp", "region")
 
-    def candidates(order: int) -> DataFrame:
-        # Tokens of one component come first, then rare ones: an order of all tokens, the same for every class.
-        line = F.sort_array(F.collect_list(F.struct((~F.col("alone")).alias("crossing"), F.col("df").alias("df"), F.xxhash64("token", F.lit(order)).alias("h"), F.col("token").alias("token"))))
-        prefix = ranked.groupBy("cls", "comp", "n").agg(line.alias("line")).select("cls", "comp", "n", F.explode(F.slice("line", F.lit(1), room.cast("int"))).alias("t")).where("t.crossing").select("cls", "comp", "n", F.col("t.token").alias("token"))
-        other = prefix.select(F.col("cls").alias("cls_b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), "token")
-        # From the larger set to the smaller, so that each pair is made once for a token.
-        sized = (F.col("n_b") * 4 >= F.col("n") * 3) & ((F.col("n_b") < F.col("n")) | (F.col("n_b") == F.col("n")) & (F.col("cls_b") < F.col("cls")))
-        return prefix.join(other, "token").where((F.col("comp") != F.col("comp_b")) & sized).select(F.col("cls").alias("a"), F.col("cls_b").alias("b")).distinct()
 
-    pairs = candidates(1).intersect(candidates(2))
-    a = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("tokens_a"))
-    b = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tokens_b"))
+def _prefixes(tokens, orders: tuple[int, ...]) -> list[frozenset]:
+    """The first tokens under several orders of which any partner shares one."""
+    import numpy as np
 
-    def compared(batches):
-        import numpy as np
+    n = len(tokens)
+    room = n - needed(n) + 1
+    return [frozenset(tokens[np.argpartition(_mix(tokens, order), room - 1)[:room]].tolist()) for order in orders]
 
-        for batch in batches:
-            rows = batch.to_pylist()
-            found = [r for r in rows if _alike(*(frozenset(np.frombuffer(r[k], np.uint64).tolist()) for k in ("tokens_a", "tokens_b")))]
+
+def _across(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Links of a unit's rows (cls, comp, block, tokens) that join components; of two blocks only pairs between them are asked.
+
+    A pair is compared if it shares a prefix token under each of two more orders.
+    """
+    import numpy as np
+
+    root = {comp: comp for _, comp, _, _ in rows}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    rows = sorted(rows, key=lambda r: (len(r[3]), r[0]))
+    arrays = [np.frombuffer(r[3], np.uint64) for r in rows]
+    sets = [frozenset(a.tolist()) for a in arrays]
+    fronts = [_prefixes(a, (11, 12)) for a in arrays]
+    two = len({r[2] for r in rows}) > 1
+    for i, (cls, comp, block, _) in enumerate(rows):
+        mine = find(comp)
+        for j in range(i - 1, -1, -1):
+            if 4 * len(sets[j]) < 3 * len(sets[i]):
+                break
+            if two and rows[j][2] == block:
+                continue
+            other = find(rows[j][1])
+            if other == mine or any(a.isdisjoint(b) for a, b in zip(fronts[i], fronts[j], strict=True)):
+                continue
+            if _alike(sets[i], sets[j]):
+                yield cls, rows[j][0]
+                root[other] = mine
+
+
+def _pair_links(left: DataFrame) -> DataFrame:
+    """Links across components among the classes left (cls, comp, n, tokens). A region is compared in blocks: each class goes to the units of its block with every other."""
+    regions = _regions(left)
+    sizes = regions.groupBy("region").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("blocks"))
+    placed = regions.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    units = placed.select("cls", "region", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keyed = units.select("cls", "block", F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")).alias("unit"))
+    together = left.join(keyed, "cls").select("unit", "cls", "comp", "block", "tokens").repartition(F.col("unit")).sortWithinPartitions("unit", "cls")
+
+    def links(batches):
+        for held in _runs(batches, 5):
+            found = list(_across(held))
             if found:
-                yield pa.RecordBatch.from_pylist([{"a": r["a"], "b": r["b"]} for r in found], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    return pairs.join(a, "a").join(b, "b").mapInArrow(compared, "a long, b long")
+    return together.mapInArrow(links, "a long, b long")
+
+
+def _runs(batches, width: int) -> Iterator[list[tuple]]:
+    """Rows with the same first column, without it."""
+    held, now = [], None
+    for batch in batches:
+        for key, *rest in zip(*(batch.column(k).to_pylist() for k in range(width)), strict=True):
+            if key != now and held:
+                yield held
+                held = []
+            now = key
+            held.append(tuple(rest))
+    if held:
+        yield held
 
 
 def _longs(column: str):
