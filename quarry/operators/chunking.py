@@ -50,7 +50,7 @@ def pack_blocks(blocks: Column, limit: int, joint: str = "\n\n") -> Column:
 
 def paragraph_chunks(docs: DataFrame, limit: int, mark: str = "\n", joint: str = "\n\n") -> DataFrame:
     """Paragraphs packed up to a limit: id, chunk, content."""
-    blocks = F.filter(F.transform(F.split("content", mark), F.trim), lambda b: b != "")
+    blocks = F.filter(F.transform(F.split("content", mark), lambda t: F.trim(t)), lambda b: b != "")
     return docs.select("id", F.posexplode(pack_blocks(blocks, limit, joint)).alias("chunk", "content"))
 
 
