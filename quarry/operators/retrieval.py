@@ -37,22 +37,39 @@ def bm25(units: DataFrame, queries: DataFrame, k: int, unit_tokens: Column, toke
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     scored = posted.join(weights, "term").select("query_id", "id", part.alias("part")).groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     if fill:
-        # Only the first k ids can be needed to fill a list up with zero scores.
-        first = units.select("id").orderBy("id").limit(k)
-        zeros = queries.select("query_id").join(F.broadcast(first)).withColumn("score", F.lit(0.0))  # k rows
-        scored = scored.unionByName(zeros.join(scored, ["query_id", "id"], "left_anti"))
+        scored = _filled(scored, units, queries, k)
     else:
         scored = scored.where("score > 0")
     return top(scored, k, ["query_id"])
 
 
+def _filled(scored: DataFrame, units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Units without a score count 0. Only the first k ids can be needed to fill a list up."""
+    first = units.select("id").orderBy("id").limit(k)
+    zeros = queries.select("query_id").join(F.broadcast(first)).withColumn("score", F.lit(0.0))  # k rows
+    return scored.unionByName(zeros.join(scored, ["query_id", "id"], "left_anti"))
+
+
+def holding(units: DataFrame, words: DataFrame) -> DataFrame:
+    """(term, id): units whose text holds a word of letters and digits (term) as a substring.
+
+    Such a word lies within one run of letters and digits, so it is looked for in the vocabulary, not in the texts.
+    """
+    posted = units.select("id", F.explode(F.array_distinct(X.words(F.col("content")))).alias("run"))
+    runs = posted.select("run").distinct()
+    inside = runs.join(words.select("term").distinct(), F.expr("contains(run, term)"))
+    return posted.join(inside, "run").select("term", "id").distinct()
+
+
 def substring(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Share of the query's keywords that occur in the text, plus 0.3 if all of them occur as one phrase; without keywords the first units at 0."""
-    asked = queries.select("query_id", X.keywords(F.col("query")).alias("words"))
-    both = units.select("id", F.lower("content").alias("low")).join(asked)
-    hits = F.size(F.filter("words", lambda w: F.contains(F.col("low"), w)))
-    score = F.when(F.size("words") == 0, 0.0).otherwise(hits / F.size("words") + F.when(F.contains(F.col("low"), F.array_join("words", " ")), 0.3).otherwise(0.0))
-    return top(both.select("query_id", "id", F.round(score, 6).alias("score")), k, ["query_id"])
+    """Share of the query's keywords that occur in the text, plus 0.3 if all of them occur as one phrase; other units at 0."""
+    asked = queries.select("query_id", X.keywords(F.col("query")).alias("words")).where("size(words) > 0")
+    terms = asked.select("query_id", F.size("words").alias("n"), F.array_join("words", " ").alias("phrase"), F.explode("words").alias("term")).groupBy("query_id", "n", "phrase", "term").agg(F.count("*").alias("times"))
+    hits = holding(units, terms).join(terms, "term").groupBy("query_id", "id", "n", "phrase").agg(F.sum("times").alias("hits"))
+    # A text with the phrase has all its words.
+    whole = hits.where("hits = n").join(units.select("id", F.lower("content").alias("low")), "id").where("contains(low, phrase)").select("query_id", "id", F.lit(0.3).alias("bonus"))
+    scored = hits.join(whole, ["query_id", "id"], "left").select("query_id", "id", F.round(F.col("hits") / F.col("n") + F.coalesce("bonus", F.lit(0.0)), 6).alias("score"))
+    return top(_filled(scored, units, queries, k), k, ["query_id"])
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -125,9 +142,14 @@ def episodic(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def key_value(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """An equal key scores 3; else 1 and the shared words, and half a point where content or key hold the query. rows: id, key, content."""
     q = queries.select("query_id", F.trim(F.lower("query")).alias("q")).where("q <> ''")
-    both = rows.select("id", F.lower("key").alias("key"), F.lower("content").alias("low")).join(q)
-    shared = F.size(F.array_intersect(X.split_words(F.col("q")), X.split_words(F.col("low"))))
-    found = both.withColumn("shared", shared).withColumn("in_text", F.contains("low", "q")).withColumn("in_key", F.contains("key", "q")).where("q = key or shared > 0 or in_text or in_key")
+    low = rows.select("id", F.lower("key").alias("key"), F.lower("content").alias("low"))
+    asked = q.select("query_id", F.explode(F.array_distinct(X.split_words(F.col("q")))).alias("term"))
+    words = low.select("id", F.explode(F.array_distinct(X.split_words(F.col("low")))).alias("term"))
+    shared = words.join(asked, "term").groupBy("query_id", "id").agg(F.count("*").alias("shared"))
+    # A query of several words may stand in a text or key without sharing whole words, so all pairs of the stated queries are asked.
+    both = low.join(q).where("q = key or contains(low, q) or contains(key, q)").select("query_id", "id").unionByName(shared.select("query_id", "id")).distinct()
+    found = both.join(shared, ["query_id", "id"], "left").na.fill(0, ["shared"]).join(low, "id").join(q, "query_id")
+    found = found.withColumn("in_text", F.contains("low", "q")).withColumn("in_key", F.contains("key", "q")).where("q = key or shared > 0 or in_text or in_key")
     score = F.when(F.col("q") == F.col("key"), 3.0).otherwise(1.0 + F.col("shared") + F.when(F.col("in_text"), 0.5).otherwise(0.0) + F.when(F.col("in_key"), 0.5).otherwise(0.0))
     return top(found.select("query_id", "id", score.alias("score")), k, ["query_id"])
 
@@ -153,7 +175,8 @@ def term_hits(rows: DataFrame, queries: DataFrame, k: int, as_of: str) -> DataFr
 def count_ranker(units: DataFrame, queries: DataFrame, k: int, tokens: Column, part) -> DataFrame:
     """Sum over the query's terms of ``part(occurrences, times in the query)`` where a term occurs."""
     asked = query_terms(queries, tokens)
-    both = units.select("id", F.lower("content").alias("low")).join(asked).where("contains(low, term)")
+    held = holding(units, asked).join(asked, "term")
+    both = units.select("id", F.lower("content").alias("low")).join(held, "id")
     n = X.occurrences(F.col("low"), F.col("term"))
     return top(both.select("query_id", "id", part(n, F.col("times")).cast("double").alias("p")).groupBy("query_id", "id").agg(F.round(F.sum("p"), 6).alias("score")), k, ["query_id"])
 
