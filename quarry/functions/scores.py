@@ -8,6 +8,7 @@ from math import exp, log
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def bind(value: Column, body) -> Column:
@@ -45,7 +46,7 @@ def set_f1(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0) | (hits == 0), 0.0).otherwise(2 * (hits / F.size(x)) * (hits / F.size(y)) / (hits / F.size(x) + hits / F.size(y)))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence: a row of the table is the bits of one whole number, so a step is a few operations on it."""
 
@@ -70,7 +71,7 @@ def rouge_l(a: Column, b: Column) -> Column:
 def bleu(prediction: Column, reference: Column, order: int) -> Column:
     """Smoothed BLEU with equal weights up to an order; an order without n-grams has precision 1."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         def grams(tokens, n: int) -> Counter:
             return Counter(zip(*(tokens[i:] for i in range(n)), strict=False))
