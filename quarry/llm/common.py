@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,10 @@ def arrow_limits(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def strings(column) -> Iterator[str]:
-    """The values of an Arrow string column, null as empty, one at a time."""
-    return (v.as_py() or "" for v in column)
+def lean_memory() -> None:
+    """In a Python worker: freed arrays of a megabyte or more go back to the system at once, so a reused worker doesn't keep its largest task's memory."""
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries manage on their own
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        libc.malloc_trim(0)

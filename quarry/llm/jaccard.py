@@ -32,12 +32,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_limits, narrow, spool
+from quarry.llm.common import arrow_limits, lean_memory, narrow, spool
 
 WIDTH = 5
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Tokens in a block of postings, rows of a block (they are numbered with 16 bits), tokens for a task that counts them.
-BLOCK_TOKENS, BLOCK_ROWS, TASK_TOKENS = 1_500_000, 60_000, 400_000
+BLOCK_TOKENS, BLOCK_ROWS, TASK_TOKENS = 1_000_000, 60_000, 400_000
 #: The largest groups compared in one piece: of the same first token, and of a region.
 GROUP, UNIT = 256, 1024
 
@@ -55,10 +55,11 @@ def _mix(x, seed: int):
 class Shingler:
     """Sets of a text's shingles, sorted. Word hashes are remembered up to a fixed number."""
 
-    REMEMBERED = 500_000
+    REMEMBERED = 250_000
 
     def __init__(self, width: int = WIDTH):
         self.width, self.known = width, {}
+        lean_memory()
 
     def __call__(self, text: str | None):
         import numpy as np
@@ -162,6 +163,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks of a task's buckets, a row for each block: rows of the block whose token another identity holds too, and how many of theirs."""
     import numpy as np
 
+    lean_memory()
     tokens, rows, idents, blocks, shared = [], [], [], [], []
     for batch in batches:
         for r in batch.to_pylist():

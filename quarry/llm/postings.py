@@ -14,8 +14,10 @@ from math import ceil
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quarry.llm.common import lean_memory
+
 #: Tokens in a block, and for a task that lets them meet.
-BLOCK_TOKENS, TASK_TOKENS = 1_500_000, 1_500_000
+BLOCK_TOKENS, TASK_TOKENS = 1_000_000, 500_000
 _FIELDS = (("bucket", pa.int32()), ("block", pa.int64()), ("tokens", pa.binary()), ("places", pa.binary()), ("several", pa.binary()), ("rows", pa.binary()), ("sizes", pa.binary()))
 _SCHEMA = "bucket int, block long, tokens binary, places binary, several binary, rows binary, sizes binary"
 
@@ -65,6 +67,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each block of a task's range the places whose token is shared; bit 31 tells the first of all."""
     import numpy as np
 
+    lean_memory()
     tokens, places, several, blocks = [], [], [], []
     for batch in batches:
         for r in batch.to_pylist():
@@ -135,6 +138,7 @@ def shared(rows: DataFrame, tokens: Callable, total: int) -> DataFrame:
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        lean_memory()
         of = tokens()
         found = ((n, *of(t)) for batch in batches for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
         for r in _blocks(found, tasks, TaskContext.get().partitionId() << 20):

@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from quarry.llm import postings
 from quarry.llm.cdc import without
-from quarry.llm.common import arrow_limits, narrow, spool
+from quarry.llm.common import arrow_limits, lean_memory, narrow, spool
 
 LENGTH, ANCHOR = 400, 200
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 3 << 19
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -135,6 +135,7 @@ def _sorted_marks(segments: DataFrame, total: int, length: int) -> DataFrame:
 
         from quarry.llm.suffix_sort import SuffixSorter
 
+        lean_memory()
         keys, parts, size, begins = [], [], 0, []
         for batch in batches:
             for name, hi, lo, own in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
