@@ -45,8 +45,14 @@ def spool(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def arrow_limits(spark: SparkSession, rows: int = 500) -> None:
-    """Bounds the batches sent to Python workers, so that long texts don't add up."""
+    """Bounds the batches sent to Python workers, so that long texts don't add up.
+
+    Also pins how files are split: the default follows the cores that are registered just then, so that a lost executor
+    between two reads of a table would number its rows differently.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
 
 
 def lean_memory() -> None:
