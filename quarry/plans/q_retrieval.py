@@ -195,11 +195,11 @@ QUERIES = {
     "R02_bm25_whitespace": r02,
     "R03_bm25_positive": r03,
     "R04_substring": r04,
-    "R05_dense_cosine": r05,
+    "R05_R26_J02_dense_cosine": r05,
     "R06_dense_l2": r06,
     "R07_max_similarity": r07,
     "R08_symbolic": r08,
-    "R09_entity_graph": r09,
+    "R09_J10_W07_entity_graph": r09,
     "R15_episodic": r15,
     "R16_key_value": r16,
     "R17_term_hits_recency": r17,
@@ -208,7 +208,7 @@ QUERIES = {
     "R21_count_ranker": r21,
     "R23_term_sets": r23,
     "R24_cross_episode": r24,
-    "R25_W05_two_phase": r25,
+    "R25_W05_P13_two_phase": r25,
     "R35_catalogue_union": r35,
     "F01_W01_reciprocal_rank_fusion": f01,
     "F02_W06_linear_fusion": f02,
@@ -223,11 +223,11 @@ ORACLE = {
     "R02_bm25_whitespace": f"WITH {_bm25_sql(_WHITE, True)} {top('sc', K)}",
     "R03_bm25_positive": f"WITH {_bm25_sql(WORDS, False)} {top('sc', K)}",
     "R04_substring": f"WITH {_R04} SELECT * FROM r4",
-    "R05_dense_cosine": f"WITH {_VEC}, sc AS (SELECT query_id, id, round({_DOT.format('query', 'vector')}/(sqrt({_DOT.format('query', 'query')})*sqrt({_DOT.format('vector', 'vector')})),6) AS score FROM v, vq) {top('sc', K)}",
+    "R05_R26_J02_dense_cosine": f"WITH {_VEC}, sc AS (SELECT query_id, id, round({_DOT.format('query', 'vector')}/(sqrt({_DOT.format('query', 'query')})*sqrt({_DOT.format('vector', 'vector')})),6) AS score FROM v, vq) {top('sc', K)}",
     "R06_dense_l2": f"WITH {_VEC}, sc AS (SELECT query_id, id, round(1/(1+list_sum(list_transform(range(1,65), lambda i: (query[i]::DOUBLE-vector[i]::DOUBLE)*(query[i]::DOUBLE-vector[i]::DOUBLE)))),6) AS score FROM v, vq) {top('sc', K)}",
     "R07_max_similarity": f"WITH v AS (SELECT vec_id//10 AS id, vec_id AS part, embedding AS vector FROM embeddings), b AS (SELECT x.id AS query_id, x.part, v.id, max({_DOT.format('x.vector', 'v.vector')}) AS best FROM v, v x WHERE x.id % 50 = 0 GROUP BY ALL), sc AS (SELECT query_id, id, round(sum(best),5) AS score FROM b GROUP BY ALL) {top('sc', K)}",
     "R08_symbolic": f"WITH {U}, {Q}, {_ENT}, sc AS (SELECT query_id, id, round(count(*)::DOUBLE/any_value(n),6) AS score FROM ent JOIN qe USING (entity) JOIN (SELECT query_id, count(*) AS n FROM qe GROUP BY 1) USING (query_id) GROUP BY ALL) {top('sc', K)}",
-    "R09_entity_graph": f"""WITH {U}, {Q}, {_ENT}, h0 AS (SELECT query_id, id, count(*)::DOUBLE AS score FROM ent JOIN qe USING (entity) GROUP BY ALL),
+    "R09_J10_W07_entity_graph": f"""WITH {U}, {Q}, {_ENT}, h0 AS (SELECT query_id, id, count(*)::DOUBLE AS score FROM ent JOIN qe USING (entity) GROUP BY ALL),
     re AS (SELECT DISTINCT query_id, entity FROM h0 JOIN ent USING (id) WHERE (query_id, entity) NOT IN (SELECT query_id, entity FROM qe)),
     h1 AS (SELECT query_id, id, 0.5::DOUBLE*count(*) AS score FROM re JOIN ent USING (entity) WHERE NOT EXISTS (SELECT 1 FROM h0 WHERE h0.query_id=re.query_id AND h0.id=ent.id) GROUP BY ALL),
     al AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1), sc AS (SELECT query_id, id, round(score/max(score) OVER (PARTITION BY query_id),6) AS score FROM al) {top('sc', K)}""",
@@ -253,7 +253,7 @@ ORACLE = {
     "R24_cross_episode": f"""WITH {U}, {Q}, uw AS (SELECT id, list_distinct({WORDS.format('content')}) AS w, lang, length(content) AS length FROM u), qw AS (SELECT query_id, list_distinct({WORDS.format('query')}) AS x FROM q),
     b AS (SELECT query_id, id, count(*) AS n_both FROM (SELECT id, unnest(w) AS term FROM uw) JOIN (SELECT query_id, unnest(x) AS term FROM qw) USING (term) GROUP BY ALL),
     sc AS (SELECT query_id, id, round(n_both::DOUBLE/(len(w)+len(x)-n_both)+CASE WHEN lang='en' THEN 0.25 ELSE 0 END+CASE WHEN id%3=0 THEN 0.15 ELSE 0 END-0.001::DOUBLE*greatest(0,length-2000),6) AS score FROM b JOIN uw USING (id) JOIN qw USING (query_id)) {top('sc', K)}""",
-    "R25_W05_two_phase": f"""WITH {_R04}, c AS (SELECT query_id, id, score AS similarity, greatest(((id*37)%100)/100.0::DOUBLE-0.3::DOUBLE, -0.2::DOUBLE) AS q FROM r4 WHERE score >= 0.05),
+    "R25_W05_P13_two_phase": f"""WITH {_R04}, c AS (SELECT query_id, id, score AS similarity, greatest(((id*37)%100)/100.0::DOUBLE-0.3::DOUBLE, -0.2::DOUBLE) AS q FROM r4 WHERE score >= 0.05),
     c2 AS (SELECT * FROM (SELECT *, max(similarity) OVER (PARTITION BY query_id) AS best FROM c) WHERE best >= 0.2),
     z AS (SELECT query_id, id, similarity, q, similarity-avg(similarity) OVER w AS ds, q-avg(q) OVER w AS dq, stddev_pop(similarity) OVER w AS ss, stddev_pop(q) OVER w AS sq FROM c2 WINDOW w AS (PARTITION BY query_id)),
     f AS (SELECT query_id, id, similarity, q, round(0.5::DOUBLE*greatest(least(ds/CASE WHEN ss>1e-9 THEN ss ELSE 1 END,3.0::DOUBLE),-3.0::DOUBLE)+0.5::DOUBLE*greatest(least(dq/CASE WHEN sq>1e-9 THEN sq ELSE 1 END,3.0::DOUBLE),-3.0::DOUBLE),6) AS score FROM z)

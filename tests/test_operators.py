@@ -125,3 +125,37 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = {r["key"]: r["q"] for r in spark.table("utilities").collect()}
     assert got == {r["key"]: r["q"] for r in sessions.utilities(rows).collect()}
+
+
+def test_quotas_fill_evenly():
+    from quarry.operators.records import water_filled
+
+    assert water_filled({"a": 2, "b": 10, "c": 10}, 12) == {"a": 2, "b": 5, "c": 5}
+    assert water_filled({"a": 1}, 5) == {"a": 1} and water_filled({}, 3) == {}
+
+
+def test_answers(spark):
+    from quarry.functions import answers
+
+    row = spark.createDataFrame([("go ###Answer: Paris \n### x", "I will take lamp 2 now", ["take lamp", "take lamp 2"])], "a string, b string, c array<string>")
+    got = row.select(answers.marked_answer(F.col("a")), answers.picked_action(F.col("b"), F.col("c")), answers.last_line(F.lit("x\n y \n\n")), answers.bounded_read(F.lit("1\n2\n3\nhit\n5\n6\n7"), "hit", 1)).first()
+    assert tuple(got) == ("Paris", "take lamp 2", "y", "3\nhit\n5")
+
+
+def test_rolled_up_levels(spark):
+    from quarry.operators.records import rolled_up
+
+    rows = spark.createDataFrame([(1, i, str(i)) for i in range(7)], "grp int, seq long, content string")
+    got = sorted((r["level"], r["seq"], r["content"]) for r in rolled_up(rows, 3, lambda c: F.replace(c, F.lit("\n"), F.lit("+"))).collect())
+    assert got == [(1, 0, "0+1+2"), (1, 1, "3+4+5"), (1, 2, "6"), (2, 0, "0+1+2+3+4+5+6")]
+
+
+def test_named_pipelines(spark):
+    from quarry.plans import configs
+
+    units = spark.createDataFrame([(1, "red car drives"), (2, "blue boat swims")], "id long, content string")
+    queries = spark.createDataFrame([(0, "what is red car")], "query_id long, query string")
+    for name in ("C1", "C2", "C3", "C4", "C5"):
+        assert configs.build(name)(units, queries, 1).first()["id"] in (1, 100_000)
+    with pytest.raises(KeyError):
+        configs.build("C77")
