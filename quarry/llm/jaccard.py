@@ -37,9 +37,9 @@ from quarry.llm.common import arrow_limits, lean_memory, narrow, spool
 WIDTH = 5
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Tokens in a block of postings, rows of a block (they are numbered with 16 bits), tokens for a task that counts them.
-BLOCK_TOKENS, BLOCK_ROWS, TASK_TOKENS = 1_000_000, 60_000, 400_000
+BLOCK_TOKENS, BLOCK_ROWS, TASK_TOKENS = 600_000, 60_000, 300_000
 #: The largest groups compared in one piece: of the same first token, and of a region.
-GROUP, UNIT = 256, 1024
+GROUP, UNIT = 256, 512
 
 
 def _mix(x, seed: int):
@@ -55,7 +55,7 @@ def _mix(x, seed: int):
 class Shingler:
     """Sets of a text's shingles, sorted. Word hashes are remembered up to a fixed number."""
 
-    REMEMBERED = 250_000
+    REMEMBERED = 150_000
 
     def __init__(self, width: int = WIDTH):
         self.width, self.known = width, {}
