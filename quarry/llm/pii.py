@@ -4,8 +4,11 @@ Base kinds are found by regular expressions in the row that holds the text. The
 themselves give the places of both, so a text is passed over once for each kind. The patterns are possessive and start
 only where a match may start: they take time in proportion to the text, and find what the plain patterns find.
 
-An entity is a matched value. A term is a word of three letters or more within ``REACH`` characters of an entity. Over
-the whole corpus, n(e, t) is the number of documents with the term near the entity, n(e) and n(t) those with either.
+An entity is a matched value. A term is a word of three letters or more within ``REACH`` characters of an entity, whatever
+stands between them: the reach is counted in the text, before the mention's start and after its end, and only words inside
+valid mentions are no terms. The reach is part of the definition: what stands by an entity tells of it, and pairs of every
+mention with every word of a document would grow with the square of its length. A word that gives an entity away from
+further off is not found. Over the whole corpus, n(e, t) is the number of documents with the term near the entity, n(e) and n(t) those with either.
 The pointwise mutual information log2(n(e, t) N / (n(e) n(t))) over the entity's own information log2(N / n(e)) is the
 share of the entity that the term gives away. Terms seen near it in ``MIN_SUPPORT`` documents or more that give away
 ``THRESHOLD`` or more are spans of kind ``term`` where they stand near that entity, and generalised by ``sanitise``.
@@ -31,7 +34,7 @@ PATTERNS = {
 }
 WORD = r"\p{L}[\p{L}'-]{2,}+"
 REACH, MIN_SUPPORT, THRESHOLD = 80, 2, 0.9
-_BLOCK = 256
+_BLOCK, _PAGE = 256, 256
 
 
 def _digits(value: Column) -> Column:
@@ -58,7 +61,7 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def _places(text: Column, pattern: str, make) -> Column:
-    """``make(i, start, end, value, before, after)`` of every match; before and after: the text up to the neighbouring matches."""
+    """``make(start, end, value)`` of every match."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def told(p: Column, m: Column) -> Column:
@@ -70,20 +73,35 @@ def _places(text: Column, pattern: str, make) -> Column:
             block = F.floor(i / _BLOCK).cast("int")
             return F.get(b, block) + F.aggregate(F.slice(s, block * _BLOCK + 1, i % _BLOCK), F.lit(0), lambda a, x: a + x) + F.length(F.get(p, i))
 
-        return let(steps, lambda s: let(let(sums(s), base), lambda b: F.transform(m, lambda v, i: let(start(s, b, i), lambda at: make(i, at, at + F.length(v), v, F.get(p, i), F.get(p, i + 1))))))
+        return let(steps, lambda s: let(let(sums(s), base), lambda b: F.transform(m, lambda v, i: let(start(s, b, i), lambda at: make(at, at + F.length(v), v)))))
 
     return let(found, lambda m: F.when(F.size(m) > 0, let(pieces, lambda p: told(p, m))))
 
 
 def _words(context: Column, first: Column) -> Column:
     """(term, start, end) of the words of a short string that starts at a place."""
-    return F.coalesce(_places(context, WORD, lambda i, a, b, v, _x, _y: F.struct(F.lower(v).alias("term"), (first + a).alias("start"), (first + b).alias("end"))), F.array().cast("array<struct<term:string,start:int,end:int>>"))
+    return F.coalesce(_places(context, WORD, lambda a, b, v: F.struct(F.lower(v).alias("term"), (first + a).alias("start"), (first + b).alias("end"))), F.array().cast("array<struct<term:string,start:int,end:int>>"))
 
 
-def _near(at: Column, end: Column, before: Column, after: Column) -> Column:
-    """The words within reach of a mention; a word that the reach cuts is left out."""
-    left = F.when(F.length(before) > REACH, F.regexp_replace(F.substring(before, -REACH, REACH), r"^[\p{L}'-]+", "")).otherwise(before)
-    right = F.when(F.length(after) > REACH, F.regexp_replace(F.substring(after, 1, REACH), r"[\p{L}'-]+$", "")).otherwise(after)
+def _pages(text: Column) -> Column:
+    """The text in pages of ``_PAGE`` characters, so that a place is looked up without a pass over the text.
+
+    E-mails are blank. Other mentions have no letters, so no word stands in them.
+    """
+    mail = PATTERNS["email"]
+    blank = F.zip_with(F.split(text, mail, -1), F.regexp_extract_all(text, F.lit(mail), F.lit(0)), lambda p, m: F.concat(p, F.coalesce(F.repeat(F.lit(" "), F.length(m)), F.lit(""))))
+    return F.regexp_extract_all(F.array_join(blank, ""), F.lit(f"(?s).{{1,{_PAGE}}}"), F.lit(0))
+
+
+def _between(pages: Column, start: Column, end: Column) -> Column:
+    page = lambda at: F.floor(at / _PAGE).cast("int")
+    return F.substring(F.array_join(F.slice(pages, page(start) + 1, page(end) - page(start) + 1), ""), start % _PAGE + 1, end - start)
+
+
+def _near(pages: Column, at: Column, end: Column) -> Column:
+    """The words within reach of a mention. One character more shows whether the reach cuts a run of letters, apostrophes and hyphens; such a run is left out."""
+    left = let(_between(pages, F.greatest(at - REACH - 1, F.lit(0)), at), lambda c: F.when(F.length(c) > REACH, F.regexp_replace(c, r"\A[\p{L}'-]+", "")).otherwise(c))
+    right = let(_between(pages, end, end + REACH + 1), lambda c: F.when(F.length(c) > REACH, F.regexp_replace(c, r"[\p{L}'-]+\z", "")).otherwise(c))
     return F.concat(let(left, lambda c: _words(c, at - F.length(c))), let(right, lambda c: _words(c, end)))
 
 
@@ -91,12 +109,15 @@ def mentions(text: Column, near: bool = False) -> Column:
     """Valid base matches of a text as (start, kind, end, value) in order; with ``near`` also the terms around each."""
     found = []
     for k, kind in enumerate(KINDS[:4]):
-        make = lambda i, a, b, v, x, y, k=k, kind=kind: F.when(
-            _valid(kind, v),
-            F.struct(a.alias("start"), F.lit(k).alias("kind"), b.alias("end"), v.alias("value"), *([_near(a, b, x, y).alias("near")] if near else [])),
+        make = lambda a, b, v, k=k, kind=kind: F.when(
+            _valid(kind, v), F.struct(a.alias("start"), F.lit(k).alias("kind"), b.alias("end"), v.alias("value"))
         )
         found.append(F.filter(F.coalesce(_places(text, PATTERNS[kind], make), F.array()), lambda m: m.isNotNull()))
-    return F.sort_array(F.concat(*found))
+    base = F.sort_array(F.concat(*found))
+    if not near:
+        return base
+    told = lambda p, m: F.struct(*(m[n].alias(n) for n in ("start", "kind", "end", "value")), _near(p, m["start"], m["end"]).alias("near"))
+    return let(base, lambda b: F.coalesce(F.when(F.size(b) > 0, let(_pages(text), lambda p: F.transform(b, lambda m: told(p, m)))), F.array()))
 
 
 def find(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:

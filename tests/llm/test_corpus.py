@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -230,6 +231,38 @@ def test_pii_terms_give_an_entity_away(spark):
     assert all(clean[i] == t for i, t, _, _ in rows[3:])
 
 
+def test_pii_reach_crosses_other_matches(spark):
+    """Terms by brute force: other numbers, invalid matches and a second e-mail don't cut the reach."""
+    r = random.Random(8)
+    cards = ["4111 1111 1111 1111", "5500000000000004", "340000000000009"]
+    parts = [*cards, "room 12,", "no. 7;", "300.1.1.1", "10.0.0.7", "ann@x.org", "bob.lee@mail.example.org", "+1 (234) 567-8901", "é😀", "d'or-", "\n", "--x", *WORDS[:40]]
+    some = lambda n: " ".join(r.choice(parts) for _ in range(r.randint(0, n)))
+    texts = [f"{prose(40, i)} Annabel Quixote, room {i}, card 6011000000000004 {prose(40, 90 + i)}" for i in range(3)]
+    names = ["".join(r.choice("klmnop'é") for _ in range(6)) + "q" for _ in range(40)]
+    own = lambda i: (f"u{i}@own.org", f"10.1.{i}.7", f"+49 30 {7000000 + i}")[i % 3]
+    texts += [f"{some(20)} {name} {some(8)} {own(i)} {some(8)} {name[::-1]} {some(20)}" for i, name in enumerate(names) for _ in range(3)] + [prose(60, 200 + i) for i in range(150)]
+    near, n_e, n_t, n_et = [], Counter(), Counter(), Counter()
+    for text in texts:
+        spans, blank, at = base_spans(text), list(text), {}
+        for a, _, b in spans:
+            blank[a:b] = [c if c in "'-" and "@" not in text[a:b] else " " for c in text[a:b]]
+        runs = [(m.start(), m.end()) for m in re.finditer(r"(?:[^\W\d_]|['-])+", "".join(blank))]
+        for a, b in runs:
+            if w := re.search(r"[^\W\d_](?:[^\W\d_]|['-]){2,}", text[a:b]):
+                at[a + w.start(), a + w.end()] = (a, b)
+        found = {(text[a:b], text[c:d].lower(), c, d) for a, _, b in spans for (c, d), (x, y) in at.items() if a - 80 <= x and y <= a or b <= x and y <= b + 80}
+        near.append(found)
+        n_e.update({text[a:b] for a, _, b in spans})
+        n_t.update({w.lower() for w in re.findall(r"[^\W\d_](?:[^\W\d_]|['-]){2,}", text)})
+        n_et.update({x[:2] for x in found})
+    n = len(texts)
+    telling = {(e, t) for (e, t), k in n_et.items() if k >= 2 and n_e[e] < n and math.log2(k * n / (n_e[e] * n_t[t])) >= 0.9 * math.log2(n / n_e[e])}
+    expected = [sorted({x[2:] for x in found if x[:2] in telling}) for found in near]
+    got = {x["doc_id"]: [tuple(map(int, s.split(":")[1:])) for s in x["spans"].split(",") if s.startswith("term:")] for x in pii.report(table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(n)] == expected and sum(map(len, expected)) > 100
+    assert all((t.index("Quixote"), t.index("Quixote") + 7) in got[i] for i, t in enumerate(texts[:3]))
+
+
 # 5
 
 
