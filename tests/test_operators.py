@@ -159,3 +159,12 @@ def test_named_pipelines(spark):
         assert configs.build(name)(units, queries, 1).first()["id"] in (1, 100_000)
     with pytest.raises(KeyError):
         configs.build("C77")
+
+
+def test_concepts_of_whole_contents(spark, tmp_path):
+    from quarry.plans import registry
+
+    rows = [(i, "filler " * 60 + "Zanzibar zanzibar", "en", "s") for i in range(3)] + [(3, None, "en", "s"), (4, "zanzibar", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["concept"]: (r["units"], r["ids"]) for r in registry.queries()["I18_concept_graph_whole"](spark, str(tmp_path)).collect()}
+    assert got == {"filler": (3, [0, 1, 2]), "zanzibar": (4, [0, 1, 2, 4])}
