@@ -78,9 +78,10 @@ def f05(spark, sf):
     """A query in two halves, each retrieved, the best score of an id kept."""
     q = adapt.questions(spark, sf)
     words = F.split("query", " ")
-    half = lambda a: q.select("query_id", F.array_join(F.slice(words, a, 6), " ").alias("query"))
+    n = adapt.half(words)
+    half = lambda a: q.select("query_id", F.array_join(F.slice(words, a, n), " ").alias("query"))
     u = adapt.units(spark, sf)
-    return ranking.union_best([retrieval.term_sets(u, half(1), K), retrieval.term_sets(u, half(7), K)], K, ["query_id"])
+    return ranking.union_best([retrieval.term_sets(u, half(F.lit(1)), K), retrieval.term_sets(u, half(n + 1), K)], K, ["query_id"])
 
 
 def f06(spark, sf):

@@ -87,7 +87,7 @@ def r15(spark, sf):
 
 def r16(spark, sf):
     u = adapt.units(spark, sf).select("id", F.concat_ws("_", "source", "lang").alias("key"), "content")
-    q = adapt.questions(spark, sf).select("query_id", X.first_words(F.col("query"), 2).alias("query"))
+    q = adapt.questions(spark, sf).select("query_id", adapt.beginning(F.col("query"), 2).alias("query"))
     extra = u.groupBy("key").agg(F.min("id").alias("query_id")).select((-1 - F.col("query_id")).alias("query_id"), F.col("key").alias("query"))
     return retrieval.key_value(u, q.unionByName(extra), K)
 

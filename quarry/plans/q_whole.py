@@ -1,0 +1,29 @@
+"""The queries of ``adapt.questions`` with whole benchmark passages in place of their first twelve words.
+
+Each is the same operator under the same name with ``_whole`` after it, and its SQL is the other's with the passages whole.
+"""
+
+from __future__ import annotations
+
+from quarry.plans import adapt, q_eval, q_more, q_rest, q_retrieval, q_state
+
+_MODULES = (q_retrieval, q_eval, q_state, q_more, q_rest)
+#: Queries of the passages that have no SQL.
+_WITHOUT = ("I31_alias_expansion", "R34_tiers", "U09_C3_C5_pipelines")
+#: What cuts a passage again.
+_CUTS = (
+    (adapt.Q, adapt.QW),
+    ("array_to_string(string_split(query,' ')[1:2],' ')", "query"),
+    ("(string_split(query,' '))[1:6]", "(string_split(query,' '))[1:(len(string_split(query,' '))+1)//2]"),
+    ("(string_split(query,' '))[7:12]", "(string_split(query,' '))[(len(string_split(query,' '))+1)//2+1:]"),
+)
+
+
+def _whole(sql: str) -> str:
+    for cut, whole in _CUTS:
+        sql = sql.replace(cut, whole)
+    return sql
+
+
+QUERIES = {f"{n}_whole": adapt.whole(f) for m in _MODULES for n, f in m.QUERIES.items() if n in _WITHOUT or adapt.Q in m.ORACLE.get(n, "")}
+ORACLE = {f"{n}_whole": _whole(sql) for m in _MODULES for n, sql in m.ORACLE.items() if adapt.Q in sql}

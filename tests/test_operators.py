@@ -168,3 +168,18 @@ def test_concepts_of_whole_contents(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["concept"]: (r["units"], r["ids"]) for r in registry.queries()["I18_concept_graph_whole"](spark, str(tmp_path)).collect()}
     assert got == {"filler": (3, [0, 1, 2]), "zanzibar": (4, [0, 1, 2, 4])}
+
+
+def test_whole_passages_are_searched(spark, tmp_path):
+    """Words after the twelfth find, in the retrievers and in the second half of a decomposed query."""
+    from quarry.plans import registry
+
+    docs = [(1, "late zebra here", "en", "s"), (2, "w1 w2 here", "en", "s"), (3, "nothing", "en", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    passages = [(0, " ".join(f"w{i}" for i in range(1, 20)) + " zebra"), (1, None)]
+    spark.createDataFrame(passages, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name in ("R23_term_sets_whole", "F05_decomposition_whole"):
+        got = {(r["query_id"], r["id"]): r["score"] for r in registry.queries()[name](spark, str(tmp_path)).collect()}
+        assert got == {(0, 1): 1.0, (0, 2): 2.0}, name
+    assert {r["query_id"]: len(r["query"].split()) for r in registry.queries()["R36_condensed_query_whole"](spark, str(tmp_path)).collect()}[0] == 6
+    assert "R01_bm25_whole" in registry.queries() and "U09_C3_C5_pipelines_whole" in registry.queries()
