@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -211,19 +212,38 @@ def multi_hop(concepts: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return found.groupBy("query_id", "id").agg(F.round(1 / (F.min("hop") + 1), 6).alias("score"))
 
 
-def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, rounds: int = 20, store=None) -> DataFrame:
+def _checkpoint(df: DataFrame) -> DataFrame:
+    """The rows, stored under spark.checkpoint.dir; only where that is unset (tests on one machine) in a local folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quarry-"))
+    return df.checkpoint()
+
+
+def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, rounds: int = 20, store=None, tolerance: float | None = None) -> DataFrame:
     """(node, rank): personalised rank over weighted edges (src, dst, weight) from equally weighted seeds (node); what reaches a node without edges is lost.
 
-    ``store``: a function that cuts lineage, called every five rounds (a checkpoint or a written table).
+    ``store``: a function that cuts lineage, called every five rounds (a checkpoint or a written table). With ``tolerance``
+    the rounds end when the ranks change by less in all; each round's ranks are then stored, by a checkpoint without ``store``.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     step = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
     count = seeds.distinct().agg(F.count("*").alias("n"))
     start = seeds.distinct().join(F.broadcast(count)).select("node", (1.0 / F.col("n")).alias("start"))  # one row
     rank = start.select("node", F.col("start").alias("rank"))
+    if tolerance is not None:
+        store = store or _checkpoint
+        step, start = store(step), store(start)
     for i in range(rounds):
+        before = rank
         moved = rank.join(step, rank["node"] == step["src"]).groupBy(F.col("dst").alias("node")).agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("moved"))
         rank = moved.join(start, "node", "full_outer").select("node", (F.coalesce("moved", F.lit(0.0)) + (1 - damping) * F.coalesce("start", F.lit(0.0))).alias("rank"))
-        if store and i % 5 == 4:
+        if tolerance is not None:
+            rank = store(rank)
+            both = rank.join(before.select("node", F.col("rank").alias("was")), "node", "full_outer")
+            change = both.agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
+            if (change or 0.0) < tolerance:
+                break
+        elif store and i % 5 == 4:
             rank = store(rank)
     return rank

@@ -183,3 +183,36 @@ def test_whole_passages_are_searched(spark, tmp_path):
         assert got == {(0, 1): 1.0, (0, 2): 2.0}, name
     assert {r["query_id"]: len(r["query"].split()) for r in registry.queries()["R36_condensed_query_whole"](spark, str(tmp_path)).collect()}[0] == 6
     assert "R01_bm25_whole" in registry.queries() and "U09_C3_C5_pipelines_whole" in registry.queries()
+
+
+def _ranks(edges, seed, rounds=50):
+    """Page rank by brute force, to an L1 change below 1e-6, and its rounds."""
+    total, rank = {}, {seed: 1.0}
+    for a, _, w in edges:
+        total[a] = total.get(a, 0.0) + w
+    for n in range(1, rounds + 1):
+        new = {seed: 0.5}
+        for a, b, w in edges:
+            new[b] = new.get(b, 0.0) + 0.5 * rank.get(a, 0.0) * w / total[a]
+        change = sum(abs(new.get(v, 0.0) - rank.get(v, 0.0)) for v in new.keys() | rank.keys())
+        rank = new
+        if change < 1e-6:
+            break
+    return rank, n
+
+
+def test_page_rank_converges(spark, sf):
+    from quarry.plans import q_plan, registry
+
+    chain = [(f"v{i}", f"v{i + 1}", 1.0) for i in range(12)]
+    edges = chain + [(b, a, w) for a, b, w in chain]
+    frame = spark.createDataFrame(edges, "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("v0",)], "node string")
+    expected, rounds = _ranks(edges, "v0")
+    got = {r["node"]: r["rank"] for r in plan.page_rank(frame, seeds, rounds=50, tolerance=1e-6).collect()}
+    assert 12 < rounds < 50 and set(got) == {f"v{i}" for i in range(13)}
+    assert all(got[v] == pytest.approx(expected[v], abs=1e-12) for v in got)
+    expected, _ = _ranks([tuple(r) for r in q_plan._r11_edges(spark, sf).collect()], "r1")
+    got = {r["node"]: r["score"] for r in registry.queries()["R11_page_rank_converged"](spark, sf).collect()}
+    assert set(got) == {v for v, x in expected.items() if x > 0}
+    assert all(got[v] == pytest.approx(expected[v], abs=2e-8) for v in got)
