@@ -5,8 +5,10 @@ bits kept depend on the last 16 bytes. A chunk ends where the upper ones are zer
 insertion the cuts fall at the same bytes again. Chunks are compared by a 64-bit digest.
 
 A chunk's first place in the order of the input stays. Single short chunks may be alike by idiom or by chance, so a run
-of neighbouring chunks that all stand earlier in the input is removed only where it has at least ``min_run`` bytes (less
-than fifty words have).
+of neighbouring chunks that all stand earlier in the input is removed only where it has at least ``min_run`` bytes, is the
+whole text, or may be the inside of a repeated passage of more than ``WORDS`` words. Such a passage ends in the chunk after
+its run and begins in the chunk before it, or less than ``WINDOW`` bytes before that chunk, where cuts still depend on the
+bytes before the passage: these count with the run. So every such passage is found that holds a whole chunk in common.
 
 Defined results: a null text is empty; a null doc_id is carried; of repeated rows the first in the input keeps its text;
 an empty table gives no rows; other columns are ignored. The input must be a stored table, as it is read twice and its
@@ -27,7 +29,9 @@ from quarry.llm.common import arrow_limits, narrow
 
 #: The upper bits that must be zero at a cut: chunks have 2**BITS bytes on average.
 BITS = 4
-MIN_RUN = 160
+#: A cut depends on as many bytes before it.
+WINDOW = 16
+MIN_RUN, WORDS = 160, 50
 
 
 def gear_table():
@@ -45,7 +49,7 @@ def cuts(data: bytes, table, bits: int = BITS):
         return np.empty(0, np.int64)
     total = table[np.frombuffer(data, np.uint8)]
     span = 1
-    while span < 16:  # the hash over twice as many bytes: the later half's, and the earlier half's shifted by its length
+    while span < WINDOW:  # the hash over twice as many bytes: the later half's, and the earlier half's shifted by its length
         wider = total.copy()
         wider[span:] += total[:-span] << np.uint16(span)
         total, span = wider, 2 * span
@@ -69,8 +73,8 @@ class Chunker:
         return found, np.zeros(len(found), np.bool_)
 
 
-def removed_runs(ends, places: bytes | None, min_run: int):
-    """(repeated bytes, [start, end) of the removed runs) for a text's chunk ends and the places of its shared chunks."""
+def removed_runs(data: bytes, ends, places: bytes | None, min_run: int):
+    """(repeated bytes, [start, end) of the removed runs) for a text, its chunk ends and the places of its shared chunks."""
     import numpy as np
 
     if not places:
@@ -83,10 +87,15 @@ def removed_runs(ends, places: bytes | None, min_run: int):
     begins = np.concatenate(([0], ends[:-1]))
 
     def runs(flags) -> list[tuple[int, int]]:
-        """[start, end) bytes of neighbouring chunks with the flag, where they are long enough."""
+        """[start, end) bytes of neighbouring chunks with the flag, where they are long enough, all, or a passage."""
         edge = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).astype(np.int8))).reshape(-1, 2)
-        found = [(int(begins[a]), int(ends[b - 1])) for a, b in edge.tolist()]
-        return [(a, b) for a, b in found if b - a >= min_run]
+        found = [(int(begins[a]), int(ends[b - 1]), a, b) for a, b in edge.tolist()]
+        return [(start, end) for start, end, a, b in found if end - start >= min_run or end - start == len(data) or passage(a, b)]
+
+    def passage(a: int, b: int) -> bool:
+        """Whether the chunks, with what may belong to them before and after, have more than ``WORDS`` words."""
+        low, high = max(0, int(begins[max(0, a - 1)]) - WINDOW + 1), int(ends[min(b, len(ends) - 1)])
+        return high - low > 2 * WORDS and len(data[low:high].split()) > WORDS
 
     return sum(b - a for a, b in runs(shared)), runs(shared & ~first)
 
@@ -114,7 +123,7 @@ def deduplicate(docs: DataFrame, bits: int = BITS, min_run: int = MIN_RUN, texts
             for doc_id, text, at in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 data = (text or "").encode()
                 ends = cuts(data, table, bits)
-                repeated, runs = removed_runs(ends, at, min_run)
+                repeated, runs = removed_runs(data, ends, at, min_run)
                 kept = without(data, runs)
                 found.append((doc_id, len(data), len(ends), repeated, len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), *([kept] if texts else [])))
             if found:

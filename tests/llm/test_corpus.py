@@ -479,6 +479,26 @@ def test_chunk_dedup(docs, empty):
     assert cdc.deduplicate(empty).count() == 0
 
 
+def test_chunk_dedup_of_short_texts_and_words(spark, tmp_path):
+    """Copies below the least run, and passages of 51 short words inside other texts."""
+    r = random.Random(11)
+    copies = [(i, "a short line, said again", "en", "s") for i in range(4)]
+    passages = [" ".join(r.choice("abcdefghijklmnopqrstuvwxyz") + r.choice(["", "x", "y"]) for _ in range(51)) for _ in range(40)]
+    held = [(100 + 2 * i + j, f"{prose(30, 1000 + 2 * i + j)} {p} {prose(30, 2000 + 2 * i + j)}", "en", "s") for i, p in enumerate(passages) for j in range(2)]
+    table(spark, copies + held).coalesce(1).write.parquet(path := f"{tmp_path}/t")
+    got = {x["doc_id"]: x for x in cdc.deduplicate(spark.read.parquet(path), texts=True).collect()}
+    assert [bytes(got[i]["kept"]) for i in range(4)] == [b"a short line, said again", b"", b"", b""]
+    assert all(got[i]["n_repeated"] == got[i]["n_bytes"] == 24 for i in range(4))
+    table_, missed = cdc.gear_table(), []
+    for i, p in enumerate(passages):
+        assert 101 <= len(p) < 160
+        pieces = [{d[a:b] for a, b in zip([0, *c], c, strict=False)} for d in (held[2 * i + j][1].encode() for j in range(2)) for c in [cdc.cuts(d, table_).tolist()]]
+        common = [x for x in pieces[0] & pieces[1] if x in p.encode() and len(x) > 8]
+        if common and not (got[100 + 2 * i]["n_repeated"] and got[101 + 2 * i]["n_removed"]):
+            missed.append(p)
+    assert not missed
+
+
 # The pipeline
 
 
