@@ -7,8 +7,10 @@ equal windows have equal names wherever they stand. Neighbouring windows of one
 over all texts in blocks (``postings.shared``); a name that occurs once has no repeats. Equal segments are counted, not
 copied: with two or more, all their windows repeat. Names with several different segments go to shards, one copy of
 each segment, and a shard's segments are joined into one string whose suffixes are sorted by external induction
-(``suffix_sort``): windows repeat where neighbours in that order share ``length`` bytes. A shard may be larger than
-memory; its queue spills to the task's own temporary folder and the folder is emptied at the end.
+(``suffix_sort``): windows repeat where neighbours in that order share ``length`` bytes. A shard's string, shape and seed
+names must fit a task's memory, about 80 bytes a byte: a shard is kept to ``SHARD_BYTES`` on average, but one name that
+very many different segments share is one shard. The queue spills to the task's own temporary folder when it is larger than
+its limit, which shards of that size don't reach; the folder is emptied at the end.
 
 Defined results: a null text is empty; a null doc_id is carried; repeated rows are separate texts, so all their bytes go
 if they are long enough; an empty table gives no rows; other columns are ignored. The input must be a stored table, as
