@@ -3,7 +3,7 @@
 A piece of n tokens costs n + n * n / capacity: a linear part and the quadratic part of its own attention. Each block of
 documents (consecutive rows of a partition, up to a number of tokens) is packed by itself, so nothing is shuffled and a
 task holds one block. Whole sequences are cut off documents longer than one. What is left goes, longest first, to the
-open sequence of the lowest cost with room; where none of the cheapest has room for all of it, it is cut. The open
+open sequence of the lowest cost with room for all of it; only where none has, it is cut, and the cheapest takes what it can. The open
 sequences hold exactly the block's tokens: full ones, and for the remainder sequences whose lengths are powers of two,
 which need no padding.
 
@@ -14,6 +14,7 @@ are packed like any other; an empty table gives no rows; other columns are ignor
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,8 +44,47 @@ def cost(length: int, capacity: int = CAPACITY) -> float:
     return length + length * length / capacity
 
 
-def plan(lengths: list[int], capacity: int = CAPACITY, look: int = 32) -> list[Piece]:
-    """Pieces of documents of the given lengths. ``look``: how many of the cheapest sequences are asked for room before a piece is cut."""
+class Open:
+    """Open sequences by their room: a heap of (cost, sequence) for each room, under a tree of the least."""
+
+    NONE = (math.inf, -1)
+
+    def __init__(self, capacity: int):
+        self.size = 1 << (capacity - 1).bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(self.size)]
+        self.least = [self.NONE] * (2 * self.size)
+
+    def put(self, room: int, entry: tuple[float, int]) -> None:
+        heapq.heappush(self.heaps[room - 1], entry)
+        node, least = self.size + room - 1, self.least
+        while node and entry < least[node]:
+            least[node] = entry
+            node >>= 1
+
+    def take(self, room: int) -> None:
+        """Drops the cheapest sequence of exactly this room."""
+        heap, node, least = self.heaps[room - 1], self.size + room - 1, self.least
+        gone = heapq.heappop(heap)
+        least[node] = heap[0] if heap else self.NONE
+        node >>= 1
+        while node and least[node] == gone:
+            a, b = least[2 * node], least[2 * node + 1]
+            least[node] = a if a < b else b
+            node >>= 1
+
+    def cheapest(self, room: int) -> tuple[float, int] | None:
+        """The cheapest sequence with this room or more."""
+        node, least = self.size + room - 1, self.least
+        found = least[node]
+        while node > 1:
+            if not node & 1 and least[node + 1] < found:
+                found = least[node + 1]
+            node >>= 1
+        return found if found[1] >= 0 else None
+
+
+def plan(lengths: list[int], capacity: int = CAPACITY) -> list[Piece]:
+    """Pieces of documents of the given lengths."""
     pieces: list[Piece] = []
     sequences = 0
     short: list[tuple[int, int, int]] = []  # length, document, start
@@ -61,29 +101,20 @@ def plan(lengths: list[int], capacity: int = CAPACITY, look: int = 32) -> list[P
     rooms = [capacity] * (total // capacity) + [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if total % capacity >> b & 1]
     filled = [0] * len(rooms)
     full = cost(capacity, capacity)
-    queue = [(full * (1 - room / capacity), i) for i, room in enumerate(rooms)]  # a smaller sequence counts as filled by what it lacks
-    heapq.heapify(queue)
+    opened = Open(capacity)
+    for i, room in enumerate(rooms):
+        opened.put(room, (full * (1 - room / capacity), i))  # a smaller sequence counts as filled by what it lacks
     for n, doc, start in short:
         while n:
-            passed = []
-            chosen = None
-            while queue and len(passed) < look:
-                entry = heapq.heappop(queue)
-                if rooms[entry[1]] - filled[entry[1]] >= n:
-                    chosen = entry
-                    break
-                passed.append(entry)
-            if chosen is None:
-                chosen, passed = passed[0], passed[1:]
-            for entry in passed:
-                heapq.heappush(queue, entry)
-            spent, i = chosen
-            part = min(n, rooms[i] - filled[i])
+            spent, i = opened.cheapest(n) or opened.cheapest(1)
+            room = rooms[i] - filled[i]
+            opened.take(room)
+            part = min(n, room)
             pieces.append(Piece(doc, start, part, sequences + i, filled[i]))
             filled[i] += part
             start, n = start + part, n - part
-            if filled[i] < rooms[i]:
-                heapq.heappush(queue, (spent + cost(part, capacity), i))
+            if part < room:
+                opened.put(room - part, (spent + cost(part, capacity), i))
     return pieces
 
 

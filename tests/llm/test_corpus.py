@@ -420,6 +420,25 @@ def test_plan_balances_cost():
     assert sum(p.length for p in pieces) == sum(lengths)
 
 
+def test_plan_cuts_only_without_room():
+    """Every piece by brute force: the cheapest of all open sequences with room; cut only where none has it."""
+    r = random.Random(3)
+    for lengths in ([r.randint(1, 4095) for _ in range(600)], [r.choice((3000, 1000, 97, 1)) for _ in range(900)], [2100] * 120 + [1900] * 100 + [1990] * 30):
+        total, cap = sum(lengths), packing.CAPACITY
+        rooms = [cap] * (total // cap) + [1 << b for b in range(12, -1, -1) if total % cap >> b & 1]
+        spent = [packing.cost(cap) * (1 - room / cap) for room in rooms]
+        filled, expected = [0] * len(rooms), []
+        for n, doc in sorted(((n, d) for d, n in enumerate(lengths)), key=lambda x: (-x[0], x[1])):
+            start = 0
+            while n:
+                free = [i for i in range(len(rooms)) if rooms[i] > filled[i]]
+                i = min([i for i in free if rooms[i] - filled[i] >= n] or free, key=lambda i: (spent[i], i))
+                part = min(n, rooms[i] - filled[i])
+                expected.append(packing.Piece(doc, start, part, i, filled[i]))
+                filled[i], spent[i], start, n = filled[i] + part, spent[i] + packing.cost(part), start + part, n - part
+        assert packing.plan(lengths) == expected
+
+
 # 9
 
 
