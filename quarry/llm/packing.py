@@ -121,7 +121,7 @@ def plan(lengths: list[int], capacity: int = CAPACITY) -> list[Piece]:
 class WordTokens:
     """Token ids of whole texts, as little-endian unsigned 16-bit bytes.
 
-    The tokenizer never joins across ASCII white space, so ids are remembered by the word between such spaces; new words
+    The tokenizer never joins across ASCII white space, nor do its added tokens hold any, so ids are remembered by the word between such spaces; new words
     are encoded together, and told apart by their offsets. Two generations of a fixed number are remembered: a full one
     becomes the older, from which words still in use move up.
     """
@@ -132,7 +132,7 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.known: dict[bytes, bytes] = {b"": b""}
@@ -142,20 +142,11 @@ class WordTokens:
         older = self.older
         self.known.update({w: older[w] for w in words if w in older})
 
-    @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, bytes]:
-        """A word in lower case, as the tokenizer takes it, and apart from it a full stop or comma after an ASCII letter or digit, which is a piece of its own."""
-        low = word.lower()
-        return (low[:-1], low[-1:]) if low[-1:] in b".," and low[-2:-1].isalnum() else (low, b"")
-
-    def _move_up(self, words: set[bytes]) -> None:
-        older = self.older
-        self.known.update({w: older[w] for w in words if w in older})
-
-    @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, bytes]:
-        """A word in lower case, as the tokenizer takes it, and apart from it the marks at its end (no apostrophes) where an ASCII letter or digit is before them: they are a piece of their own."""
+    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        """A word in lower case, as the tokenizer takes it, and apart from it the marks at its end (no apostrophes) where an ASCII letter or digit is before them: they are a piece of their own. A word with an added token in it stays as it is, as only the token's own case counts."""
         low = word.lower()
+        if any(t in low for t in self.special):
+            return word, b""
         core = low.rstrip(MARKS)
         return (core, low[len(core) :]) if core[-1:].isalnum() else (low, b"")
 
