@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import narrow, spool
 
 ROW_BYTES = 16
+#: Buckets whose counts are summed in one task: at 100 TB some 3,000 tasks with as many buckets each, and one with 3,000 sums.
+RUN = 4096
 
 
 def two_pass_shuffle(df: DataFrame, columns: tuple[str, ...], seed: int = 17, bucket_bytes: int = 8 << 20, text: str = "text") -> DataFrame:
@@ -34,14 +36,22 @@ def two_pass_shuffle(df: DataFrame, columns: tuple[str, ...], seed: int = 17, bu
     return spool(mixed.select("__bucket", "__at", "__row.*"), "shuffled")
 
 
+def _offsets(counts: DataFrame, run: int = RUN) -> DataFrame:
+    """``__first``: the rows of all buckets before each. Sums within runs of ``run`` buckets, after one sum for each run: no task sees all buckets."""
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("__run", F.floor(F.col("__bucket") / run).cast("int"))
+    runs = placed.groupBy("__run").agg(F.sum("__n").alias("__n"))
+    starts = runs.select("__run", F.coalesce(F.sum("__n").over(before(Window.orderBy("__run"))), F.lit(0)).alias("__start"))
+    inside = placed.select("__bucket", "__run", F.coalesce(F.sum("__n").over(before(Window.partitionBy("__run").orderBy("__bucket"))), F.lit(0)).alias("__inside"))
+    return inside.join(starts, "__run").select("__bucket", (F.col("__start") + F.col("__inside")).alias("__first"))
+
+
 def deal(shuffled: DataFrame, shuffled_ids: DataFrame, shards: int) -> DataFrame:
     """``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard) in place of the bucket and the place in it.
 
     shuffled: what is wanted of the stored records, which may be less than they hold; shuffled_ids: all of them, to count the buckets.
     """
-    counts = shuffled_ids.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))  # a row for each bucket only
+    offsets = _offsets(shuffled_ids.groupBy("__bucket").agg(F.count("*").alias("__n")))
     place = F.col("__first") + F.col("__at")
     kept = [c for c in shuffled.columns if c not in ("__bucket", "__at")]
     return shuffled.join(offsets, "__bucket").select(*kept, (place % shards).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"))
