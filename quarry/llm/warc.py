@@ -141,6 +141,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, frame_bytes: int =
     rows = narrow(pages, "page_id", "url", "html").withColumn("html", F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
     keyed = rows.select("page_id", F.sha1("html").alias("sha"), F.length("html").alias("n"))
     largest = keyed.where(F.col("n") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").drop("copies")
+    largest = spool(largest, "warc-largest")  # read again, both sides of the join are dealt out for it, so that Spark may split a digest with very many pages
     links = keyed.join(largest, "sha").where("not (page_id <=> first)").select(F.col("page_id").alias("p"), F.col("sha").alias("s"), F.col("first").alias("refers_to")).distinct()
     told = rows.withColumn("sha", F.sha1("html")).join(links, F.expr("page_id <=> p and sha = s"), "left").select("page_id", "url", "html", "refers_to")
 
