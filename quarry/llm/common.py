@@ -29,9 +29,11 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share. Only where that is unset (tests on one machine) a local one is made."""
+    """A new folder under spark.checkpoint.dir, which all executors share. Where that is unset, a local one is made if all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

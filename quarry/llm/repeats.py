@@ -197,8 +197,16 @@ def covered(found: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return list(zip(pairs[first, 0].tolist(), reach[last].tolist(), strict=True))
 
 
-def remove(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), length: int = LENGTH, anchor: int = ANCHOR, texts: bool = False) -> DataFrame:
-    """The columns, n_bytes, n_removed, n_spans and kept_sha256 of every row; with ``texts`` also kept_text, without characters that a removal cut (null where the text is)."""
+def long_runs(data: bytes, runs: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """The runs of more than ``words`` words, or of ``LENGTH`` bytes where words are long or not told apart by spaces."""
+    return [(a, b) for a, b in runs if b - a >= LENGTH or len(data[a:b].split()) > words]
+
+
+def remove(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), length: int = LENGTH, anchor: int = ANCHOR, texts: bool = False, words: int | None = None) -> DataFrame:
+    """The columns, n_bytes, n_removed, n_spans and kept_sha256 of every row; with ``texts`` also kept_text, without characters that a removal cut (null where the text is).
+
+    With ``words`` only ``long_runs`` go.
+    """
     spark = docs.sparkSession
     arrow_limits(spark)
     rows = narrow(docs, *dict.fromkeys((*columns, "text"))).withColumn("row", F.monotonically_increasing_id())
@@ -213,6 +221,8 @@ def remove(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), length: int
             for text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = (text or "").encode()
                 runs = covered(spans, length)
+                if words is not None:
+                    runs = long_runs(data, runs, words)
                 kept = without(data, runs)
                 results.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), *([None if text is None else kept.decode(errors="ignore")] if texts else [])))
             if results:

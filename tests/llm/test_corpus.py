@@ -313,6 +313,30 @@ def test_sharding_counts_and_slots(spark, docs, empty):
     assert sharding.deal(none, none, 4).count() == 0
 
 
+def test_offsets_over_runs(spark):
+    counts = [(b, (b * 7) % 5 + 1) for b in range(50) if b % 9]
+    got = {r[0]: r[1] for r in sharding._offsets(spark.createDataFrame(counts, "__bucket int, __n long"), run=8).collect()}
+    assert got == {b: sum(n for c, n in counts if c < b) for b, _ in counts}
+
+
+def test_shuffle_query(spark):
+    """op6 itself by brute force: sizes, checksums, the law, gapless slots, and an order that isn't the input's."""
+    sf = "/root/testdata/sf0.001"
+    texts = Counter((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    got = entries.op6_two_pass_shuffle(spark, sf).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t in texts.elements())
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}
+    shards = {}
+    for r in got:
+        shards.setdefault(r["shard"], {})[r["slot"]] = r["doc_id"]
+    assert set(shards) == set(range(40)) and max(map(len, shards.values())) - min(map(len, shards.values())) <= 1
+    assert sum(map(len, shards.values())) == len(got) and all(set(s) == set(range(len(s))) for s in shards.values())
+    order = [shards[k % 40][k // 40] for k in range(len(got))]
+    ups = sum(a < b for a, b in zip(order, order[1:], strict=False))
+    assert 0.35 * len(got) < ups < 0.65 * len(got)
+    assert [tuple(r) for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))] == [tuple(r) for r in sorted(entries.op6_two_pass_shuffle(spark, sf).collect(), key=lambda r: (r["shard"], r["slot"]))]
+
+
 def test_shard_files(docs, tmp_path, spark):
     shuffled = sharding.two_pass_shuffle(docs, ("doc_id", "text"))
     sharding.write_shards(sharding.deal(shuffled, shuffled, 3), str(tmp_path / "s"))
@@ -536,6 +560,39 @@ def test_chunk_dedup_of_short_texts_and_words(spark, tmp_path):
 # The pipeline
 
 
+def without_passages(texts):
+    """Brute force of the stage: runs covered by repeated strings of 204 bytes, of more than 50 words or 400 bytes."""
+    for t, (d, mask) in zip(texts, list(covered(texts, 204)), strict=True):
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(int), [0])))).reshape(-1, 2).tolist()
+        kept, at = b"", 0
+        for a, b in edge:
+            if b - a >= 400 or len(d[a:b].split()) > 50:
+                kept, at = kept + d[at:a], b
+        yield None if t is None else (kept + d[at:]).decode(errors="ignore")
+
+
+def test_pipeline_edges(spark, docs, empty, tmp_path):
+    """Nulls, empty and repeated rows, clashing columns and an empty table through every stage."""
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    by_id = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    for _, stage in cp.STAGES:
+        assert stage(spark, empty, sf).count() == 0
+    kept = by_id(cp.quality(spark, docs, sf))
+    assert kept and all(t is not None and len(t.split()) >= 10 for _, t in kept)
+    assert [i for i, _ in kept].count(5) in (0, 2)
+    first = by_id(cp.near_duplicates(spark, docs, sf))
+    assert [i for i, _ in first] == [i for i, *_ in rows_of(jaccard.first_of_groups(docs, ("doc_id", "text")))]
+    texts = [t for _, t, _, _ in EDGE]
+    assert by_id(cp.repeated_substrings(spark, docs, sf)) == sorted(zip([i for i, *_ in EDGE], without_passages(texts), strict=True), key=repr)
+    clean = by_id(cp.personal_data(spark, docs, sf))
+    assert len(clean) == len(EDGE) and Counter(t is None for _, t in clean) == Counter(t is None for t in texts)
+    assert cp.personal_data(spark, docs, sf).columns == cp.repeated_substrings(spark, docs, sf).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    pieces = cp.pack(spark, docs, sf).collect()
+    assert Counter(p["doc_id"] for p in pieces if p["start"] == 0) == Counter(i for i, *_ in EDGE)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
@@ -549,8 +606,7 @@ def test_pipeline_stages(spark, tmp_path):
     groups = brute_components(sorted(kept.items()))
     assert {r["doc_id"] for r in read("near_duplicates").collect()} == {d for d, n, c in groups if not n or d == c}
     before = read("near_duplicates").collect()
-    masks = covered([r["text"] for r in before], 400)
-    expected = {r["doc_id"]: bytes(np.frombuffer(d, np.uint8)[~m]).decode(errors="ignore") for r, (d, m) in zip(before, masks, strict=True)}
+    expected = {r["doc_id"]: t for r, t in zip(before, without_passages([r["text"] for r in before]), strict=True)}
     after = {r["doc_id"]: r for r in read("repeated_substrings").collect()}
     assert {i: r["text"] for i, r in after.items()} == expected
     assert all(r["n_chars"] == len(r["text"]) for r in after.values())
