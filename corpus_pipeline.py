@@ -13,30 +13,46 @@ from quarry.llm import jaccard, packing, pii, quality_rules, repeats
 from quarry.llm.common import DOCUMENT, narrow, spool
 
 
+#: A passage that goes has more than so many words; the strings compared are shorter than any such passage whose words have three letters or more on average.
+WORDS = 50
+PASSAGE = 4 * (WORDS + 1)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the base rule or the learned decision list rejects. The list is learned from the labelled rows of docs, 4000 at most."""
+    """Drops what the base rule or the learned decision list rejects. The list is learned from the labelled rows of docs, 4000 at most.
+
+    A null or empty text has no words and goes; repeated rows are judged alike; without labels only the base rule counts; an
+    empty table stays empty.
+    """
     rules = quality_rules.learn(quality_rules.labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return quality_rules.keep(docs, rules, DOCUMENT)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near duplicates, and all without words."""
+    """Keeps one row of each group of near duplicates: that with the least id (a null one last), of repeated rows the first read.
+
+    Texts that are null, empty or without words are in no group and stay; an empty table stays empty.
+    """
     return jaccard.first_of_groups(docs, DOCUMENT)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes every byte of strings of 400 bytes that stand twice; a character cut by a removal goes whole."""
-    kept = repeats.remove(docs, ("doc_id", "lang", "source", "n_chars"), texts=True)
+    """Removes repeated passages: maximal runs of bytes that strings of PASSAGE bytes cover which stand twice, where a run has more than WORDS words or 400 bytes.
+
+    All copies go, as strings are judged on the input; a character cut by a removal goes whole. A null text stays null and an
+    empty one empty; repeated rows (if near duplicates were left in) lose the same bytes; an empty table stays empty.
+    """
+    kept = repeats.remove(docs, ("doc_id", "lang", "source", "n_chars"), length=PASSAGE, anchor=PASSAGE // 2, texts=True, words=WORDS)
     return _counted(kept.withColumnRenamed("kept_text", "text"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data, and terms that give it away, by the names of their kinds."""
+    """Replaces personal data, and terms that give it away, by the names of their kinds. A null text stays null; repeated rows are rewritten alike; an empty table stays empty."""
     return _counted(pii.sanitise(docs, DOCUMENT))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences. A null or empty text is a piece of the end token alone; repeated rows have pieces of their own; an empty table has none."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
