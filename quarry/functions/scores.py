@@ -90,3 +90,10 @@ def bleu(prediction: Column, reference: Column, order: int) -> Column:
         return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
     return score(prediction, reference)
+
+
+def utility_update(q: Column, trace: Column, reward: Column, following: Column, alpha: float = 0.3, gamma: float = 0.9, floor: float | None = -1.0) -> tuple[Column, Column]:
+    """A memory's value after a reward, with the best value to come (null: none), not below the floor; and the moving mean of its rewards."""
+    zero = F.lit(0.0)
+    updated = (1 - alpha) * q + alpha * (reward + gamma * F.coalesce(following, zero))
+    return updated if floor is None else F.greatest(F.lit(floor), updated), (1 - alpha) * F.coalesce(trace, zero) + alpha * reward

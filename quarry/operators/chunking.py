@@ -63,13 +63,43 @@ def line_groups(docs: DataFrame, marker: str) -> DataFrame:
     return grouped.select("id", "part", "first", "lines", F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("content"))
 
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """Three granularities: documents, sentences, and pairs of neighbouring sentences: id, kind, at, content."""
+def sentences(docs: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Three granularities: documents, sentences, and pairs of neighbouring sentences: id, kind, at, content, and whether a supporting fact (id, at: a sentence's place) lies in it."""
     parts = docs.select("id", F.posexplode(F.filter(F.split("content", r"(?<=[.!?])\s+"), lambda s: s != "")).alias("at", "content"))
-    following = F.lead("content").over(Window.partitionBy("id").orderBy("at"))
-    pairs = parts.select("id", F.lit("sentence_pair").alias("kind"), "at", F.concat_ws(" ", "content", following).alias("content"), following.alias("next")).where("next is not null").drop("next")
-    whole = docs.select("id", F.lit("document").alias("kind"), F.lit(0).alias("at"), "content")
-    return whole.unionByName(parts.select("id", F.lit("sentence").alias("kind"), "at", "content")).unionByName(pairs)
+    no = F.lit(False)
+    if facts is not None:
+        named = facts.select("id", "at").distinct().withColumn("fact", F.lit(True))
+        parts = parts.join(named, ["id", "at"], "left").select("id", "at", "content", F.coalesce("fact", no).alias("fact"))
+    else:
+        parts = parts.withColumn("fact", no)
+    order = Window.partitionBy("id").orderBy("at")
+    both = parts.withColumn("following", F.lead("content").over(order)).withColumn("fact", F.col("fact") | F.lead("fact").over(order)).where("following is not null")
+    pairs = both.select("id", F.lit("sentence_pair").alias("kind"), "at", F.concat_ws(" ", "content", "following").alias("content"), "fact")
+    any_fact = parts.groupBy("id").agg(F.bool_or("fact").alias("fact"))
+    whole = docs.join(any_fact, "id", "left").select("id", F.lit("document").alias("kind"), F.lit(0).alias("at"), "content", F.coalesce("fact", no).alias("fact"))
+    found = whole.unionByName(parts.select("id", F.lit("sentence").alias("kind"), "at", "content", "fact")).unionByName(pairs)
+    return found.withColumnRenamed("fact", "is_supporting_fact")
+
+
+def triples(units: DataFrame) -> DataFrame:
+    """A stand-in for an extractor: of the first fifteen sentences of three words or more the first, second and last word (id, i, subject, predicate, object)."""
+    parts = F.filter(F.transform(F.split("content", r"\."), lambda s: X.split_words(s)), lambda w: F.size(w) >= 3)
+    rows = units.select("id", F.posexplode(F.slice(parts, 1, 15)).alias("i", "w"))
+    return rows.select("id", "i", F.lower(F.col("w")[0]).alias("subject"), F.lower(F.col("w")[1]).alias("predicate"), F.lower(F.element_at("w", -1)).alias("object"))
+
+
+def triple_units(units: DataFrame, triples: DataFrame) -> DataFrame:
+    """A unit for each triple, and the raw unit where there is none: id (a hundred times the unit's, and the triple's number or 99), content."""
+    made = triples.select((F.col("id") * 100 + F.col("i")).alias("id"), F.concat_ws(" ", "subject", "predicate", "object").alias("content"))
+    raw = units.join(triples.select("id").distinct(), "id", "left_anti").select((F.col("id") * 100 + 99).alias("id"), "content")
+    return made.unionByName(raw)
+
+
+def propositions(units: DataFrame, most: int = 10) -> DataFrame:
+    """A stand-in for an extractor: a unit's first sentences between full stops, or all of it where there is none: id (a hundred times the unit's, and the number), content."""
+    parts = F.slice(F.filter(F.transform(F.split("content", r"\."), lambda t: F.trim(t)), lambda t: t != ""), 1, most)
+    kept = F.when(F.size(parts) > 0, parts).otherwise(F.array("content"))
+    return units.select("id", F.posexplode(kept).alias("i", "content")).select((F.col("id") * 100 + F.col("i")).alias("id"), "content")
 
 
 def entities(units: DataFrame) -> DataFrame:
@@ -91,12 +121,23 @@ def concept_graph(tagged: DataFrame, least: int) -> DataFrame:
     return rows.groupBy("concept").agg(F.count("*").alias("units"), F.sort_array(F.collect_list("id")).alias("ids")).where(F.col("units") >= least)
 
 
-def running_state(rows: DataFrame, every: int) -> DataFrame:
-    """The texts so far (key, seq, content), at every n-th row of a key and at its last."""
-    order = Window.partitionBy("key").orderBy("seq")
-    whole = Window.partitionBy("key")
-    at = rows.withColumn("n", F.row_number().over(order)).withColumn("last", F.count("*").over(whole)).withColumn("texts", F.collect_list("content").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return at.where((F.col("n") % every == 0) | (F.col("n") == F.col("last"))).select("key", "seq", "n", F.array_join("texts", "\n").alias("state"))
+def running_state(rows: DataFrame, every: int, limit: int = 4000) -> DataFrame:
+    """A rolling state (key, seq, content) of bounded size, told at every n-th row of a key and at its last: key, seq, n, state.
+
+    The state is the last ``limit`` characters of the texts so far, carried from row to row, so the work is in proportion to
+    a key's rows.
+    """
+    ordered = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("seq", F.coalesce("content", F.lit("")).alias("content")))).alias("rows"))
+    kind = f"array<struct<seq:{rows.schema['seq'].dataType.simpleString()},n:int,state:string>>"
+    start = F.struct(F.lit(0).alias("n"), F.lit("").alias("state"), F.array().cast(kind).alias("told"))
+
+    def step(a: Column, r: Column) -> Column:
+        n = a["n"] + 1
+        state = F.right(F.when(n == 1, r["content"]).otherwise(F.concat(a["state"], F.lit("\n"), r["content"])), F.lit(limit))
+        told = F.struct(r["seq"].alias("seq"), n.alias("n"), state.alias("state"))
+        return F.struct(n.alias("n"), state.alias("state"), F.when((n % every == 0) | (n == F.size("rows")), F.concat(a["told"], F.array(told))).otherwise(a["told"]).alias("told"))
+
+    return ordered.select("key", F.explode(F.aggregate("rows", start, step, lambda a: a["told"])).alias("t")).select("key", "t.seq", "t.n", "t.state")
 
 
 def state_graph(rows: DataFrame) -> DataFrame:

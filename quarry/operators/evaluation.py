@@ -106,3 +106,18 @@ def phase_report(rows: DataFrame) -> DataFrame:
 
 def running_best(rows: DataFrame) -> DataFrame:
     return rows.withColumn("best", F.max("value").over(Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def canonical_usage(build: Column, query: Column) -> Column:
+    """One schema for the usage maps (name -> number) of both phases: a missing counter is 0, a missing utilisation stays null."""
+    count = lambda *found: F.coalesce(*found, F.lit(0.0))
+    return F.struct(
+        count(F.try_element_at(build, F.lit("build_input_tokens")), F.try_element_at(build, F.lit("construction_input_tokens"))).cast("long").alias("t_build_input"),
+        count(F.try_element_at(build, F.lit("build_output_tokens"))).cast("long").alias("t_build_output"),
+        count(F.try_element_at(query, F.lit("prompt_tokens"))).cast("long").alias("t_query_input"),
+        count(F.try_element_at(query, F.lit("completion_tokens"))).cast("long").alias("t_query_output"),
+        count(F.try_element_at(query, F.lit("llm_seconds"))).alias("w_llm"),
+        count(F.try_element_at(query, F.lit("retrieve_seconds"))).alias("w_tool"),
+        count(F.try_element_at(build, F.lit("build_wallclock_seconds"))).alias("w_llm_build"),
+        F.coalesce(F.try_element_at(query, F.lit("gpu_util_mean")), F.try_element_at(build, F.lit("gpu_util_mean"))).alias("gpu_util_mean"),
+    )

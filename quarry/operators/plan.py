@@ -35,6 +35,7 @@ class SearchPlan:
     set_operations: list[tuple[str, list[str]]] = field(default_factory=list)
     graph_queries: list[tuple[str, dict]] = field(default_factory=list)
     top_k: int = 8
+    use_dump: bool = False
 
     @classmethod
     def of(cls, raw: dict) -> SearchPlan:
@@ -42,7 +43,7 @@ class SearchPlan:
         k = int(raw.get("top_k", 8))
         operations = [(o["op"], words(o.get("args"))[:3]) for o in raw.get("aggregate_ops") or [] if isinstance(o, dict) and o.get("op")]
         graph = [(g["template"], dict(g.get("args") or {})) for g in raw.get("graph_queries") or [] if isinstance(g, dict) and g.get("template") in TEMPLATES]
-        return cls(list(dict.fromkeys(words(raw.get("queries"))))[:8], words(raw.get("filters"))[:6], list(raw.get("read_ids") or [])[:k], operations[:4], graph[:4], k)
+        return cls(list(dict.fromkeys(words(raw.get("queries"))))[:8], words(raw.get("filters"))[:6], list(raw.get("read_ids") or [])[:k], operations[:4], graph[:4], k, bool(raw.get("use_dump")))
 
 
 def matching_lines(content: Column, pattern: str, limit: int = 5) -> Column:
@@ -55,20 +56,26 @@ def grep_terms(text: Column) -> Column:
     return F.array_distinct(F.filter(X.without(X.words(text, "[a-z0-9][a-z0-9_'/-]+"), X.GREP_STOPWORDS), lambda t: F.length(t) > 2))
 
 
-def execute(records: DataFrame, plan: SearchPlan, question: str) -> DataFrame:
-    """id, score and matched lines of the best records (id, content): shared terms, 0.15 for each matched line, 2 more for a turn's anchor.
+#: A query that names a turn or step, as text or as a pattern.
+ANCHOR = re.compile(r"(?i)(turn|step)(\\s\+|\s+)\d+(\\s\*|\s*):")
 
-    Filters hold on the matched lines, or on the whole text without any; a record keeps its best score over the queries.
-    Ids to read come in at 1, and without any hit the question itself ranks.
+
+def execute(records: DataFrame, plan: SearchPlan, question: str, queries: list[str] | None = None) -> DataFrame:
+    """id, score and matched lines of the best records (id, content, and perhaps title): shared terms, 0.15 for each matched line, 2 more for a turn's anchor.
+
+    Filters hold on the matched lines, or on the whole text without any; a record keeps its best score over the queries
+    (``queries``, or the plan's). Ids to read come in at 1. Without any hit the question itself ranks all records.
     """
-    asked = [(q, bool(re.search(r"(?i)\b(turn|step)\s+\d+\s*:", q))) for q in plan.queries]
+    asked = [(q, bool(ANCHOR.search(q))) for q in (plan.queries if queries is None else queries)]
+    named = F.concat_ws(" ", "title", "content") if "title" in records.columns else F.col("content")
     # A record's terms are taken once; each query is a few literals in the same pass.
-    rows = records.select("id", "content", grep_terms(F.col("content")).alias("terms"))
+    rows = records.select("id", "content", grep_terms(named).alias("terms"))
+    none = F.array().cast("array<string>")
+    overlap = lambda text: (lambda w: F.size(F.array_intersect(w, "terms")) / F.greatest(F.size(w), F.lit(1)))(grep_terms(F.lit(text)))
     hits = []
     for query, anchor in asked:
-        words = grep_terms(F.lit(f"{query} {question}"))
         found = matching_lines(F.col("content"), safe_pattern(query))
-        score = F.size(F.array_intersect(words, "terms")) / F.greatest(F.size(words), F.lit(1)) + 0.15 * F.size(found)
+        score = overlap(f"{query} {question}") + 0.15 * F.size(found)
         if anchor:
             score = F.when(F.size(found) > 0, score + 2.0).otherwise(0.0)
         elif plan.filters:
@@ -76,12 +83,16 @@ def execute(records: DataFrame, plan: SearchPlan, question: str) -> DataFrame:
             for f in plan.filters:
                 score = F.when(hay.rlike(safe_pattern(f)), score).otherwise(0.0)
         hits.append(F.struct(score.alias("score"), found.alias("matches")))
-    best = F.sort_array(F.array(*hits), asc=False)[0] if hits else F.struct(F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("matches"))
+    best = F.sort_array(F.array(*hits), asc=False)[0] if hits else F.struct(F.lit(0.0).alias("score"), none.alias("matches"))
     scored = rows.select("id", best.alias("best")).select("id", "best.score", "best.matches")
     if plan.read_ids:
-        scored = scored.withColumn("score", F.when((F.col("score") <= 0) & F.col("id").isin(plan.read_ids), 1.0).otherwise(F.col("score")))
-    kept = scored.where("score > 0").withColumn("query_id", F.lit(0))
-    return top(kept.withColumn("score", F.round("score", 4)), plan.top_k, ["query_id"]).drop("query_id")
+        read = (F.col("score") <= 0) & F.col("id").isin(plan.read_ids)
+        scored = scored.withColumn("matches", F.when(read, none).otherwise(F.col("matches"))).withColumn("score", F.when(read, 1.0).otherwise(F.col("score")))
+    best_of = lambda df: top(df.withColumn("score", F.round("score", 4)).withColumn("query_id", F.lit(0)), plan.top_k, ["query_id"]).drop("query_id")
+    kept = best_of(scored.where("score > 0"))
+    instead = best_of(rows.select("id", overlap(question).alias("score"), none.alias("matches")))
+    count = kept.agg(F.count("*").alias("_n"))  # one row
+    return kept.unionByName(instead.join(F.broadcast(count)).where("_n = 0").drop("_n"))
 
 
 def match_sets(records: DataFrame, patterns: list[str]) -> DataFrame:
@@ -104,10 +115,13 @@ DATE = r"([0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2})"
 
 
 def temporal_order(records: DataFrame) -> DataFrame:
-    """Records with a date in their first 400 characters, ordered by the date as it is written: id, date, rank."""
+    """Records with a date in their first 400 characters, or else in their title, ordered by the date as it is written: id, date, rank."""
     from pyspark.sql import Window
 
-    dated = records.select("id", F.regexp_extract(F.substring("content", 1, 400), DATE, 1).alias("date")).where("date <> ''")
+    date = F.nullif(F.regexp_extract(F.substring("content", 1, 400), DATE, 1), F.lit(""))
+    if "title" in records.columns:
+        date = F.coalesce(date, F.nullif(F.regexp_extract("title", DATE, 1), F.lit("")))
+    dated = records.select("id", date.alias("date")).where("date is not null")
     # Ranks of one ordered list: dates are few, so they are counted and numbered, not the rows.
     days = dated.groupBy("date").agg(F.count("*").alias("n"))
     first = days.withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -190,12 +204,14 @@ def between_dates(g: DataFrame, start: str, end: str) -> DataFrame:
 
 
 TEMPLATES = {f.__name__: f for f in (speaker_mentions, keyword_search, follow_chain, speakers, first_last, between_dates)}
-_WRITES = re.compile(r"(?i)\b(create|merge|delete|detach|set|remove|drop|call|load)\b")
+# Fixed value: what a graph query must not say.
+WRITES = r"(?i)\b(?:CREATE|DELETE|DETACH|MERGE|SET|REMOVE|DROP|CALL|LOAD\s+CSV)\b"
 
 
-def read_only(query: str) -> bool:
-    """Whether a graph query text only reads."""
-    return not _WRITES.search(query)
+def read_only(query: Column) -> Column:
+    """Whether a graph query's text only reads: it matches or returns, and changes nothing."""
+    said = F.trim(F.coalesce(query, F.lit("")))
+    return (said != "") & ~said.rlike(WRITES) & said.rlike("(?i)MATCH|RETURN")
 
 
 # Iterative graph work: frontiers and ranks live in DataFrames; only a count or a sum comes to the driver.
@@ -212,38 +228,67 @@ def multi_hop(concepts: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return found.groupBy("query_id", "id").agg(F.round(1 / (F.min("hop") + 1), 6).alias("score"))
 
 
+def bounded_expand(adjacency: DataFrame, seeds: DataFrame, details: DataFrame, most: int) -> DataFrame:
+    """Nodes by breadth first from each query's seeds: query_id, node, place (from 1).
+
+    adjacency: node, pos, neighbour; seeds: query_id, pos, node (distinct in a query); details: query_id, detail, whose
+    largest number, 1 to 3, is the depth. A node comes at its first reach, in the order of the nodes that reach it and of
+    their neighbours. The seeds beyond ``most`` lead on but don't come themselves; a list ends at ``most`` nodes, or with
+    one found beyond the seeds where these are as many.
+    """
+    from pyspark.sql import Window
+
+    numbers = F.array_max(F.transform(F.regexp_extract_all("detail", F.lit("[0-9]+"), F.lit(0)), lambda n: n.cast("double")))
+    depth = F.least(F.lit(3), F.greatest(F.lit(1), F.coalesce(numbers, F.lit(1.0)))).cast("int")
+    order = Window.partitionBy("query_id").orderBy("pos")
+    level = seeds.withColumn("place", F.row_number().over(order)).join(details.select("query_id", depth.alias("depth")), "query_id")
+    level = level.select("query_id", "node", "place", "depth")
+    found = level.where(F.col("place") <= most)
+    for step in range(1, 4):
+        reached = level.where(F.col("depth") >= step).join(adjacency, "node").groupBy("query_id", F.col("neighbour").alias("node"), "depth").agg(F.min(F.struct("place", "pos")).alias("first"))
+        fresh = reached.join(found.select("query_id", "node"), ["query_id", "node"], "left_anti")
+        held = found.groupBy("query_id").agg(F.count("*").alias("held"))
+        at = F.row_number().over(Window.partitionBy("query_id").orderBy("first"))
+        level = fresh.withColumn("at", at).join(held, "query_id").where((F.col("held") + F.col("at") <= most) | (F.col("at") == 1) & (F.col("held") == most) & F.lit(step == 1)).select("query_id", "node", (F.col("held") + F.col("at")).cast("int").alias("place"), "depth")
+        found = found.unionByName(level)
+    return found.select("query_id", "node", "place")
+
+
 def _checkpoint(df: DataFrame) -> DataFrame:
-    """The rows, stored under spark.checkpoint.dir; only where that is unset (tests on one machine) in a local folder."""
+    """The rows, stored under spark.checkpoint.dir; where that is unset, in a local folder if all runs on one machine."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quarry-"))
     return df.checkpoint()
 
 
-def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, rounds: int = 20, store=None, tolerance: float | None = None) -> DataFrame:
+def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, rounds: int = 20, store=None, tolerance: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(node, rank): personalised rank over weighted edges (src, dst, weight) from equally weighted seeds (node); what reaches a node without edges is lost.
 
-    ``store``: a function that cuts lineage, called every five rounds (a checkpoint or a written table). With ``tolerance``
-    the rounds end when the ranks change by less in all; each round's ranks are then stored, by a checkpoint without ``store``.
+    ``by``: columns of the seeds that tell several ranks apart, such as a query's id. ``store``: a function that cuts
+    lineage, called every five rounds (a checkpoint, or a function that writes a table and reads it). With ``tolerance`` the
+    rounds end when the ranks change by less in all; each round's ranks are then stored.
     """
+    store, keys = store or _checkpoint, [*by, "node"]
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    step = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
-    count = seeds.distinct().agg(F.count("*").alias("n"))
-    start = seeds.distinct().join(F.broadcast(count)).select("node", (1.0 / F.col("n")).alias("start"))  # one row
-    rank = start.select("node", F.col("start").alias("rank"))
-    if tolerance is not None:
-        store = store or _checkpoint
-        step, start = store(step), store(start)
+    step = store(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
+    seeds = seeds.select(*keys).distinct()
+    count = seeds.groupBy(*by).agg(F.count("*").alias("n"))
+    start = store((seeds.join(count, list(by)) if by else seeds.join(F.broadcast(count))).select(*keys, (1.0 / F.col("n")).alias("start")))  # without keys one row
+    rank = start.select(*keys, F.col("start").alias("rank"))
+    zero = F.lit(0.0)
     for i in range(rounds):
         before = rank
-        moved = rank.join(step, rank["node"] == step["src"]).groupBy(F.col("dst").alias("node")).agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("moved"))
-        rank = moved.join(start, "node", "full_outer").select("node", (F.coalesce("moved", F.lit(0.0)) + (1 - damping) * F.coalesce("start", F.lit(0.0))).alias("rank"))
+        moved = rank.join(step, F.col("node") == F.col("src")).groupBy(*by, F.col("dst").alias("node")).agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("moved"))
+        rank = moved.join(start, keys, "full_outer").select(*keys, (F.coalesce("moved", zero) + (1 - damping) * F.coalesce("start", zero)).alias("rank"))
         if tolerance is not None:
             rank = store(rank)
-            both = rank.join(before.select("node", F.col("rank").alias("was")), "node", "full_outer")
-            change = both.agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
-            if (change or 0.0) < tolerance:
+            both = rank.join(before.withColumnRenamed("rank", "was"), keys, "full_outer")
+            changed = both.groupBy(*by).agg(F.sum(F.abs(F.coalesce("rank", zero) - F.coalesce("was", zero))).alias("change"))
+            if (changed.agg(F.max("change")).first()[0] or 0.0) < tolerance:
                 break
-        elif store and i % 5 == 4:
+        elif i % 5 == 4:
             rank = store(rank)
     return rank

@@ -43,6 +43,14 @@ def union_best(lists: list[DataFrame], k: int, by: list[str]) -> DataFrame:
     return top(best, k, by)
 
 
+def merged_variants(lists: list[DataFrame], k: int, by: list[str]) -> DataFrame:
+    """The k best of the candidates (by, id, fused, utility, similarity) that several variants of a query found: an id stands as its best fused score has it, of equal ones the earlier list's; order by fused, utility and similarity."""
+    rows = reduce(DataFrame.unionByName, [d.withColumn("_list", F.lit(i)) for i, d in enumerate(lists)])
+    best = keep_best(rows, [*by, "id"], F.desc("fused"), F.col("_list")).drop("_list")
+    order = Window.partitionBy(*by).orderBy(F.desc("fused"), F.desc("utility"), F.desc("similarity"), "id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def standard_score(value: Column, group, clamp: float = 3.0) -> Column:
     """Population z-score within a window; one row, or no spread, counts as spread 1; cut at the clamp."""
     spread = F.stddev_pop(value).over(group)

@@ -68,18 +68,6 @@ def missing_keys(wanted: DataFrame, pool: DataFrame, key: str) -> DataFrame:
     return wanted.select(key).distinct().join(pool.select(key), key, "left_anti")
 
 
-def water_filled(available: dict[str, int], total: int) -> dict[str, int]:
-    """A quota for each category, as equal as what is available allows; the rest goes round in order of names."""
-    quota = dict.fromkeys(sorted(available), 0)
-    left = min(total, sum(available.values()))
-    while left:
-        for name in quota:
-            if left and quota[name] < available[name]:
-                quota[name] += 1
-                left -= 1
-    return quota
-
-
 def slots(requests: DataFrame, days: DataFrame, kinds: DataFrame) -> DataFrame:
     """Distinct (id, day, slot) that the sentences of requests (id, content) name; a sentence with a slot but no day means all days. days: day, word; kinds: slot, word."""
     sentences = requests.select("id", F.posexplode(F.split(F.lower("content"), r"[.!?\n]+")).alias("at", "s")).select("id", "at", F.explode(F.array_distinct(X.words(F.col("s")))).alias("word"))

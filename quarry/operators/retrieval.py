@@ -50,15 +50,47 @@ def _filled(scored: DataFrame, units: DataFrame, queries: DataFrame, k: int) ->
     return scored.unionByName(zeros.join(scored, ["query_id", "id"], "left_anti"))
 
 
-def holding(units: DataFrame, words: DataFrame) -> DataFrame:
-    """(term, id): units whose text holds a word of letters and digits (term) as a substring.
+def _grams(word: Column) -> Column:
+    """Distinct substrings of one to three characters."""
+    n = F.length(word)
+    cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(word, i, F.lit(k)))
+    return F.array_distinct(F.concat(cut(1), cut(2), cut(3)))
 
-    Such a word lies within one run of letters and digits, so it is looked for in the vocabulary, not in the texts.
+
+def _inside(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
+    """(term, run): runs of a vocabulary (run) that hold a word (term).
+
+    A word is looked up by the rarest of its longest grams (three characters, or the whole word where it is shorter), so
+    runs and words meet on equal grams, never as all pairs.
+    """
+    wanted = words.select("term").where("term <> ''").distinct()
+    width = F.least(F.length("term"), F.lit(3))
+    keys = wanted.select("term", F.explode(F.filter(_grams(F.col("term")), lambda g: F.length(g) == width)).alias("gram"))
+    grams = vocabulary.select("run", F.explode(_grams(F.col("run"))).alias("gram")).join(keys.select("gram").distinct(), "gram", "left_semi")
+    rare = keys.join(grams.groupBy("gram").agg(F.count("*").alias("n")), "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return grams.join(rare, "gram").where("contains(run, term)").select("term", "run")
+
+
+def holding(units: DataFrame, words: DataFrame, runs: Column | None = None) -> DataFrame:
+    """(term, id): units whose text holds a word (term) as a substring.
+
+    A word lies within one run of the text (by default of letters and digits, of which the words then consist), so it is
+    looked for in the vocabulary of runs, not in the texts.
+    """
+    found = X.words(F.col("content")) if runs is None else runs
+    posted = units.select("id", F.explode(F.array_distinct(found)).alias("run"))
+    return posted.join(_inside(posted.select("run").distinct(), words), "run").select("term", "id").distinct()
+
+
+def containing(texts: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id): texts (id, low) that hold a whole query (query_id, q, not blank).
+
+    Such a text holds the query's longest word between white space, so only texts that do are asked for the whole.
     """
-    posted = units.select("id", F.explode(F.array_distinct(X.words(F.col("content")))).alias("run"))
-    runs = posted.select("run").distinct()
-    inside = runs.join(words.select("term").distinct(), F.expr("contains(run, term)"))
-    return posted.join(inside, "run").select("term", "id").distinct()
+    word = F.array_max(F.transform(X.split_words(F.col("q")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = queries.select("query_id", "q", word.alias("term"))
+    held = holding(texts, asked, X.split_words(F.col("low"))).join(asked, "term")
+    return held.join(texts.select("id", "low"), "id").where("contains(low, q)").select("query_id", "id")
 
 
 def substring(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -80,8 +112,8 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int, measure: str = "cosine") -> DataFrame:
-    """Nearest vectors (id, vector) for queries (query_id, query): ``cosine`` with 0 for a null vector, or ``l2`` as 1 / (1 + squared distance)."""
+def dense_scores(vectors: DataFrame, queries: DataFrame, measure: str = "cosine") -> DataFrame:
+    """(query_id, id, score) of vectors (id, vector) for queries (query_id, query): ``cosine`` with 0 for a null vector, or ``l2`` as 1 / (1 + squared distance)."""
     if measure == "cosine":
         v = vectors.select("id", "vector", norm(F.col("vector")).alias("nv"))
         q = queries.select("query_id", "query", norm(F.col("query")).alias("nq"))
@@ -90,12 +122,23 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, measure: str = "cosine
     else:
         v, q = vectors, queries
         score = 1 / (1 + F.aggregate(F.zip_with("query", "vector", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, d: s + d))
-    return top(v.join(q).select("query_id", "id", F.round(score, 6).alias("score")), k, ["query_id"])
+    return v.join(q).select("query_id", "id", F.round(score, 6).alias("score"))
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int, measure: str = "cosine") -> DataFrame:
+    """The k nearest vectors of each query."""
+    return top(dense_scores(vectors, queries, measure), k, ["query_id"])
+
+
+def near_seeds(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.5) -> DataFrame:
+    """Seeds of a graph walk: the k nearest vectors of a cosine at or above the threshold."""
+    return top(dense_scores(vectors, queries).where(F.col("score") >= threshold), k, ["query_id"])
 
 
 def max_similarity(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Late interaction: for each query vector the best of a document's vectors (id, vector), summed over the query's (query_id, part, query)."""
-    pairs = vectors.join(queries).groupBy("query_id", "part", "id").agg(F.max(dot(F.col("query"), F.col("vector"))).alias("best"))
+    """Late interaction: for each query vector the best of a document's vectors (id, vector), summed over the query's (query_id, part, query, and perhaps times)."""
+    times = F.col("times") if "times" in queries.columns else F.lit(1)
+    pairs = vectors.join(queries).groupBy("query_id", "part", "id").agg((F.max(dot(F.col("query"), F.col("vector"))) * F.first(times)).alias("best"))
     return top(pairs.groupBy("query_id", "id").agg(F.round(F.sum("best"), 5).alias("score")), k, ["query_id"])
 
 
@@ -131,7 +174,7 @@ def episodic(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     total = units.agg(F.count("*").alias("n"))
     weights = asked.select("query_id", F.explode("terms").alias("term")).join(df, "term").join(F.broadcast(total)).withColumn("idf", F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)
     shared = posted.join(weights, "term").groupBy("query_id", "id").agg(F.sum("idf").alias("weight"), F.count("*").alias("overlap"))
-    whole = units.select("id", F.lower("content").alias("low")).join(asked.select("query_id", "q")).where("contains(low, q)").select("query_id", "id", F.lit(1.5).alias("bonus"))
+    whole = containing(units.select("id", F.lower("content").alias("low")), asked).withColumn("bonus", F.lit(1.5))
     found = shared.join(whole, ["query_id", "id"], "full_outer").join(units.select("id", "seq", "total", "speaker", "source"), "id").join(asked.select("query_id", "terms"), "query_id")
     score = F.coalesce("weight", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0)) + 0.75 * F.coalesce("overlap", F.lit(0)) / F.size("terms") + 0.15 * (F.col("seq") + 1) / F.col("total")
     score = score + F.when(F.array_contains("terms", F.lower(F.trim("speaker"))), 0.5).otherwise(0.0)
@@ -146,8 +189,9 @@ def key_value(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     asked = q.select("query_id", F.explode(F.array_distinct(X.split_words(F.col("q")))).alias("term"))
     words = low.select("id", F.explode(F.array_distinct(X.split_words(F.col("low")))).alias("term"))
     shared = words.join(asked, "term").groupBy("query_id", "id").agg(F.count("*").alias("shared"))
-    # A query of several words may stand in a text or key without sharing whole words, so all pairs of the stated queries are asked.
-    both = low.join(q).where("q = key or contains(low, q) or contains(key, q)").select("query_id", "id").unionByName(shared.select("query_id", "id")).distinct()
+    # A query may stand in a text or key without sharing whole words.
+    keys = containing(low.select("id", F.col("key").alias("low")), q)
+    both = containing(low.select("id", "low"), q).unionByName(keys).unionByName(shared.select("query_id", "id")).distinct()
     found = both.join(shared, ["query_id", "id"], "left").na.fill(0, ["shared"]).join(low, "id").join(q, "query_id")
     found = found.withColumn("in_text", F.contains("low", "q")).withColumn("in_key", F.contains("key", "q")).where("q = key or shared > 0 or in_text or in_key")
     score = F.when(F.col("q") == F.col("key"), 3.0).otherwise(1.0 + F.col("shared") + F.when(F.col("in_text"), 0.5).otherwise(0.0) + F.when(F.col("in_key"), 0.5).otherwise(0.0))
@@ -161,12 +205,12 @@ def recency_bonus(day: Column, as_of: Column) -> Column:
 
 
 def term_hits(rows: DataFrame, queries: DataFrame, k: int, as_of: str) -> DataFrame:
-    """Shared terms, a point where the text holds the query, and a recency bonus. rows: id, content, day."""
+    """Shared terms, a point where the text holds the query (a blank one is held nowhere), and a recency bonus. rows: id, content, day."""
     posted = rows.select("id", F.explode(F.array_distinct(X.words(F.col("content"), "[a-z0-9_]+"))).alias("term"))
     asked = query_terms(queries, F.array_distinct(X.words(F.col("query"), "[a-z0-9_]+")), distinct=True)
     shared = posted.join(asked, "term").groupBy("query_id", "id").agg(F.count("*").alias("n"))
-    q = queries.select("query_id", F.trim(F.lower("query")).alias("q"))
-    whole = rows.select("id", F.lower("content").alias("low")).join(q).where("contains(low, q)").select("query_id", "id", F.lit(1).alias("whole"))
+    q = queries.select("query_id", F.trim(F.lower("query")).alias("q")).where(F.size(X.split_words(F.col("q"))) > 0)
+    whole = containing(rows.select("id", F.lower("content").alias("low")), q).withColumn("whole", F.lit(1))
     found = shared.join(whole, ["query_id", "id"], "full_outer").join(rows.select("id", "day"), "id")
     score = F.coalesce("n", F.lit(0)) + F.coalesce("whole", F.lit(0)) + recency_bonus(F.col("day"), F.to_date(F.lit(as_of)))
     return top(found.select("query_id", "id", F.round(score, 6).alias("score")), k, ["query_id"])
@@ -181,11 +225,16 @@ def count_ranker(units: DataFrame, queries: DataFrame, k: int, tokens: Column, p
     return top(both.select("query_id", "id", part(n, F.col("times")).cast("double").alias("p")).groupBy("query_id", "id").agg(F.round(F.sum("p"), 6).alias("score")), k, ["query_id"])
 
 
-def term_sets(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Number of distinct terms shared."""
+def term_set_scores(units: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id, score): the number of distinct terms shared."""
     posted = units.select("id", F.explode(F.array_distinct(X.words(F.col("content")))).alias("term"))
     asked = query_terms(queries, F.array_distinct(X.words(F.col("query"))), distinct=True)
-    return top(posted.join(asked, "term").groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score")), k, ["query_id"])
+    return posted.join(asked, "term").groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score"))
+
+
+def term_sets(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k units that share most distinct terms with a query."""
+    return top(term_set_scores(units, queries), k, ["query_id"])
 
 
 def episodes(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -13,10 +13,22 @@ def recency(rows: DataFrame) -> DataFrame:
     return rows.withColumn("weight", (F.col("seq") + 1) / n).withColumn("score", F.percent_rank().over(whole.orderBy("seq")))
 
 
-def length_quartile(rows: DataFrame, by: str) -> DataFrame:
-    """``quartile`` min(3, floor(position * 4 / n)) in order of length; groups of uneven size differ from ntile."""
-    order = Window.partitionBy(by).orderBy("length", "id")
-    return rows.withColumn("quartile", F.least(F.lit(3), F.floor((F.row_number().over(order) - 1) * 4 / F.count("*").over(Window.partitionBy(by)))).cast("int"))
+def length_quartile(rows: DataFrame, by: str, block: int = 1 << 16) -> DataFrame:
+    """``quartile`` min(3, floor(position * 4 / n)) in order of length and then of id (a whole number); groups of uneven size differ from ntile.
+
+    A group may hold a third of all rows, so positions are sums of counts: before the length, before the block of ids
+    within the length, and within the block.
+    """
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    none = lambda c: F.coalesce(c, F.lit(0))
+    placed = rows.withColumn("_block", F.floor(F.col("id") / block))
+    blocks = placed.groupBy(by, "length", "_block").agg(F.count("*").alias("_c"))
+    inside = blocks.withColumn("_first", none(F.sum("_c").over(before(by, "length", "_block"))))
+    lengths = rows.groupBy(by, "length").agg(F.count("*").alias("_c"))
+    starts = lengths.select(by, "length", none(F.sum("_c").over(before(by, "length"))).alias("_start"), F.sum("_c").over(Window.partitionBy(by)).alias("_n"))
+    offsets = inside.join(starts, [by, "length"]).select(by, "length", "_block", (F.col("_first") + F.col("_start")).alias("_first"), "_n")
+    place = F.row_number().over(Window.partitionBy(by, "length", "_block").orderBy("id")) - 1 + F.col("_first")
+    return placed.join(offsets, [by, "length", "_block"]).withColumn("quartile", F.least(F.lit(3), F.floor(place * 4 / F.col("_n"))).cast("int")).drop("_block", "_first", "_n")
 
 
 def last_rows(rows: DataFrame, n: int) -> DataFrame:
@@ -28,7 +40,7 @@ def spread(rows: DataFrame, k: int) -> DataFrame:
     """k rows of each key spread evenly from first to last, positions rounded half to even; all where there are no more."""
     n = F.count("*").over(Window.partitionBy("key"))
     counted = rows.withColumn("_n", n)
-    at = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / (k - 1)).cast("long"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / max(1, k - 1)).cast("long"))
     return counted.where((F.col("_n") <= k) | F.array_contains(at, F.col("seq").cast("long"))).drop("_n")
 
 
@@ -59,6 +71,11 @@ def quota(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
     return rows.withColumn("_at", at).where(F.col("_at") <= n).drop("_at")
 
 
+def water_filled(rows: DataFrame, by: str, order: str, total: int) -> DataFrame:
+    """``total`` rows, of each group as many as of the others where it has them: the groups give a row each in turn, in order of their names."""
+    return quota(rows, by, order, total).withColumn("_turn", F.row_number().over(Window.partitionBy(by).orderBy(order))).orderBy("_turn", by).limit(total).drop("_turn")
+
+
 def sessions_by_change(rows: DataFrame) -> DataFrame:
     """key, seq, ``session`` (from 1) and ``turn`` in it: a session ends where the stamp changes; a missing stamp goes on with the one before."""
     order = Window.partitionBy("key").orderBy("seq")

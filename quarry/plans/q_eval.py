@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import scores, text as X
-from quarry.operators import evaluation
+from quarry.operators import evaluation, retrieval
 from quarry.plans import adapt, q_retrieval
 from quarry.plans.adapt import S, T, U
 
@@ -40,7 +40,8 @@ def x11(spark, sf):
 
 
 def x13(spark, sf):
-    gold = adapt.units(spark, sf).join(adapt.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")).where("length(text) > 0 and contains(content, text)").select("query_id", "id")
+    asked = adapt.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q")).where(F.size(X.split_words(F.col("q"))) > 0)
+    gold = retrieval.containing(adapt.units(spark, sf).select("id", F.col("content").alias("low")), asked)
     return evaluation.ranking_metrics(q_retrieval.r23(spark, sf), gold)
 
 
@@ -66,9 +67,14 @@ def x22(spark, sf):
 
 
 def x23(spark, sf):
-    e = adapt.steps(spark, sf)
-    q = F.col("value") / 100
-    return e.select("event_id", F.round(0.7 * q + 0.3 * (F.col("reward") + 0.9 * F.lit(0.5)), 6).alias("q"), F.round(0.9 * F.lit(0.0) + 0.1 * F.col("reward"), 6).alias("reward_mean"))
+    """A step's update: its own value and trace from the row, the best value to come from the next step."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("key").orderBy("seq")
+    q, following, trace = F.col("value") / 100, F.lead("value").over(order) / 100, F.lag("reward").over(order)
+    e = adapt.steps(spark, sf).withColumn("q", q).withColumn("following", following).withColumn("trace", trace)
+    updated, mean = scores.utility_update(F.col("q"), F.col("trace"), F.col("reward"), F.col("following"))
+    return e.select("event_id", F.round(updated, 6).alias("q"), F.round(mean, 6).alias("reward_mean"))
 
 
 def x27(spark, sf):
@@ -217,7 +223,7 @@ QUERIES = {
     "A16_counter_difference": a16,
     "A17_session_scores": a17,
     "A18_A19_phase_report": a18,
-    "A20_F12_shared_tokens": a20,
+    "A20_F12_U10_shared_tokens": a20,
     "A21_common_prefix": a21,
     "A22_G04_speakers": a22,
     "A23_first_last": a23,
@@ -263,7 +269,8 @@ ORACLE = {
     "X18_token_estimates": f"WITH {U} SELECT id, ceil(length(content)/4.0)::BIGINT AS ceil, (length(content)//4)::BIGINT AS floor, greatest(1, ceil(length(content)/4.0))::BIGINT AS least, len(list_filter(regexp_split_to_array(content,'[\\s\\p{{Z}}]+'), lambda x: x<>'')) AS words FROM u",
     "X19_truncations": f"WITH {U} SELECT id, md5(CASE WHEN length(content)>500 THEN substr(content,1,250)||chr(10)||'...[truncated]...'||chr(10)||right(content,250) ELSE content END) AS middle, md5(CASE WHEN length(content)>300 THEN rtrim(substr(content,1,300))||'... [truncated]' ELSE content END) AS tail FROM u",
     "X22_row_content": "SELECT c_custkey, 'name: '||c_name||' | segment: '||c_mktsegment||' | nation: '||c_nationkey AS line FROM customer",
-    "X23_utility_update": f"WITH {S} SELECT event_id, round(0.7::DOUBLE*(value/100)+0.3::DOUBLE*(reward+0.9::DOUBLE*0.5),6) AS q, round(0.1::DOUBLE*reward,6) AS reward_mean FROM s",
+    "X23_utility_update": f"WITH {S} SELECT event_id, round(greatest(-1.0::DOUBLE, 0.7::DOUBLE*(value/100)+0.3::DOUBLE*(reward+0.9::DOUBLE*coalesce(lead(value) OVER w/100,0))),6) AS q, round(0.7::DOUBLE*coalesce(lag(reward) OVER w,0)+0.3::DOUBLE*reward,6) AS reward_mean FROM s WINDOW w AS (PARTITION BY key ORDER BY seq)",
+    "A21_common_prefix": f"WITH {T}, p AS (SELECT conv_id AS grp, turn AS id, list_filter(regexp_split_to_array(content,'[\\s\\p{{Z}}]+'), lambda x: x<>'') AS w FROM t), n AS (SELECT grp, count(DISTINCT id) AS prompts FROM p GROUP BY 1), x AS (SELECT grp, id, unnest(w) AS token, generate_subscripts(w,1)-1 AS nth FROM p), g AS (SELECT x.grp, nth, count(*) AS held, count(DISTINCT token) AS kinds, any_value(prompts) AS prompts FROM x JOIN n ON n.grp=x.grp GROUP BY x.grp, nth), c AS (SELECT grp, coalesce(min(nth) FILTER (held<prompts OR kinds>1), max(nth)+1) AS tokens FROM g GROUP BY 1) SELECT n.grp, prompts, coalesce(tokens,0)::BIGINT AS tokens FROM n LEFT JOIN c ON c.grp=n.grp",
     "X27_dialogue_prefix": f"WITH {T} SELECT conv_id, turn, role AS speaker, turn::VARCHAR AS time, md5(content) AS digest FROM t",
     "X32_redaction": "SELECT page_id, 'api_key=***;user='||page_id||';password=***' AS safe FROM pages",
     "X34_kind_rules": f"WITH {U} SELECT id, CASE WHEN contains(lower(content),'the') THEN 'the' WHEN contains(lower(content),'de') THEN 'de' WHEN contains(lower(content),'und') THEN 'und' ELSE 'other' END AS kind FROM u",
@@ -280,7 +287,7 @@ ORACLE = {
     "A16_counter_difference": f"WITH {S}, c AS (SELECT key, nullif(count(*) FILTER (event_type='click'),0) AS c, nullif(count(*) FILTER (event_type='view'),0) AS v, nullif(count(*) FILTER (event_type='purchase'),0) AS p FROM s GROUP BY 1) SELECT key, c-1 AS d_click, v AS d_view, p AS d_purchase FROM c",
     "A17_session_scores": f"WITH {S} SELECT key, count(*) AS sessions, round(avg(success::INT),6) AS progress, bool_and(success) AS all_correct, arg_max(success, seq) AS last_correct FROM s GROUP BY 1",
     "A18_A19_phase_report": f"WITH {S}, r AS (SELECT CASE WHEN seq<40 THEN 'train' ELSE 'test' END AS phase, unnest([event_type,'all']) AS kind, success, seq FROM s) SELECT phase, kind, count(*) AS n, count(*) FILTER (success) AS successes, round(avg(success::INT),6) AS rate, round(avg(seq),6) AS mean_steps FROM r GROUP BY ALL",
-    "A20_F12_shared_tokens": f"WITH {T}, n AS (SELECT conv_id AS grp, count(DISTINCT turn) AS prompts FROM t GROUP BY 1), e AS (SELECT grp, id, token, count(*) AS k FROM (SELECT conv_id AS grp, turn AS id, unnest(list_filter(regexp_split_to_array(content,'[\\s\\p{{Z}}]+'), lambda x: x<>'')) AS token FROM t) GROUP BY ALL), h AS (SELECT grp, token, count(*) AS held, min(k) AS least FROM e GROUP BY ALL) SELECT n.grp, any_value(prompts) AS prompts, coalesce(sum(least),0)::BIGINT AS tokens FROM n LEFT JOIN h ON h.grp=n.grp AND held=prompts GROUP BY n.grp",
+    "A20_F12_U10_shared_tokens": f"WITH {T}, n AS (SELECT conv_id AS grp, count(DISTINCT turn) AS prompts FROM t GROUP BY 1), e AS (SELECT grp, id, token, count(*) AS k FROM (SELECT conv_id AS grp, turn AS id, unnest(list_filter(regexp_split_to_array(content,'[\\s\\p{{Z}}]+'), lambda x: x<>'')) AS token FROM t) GROUP BY ALL), h AS (SELECT grp, token, count(*) AS held, min(k) AS least FROM e GROUP BY ALL) SELECT n.grp, any_value(prompts) AS prompts, coalesce(sum(least),0)::BIGINT AS tokens FROM n LEFT JOIN h ON h.grp=n.grp AND held=prompts GROUP BY n.grp",
     "A22_G04_speakers": f"WITH {T} SELECT conv_id, role, count(*) AS turns FROM t GROUP BY ALL",
     "A23_first_last": f"WITH {T} SELECT role, md5(arg_min(content, conv_id*100000+turn)) AS first, md5(arg_max(content, conv_id*100000+turn)) AS last FROM t GROUP BY 1",
     "A26_matched_bonus": f"WITH {_X13} SELECT query_id, round(least(0.2::DOUBLE, 0.2::DOUBLE*recall_5),6) AS bonus FROM m",

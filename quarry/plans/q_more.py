@@ -59,7 +59,7 @@ def j11(spark, sf):
 
 def r12(spark, sf):
     v, q = adapt.vectors(spark, sf)
-    return ranking.top(retrieval.dense(v, q, 1 << 30).drop("rank").where("score >= 0.3"), K, ["query_id"])
+    return retrieval.near_seeds(v, q)
 
 
 def r13(spark, sf):
@@ -98,10 +98,11 @@ def r36(spark, sf):
 
 
 def f07(spark, sf):
-    """Candidates of several query variants: best fused score of an id, then utility, then similarity."""
-    a = q_retrieval.r04(spark, sf).select("query_id", "id", F.col("score").alias("fused"))
-    b = q_retrieval.r23(spark, sf).select("query_id", "id", F.round(F.col("score") / 12, 6).alias("fused"))
-    return ranking.keep_best(a.unionByName(b), ["query_id", "id"], F.desc("fused")).select("query_id", "id", "fused")
+    """Candidates of several query variants: an id keeps its best fused score with that one's utility and similarity; ranked by all three."""
+    utility = (F.col("id") * 37 % 100 / 100.0).alias("utility")
+    a = q_retrieval.r04(spark, sf).select("query_id", "id", F.col("score").alias("fused"), utility, F.lit(0.5).alias("similarity"))
+    b = q_retrieval.r23(spark, sf).select("query_id", "id", F.round(F.col("score") / 12, 6).alias("fused"), utility, F.round(F.col("score") / 20, 6).alias("similarity"))
+    return ranking.merged_variants([a, b], K, ["query_id"])
 
 
 def x03(spark, sf):
@@ -168,12 +169,14 @@ def s18(spark, sf):
 
 
 def t08(spark, sf):
-    """Values learned on a first phase and frozen for the second."""
+    """Values learned in a first phase, stored, and frozen for the second, which reads the store."""
+    from quarry.sources.stores import shared_folder
     from quarry.streaming.sessions import utilities
 
-    e = adapt.steps(spark, sf)
-    learned = utilities(e.where("seq < 40").select("key", "seq", "reward"))
-    return e.where("seq >= 40").groupBy("key").agg(F.count("*").alias("tested")).join(learned.select("key", "q"), "key")
+    e, path = adapt.steps(spark, sf), shared_folder(spark, "utilities")
+    utilities(e.where("seq < 40").select("key", "seq", "reward")).write.parquet(path)
+    tested = e.where("seq >= 40").groupBy("key").agg(F.count("*").alias("tested"))
+    return tested.join(spark.read.parquet(path).select("key", "q"), "key")
 
 
 def u09(spark, sf):
@@ -201,7 +204,7 @@ QUERIES = {
     "X03_X12_closed_answers": x03,
     "X16_X20_bounded_read": x16,
     "X17_answer_marker": x17,
-    "X26_json_object": x26,
+    "X26_flat_json": x26,
     "X30_sufficiency": x30,
     "X33_picked_action": x33,
     "P05_all_patterns": p05,
@@ -221,15 +224,21 @@ ORACLE = {
     "I14_labelled_lines": "WITH n AS (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*)>=10) SELECT c_nationkey AS id, c_mktsegment AS label, count(*) AS n, min(c_name) AS first FROM customer JOIN n USING (c_nationkey) GROUP BY ALL",
     "J06_missing_keys": "SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang<>'de')",
     "J11_positional_zip": f"WITH {S}, a AS (SELECT key, event_id AS click, row_number() OVER (PARTITION BY key ORDER BY event_id)-1 AS pos FROM s WHERE event_type='click'), b AS (SELECT key, event_id AS view, row_number() OVER (PARTITION BY key ORDER BY event_id)-1 AS pos FROM s WHERE event_type='view') SELECT key, pos::INT AS pos, click, view FROM a JOIN b USING (key, pos)",
-    "R12_seed_selection": f"WITH {q_retrieval._VEC}, x AS (SELECT query_id, id, round({q_retrieval._DOT.format('query', 'vector')}/(sqrt({q_retrieval._DOT.format('query', 'query')})*sqrt({q_retrieval._DOT.format('vector', 'vector')})),6) AS score FROM v, vq), sc AS (SELECT * FROM x WHERE score>=0.3) {adapt.top('sc', K)}",
+    "R12_seed_selection": f"WITH {q_retrieval._VEC}, x AS (SELECT query_id, id, round({q_retrieval._DOT.format('query', 'vector')}/(sqrt({q_retrieval._DOT.format('query', 'query')})*sqrt({q_retrieval._DOT.format('vector', 'vector')})),6) AS score FROM v, vq), sc AS (SELECT * FROM x WHERE score>=0.5) {adapt.top('sc', K)}",
     "R13_prefilter_then_list": f"WITH r1 AS (WITH {q_retrieval._bm25_sql(q_retrieval._BM, True).replace(f'LIMIT {q_retrieval.K}', 'LIMIT 50')} {adapt.top('sc', 50)}), sc AS (SELECT query_id, id, round(1.0::DOUBLE/(row_number() OVER (PARTITION BY query_id ORDER BY rank)+1),6) AS score FROM r1 WHERE id%2=0) {adapt.top('sc', K)}",
     "R31_product_search": f"WITH p AS (SELECT DISTINCT p_partkey AS id, unnest({WORDS.format(chr(112) + '_name||' + chr(39) + ' ' + chr(39) + '||p_type')}) AS term FROM part), q AS (SELECT DISTINCT p_partkey AS query_id, unnest({WORDS.format('p_type')}) AS term FROM part WHERE p_partkey%50=0), sc AS (SELECT query_id, id, count(*)::DOUBLE AS score FROM p JOIN q USING (term) GROUP BY ALL) {adapt.top('sc', K)}",
     "R32_synthetic_ids": "SELECT p_partkey, 'B'||upper(substr(sha1(p_name),1,9)) AS asin FROM part",
     "R33_slots": f"WITH {U}, s AS (SELECT id, generate_subscripts(regexp_split_to_array(lower(content),'[.!?\\n]+'),1) AS k, unnest(regexp_split_to_array(lower(content),'[.!?\\n]+')) AS s FROM u), w AS (SELECT DISTINCT id, k, unnest({WORDS.format('s')}) AS word FROM s), kd AS (SELECT DISTINCT id, k, CASE WHEN word IN ('of','in') THEN 'a' WHEN word='de' THEN 'b' ELSE 'c' END AS slot FROM w WHERE word IN ('of','in','de','be')), dy AS (SELECT DISTINCT id, k, CASE word WHEN 'the' THEN 1 WHEN 'la' THEN 2 ELSE 3 END AS day FROM w WHERE word IN ('the','la','und')) SELECT DISTINCT kd.id, coalesce(dy.day, a.day)::INT AS day, slot FROM kd LEFT JOIN dy USING (id, k) LEFT JOIN (SELECT unnest([1,2,3]) AS day) a ON dy.day IS NULL",
     "R36_condensed_query": f"WITH {Q}, k AS (SELECT query_id, {q_retrieval._KW} AS w FROM q) SELECT query_id, array_to_string((list_filter(w, lambda x, i: list_position(w, x)=i))[1:6],' ') AS query FROM k",
-    "F07_variant_merge": f"WITH {_R04}, {_R23}, x AS (SELECT query_id, id, score AS fused FROM r4 UNION ALL SELECT query_id, id, round(score/12,6) FROM r23) SELECT query_id, id, max(fused) AS fused FROM x GROUP BY ALL",
+    "F07_variant_merge": f"WITH {_R04}, {_R23}, x AS (SELECT query_id, id, score AS fused, id*37%100/100.0::DOUBLE AS utility, 0.5::DOUBLE AS similarity, 0 AS nth FROM r4 UNION ALL SELECT query_id, id, round(score/12,6), id*37%100/100.0::DOUBLE, round(score/20,6), 1 FROM r23), y AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY fused DESC, nth) AS pos FROM x) SELECT query_id, id, fused, utility, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, utility DESC, similarity DESC, id)::INT AS rank FROM y WHERE pos=1) WHERE rank<={K}",
+    "I30_rolled_up": f"WITH {T}, l0 AS (SELECT conv_id AS grp, turn AS seq, content FROM t), {', '.join(f'l{k} AS (SELECT grp, s AS seq, substr(string_agg(content, chr(10) ORDER BY seq),1,300) AS content FROM (SELECT *, (row_number() OVER (PARTITION BY grp ORDER BY seq)-1)//6 AS s FROM l{k - 1} WHERE (SELECT max(n) FROM (SELECT count(*) AS n FROM l{k - 1} GROUP BY grp))>1) GROUP BY grp, s)' for k in range(1, 6))} SELECT grp, level, seq::BIGINT AS seq, md5(content) AS digest FROM ({' UNION ALL '.join(f'SELECT {k} AS level, * FROM l{k}' for k in range(1, 6))})",
+    "I31_alias_expansion": f"WITH {Q}, w AS (SELECT query_id, query, list_sort(list_distinct(list_transform(list_filter({WORDS.format('query')}, lambda x: length(x)=4), lambda x: reverse(x)))) AS a FROM q) SELECT query_id, md5(CASE WHEN len(a)>0 THEN query||' | '||array_to_string(a,' | ') ELSE query END) AS digest FROM w",
+    "R34_tiers": f"WITH {_R04}, {_R23}, {q_retrieval._ENT}, sc8 AS (SELECT query_id, id, round(count(*)::DOUBLE/any_value(n),6) AS score FROM ent JOIN qe USING (entity) JOIN (SELECT query_id, count(*) AS n FROM qe GROUP BY 1) USING (query_id) GROUP BY ALL), r8 AS ({adapt.top('sc8', K)}), g AS (SELECT query_id FROM r4 GROUP BY 1 HAVING max(score)>=1.0) SELECT query_id, id, score, 1 AS tier FROM r4 WHERE query_id IN (SELECT query_id FROM g) UNION ALL SELECT query_id, id, score, 2 FROM r8 WHERE query_id NOT IN (SELECT query_id FROM g) UNION ALL SELECT query_id, id, score, 3 FROM r23 WHERE query_id NOT IN (SELECT query_id FROM g) AND query_id NOT IN (SELECT query_id FROM r8)",
+    "X03_X12_closed_answers": f"WITH {q_eval._PAIRED}, s AS (SELECT *, ({q_eval._HITS})::DOUBLE AS h, {q_eval._v2('prediction')} AS p2, {q_eval._v2('gold')} AS g2 FROM ab) SELECT conv_id, turn, round(CASE WHEN (np IN ('yes','no','noanswer') OR ng IN ('yes','no','noanswer')) AND np<>ng THEN 0.0 ELSE {q_eval._F1} END,6) AS f1, (contains(p2,g2) OR contains(g2,p2))::INT::DOUBLE AS contains, round(CASE WHEN len(a)+len(b)=0 THEN 0.0 ELSE len(list_intersect(a,b))::DOUBLE/len(list_distinct(list_concat(a,b))) END,6) AS jaccard, try_cast(nullif(regexp_extract(prediction,'[0-9]+'),'') AS INT) AS choice FROM s",
+    "X16_X20_bounded_read": f"WITH {U}, l AS (SELECT id, content, string_split(content,chr(10)) AS l FROM u), h AS (SELECT *, list_filter(list_transform(l, lambda x, i: CASE WHEN regexp_matches(x,'(?i)moron|idiot') THEN i END), lambda x: x IS NOT NULL)[1:3] AS h, list_filter(list_transform(l, lambda x: trim(x)), lambda x: x<>'') AS f FROM l) SELECT id, md5(coalesce(f[len(f)],'')) AS last_line, md5(CASE WHEN len(h)>0 THEN array_to_string(list_filter(l, lambda x, i: len(list_filter(h, lambda k: abs(k-i)<=2))>0), chr(10)) ELSE substr(content,1,200) END) AS read FROM h",
+    "T08_two_phases": f"WITH RECURSIVE {S}, n AS (SELECT key, count(*) AS visits FROM s WHERE seq<40 GROUP BY 1), f AS (SELECT key, 0 AS i, 0.0::DOUBLE AS q FROM n UNION ALL SELECT f.key, i+1, 0.7::DOUBLE*q+0.3::DOUBLE*reward FROM f JOIN s ON s.key=f.key AND s.seq=f.i AND s.seq<40) SELECT n.key, (SELECT count(*) FROM s WHERE s.key=n.key AND s.seq>=40) AS tested, round(q,9) AS q FROM n JOIN f ON f.key=n.key AND f.i=visits WHERE tested>0",
     "X17_answer_marker": f"WITH {T} SELECT conv_id, turn, role||' said so' AS answer FROM t",
-    "X26_json_object": "SELECT event_id, try_cast(props->>'$.k' AS BIGINT) AS k FROM events",
+    "X26_flat_json": "SELECT event_id, try_cast(props->>'$.k' AS BIGINT) AS k FROM events",
     "X30_sufficiency": f"WITH {U}, {Q}, {_R23}, b AS (SELECT query_id, max(score) FILTER (rank=1) AS best, coalesce(max(score) FILTER (rank=2),0) AS second, count(*) AS n, max(id) FILTER (rank=1) AS id FROM r23 GROUP BY 1), c AS (SELECT b.*, {WORDS.format('content')} AS f, {WORDS.format('query')} AS w FROM b JOIN u USING (id) JOIN q USING (query_id)) SELECT query_id, len(list_filter(w, lambda x: NOT list_contains(f,x)))=0 AS covered, best-second>=1 AS clear, n>1 AS diverse, len(f)>0 AS renderable FROM c",
     "X33_picked_action": "WITH e AS (SELECT event_id, event_type, CASE WHEN event_id%3=0 THEN event_type ELSE 'I will '||event_type||CASE WHEN event_id%2=0 THEN ' now' ELSE '' END END AS s FROM events) SELECT event_id, CASE WHEN contains(s,'purchase now') THEN 'purchase now' WHEN contains(s,'purchase') THEN 'purchase' WHEN contains(s,'click') THEN 'click' WHEN contains(s,'view') THEN 'View' END AS action FROM e",
     "P05_all_patterns": f"WITH {U} SELECT id FROM u WHERE regexp_matches(content,'(?i)th') AND regexp_matches(content,'(?i)a|e') AND regexp_matches(content,'(?i)n')",

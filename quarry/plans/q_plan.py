@@ -169,7 +169,7 @@ QUERIES = {
     "J07_range_neighbours": j07,
     "J08_nearest": j08,
     "J12_lookup": j12,
-    "Q01_Q02_Q03_R18_F11_P14_planned_search": q01,
+    "Q01_Q02_F11_planned_search": q01,
     "F08_F09_Q05_match_sets": f08,
     "A24_match_count": a24,
     "F10_temporal_sort": f10,
@@ -219,7 +219,7 @@ ORACLE = {
     "J07_range_neighbours": f"WITH {_E} SELECT DISTINCT a.key, a.pos::INT AS pos, a.event_type FROM s a JOIN s b ON a.key=b.key AND a.pos BETWEEN b.pos-2 AND b.pos+2 WHERE b.event_type='purchase'",
     "J08_nearest": f"WITH {_E}, x AS (SELECT a.key, a.pos AS edge, b.pos AS p, row_number() OVER (PARTITION BY a.key, a.pos ORDER BY abs(a.pos-b.pos), b.pos) AS r FROM s a JOIN s b ON a.key=b.key AND b.event_type='purchase' WHERE a.event_type='error') SELECT a.key, a.pos AS edge, a.pos AS at, p AS nearest FROM s a LEFT JOIN x ON x.key=a.key AND x.edge=a.pos AND r=1 WHERE a.event_type='error'",
     "J12_lookup": "SELECT n_name, count(*) AS orders FROM orders JOIN customer ON c_custkey=o_custkey JOIN nation ON n_nationkey=c_nationkey GROUP BY 1",
-    "Q01_Q02_Q03_R18_F11_P14_planned_search": f"WITH {U}, r AS (SELECT id, content, {_terms('content')} AS w FROM u), a AS ({_search(0, 'moron', '(?i)moron')} UNION ALL {_search(1, 'the\\s+that', '(?i)the\\s+that')} UNION ALL {_search(2, 'a(', '(?i)a\\(')}), b AS (SELECT id, score, matches, row_number() OVER (PARTITION BY id ORDER BY score DESC, matches DESC) AS k FROM a WHERE score>0), sc AS (SELECT id, round(score,4) AS score, matches::INT AS matches FROM b WHERE k=1) SELECT id, score, matches, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM sc) WHERE rank<=20",
+    "Q01_Q02_F11_planned_search": f"WITH {U}, r AS (SELECT id, content, {_terms('content')} AS w FROM u), a AS ({_search(0, 'moron', '(?i)moron')} UNION ALL {_search(1, 'the\\s+that', '(?i)the\\s+that')} UNION ALL {_search(2, 'a(', '(?i)a\\(')}), b AS (SELECT id, score, matches, row_number() OVER (PARTITION BY id ORDER BY score DESC, matches DESC) AS k FROM a WHERE score>0), sc AS (SELECT id, round(score,4) AS score, matches::INT AS matches FROM b WHERE k=1) SELECT id, score, matches, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM sc) WHERE rank<=20",
     "F08_F09_Q05_match_sets": f"WITH {U} SELECT id, 'intersect' AS op FROM u WHERE regexp_matches(content,'(?i)idiot') UNION ALL SELECT id, 'union' FROM u WHERE regexp_matches(content,'(?i)idiot|clown|moron')",
     "A24_match_count": f"WITH {U} SELECT count(*) AS n FROM u WHERE regexp_matches(content,'(?i)idiot')",
     "F10_temporal_sort": "SELECT o_orderkey AS id, strftime(o_orderdate,'%Y-%m-%d') AS date, row_number() OVER (ORDER BY strftime(o_orderdate,'%Y-%m-%d'), o_orderkey) AS rank FROM orders",

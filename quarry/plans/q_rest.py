@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import answers, text as X
-from quarry.operators import chunking, ranking, records, retrieval
+from quarry.operators import chunking, ranking, retrieval, windows
 from quarry.plans import adapt, q_eval
 from quarry.plans.adapt import Q, T, U, WORDS
 
@@ -25,29 +24,18 @@ def i10(spark, sf):
     return chunking.paragraph_chunks(adapt.units(spark, sf), 6000, joint="\n").select("id", "chunk", F.length("content").cast("long").alias("chars"))
 
 
-def triples(units):
-    """A stand-in for an extractor: of the first fifteen sentences of three words or more the first, second and last word (id, i, subject, predicate, object)."""
-    parts = F.filter(F.transform(F.split("content", r"\."), lambda s: X.split_words(s)), lambda w: F.size(w) >= 3)
-    rows = units.select("id", F.posexplode(F.slice(parts, 1, 15)).alias("i", "w"))
-    return rows.select("id", "i", F.lower(F.col("w")[0]).alias("subject"), F.lower(F.col("w")[1]).alias("predicate"), F.lower(F.element_at("w", -1)).alias("object"))
-
-
 def i19(spark, sf):
-    return triples(adapt.units(spark, sf))
+    return chunking.triples(adapt.units(spark, sf))
 
 
 def i20(spark, sf):
     """Edges between entities of the triples, with how many texts they have."""
-    return triples(adapt.units(spark, sf)).groupBy("subject", "object").agg(F.count_distinct("id").alias("texts"), F.count("*").alias("edges"))
+    return chunking.triples(adapt.units(spark, sf)).groupBy("subject", "object").agg(F.count_distinct("id").alias("texts"), F.count("*").alias("edges"))
 
 
 def w14(spark, sf):
     """Quotas for each language, as equal as what there is allows."""
-    u = adapt.units(spark, sf).select("id", "lang")
-    counts = {r["lang"]: r["n"] for r in u.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each category
-    quota = spark.createDataFrame(list(records.water_filled(counts, 62).items()), "lang string, quota int")
-    at = F.row_number().over(Window.partitionBy("lang").orderBy("id"))
-    return u.withColumn("at", at).join(quota, "lang").where("at <= quota").select("id", "lang")
+    return windows.water_filled(adapt.units(spark, sf).select("id", "lang"), "lang", "id", 62).select("id", "lang")
 
 
 def a25(spark, sf):
@@ -96,21 +84,6 @@ def f06(spark, sf):
     return done.select("query_id", "id", "score", "rank")
 
 
-def p16(spark, sf):
-    q = F.lower("query")
-    return adapt.questions(spark, sf).select("query_id", (q.rlike("(^|[^a-z])(all|every|the)([^a-z]|$)") & (F.length(q) > 60)).alias("broad"))
-
-
-def x14(spark, sf):
-    p = adapt.table(spark, sf, "part").select("p_partkey", F.concat(F.lit("buy "), answers.synthetic_id(F.col("p_name")), F.lit(" now")).alias("said"), answers.synthetic_id(F.col("p_name")).alias("gold"))
-    found = F.regexp_extract("said", "B[0-9A-F]{9}", 0)
-    return p.select("p_partkey", found.alias("asin"), (found == F.col("gold")).alias("correct"))
-
-
-def x24(spark, sf):
-    return adapt.turns(spark, sf).select("conv_id", "turn", F.md5(F.trim(F.regexp_replace(F.regexp_replace(F.lower("content"), "[0-9]+", "#"), r"\s+", " "))).alias("task"))
-
-
 def x25(spark, sf):
     t = adapt.turns(spark, sf)
     line = F.concat(F.lit("["), (F.col("turn") + 1).cast("string"), F.lit("] "), F.col("role"), F.lit(": "), F.col("content"))
@@ -132,9 +105,6 @@ QUERIES = {
     "R27_group_scores": r27,
     "F05_decomposition": f05,
     "F06_sufficiency_rounds": f06,
-    "P16_broad_request": p16,
-    "X14_identifiers": x14,
-    "X24_task_text": x24,
     "X25_numbered_context": x25,
     "X31_plan_key": x31,
 }
@@ -142,6 +112,7 @@ QUERIES = {
 _TRI = "w AS (SELECT id, list_filter(list_transform(string_split(content,'.'), lambda s: list_filter(regexp_split_to_array(s,'[\\s\\p{Z}]+'), lambda x: x<>'')), lambda w: len(w)>=3)[1:15] AS p FROM u), x AS (SELECT id, (generate_subscripts(p,1)-1)::INT AS i, unnest(p) AS w FROM w), tr AS (SELECT id, i, lower(w[1]) AS subject, lower(w[2]) AS predicate, lower(w[len(w)]) AS object FROM x)"
 _HALF = f"h AS (SELECT query_id, 1 AS part, array_to_string((string_split(query,' '))[1:6],' ') AS query FROM q UNION ALL SELECT query_id, 2, array_to_string((string_split(query,' '))[7:12],' ') FROM q), ut AS (SELECT DISTINCT id, unnest({WORDS.format('content')}) AS term FROM u), ht AS (SELECT DISTINCT query_id, part, unnest({WORDS.format('query')}) AS term FROM h)"
 ORACLE = {
+    "W14_quota_fill": f"WITH {U}, r AS (SELECT id, lang, row_number() OVER (PARTITION BY lang ORDER BY id) AS round FROM u) SELECT id, lang FROM r ORDER BY round, lang LIMIT 62",
     "I09_turn_passages": f"WITH {T} SELECT conv_id, (turn//3)::BIGINT AS passage, md5(string_agg(content, chr(10) ORDER BY turn)) AS digest FROM t GROUP BY ALL",
     "I19_I17_U06_triples": f"WITH {U}, {_TRI} SELECT * FROM tr",
     "I20_entity_edges": f"WITH {U}, {_TRI} SELECT subject, object, count(DISTINCT id) AS texts, count(*) AS edges FROM tr GROUP BY ALL",
@@ -150,9 +121,6 @@ ORACLE = {
     "R27_group_scores": f"WITH {T}, sc AS (SELECT conv_id AS query_id, (turn//5)::BIGINT AS id, least(10, sum((length(content)-length(replace(lower(content),'the','')))//3))::DOUBLE AS score FROM t GROUP BY ALL HAVING score>0) {adapt.top('sc', 3)}",
     "F05_decomposition": f"WITH {U}, {Q}, {_HALF}, s0 AS (SELECT query_id, part, id, count(*)::DOUBLE AS score FROM ut JOIN ht USING (term) GROUP BY ALL), s1 AS (SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, part ORDER BY score DESC, id) AS r FROM s0) WHERE r<={K}), sc AS (SELECT query_id, id, max(score) AS score FROM s1 GROUP BY ALL) {adapt.top('sc', K)}",
     "F06_sufficiency_rounds": f"WITH {U}, {Q}, ut AS (SELECT DISTINCT id, unnest({WORDS.format('content')}) AS term FROM u), qt AS (SELECT DISTINCT query_id, unnest({WORDS.format('query')}) AS term FROM q), sc AS (SELECT query_id, id, count(*)::DOUBLE AS score FROM ut JOIN qt USING (term) GROUP BY ALL) {adapt.top('sc', K)}",
-    "P16_broad_request": f"WITH {Q} SELECT query_id, regexp_matches(lower(query),'(^|[^a-z])(all|every|the)([^a-z]|$)') AND length(lower(query))>60 AS broad FROM q",
-    "X14_identifiers": "SELECT p_partkey, 'B'||upper(substr(sha1(p_name),1,9)) AS asin, true AS correct FROM part",
-    "X24_task_text": f"WITH {T} SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace(lower(content),'[0-9]+','#','g'),'\\s+',' ','g'))) AS task FROM t",
     "X25_numbered_context": f"WITH {T} SELECT conv_id, md5(string_agg('['||(turn+1)||'] '||role||': '||content, chr(10)||chr(10) ORDER BY turn)) AS context FROM t GROUP BY 1",
     "X31_plan_key": f"WITH {Q} SELECT query_id, md5({q_eval._v2('query')}) AS key FROM q",
 }

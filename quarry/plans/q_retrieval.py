@@ -109,8 +109,8 @@ def r21(spark, sf):
     return retrieval.count_ranker(adapt.units(spark, sf), adapt.questions(spark, sf), K, F.array_distinct(X.keywords(F.col("query"))), lambda n, _: 1 + n)
 
 
-def r23(spark, sf):
-    return retrieval.term_sets(adapt.units(spark, sf), adapt.questions(spark, sf), K)
+def r23(spark, sf, k=K):
+    return retrieval.term_sets(adapt.units(spark, sf), adapt.questions(spark, sf), k)
 
 
 def r24(spark, sf):
@@ -148,14 +148,10 @@ def f04(spark, sf):
 
 def p01(spark, sf):
     """Over-fetch, then filter: the predicate must not move below the first limit."""
-    wide = ranking.top(r23_all(spark, sf), 3 * K, ["query_id"]).join(adapt.units(spark, sf).select("id", "lang"), "id")
+    wide = r23(spark, sf, 3 * K).join(adapt.units(spark, sf).select("id", "lang"), "id")
     return ranking.top(wide.where("lang = 'en'").drop("rank"), K, ["query_id"]).select("query_id", "id", "score", "rank")
 
 
-def r23_all(spark, sf):
-    return retrieval.term_sets(adapt.units(spark, sf), adapt.questions(spark, sf), 1 << 30).drop("rank")
-
-
 _BM = stopped(WORDS, X.BM25_STOPWORDS)
 
 
@@ -193,7 +189,7 @@ def _counted(terms: str, part: str) -> str:
 QUERIES = {
     "R01_bm25": r01,
     "R02_bm25_whitespace": r02,
-    "R03_bm25_positive": r03,
+    "R03_J01_bm25_positive": r03,
     "R04_substring": r04,
     "R05_R26_J02_dense_cosine": r05,
     "R06_dense_l2": r06,
@@ -221,7 +217,7 @@ _WHITE = "list_filter(regexp_split_to_array(lower({0}),'[\\s\\p{{Z}}]+'), lambda
 ORACLE = {
     "R01_bm25": f"WITH {_bm25_sql(_BM, True)} {top('sc', K)}",
     "R02_bm25_whitespace": f"WITH {_bm25_sql(_WHITE, True)} {top('sc', K)}",
-    "R03_bm25_positive": f"WITH {_bm25_sql(WORDS, False)} {top('sc', K)}",
+    "R03_J01_bm25_positive": f"WITH {_bm25_sql(WORDS, False)} {top('sc', K)}",
     "R04_substring": f"WITH {_R04} SELECT * FROM r4",
     "R05_R26_J02_dense_cosine": f"WITH {_VEC}, sc AS (SELECT query_id, id, round({_DOT.format('query', 'vector')}/(sqrt({_DOT.format('query', 'query')})*sqrt({_DOT.format('vector', 'vector')})),6) AS score FROM v, vq) {top('sc', K)}",
     "R06_dense_l2": f"WITH {_VEC}, sc AS (SELECT query_id, id, round(1/(1+list_sum(list_transform(range(1,65), lambda i: (query[i]::DOUBLE-vector[i]::DOUBLE)*(query[i]::DOUBLE-vector[i]::DOUBLE)))),6) AS score FROM v, vq) {top('sc', K)}",

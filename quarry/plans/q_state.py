@@ -85,7 +85,7 @@ def s17(spark, sf):
 
 
 def s21(spark, sf):
-    return tables.ordered_digest(adapt.table(spark, sf, "supplier"), "s_nationkey", "s_suppkey", "s_name")
+    return tables.unordered_digest(adapt.table(spark, sf, "supplier"), "s_nationkey", "s_suppkey", "s_name")
 
 
 def s24(spark, sf):
@@ -138,6 +138,7 @@ QUERIES = {
 _BUFFER = "string_agg(content, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"
 _LOG = "c AS (SELECT user_id||':'||event_type AS id, user_id, event_id AS seq, CASE WHEN event_type='error' OR event_id%11=0 THEN 'delete' ELSE 'put' END AS op, event_id::VARCHAR AS content FROM events), l AS (SELECT id, any_value(user_id) AS user_id, arg_max(op, seq) AS op, arg_max(content, seq) AS content, coalesce(max(seq) FILTER (op='delete'),-1) AS gone FROM c GROUP BY 1), st AS (SELECT l.id, user_id, (SELECT min(seq) FROM c WHERE c.id=l.id AND c.op='put' AND c.seq>gone) AS place, content FROM l WHERE op='put')"
 ORACLE = {
+    "I16_compress_gate": f"WITH {U}, s AS (SELECT id, content, trim(string_split(content,'.')[1], chr(10)||chr(9)||chr(13)||' ') AS s FROM u), k AS (SELECT * FROM s WHERE NOT (upper(s)='SKIP' OR (len(regexp_split_to_array(s,'\\s+'))<3 AND length(s)<0.3*length(content)))) SELECT id, md5(s) AS digest FROM k",
     "T02_session_buffer": f"WITH {T}, b AS (SELECT conv_id AS key, turn AS seq, {_BUFFER} AS m FROM t) SELECT key, seq, md5(CASE WHEN m IS NULL THEN 'No previous memory.' WHEN length(m)>800 THEN right(m,800) ELSE m END) AS digest FROM b",
     "T03_belief_state": f"WITH {S} SELECT key, event_type AS name, min(seq)::INT AS first, max(seq)::INT AS last, arg_max(CASE WHEN value>50 THEN 'accept' ELSE 'reject' END, seq) AS verdict, array_to_string((list(event_id::VARCHAR ORDER BY seq))[1:3], ',') AS evidence FROM s GROUP BY 1,2",
     "T04_T09_capped_store": f"WITH {_LOG} SELECT user_id AS key, id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY place DESC, id DESC) AS r FROM st) WHERE r<=2",
@@ -150,7 +151,7 @@ ORACLE = {
     "S15_manifest_scan": "SELECT item_id AS pos, doc_id AS idx, lang FROM (SELECT item_id, (item_id*7)%200 AS i FROM benchmark ORDER BY item_id LIMIT 25) JOIN documents ON doc_id=i",
     "S16_S14_sessions": f"WITH {T} SELECT conv_id AS id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn)-1)::INT AS session, md5(content) AS question, md5(content) AS gold, 'same' AS background FROM t",
     "S17_titled_corpus": "SELECT c_mktsegment AS title, min(c_custkey) AS seq, md5(string_agg(c_name, chr(10) ORDER BY c_custkey)) AS digest FROM customer GROUP BY 1",
-    "S21_S22_S30_digest_keys": "WITH e AS (SELECT s_nationkey, sha256(s_suppkey||chr(31)||coalesce(s_name,'')) AS h FROM supplier) SELECT s_nationkey, count(*) AS n, sha256(string_agg(h, chr(30) ORDER BY h)) AS digest FROM e GROUP BY 1",
+    "S21_S22_S30_digest_keys": "WITH e AS (SELECT s_nationkey, sha256(s_suppkey||chr(31)||coalesce(s_name,'')) AS h FROM supplier) SELECT s_nationkey, count(*) AS n, sha256(count(*)||chr(30)||sum(('0x'||substr(h,1,15))::HUGEINT)||chr(30)||sum(('0x'||substr(h,16,15))::HUGEINT)) AS digest FROM e GROUP BY 1",
     "S24_latest_results": f"WITH {S} SELECT key, event_type, max(event_id) AS event_id FROM s GROUP BY ALL",
     "S27_visible_text": "WITH p AS (SELECT page_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html,''),'(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>',' ','g'),'(?s)<[^>]+>',' ','g'),'\\s+',' ','g')),1,200000) AS t FROM pages) SELECT page_id, md5(t) AS digest, length(t) AS chars FROM p",
     "S28_first_urls": "WITH r AS (SELECT page_id AS call, 0 AS pos, url FROM pages UNION ALL SELECT page_id+1, 1, url FROM pages) SELECT call, pos, url FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY call, pos) AS k FROM r) WHERE k=1",

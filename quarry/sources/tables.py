@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.answers import valid_json
+
 
 def json_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """Rows of JSON lines; a bad line fails the read, or is left out."""
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+    """Rows of JSON lines; a line that is no JSON as a whole fails the read, or is left out. Blank lines are left out."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    found = valid_json(F.col("value"))
+    whole = F.when(found.isNull(), F.raise_error(F.concat(F.lit("no JSON: "), F.col("value")))).otherwise(found) if strict else found
+    return lines.select(F.from_json(whole, schema).alias("row")).where("row is not null").select("row.*")
 
 
 def write_json_lines(rows: DataFrame, path: str, append: bool = False) -> None:
@@ -66,10 +71,12 @@ def titled_corpus(rows: DataFrame) -> DataFrame:
     return rows.groupBy("title").agg(F.min("seq").alias("seq"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "body"))), lambda r: r["body"]), "\n").alias("body"))
 
 
-def ordered_digest(rows: DataFrame, by: str, id_: str, content: str) -> DataFrame:
-    """A digest of each group that doesn't depend on the order of its rows (a key for stored indexes)."""
+def unordered_digest(rows: DataFrame, by: str, id_: str, content: str) -> DataFrame:
+    """A digest of each group that doesn't depend on the order of its rows (a key for stored indexes): of the rows' number and the sums of two 60-bit parts of their hashes, which combine before the shuffle."""
     each = F.sha2(F.concat_ws("\x1f", F.col(id_).cast("string"), F.coalesce(content, F.lit(""))), 256)
-    return rows.groupBy(by).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(each)), "\x1e"), 256).alias("digest"))
+    part = lambda at: F.sum(F.conv(F.substring("_h", at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    sums = rows.select(by, each.alias("_h")).groupBy(by).agg(F.count("*").alias("n"), part(1).alias("_a"), part(16).alias("_b"))
+    return sums.select(by, "n", F.sha2(F.concat_ws("\x1e", F.col("n").cast("string"), "_a", "_b"), 256).alias("digest"))
 
 
 def unseen(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

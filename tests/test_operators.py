@@ -96,7 +96,8 @@ def test_patterns_and_plans(spark):
     assert rows.where(F.col("content").rlike(plan.safe_pattern(""))).count() == 0
     p = plan.SearchPlan.of({"queries": [str(i) for i in range(20)] + ["1"], "filters": list("abcdefgh"), "graph_queries": [{"template": "drop_all"}]})
     assert (len(p.queries), len(p.filters), p.graph_queries) == (8, 6, [])
-    assert plan.read_only("MATCH (n) RETURN n") and not plan.read_only("MATCH (n) DELETE n")
+    said = ["MATCH (n) RETURN n", "MATCH (n) DELETE n", "MATCH (n) WHERE n.x = 'load' RETURN n", "load  csv from 'x' return 1", "SHOW x", " ", None]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in said], "q string").select(plan.read_only(F.col("q"))).collect()] == [True, False, True, False, False, False, False]
 
 
 def test_json_lines(spark, tmp_path):
@@ -127,11 +128,11 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {r["key"]: r["q"] for r in sessions.utilities(rows).collect()}
 
 
-def test_quotas_fill_evenly():
-    from quarry.operators.records import water_filled
-
-    assert water_filled({"a": 2, "b": 10, "c": 10}, 12) == {"a": 2, "b": 5, "c": 5}
-    assert water_filled({"a": 1}, 5) == {"a": 1} and water_filled({}, 3) == {}
+def test_quotas_fill_evenly(spark):
+    rows = spark.createDataFrame([(g, i) for g, n in (("a", 2), ("b", 10), ("c", 10)) for i in range(n)], "grp string, id int")
+    got = sorted(tuple(r) for r in windows.water_filled(rows, "grp", "id", 12).collect())
+    assert got == [("a", 0), ("a", 1)] + [(g, i) for g in "bc" for i in range(5)]
+    assert windows.water_filled(rows.where("grp = 'a'"), "grp", "id", 5).count() == 2 and windows.water_filled(rows.where("false"), "grp", "id", 3).count() == 0
 
 
 def test_answers(spark):
@@ -216,3 +217,250 @@ def test_page_rank_converges(spark, sf):
     got = {r["node"]: r["score"] for r in registry.queries()["R11_page_rank_converged"](spark, sf).collect()}
     assert set(got) == {v for v, x in expected.items() if x > 0}
     assert all(got[v] == pytest.approx(expected[v], abs=2e-8) for v in got)
+
+
+def test_substrings_by_grams(spark):
+    """Words within runs and whole queries within texts, against brute force; of one, two and more characters, and beyond ASCII."""
+    import random
+
+    from quarry.operators import retrieval
+
+    r = random.Random(3)
+    texts = [(i, "".join(r.choice("abAB1 é-\n") for _ in range(r.randint(0, 40)))) for i in range(150)]
+    words = ["a", "ab", "1b", "bab", "abab", "baba", "zz", "aabb"]
+    units = spark.createDataFrame(texts, "id int, content string")
+    got = {tuple(x) for x in retrieval.holding(units, spark.createDataFrame([(w,) for w in words], "term string")).collect()}
+    assert got == {(w, i) for i, t in texts for w in words if w in t.lower()} and len(got) > 50
+    queries = [(k, q) for k, q in enumerate(["a b", "é-", " 1 ", "b\na", "ab é", "-", "bé a1"])]
+    asked = spark.createDataFrame(queries, "query_id int, q string")
+    low = units.select("id", F.lower("content").alias("low"))
+    got = {tuple(x) for x in retrieval.containing(low, asked).collect()}
+    assert got == {(k, i) for i, t in texts for k, q in queries if q in t.lower()}
+    assert "NestedLoop" not in retrieval.containing(low, asked)._jdf.queryExecution().toString()
+
+
+def test_plan_without_hits_ranks_by_the_question(spark):
+    rows = spark.createDataFrame([(1, "alpha beta"), (2, "beta"), (3, "gamma")], "id int, content string")
+    p = plan.SearchPlan.of({"queries": ["delta"], "filters": ["nowhere"], "read_ids": [], "top_k": 2})
+    assert [(r["id"], r["score"]) for r in plan.execute(rows, p, "alpha beta").orderBy("rank").collect()] == [(1, 1.0), (2, 0.5)]
+    read = plan.SearchPlan.of({"queries": ["delta"], "filters": ["nowhere"], "read_ids": [3], "top_k": 2})
+    assert [(r["id"], r["score"], r["matches"]) for r in plan.execute(rows, read, "alpha").collect()] == [(3, 1.0, [])]
+    steps = spark.createDataFrame([(1, "Step 3: go"), (2, "step three")], "id int, content string")
+    hits = plan.execute(steps, plan.SearchPlan.of({"queries": [r"Step\\s+3\\s*:".replace("\\\\", "\\")]}), "x").collect()
+    assert [r["id"] for r in hits] == [1] and hits[0]["score"] > 2
+
+
+def test_titles_have_dates_too(spark):
+    rows = spark.createDataFrame([(1, "x", "on 2024-02-01"), (2, "of 2024-01-01", "none"), (3, "x", "x")], "id int, title string, content string")
+    assert [(r["id"], r["date"]) for r in plan.temporal_order(rows).orderBy("rank").collect()] == [(2, "2024-01-01"), (1, "2024-02-01")]
+
+
+def test_expansion_is_bounded(spark):
+    """By breadth-first search in plain Python, with more seeds than may come and without neighbours."""
+
+    def walk(adjacency, seeds, detail, most):
+        numbers = [int("".join(g)) for d, g in __import__("itertools").groupby(detail, str.isdigit) if d]
+        depth = min(3, max(1, max(numbers, default=1)))
+        found, level = list(seeds[:most]), list(seeds)
+        for _ in range(depth):
+            level, before = [], level
+            for n in before:
+                for m in adjacency.get(n, []):
+                    if m not in found:
+                        found.append(m)
+                        level.append(m)
+                        if len(found) >= most:
+                            return found
+        return found
+
+    import random
+
+    r = random.Random(5)
+    adjacency = {n: r.sample(range(40), r.randint(0, 4)) for n in range(30)}
+    edges = spark.createDataFrame([(n, i, m) for n, ms in adjacency.items() for i, m in enumerate(ms)], "node int, pos int, neighbour int")
+    cases = [(0, [1], "", 8), (1, [2, 3], "2 hops", 8), (2, list(range(12)), "9", 8), (3, [39], "3", 8), (4, [4, 5, 6, 7, 8, 9, 10, 11], "depth 3", 8), (5, [20], "within 30", 8)]
+    seeds = spark.createDataFrame([(q, i, n) for q, ns, _, _ in cases for i, n in enumerate(ns)], "query_id int, pos int, node int")
+    details = spark.createDataFrame([(q, d) for q, _, d, _ in cases], "query_id int, detail string")
+    got = {}
+    for x in plan.bounded_expand(edges, seeds, details, 8).orderBy("query_id", "place").collect():
+        got.setdefault(x["query_id"], []).append(x["node"])
+    assert got == {q: walk(adjacency, ns, d, most) for q, ns, d, most in cases}
+
+
+def test_search_loop_asks_again(spark):
+    from quarry.operators import search
+
+    rows = spark.createDataFrame([(i, f"record {i} " + ("red" if i % 2 else "blue")) for i in range(6)], "id int, content string")
+    asked, hints = [], []
+
+    def planner(question, hint):
+        hints.append(hint)
+        return {"queries": ["blue" if hint else "red"], "filters": ["blue" if hint else "red"], "use_dump": True, "top_k": 2}
+
+    def judge(question, seen):
+        asked.append(seen)
+        return {"sufficient": len(asked) > 2, "why_more": "something blue"}
+
+    run = lambda v, **more: [(r["round"], r["kind"], r["id"]) for r in search.search(rows, "which colour", planner, judge, search.VARIANTS[v], dump=lambda d, q: "all", **more).collect()]
+    assert run("full") == [(0, "dump", "dump"), (0, "record", "1"), (0, "record", "3"), (1, "record", "0"), (1, "record", "2"), (2, "record", "0"), (2, "record", "2")]
+    assert hints == ["", "something blue", "something blue"]
+    assert run("single") == [(0, "record", "1"), (0, "record", "3")]
+    caches, before = search.Caches(), len(hints)
+    assert run("u3", caches=caches) == run("u3", caches=caches) and len(hints) == before + 1
+
+
+def test_named_sources(tmp_path, spark):
+    from quarry.sources import registry as sources
+
+    known = sources.Sources()
+    known.register(sources.Source("Dialogues", lambda s, p: s.range(3).withColumn("domain", F.when(F.col("id") > 0, "x")), category="talk", axes=("recall",), variants=("b", "a")), "talks")
+    assert known.available() == ["dialogues", "talks"] and known.by_category() == {"talk": ["dialogues", "talks"]} and known.by_category(canonical=True) == {"talk": ["Dialogues"]}
+    assert known.describe(" TALKS ")["variants"] == ["a", "b"] and known.read("talks", spark, "", "x").count() == 2
+    with pytest.raises(KeyError):
+        known.get("none")
+
+
+def test_vector_store_after_clear(spark, tmp_path):
+    from quarry.sources.stores import VectorStore
+
+    store = VectorStore(spark, f"file://{tmp_path}/v")
+    rows = spark.createDataFrame([(1, "red car"), (2, "blue boat"), (3, None)], "id long, content string")
+    assert store.count() == 0
+    store.add(rows)
+    store.delete(spark.createDataFrame([(2,), (9,)], "id long"))
+    asked = spark.createDataFrame([(0, "red car"), (1, " ")], "query_id int, query string")
+    assert [(r["query_id"], r["id"], r["score"]) for r in store.search(asked, 1).collect()] == [(0, 1, 1.0)]
+    assert VectorStore(spark, f"file://{tmp_path}/v").count() == 2
+    store.clear()
+    assert store.count() == 0 and store.search(asked, 3).count() == 0
+
+
+def test_packers_by_brute_force(spark, sf):
+    """Paragraphs and lines packed one by one in plain Python."""
+    import hashlib
+
+    from quarry.plans import registry
+
+    def packed(blocks, limit, joint):
+        done, held = [], ""
+        for b in blocks:
+            if len(b) > limit:
+                done += [held] if held else []
+                done += [b[i : i + limit] for i in range(0, len(b), limit)]
+                held = ""
+            elif held and len(held) + len(joint) + len(b) > limit:
+                done.append(held)
+                held = b
+            else:
+                held = held + joint + b if held else b
+        return done + ([held] if held else [])
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for limit, joint, name, value in ((600, "\n\n", "I05_I06_paragraph_packer", lambda t: hashlib.md5(t.encode()).hexdigest()), (6000, "\n", "I10_I07_experiences", len)):
+        expected = {(i, k, value(t)) for i, text in texts.items() for k, t in enumerate(packed([b.strip(" ") for b in text.split("\n") if b.strip(" ")], limit, joint))}
+        assert {(r["id"], r["chunk"], r["digest"] if "digest" in r else r["chars"]) for r in registry.queries()[name](spark, sf).collect()} == expected
+
+
+def test_rouge_and_bleu_by_brute_force(spark):
+    import random
+    from collections import Counter
+
+    from quarry.functions import scores
+
+    r = random.Random(2)
+    pairs = [([r.choice("abcd") for _ in range(r.randint(0, 9))], [r.choice("abcd") for _ in range(r.randint(0, 9))]) for _ in range(60)]
+
+    def common(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            row = [0] + [max(old + 1 if a == b else 0, up, 0) for old, up, b in zip(row, row[1:], y, strict=False)]
+            for i in range(1, len(row)):
+                row[i] = max(row[i], row[i - 1])
+        return row[-1]
+
+    def rouge(x, y):
+        if not x and not y:
+            return 1.0
+        n = common(x, y)
+        return 0.0 if not n else 2 * (n / len(x)) * (n / len(y)) / (n / len(x) + n / len(y))
+
+    def bleu(x, y, order):
+        if not x or not y:
+            return 0.0
+        total = 0.0
+        for n in range(1, order + 1):
+            p, q = Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1)), Counter(tuple(y[i : i + n]) for i in range(len(y) - n + 1))
+            if p:
+                total += math.log((sum(min(c, q[g]) for g, c in p.items()) + 0.1) / (sum(p.values()) + 0.1)) / order
+        return math.exp(total) * (1.0 if len(x) > len(y) else math.exp(1 - len(y) / len(x)))
+
+    rows = spark.createDataFrame(pairs, "a array<string>, b array<string>")
+    got = rows.select("a", "b", scores.rouge_l(F.col("a"), F.col("b")).alias("r"), *(scores.bleu(F.col("a"), F.col("b"), n).alias(f"b{n}") for n in (1, 4))).collect()
+    for x in got:
+        assert (x["r"], x["b1"], x["b4"]) == (pytest.approx(rouge(x["a"], x["b"])), pytest.approx(bleu(x["a"], x["b"], 1)), pytest.approx(bleu(x["a"], x["b"], 4)))
+
+
+def test_entity_ranks_by_brute_force(spark):
+    """C8: personalised ranks over triples and the units that hold their entities."""
+    from quarry.plans import configs
+
+    texts = {1: "red car drives fast. big dog sees car.", 2: "old boat carries dog. car likes boat.", 3: "none.", 4: "sun warms old boat"}
+    units = spark.createDataFrame(list(texts.items()), "id long, content string")
+    queries = spark.createDataFrame([(0, "where is the dog"), (1, "Red Boat"), (2, "nothing here")], "query_id long, query string")
+    edges = {}
+    for i, t in texts.items():
+        held = set()
+        for s in t.split("."):
+            w = s.split()
+            if len(w) >= 3:
+                a, b = w[0].lower(), w[-1].lower()
+                held |= {a, b}
+                if a != b:
+                    for x, y in ((f"e:{a}", f"e:{b}"), (f"e:{b}", f"e:{a}")):
+                        edges[x, y] = edges.get((x, y), 0.0) + 1.0
+        for e in held:
+            for x, y in ((f"u:{i}", f"e:{e}"), (f"e:{e}", f"u:{i}")):
+                edges[x, y] = edges.get((x, y), 0.0) + 0.05
+    known = {a[2:] for a, _ in edges if a.startswith("e:")}
+    expected = {}
+    for q, text in ((0, "where is the dog"), (1, "Red Boat"), (2, "nothing here")):
+        seeds = [f"e:{w}" for w in set(text.lower().split()) & known]
+        rank = {s: 1 / len(seeds) for s in seeds}
+        out = {}
+        for (a, _), w in edges.items():
+            out[a] = out.get(a, 0.0) + w
+        for _ in range(60 if seeds else 0):
+            new = {s: 0.5 / len(seeds) for s in seeds}
+            for (a, b), w in edges.items():
+                new[b] = new.get(b, 0.0) + 0.5 * rank.get(a, 0.0) * w / out[a]
+            rank = new
+        expected |= {(q, int(n[2:])): x for n, x in rank.items() if n.startswith("u:") and round(x, 6) > 0}
+    got = {(r["query_id"], r["id"]): r["score"] for r in configs.build("C8")(units, queries, 5).collect()}
+    assert set(got) == set(expected) and all(got[k] == pytest.approx(expected[k], abs=3e-6) for k in got)
+
+
+def test_late_interaction_and_reasoner(spark):
+    from quarry.plans import configs
+
+    units = spark.createDataFrame([(1, "red car drives"), (2, "blue boat swims"), (3, "")], "id long, content string")
+    queries = spark.createDataFrame([(0, "what drives the red car")], "query_id long, query string")
+    for name, first in (("C6", 100), ("C7", 100), ("C8", 1), ("C9", 100_000)):
+        assert configs.build(name)(units, queries, 1).first()["id"] == first, name
+    listed = configs.reasoned(units, queries, 3, lambda prompts: ["2, then 1 and 77" for _ in prompts])
+    assert [(r["id"], r["score"]) for r in listed.orderBy("rank").collect()] == [(2, 1.0), (1, 0.5)]
+
+
+def test_empty_report(spark):
+    from quarry.functions import reports
+
+    row = spark.createDataFrame([(None,), ("# STATES\nobject_states:\n- name: a",)], "t string").select(reports.parsed(F.col("t")).alias("r")).collect()
+    assert row[0]["r"]["objectives"] == [] and row[0]["r"]["objects"] == [] and row[0]["r"]["env_changed"] is False
+    assert [o["name"] for o in row[1]["r"]["objects"]] == ["a"]
+
+
+def test_episodes_end(spark):
+    from quarry.operators.methods import Fused, Method
+
+    m = Method(lambda d: d, Fused(()))
+    assert m.run_episode(lambda a: (a.upper(), a == "c"), lambda seen: "abc"[len(seen)]) == [("a", "A"), ("b", "B"), ("c", "C")]
+    assert len(m.run_episode(lambda a: ("", False), lambda seen: "x", most=4)) == 4 and m.counters["steps"] == 7
