@@ -10,15 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def bind(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once: a lambda variable is never inlined."""
-    return F.transform(F.array(value), body)[0]
+from quarry.functions.text import let
 
 
 def _numbered(tokens: Column) -> Column:
     """Each token with how many equal ones come before it, so that a set of them stands for the multiset."""
-    return bind(F.array_sort(tokens), lambda s: F.transform(s, lambda t, i: F.concat(t, F.lit("\x1f"), (i + 1 - F.array_position(s, t)).cast("string"))))
+    return let(F.array_sort(tokens), lambda s: F.transform(s, lambda t, i: F.concat(t, F.lit("\x1f"), (i + 1 - F.array_position(s, t)).cast("string"))))
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -33,6 +33,18 @@ def without(tokens: Column, stop: list[str]) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(stop))
 
 
+def counted(tokens: Column) -> Column:
+    """Each token with how often it stands (term, tf): run lengths of the sorted tokens, within the row."""
+    starts = lambda s: F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (F.get(s, i - 1) != t), i)), lambda i: i.isNotNull())
+    runs = lambda s, at: F.transform(at, lambda a, k: F.struct(F.get(s, a).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - a).cast("long").alias("tf")))
+    return let(F.array_sort(tokens), lambda s: let(starts(s), lambda at: runs(s, at)))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: a lambda variable is never inlined."""
+    return F.transform(F.array(value), body)[0]
+
+
 def terms(text: Column, stop: list[str] | None = None) -> Column:
     """Tokens for lexical ranking; none at all count as one empty token."""
     found = words(text) if stop is None else without(words(text), stop)

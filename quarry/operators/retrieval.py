@@ -13,10 +13,23 @@ from quarry.functions import text as X
 from quarry.operators.ranking import keep_best, standard_score, top
 
 
+def _counted(units: DataFrame, tokens: Column) -> DataFrame:
+    """id and ``t``: a unit's length and its terms with how often each stands, counted within the row, so nothing is shuffled."""
+    return units.select("id", X.let(tokens, lambda t: F.struct(F.size(t).alias("length"), X.counted(t).alias("terms"))).alias("t"))
+
+
 def postings(units: DataFrame, tokens: Column) -> DataFrame:
     """term, id, tf and the unit's length."""
-    rows = units.select("id", tokens.alias("tokens"))
-    return rows.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+    return _counted(units, tokens).select("id", "t.length", F.explode("t.terms").alias("p")).select("p.term", "id", "length", "p.tf")
+
+
+def _statistics(units: DataFrame, tokens: Column) -> tuple[DataFrame, DataFrame]:
+    """(term, df), and one row of the number of units and their mean length: one pass, in which each unit counts as a term of its own kind."""
+    told = _counted(units, tokens)
+    each = F.concat(F.transform("t.terms", lambda p: F.struct(p["term"].alias("term"), F.lit(0).alias("length"), F.lit(False).alias("whole"))), F.array(F.struct(F.lit("").alias("term"), F.col("t.length").alias("length"), F.lit(True).alias("whole"))))
+    # "whole" is asked for after the sums, so that both uses share them.
+    sums = told.select(F.explode(each).alias("e")).groupBy("e.term", "e.whole").agg(F.count("*").alias("df"), F.sum("e.length").alias("total"), F.max(F.col("e.whole")).alias("unit"))
+    return sums.where("not unit").select("term", "df"), sums.where("unit").select(F.col("df").alias("units"), (F.col("total") / F.col("df")).alias("mean"))
 
 
 def query_terms(queries: DataFrame, tokens: Column, distinct: bool = False) -> DataFrame:
@@ -27,27 +40,24 @@ def query_terms(queries: DataFrame, tokens: Column, distinct: bool = False) -> D
 
 def bm25(units: DataFrame, queries: DataFrame, k: int, unit_tokens: Column, tokens: Column, fill: bool = True, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
     """Okapi BM25 with a floor for common terms: a negative idf becomes ``floor`` times the mean idf. ``fill``: units without a match score 0."""
-    posted = postings(units, unit_tokens)
-    sizes = units.select(F.size(unit_tokens).alias("n")).agg(F.count("*").alias("units"), F.avg("n").alias("mean"))
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
+    df, sizes = _statistics(units, unit_tokens)
     idf = df.join(F.broadcast(sizes)).withColumn("idf", F.log(F.col("units") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # sizes is one row
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
     wanted = query_terms(queries, tokens)
     weights = idf.join(wanted, "term").join(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, floor * F.col("mean_idf")).otherwise(F.col("idf")))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = posted.join(weights, "term").select("query_id", "id", part.alias("part")).groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
-    if fill:
-        scored = _filled(scored, units, queries, k)
-    else:
-        scored = scored.where("score > 0")
-    return top(scored, k, ["query_id"])
+    scored = postings(units, unit_tokens).join(weights, "term").select("query_id", "id", part.alias("part")).groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    if not fill:
+        return top(scored.where("score > 0"), k, ["query_id"])
+    return _filled(scored, lambda some: postings(some, unit_tokens).join(wanted, "term"), units, queries, k)
 
 
-def _filled(scored: DataFrame, units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Units without a score count 0. Only the first k ids can be needed to fill a list up."""
+def _filled(scored: DataFrame, matches, units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best of each query; units without a match score 0. Only the first k ids can be needed to fill a list up, and only these are asked (``matches``) whether they match."""
     first = units.select("id").orderBy("id").limit(k)
     zeros = queries.select("query_id").join(F.broadcast(first)).withColumn("score", F.lit(0.0))  # k rows
-    return scored.unionByName(zeros.join(scored, ["query_id", "id"], "left_anti"))
+    known = matches(units.join(F.broadcast(first), "id", "left_semi")).select("query_id", "id").distinct()
+    return top(scored.unionByName(zeros.join(known, ["query_id", "id"], "left_anti")), k, ["query_id"])
 
 
 def _grams(word: Column) -> Column:
@@ -58,28 +68,29 @@ def _grams(word: Column) -> Column:
 
 
 def _inside(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
-    """(term, run): runs of a vocabulary (run) that hold a word (term).
+    """(run, terms): for runs of a vocabulary (run) the words (term) that they hold.
 
-    A word is looked up by the rarest of its longest grams (three characters, or the whole word where it is shorter), so
-    runs and words meet on equal grams, never as all pairs.
+    A word is looked up by one of its longest grams (three characters, or the whole word where it is shorter), of those the
+    one that fewest words have; so runs and words meet on equal grams, never as all pairs.
     """
     wanted = words.select("term").where("term <> ''").distinct()
     width = F.least(F.length("term"), F.lit(3))
     keys = wanted.select("term", F.explode(F.filter(_grams(F.col("term")), lambda g: F.length(g) == width)).alias("gram"))
-    grams = vocabulary.select("run", F.explode(_grams(F.col("run"))).alias("gram")).join(keys.select("gram").distinct(), "gram", "left_semi")
-    rare = keys.join(grams.groupBy("gram").agg(F.count("*").alias("n")), "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    return grams.join(rare, "gram").where("contains(run, term)").select("term", "run")
+    rare = keys.join(keys.groupBy("gram").agg(F.count("*").alias("n")), "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    held = vocabulary.select("run", F.explode(_grams(F.col("run"))).alias("gram")).join(rare, "gram").where("contains(run, term)")
+    return held.groupBy("run").agg(F.collect_list("term").alias("terms"))
 
 
 def holding(units: DataFrame, words: DataFrame, runs: Column | None = None) -> DataFrame:
     """(term, id): units whose text holds a word (term) as a substring.
 
     A word lies within one run of the text (by default of letters and digits, of which the words then consist), so it is
-    looked for in the vocabulary of runs, not in the texts.
+    looked for in the vocabulary of runs, not in the texts. A unit's words are gathered in one row.
     """
     found = X.words(F.col("content")) if runs is None else runs
     posted = units.select("id", F.explode(F.array_distinct(found)).alias("run"))
-    return posted.join(_inside(posted.select("run").distinct(), words), "run").select("term", "id").distinct()
+    held = posted.join(_inside(posted.select("run").distinct(), words), "run").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+    return held.select(F.explode("terms").alias("term"), "id")
 
 
 def containing(texts: DataFrame, queries: DataFrame) -> DataFrame:
@@ -101,7 +112,7 @@ def substring(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     # A text with the phrase has all its words.
     whole = hits.where("hits = n").join(units.select("id", F.lower("content").alias("low")), "id").where("contains(low, phrase)").select("query_id", "id", F.lit(0.3).alias("bonus"))
     scored = hits.join(whole, ["query_id", "id"], "left").select("query_id", "id", F.round(F.col("hits") / F.col("n") + F.coalesce("bonus", F.lit(0.0)), 6).alias("score"))
-    return top(_filled(scored, units, queries, k), k, ["query_id"])
+    return _filled(scored, lambda some: holding(some, terms).join(terms, "term"), units, queries, k)
 
 
 def dot(a: Column, b: Column) -> Column:

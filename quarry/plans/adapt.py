@@ -16,9 +16,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: Below so many bytes a table may be a single row group, which one core reads.
+SMALL = 1 << 28
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """A small table dealt out by its key, so that all cores work on its texts; a larger one as it is read."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key) if size < SMALL else rows
+
+
 def units(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as units: id, content, lang, source."""
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"), "lang", "source")
+    return dealt(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"), "lang", "source"), "id")
 
 
 #: Whether queries are whole benchmark passages.
