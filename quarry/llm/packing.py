@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -133,19 +134,20 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marker = os.path.commonprefix(self.special)  # one look for most words
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.known: dict[bytes, bytes] = {b"": b""}
         self.older: dict[bytes, bytes] = {}
 
     def _move_up(self, words: set[bytes]) -> None:
-        older = self.older
-        self.known.update({w: older[w] for w in words if w in older})
+        if older := self.older:
+            self.known.update({w: older[w] for w in words if w in older})
 
     def _parts(self, word: bytes) -> tuple[bytes, bytes]:
         """A word in lower case, as the tokenizer takes it, and apart from it the marks at its end (no apostrophes) where an ASCII letter or digit is before them: they are a piece of their own. A word with an added token in it stays as it is, as only the token's own case counts."""
         low = word.lower()
-        if any(t in low for t in self.special):
+        if self.marker in low and any(t in low for t in self.special):
             return word, b""
         core = low.rstrip(MARKS)
         return (core, low[len(core) :]) if core[-1:].isalnum() else (low, b"")
