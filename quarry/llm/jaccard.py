@@ -8,10 +8,11 @@ either hold them. The filters use that in turn, each under another order, and on
 1. Order A (by hash), over all documents: a class stays if enough of its first third is shared with any other class.
 2. Order B (all tokens, those shared first), among the classes left: three quarters must be shared.
 3. The classes left are grouped by their first token under several more orders. Large groups are split by a hash. In a
-   task, links that join two groups of linked classes are found by comparing sets; links within one are implied.
+   task, links that join two groups of linked classes are found by comparing sets; links within one are implied. Only pairs
+   are compared that share a prefix token under each of two more orders.
 4. The same filter again, where only tokens shared with *another* component count. What is left is split into regions
    that such tokens connect in the prefixes of a rare-first order. A region is compared in blocks, across components
-   only, and a pair only if it also shares prefix tokens under two more orders.
+   only, and again only pairs that share prefix tokens under the two orders.
 
 Filters count marks, they never list pairs: postings travel as sorted binary blocks, each block sends a token once, and
 a token that a third of all rows hold costs one posting for each block. Every step loses no link, so components are exact.
@@ -19,7 +20,8 @@ a token that a third of all rows hold costs one posting for each block. Every st
 Defined results: a null or empty text, or one without words, has an empty set, is linked with nothing and is its own
 component; fewer than five words are one shingle; a null doc_id is carried, and its component is the least doc_id that
 links reach, null if none has one; repeated rows share a component; an empty table gives no rows; other columns are
-ignored. Hashes of 64 bits stand for shingles and sets.
+ignored. Hashes of 64 bits stand for shingles, of 128 bits for sets (of 64 in the first filter, which thereby could only
+miss a link between two sets of the same hash).
 """
 
 from __future__ import annotations
@@ -33,11 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import arrow_limits, lean_memory, narrow, spool
+from quarry.llm.postings import sizes
 
 WIDTH = 5
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Tokens in a block of postings, rows of a block (they are numbered with 16 bits), tokens for a task that counts them.
-BLOCK_TOKENS, BLOCK_ROWS, TASK_TOKENS = 600_000, 60_000, 300_000
+#: Tokens in a block of postings, rows of a block (they are numbered with 16 bits), tokens for a task that counts them; the first and last grow as ``postings.sizes`` tells.
+BLOCK_TOKENS, BLOCK_ROWS, TASK_TOKENS = 300_000, 60_000, 300_000
+#: The orders under each of which a pair must share a prefix token before it is compared.
+PAIR_ORDERS = (11, 12)
 #: The largest groups compared in one piece: of the same first token, and of a region.
 GROUP, UNIT = 256, 512
 
@@ -98,14 +103,15 @@ def _required(n: int) -> tuple[int, int]:
     return min(n, n - needed(n) + max(1, n // 12)), least
 
 
-def _marks(sets: Iterator[tuple[int, int, object]], buckets: int, whole: bool, first: int) -> Iterator[dict]:
-    """Blocks of postings. sets: (identity, class, sorted tokens); whole: all tokens count, not a prefix.
+def _marks(sets: Iterator[tuple[int, int, object, object]], total: int, whole: bool, first: int) -> Iterator[dict]:
+    """Blocks of postings. sets: (identity, class, key that tells sets apart, sorted tokens); whole: all tokens count, not a prefix.
 
     A row for each block (its classes, their sizes, and their marks from the block itself) and for each bucket of tokens
     one with the postings of one identity (token, row in block, identity) and the tokens that more identities share.
     """
     import numpy as np
 
+    most, buckets = sizes(total, BLOCK_TOKENS, TASK_TOKENS)
     block = first
     rows: list[tuple[int, int, int]] = []
     parts: list = []
@@ -135,16 +141,16 @@ def _marks(sets: Iterator[tuple[int, int, object]], buckets: int, whole: bool, f
             if i < j or p < q:
                 yield {"bucket": k, "block": block, "tokens": token_1[i:j].tobytes(), "rows": row_1[i:j].tobytes(), "idents": b"" if (own == [r[1] for r in rows]).all() else ident_1[i:j].tobytes(), "shared": token_2[p:q].tobytes()}
 
-    seen: set[int] = set()
-    for ident, cls, tokens in sets:
-        if cls in seen or not len(tokens):
+    seen: set = set()
+    for ident, cls, key, tokens in sets:
+        if key in seen or not len(tokens):
             continue
-        seen.add(cls)
+        seen.add(key)
         n = len(tokens)
         parts.append(tokens if whole else tokens[: _required(n)[0]])
         rows.append((ident, cls, n))
         size += len(parts[-1])
-        if size >= BLOCK_TOKENS or len(rows) >= BLOCK_ROWS:
+        if size >= most or len(rows) >= BLOCK_ROWS:
             yield from flush()
             block += 1
             rows, parts, size = [], [], 0
@@ -231,7 +237,7 @@ def _enough(whole: bool):
 
 def _filtered(blocks: DataFrame, total: int, whole: bool) -> DataFrame:
     """(cls, n) of the classes with marks enough."""
-    tasks = max(1, ceil(total / TASK_TOKENS))
+    _, tasks = sizes(total, BLOCK_TOKENS, TASK_TOKENS)
     met = blocks.repartition(tasks, "bucket").mapInArrow(_meet, _MET_SCHEMA)
     return met.repartition(tasks, "block").mapInArrow(_enough(whole), "cls long, n int").groupBy("cls").agg(F.max("n").alias("n"))
 
@@ -247,54 +253,57 @@ def _batches(rows: Iterator[dict], fields, size: int = 64) -> Iterator[pa.Record
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def _class_of(tokens) -> int:
-    from xxhash import xxh3_64_intdigest
+def _digest(tokens) -> tuple[int, int]:
+    """(lo, hi) of a set's 128-bit digest, which tells classes apart."""
+    from xxhash import xxh3_128_intdigest
 
-    return xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+    found = xxh3_128_intdigest(tokens.tobytes())
+    return (found & (1 << 64) - 1) - (1 << 63), (found >> 64) - (1 << 63)
 
 
 def members(docs: DataFrame) -> DataFrame:
-    """row (in reading order), doc_id, the size of its set and its class (null for an empty set), stored."""
+    """row (in reading order), doc_id, the size of its set and its digest (null for an empty set), stored."""
     arrow_limits(docs.sparkSession)
 
     def told(batches):
         shingles = Shingler()
         for batch in batches:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()), batch.column(2)], names=["doc_id", "n_shingles", "cls", "row"])
+            digests = [_digest(s) if len(s) else (None, None) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)), batch.column(2)], names=["doc_id", "n_shingles", "lo", "hi", "row"])
 
-    return spool(narrow(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()).mapInArrow(told, "doc_id long, n_shingles long, cls long, row long"), "members")
+    return spool(narrow(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()).mapInArrow(told, "doc_id long, n_shingles long, lo long, hi long, row long"), "members")
 
 
 def _first_filter(docs: DataFrame, total: int) -> DataFrame:
-    buckets = max(1, ceil(total * 0.35 / TASK_TOKENS))
+    """The lower halves (cls) of the digests whose sets pass; here these halves stand for the identities of sets."""
+    total = ceil(total * 0.35)
 
     def put(batches):
         from pyspark import TaskContext
 
         shingles = Shingler()
-        sets = ((c, c, s) for batch in batches for t in batch.column(0).to_pylist() if len(s := shingles(t)) for c in [_class_of(s)])
-        return _batches(_marks(sets, buckets, False, TaskContext.get().partitionId() << 24), _MARK_FIELDS)
+        sets = ((d[0], d[0], d, s) for batch in batches for t in batch.column(0).to_pylist() if len(s := shingles(t)) for d in [_digest(s)])
+        return _batches(_marks(sets, total, False, TaskContext.get().partitionId() << 24), _MARK_FIELDS)
 
-    return _filtered(narrow(docs, "text").mapInArrow(put, _MARK_SCHEMA), ceil(total * 0.35), False)
+    return _filtered(narrow(docs, "text").mapInArrow(put, _MARK_SCHEMA), total, False)
 
 
 def _whole_filter(sets: DataFrame, total: int, ident: str) -> DataFrame:
     """sets: cls, n, tokens and the identity; only tokens that another identity holds count."""
-    buckets = max(1, ceil(total / TASK_TOKENS))
 
     def put(batches):
         import numpy as np
         from pyspark import TaskContext
 
-        rows = ((i, c, np.frombuffer(t, np.uint64)) for batch in batches for i, c, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-        return _batches(_marks(rows, buckets, True, TaskContext.get().partitionId() << 24), _MARK_FIELDS)
+        rows = ((i, c, c, np.frombuffer(t, np.uint64)) for batch in batches for i, c, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+        return _batches(_marks(rows, total, True, TaskContext.get().partitionId() << 24), _MARK_FIELDS)
 
     return _filtered(sets.select(F.col(ident).alias("ident"), "cls", "tokens").mapInArrow(put, _MARK_SCHEMA), total, True)
 
 
 def _sets_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """cls, n and tokens of the chosen classes (cls, doc_id of a document that has it), stored."""
+    """cls, n and tokens of the chosen classes (cls, lo, hi, doc_id of a document that has it), stored."""
     named = chosen.select(F.col("doc_id").alias("name")).distinct()
     texts = narrow(docs, "doc_id", "text").join(named, F.col("doc_id").eqNullSafe(F.col("name")), "left_semi").select("text")
 
@@ -302,9 +311,10 @@ def _sets_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
         shingles = Shingler()
         for batch in batches:
             sets = [shingles(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "n", "tokens"])
+            digests = [_digest(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([*(pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["lo", "hi", "n", "tokens"])
 
-    found = texts.mapInArrow(told, "cls long, n int, tokens binary").join(chosen.select("cls"), "cls", "left_semi")
+    found = texts.mapInArrow(told, "lo long, hi long, n int, tokens binary").join(chosen.select("cls", "lo", "hi"), ["lo", "hi"])
     return spool(found.groupBy("cls").agg(F.max("n").alias("n"), F.max("tokens").alias("tokens")), "sets")
 
 
@@ -316,14 +326,16 @@ def _alike(a, b) -> bool:
     return 100 * both >= 75 * (len(a) + len(b) - both)
 
 
-def _linked_in(classes: list[int], sets: list[frozenset]) -> Iterator[tuple[int, int]]:
-    """Links that span the components of one group; a class is compared with a component until one member links."""
+def _linked_in(classes: list[int], arrays: list) -> Iterator[tuple[int, int]]:
+    """Links that span the components of one group; a class is compared with a component until one member links, and only with members that share a prefix token under each of ``PAIR_ORDERS``."""
+    sets = [frozenset(a.tolist()) for a in arrays]
+    fronts = [_prefixes(a, PAIR_ORDERS) for a in arrays]
     components: list[list[int]] = []
     for i in range(len(classes)):
         mine = [i]
         apart = []
         for c in components:
-            if any(_alike(sets[i], sets[j]) for j in c):
+            if any(_meeting(fronts[i], fronts[j]) and _alike(sets[i], sets[j]) for j in c):
                 yield classes[i], classes[c[0]]
                 mine = c + mine
             else:
@@ -331,6 +343,11 @@ def _linked_in(classes: list[int], sets: list[frozenset]) -> Iterator[tuple[int,
         components = [*apart, mine]
 
 
+def _meeting(a: list[frozenset], b: list[frozenset]) -> bool:
+    """Whether two sets' prefixes meet under every order."""
+    return not any(x.isdisjoint(y) for x, y in zip(a, b, strict=True))
+
+
 def _group_links(sets: DataFrame, order: int) -> DataFrame:
     """Links found among the classes with the same first token under an order."""
 
@@ -342,15 +359,15 @@ def _group_links(sets: DataFrame, order: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("cls")], names=["key", "cls"])
 
     keys = spool(sets.select("cls", "tokens").mapInArrow(keyed, "key long, cls long"), "keys")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").withColumn("parts", F.ceil(F.col("k") / GROUP).cast("int"))
-    grouped = keys.join(sizes, "key").select("cls", F.xxhash64("key", F.pmod(F.xxhash64("cls", F.lit(order)), F.col("parts"))).alias("group"))
+    counts = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").withColumn("parts", F.ceil(F.col("k") / GROUP).cast("int"))
+    grouped = keys.join(counts, "key").select("cls", F.xxhash64("key", F.pmod(F.xxhash64("cls", F.lit(order)), F.col("parts"))).alias("group"))
     together = sets.join(grouped, "cls").select("group", "cls", "tokens").repartition(F.col("group")).sortWithinPartitions("group", "cls")
 
     def links(batches):
         import numpy as np
 
         for held in _runs(batches, 3):
-            found = list(_linked_in([c for c, _ in held], [frozenset(np.frombuffer(t, np.uint64).tolist()) for _, t in held]))
+            found = list(_linked_in([c for c, _ in held], [np.frombuffer(t, np.uint64) for _, t in held]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
@@ -373,13 +390,27 @@ def components(links: DataFrame, seed: DataFrame | None = None) -> DataFrame:
 
 
 def _regions(left: DataFrame) -> DataFrame:
-    """(cls, region): classes that prefix tokens of different components connect, under the order: tokens of one component, then rare ones."""
-    token = left.select("cls", "comp", "n", F.explode(_longs("tokens")).alias("token"))
-    df = token.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).select("token", "df", (F.col("lo") != F.col("hi")).alias("crossing"))
-    line = F.sort_array(F.collect_list(F.struct("crossing", "df", "token")))
-    room = (F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1).cast("int")
-    prefix = token.join(df, "token").groupBy("cls", "n").agg(line.alias("line")).select("cls", F.explode(F.filter(F.slice("line", F.lit(1), room), lambda t: t["crossing"])).alias("t")).select("cls", "t.token")
-    first = prefix.groupBy("token").agg(F.min("cls").alias("b"))
+    """(cls, region): classes that prefix tokens of different components connect, under the order: tokens of one component, then rare ones.
+
+    Only tokens of several components connect; those of one come first in a prefix, so it is enough to know how many they are.
+    """
+
+    def each(batches):
+        import numpy as np
+
+        for batch in batches:
+            for cls, comp, n, t in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                tokens = np.frombuffer(t, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), v, k)) for v, k in ((cls, np.int64), (comp, np.int64), (n, np.int32))] + [pa.array(tokens)], names=["cls", "comp", "n", "token"])
+
+    token = left.select("cls", "comp", "n", "tokens").mapInArrow(each, "cls long, comp long, n int, token long")
+    sums = token.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    crossing = spool(sums.where("lo <> hi").select("token", "df"), "crossing")  # read again, so that Spark may split a token that very many classes hold
+    line = F.sort_array(F.collect_list(F.struct("df", "token")))
+    held = token.join(crossing, "token").groupBy("cls", "n").agg(line.alias("line"))
+    room = F.greatest(F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1 - (F.col("n") - F.size("line")), F.lit(0)).cast("int")
+    prefix = spool(held.select("cls", F.explode(F.slice("line", F.lit(1), room)).alias("t")).select("cls", "t.token"), "prefix")
+    first = spool(prefix.groupBy("token").agg(F.min("cls").alias("b")), "first")
     return components(prefix.join(first, "token").where("cls <> b").select(F.col("cls").alias("a"), "b").distinct()).withColumnRenamed("comp", "region")
 
 
@@ -409,7 +440,7 @@ def _across(rows: list[tuple]) -> Iterator[tuple[int, int]]:
     rows = sorted(rows, key=lambda r: (len(r[3]), r[0]))
     arrays = [np.frombuffer(r[3], np.uint64) for r in rows]
     sets = [frozenset(a.tolist()) for a in arrays]
-    fronts = [_prefixes(a, (11, 12)) for a in arrays]
+    fronts = [_prefixes(a, PAIR_ORDERS) for a in arrays]
     two = len({r[2] for r in rows}) > 1
     for i, (cls, comp, block, _) in enumerate(rows):
         mine = find(comp)
@@ -419,7 +450,7 @@ def _across(rows: list[tuple]) -> Iterator[tuple[int, int]]:
             if two and rows[j][2] == block:
                 continue
             other = find(rows[j][1])
-            if other == mine or any(a.isdisjoint(b) for a, b in zip(fronts[i], fronts[j], strict=True)):
+            if other == mine or not _meeting(fronts[i], fronts[j]):
                 continue
             if _alike(sets[i], sets[j]):
                 yield cls, rows[j][0]
@@ -429,8 +460,8 @@ def _across(rows: list[tuple]) -> Iterator[tuple[int, int]]:
 def _pair_links(left: DataFrame) -> DataFrame:
     """Links across components among the classes left (cls, comp, n, tokens). A region is compared in blocks: each class goes to the units of its block with every other."""
     regions = _regions(left)
-    sizes = regions.groupBy("region").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("blocks"))
-    placed = regions.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    counts = regions.groupBy("region").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("blocks"))
+    placed = regions.join(counts, "region").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     units = placed.select("cls", "region", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     keyed = units.select("cls", "block", F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")).alias("unit"))
     together = left.join(keyed, "cls").select("unit", "cls", "comp", "block", "tokens").repartition(F.col("unit")).sortWithinPartitions("unit", "cls")
@@ -458,20 +489,14 @@ def _runs(batches, width: int) -> Iterator[list[tuple]]:
         yield held
 
 
-def _longs(column: str):
-    """A binary column of 64-bit numbers as an array of longs."""
-    c = F.col(column)
-    return F.transform(F.sequence(F.lit(0), (F.length(c) / 8).cast("int") - 1), lambda i: F.conv(F.hex(F.substring(c, i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
-
-
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members, and for each class the label of its component: cls, doc_id (its least), comp."""
+    """The members, and for each class its digest (lo, hi), the least doc_id and its component's label: cls (the first row that has it), lo, hi, doc_id, comp."""
     arrow_limits(docs.sparkSession)
     told = members(docs)
-    classes = told.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    classes = spool(told.where("lo is not null").groupBy("lo", "hi").agg(F.min("row").alias("cls"), F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     survivors = spool(_first_filter(docs, total), "survivors")
-    sets = _sets_of(docs, classes.join(survivors.select("cls"), "cls", "left_semi"))
+    sets = _sets_of(docs, classes.join(survivors.select(F.col("cls").alias("lo")), "lo", "left_semi"))
     total = sets.agg(F.sum("n")).first()[0] or 0
     dense = spool(sets.join(_whole_filter(sets.withColumn("ident", F.col("cls")), total, "ident").select("cls"), "cls", "left_semi"), "dense")
     links = None
@@ -486,7 +511,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     more = spool(_pair_links(left), "pair-links")
     if more.limit(1).count():
         comps = components(links.union(more))
-    owned = classes.select("cls", "doc_id").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    owned = classes.select("cls", "lo", "hi", "doc_id").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     return told, owned
 
 
@@ -494,8 +519,8 @@ def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     told, owned = _classes(docs)
     least = owned.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = owned.join(least, "comp").select("cls", "component_id")
-    return told.join(named, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = owned.join(least, "comp").select("lo", "hi", "component_id")
+    return told.join(named, ["lo", "hi"], "left").select("doc_id", "n_shingles", F.when(F.col("lo").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def first_of_groups(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -505,7 +530,7 @@ def first_of_groups(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """
     told, owned = _classes(docs)
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("row"))
-    of_class = told.where("cls is not null").groupBy("cls").agg(F.min(place).alias("place"))
-    chosen = of_class.join(owned.select("cls", "comp"), "cls").groupBy("comp").agg(F.min("place").alias("place")).select("place.row")
-    kept = told.where("cls is null").select("row").union(chosen)
+    of_class = told.where("lo is not null").groupBy("lo", "hi").agg(F.min(place).alias("place"))
+    chosen = of_class.join(owned.select("lo", "hi", "comp"), ["lo", "hi"]).groupBy("comp").agg(F.min("place").alias("place")).select("place.row")
+    kept = told.where("lo is null").select("row").union(chosen)
     return narrow(docs, *columns).withColumn("row", F.monotonically_increasing_id()).join(kept, "row", "left_semi").select(*columns)

@@ -9,20 +9,31 @@ for each block.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import ceil
+from math import ceil, isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quarry.llm.common import lean_memory
 
-#: Tokens in a block, and for a task that lets them meet.
-BLOCK_TOKENS, TASK_TOKENS = 1_000_000, 500_000
+#: Tokens in a block, and for a task that lets them meet: the least of each. Least tokens of a message from a block to a task, on average.
+BLOCK_TOKENS, TASK_TOKENS, MESSAGE_TOKENS = 1_000_000, 500_000, 64
 _FIELDS = (("bucket", pa.int32()), ("block", pa.int64()), ("tokens", pa.binary()), ("places", pa.binary()), ("several", pa.binary()), ("rows", pa.binary()), ("sizes", pa.binary()))
 _SCHEMA = "bucket int, block long, tokens binary, places binary, several binary, rows binary, sizes binary"
 
 
-def _blocks(rows: Iterator[tuple[int, object, object]], buckets: int, first: int) -> Iterator[dict]:
+def sizes(total: int, block: int, task: int) -> tuple[int, int]:
+    """(tokens of a block, number of tasks) for a total of tokens.
+
+    Messages are blocks times tasks. So that their number grows with the input and not with its square, blocks grow with the
+    total's root and tasks are no more than give a block's messages ``MESSAGE_TOKENS`` on average: from some billions of
+    tokens on both have 8 * sqrt(total) tokens, at 1e13 tokens 25 million.
+    """
+    block = max(block, isqrt(MESSAGE_TOKENS * total))
+    return block, max(1, min(ceil(total / task), block // MESSAGE_TOKENS))
+
+
+def _blocks(rows: Iterator[tuple[int, object, object]], buckets: int, first: int, most: int) -> Iterator[dict]:
     """rows: (row's number, tokens, whether a token alone counts as more than one). A table of each block, and its postings by bucket."""
     import numpy as np
 
@@ -55,7 +66,7 @@ def _blocks(rows: Iterator[tuple[int, object, object]], buckets: int, first: int
         parts.append(tokens)
         doubled.append(double)
         size += len(tokens)
-        if size >= BLOCK_TOKENS:
+        if size >= most:
             yield from flush()
             block += 1
             numbers, parts, doubled, size = [], [], [], 0
@@ -133,7 +144,7 @@ def shared(rows: DataFrame, tokens: Callable, total: int) -> DataFrame:
     rows: a number for each row, and a text. tokens: a function without arguments that gives, in the worker, a function
     from a text to (64-bit tokens, whether a token alone counts as shared). total: about how many tokens there are.
     """
-    tasks = max(1, ceil(total / TASK_TOKENS))
+    most, tasks = sizes(total, BLOCK_TOKENS, TASK_TOKENS)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -141,7 +152,7 @@ def shared(rows: DataFrame, tokens: Callable, total: int) -> DataFrame:
         lean_memory()
         of = tokens()
         found = ((n, *of(t)) for batch in batches for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        for r in _blocks(found, tasks, TaskContext.get().partitionId() << 20):
+        for r in _blocks(found, tasks, TaskContext.get().partitionId() << 20, most):
             yield pa.RecordBatch.from_pylist([r], pa.schema(_FIELDS))
 
     met = rows.mapInArrow(put, _SCHEMA).repartition(tasks, "bucket").mapInArrow(_meet, "block long, places binary, rows binary, sizes binary")
