@@ -5,12 +5,12 @@ Every byte covered by a ``length``-byte string that also starts anywhere else, i
 Sharding keeps shards whole: a window of ``length`` bytes is named by the least hash of the 200-byte strings in it, so
 equal windows have equal names wherever they stand. Neighbouring windows of one name form a segment. Names are counted
 over all texts in blocks (``postings.shared``); a name that occurs once has no repeats. Equal segments are counted, not
-copied: with two or more, all their windows repeat. Names with several different segments go to shards, one copy of
-each segment, and a shard's segments are joined into one string whose suffixes are sorted by external induction
-(``suffix_sort``): windows repeat where neighbours in that order share ``length`` bytes. A shard's string, shape and seed
-names must fit a task's memory, about 80 bytes a byte: a shard is kept to ``SHARD_BYTES`` on average, but one name that
-very many different segments share is one shard. The queue spills to the task's own temporary folder when it is larger than
-its limit, which shards of that size don't reach; the folder is emptied at the end.
+copied: with two or more, all their windows repeat (by a 128-bit digest). Names with several different segments go to
+shards, one copy of each segment, and a shard's segments are joined into one string whose suffixes are sorted by external
+induction (``suffix_sort``): windows repeat where neighbours in that order share ``length`` bytes. The string is a file of
+the task's own temporary folder, and so is what the queue can't hold; the folder goes with the task. In memory are the
+seeds of a shard with their names, some 20 bytes for each byte, and a bucket. A shard has ``SHARD_BYTES`` on average; a name
+that more than ``HOT_BYTES`` of different segments share is split by the bytes around its anchor (``_marks``).
 
 Defined results: a null text is empty; a null doc_id is carried; repeated rows are separate texts, so all their bytes go
 if they are long enough; an empty table gives no rows; other columns are ignored. The input must be a stored table, as
@@ -20,11 +20,13 @@ it is read several times and its rows are numbered in reading order.
 from __future__ import annotations
 
 import hashlib
+import os
+import tempfile
 from collections.abc import Iterator
 from math import ceil
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import postings
@@ -32,7 +34,8 @@ from quarry.llm.cdc import without
 from quarry.llm.common import arrow_limits, lean_memory, narrow, spool
 
 LENGTH, ANCHOR = 400, 200
-SHARD_BYTES = 3 << 19
+#: Bytes of a shard on average, and of one name's different segments before these are split.
+SHARD_BYTES, HOT_BYTES = 3 << 19, 3 << 17
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -128,6 +131,10 @@ def _segments(rows: DataFrame, places: DataFrame, length: int, anchor: int) -> D
     return spool(rows.join(places, "row").select("row", "text", "places").mapInArrow(cut, "name long, hi long, lo long, doubled boolean, row long, start int, end int, bytes binary"), "segments", compression="zstd")
 
 
+_KEY = "name long, hi long, lo long"
+_MARKS = f"{_KEY}, windows binary"
+
+
 def _sorted_marks(segments: DataFrame, total: int, length: int) -> DataFrame:
     """name, hi, lo and the windows (int pairs: from, to) of a segment that repeat, by sorting the suffixes of each shard."""
     shards = max(1, ceil(total / SHARD_BYTES))
@@ -138,30 +145,108 @@ def _sorted_marks(segments: DataFrame, total: int, length: int) -> DataFrame:
         from quarry.llm.suffix_sort import SuffixSorter
 
         lean_memory()
-        keys, parts, size, begins = [], [], 0, []
-        for batch in batches:
-            for name, hi, lo, own in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                keys.append((name, hi, lo))
-                begins.append(size)
-                parts += [own, b"\xff"]  # no byte of UTF-8
-                size += len(own) + 1
-        if not parts:
-            return
-        text = np.frombuffer(b"".join(parts), np.uint8)
-        del parts
-        marked = np.zeros(size, np.bool_)
-        for suffixes, common in SuffixSorter(length).descending(text):
-            hit = np.flatnonzero(common >= length)
-            marked[suffixes[hit]] = True
-            marked[suffixes[hit - 1]] = True
+        keys, begins, size = [], [np.zeros(1, np.int64)], 0
+        with tempfile.TemporaryDirectory() as folder:  # the task's own, as its queue's
+            path = os.path.join(folder, "shard")
+            with open(path, "wb") as f:
+                for batch in batches:
+                    keys.append([batch.column(k).to_numpy() for k in range(3)])
+                    parts = batch.column(3).to_pylist()
+                    begins.append(size + np.cumsum([len(own) + 1 for own in parts]))
+                    size = int(begins[-1][-1]) if len(parts) else size
+                    f.writelines(x for own in parts for x in (own, b"\xff"))  # no byte of UTF-8
+            if not size:
+                return
+            text = np.memmap(path, np.uint8, "r")
+            marked = np.zeros(size, np.bool_)
+            for suffixes, common in SuffixSorter(length, folder).descending(text):
+                hit = np.flatnonzero(common >= length)
+                marked[suffixes[hit]] = True
+                marked[suffixes[hit - 1]] = True
+            del text
         # The last length - 1 starts of a segment are no windows of it: what follows them is another segment.
-        for key, a, b in zip(keys, begins, [*begins[1:], size], strict=True):
+        edges = np.concatenate([x for x in begins if len(x)])
+        for name, hi, lo, a, b in zip(*(np.concatenate([k[i] for k in keys]).tolist() for i in range(3)), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             own = marked[a : b - length]
             if own.any():
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).astype(np.int8))).astype("<i4")
-                yield pa.RecordBatch.from_pylist([dict(zip(("name", "hi", "lo"), key, strict=True)) | {"windows": edge.tobytes()}], pa.schema([("name", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("windows", pa.binary())]))
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([hi]), pa.array([lo]), pa.array([edge.tobytes()], pa.binary())], names=["name", "hi", "lo", "windows"])
+
+    return segments.select("name", "hi", "lo", "bytes").repartition(shards, "name").mapInArrow(sort, _MARKS)
+
+
+def _pair(a: Column, b: Column) -> Column:
+    """Two numbers as little-endian 32 bits."""
+    return F.concat(*(F.unhex(F.concat(*(F.lpad(F.hex(F.shiftrightunsigned(c, s).bitwiseAND(255)), 2, "0") for s in (0, 8, 16, 24)))) for c in (a, b)))
+
+
+def _halves(segments: DataFrame, length: int, anchor: int) -> DataFrame:
+    """Each segment cut in pieces by where a window's first anchor stands in it: in the first or the second half of what was possible.
+
+    A piece is named by the bytes that all windows of its half share, so equal windows still have equal names.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        from xxhash import xxh3_64_intdigest as short
+        from xxhash import xxh3_128_intdigest as digest
+
+        windows = Windows(length, anchor)
+        fields = pa.schema([(c, pa.int64()) for c in ("name", "hi", "lo", "of_name", "of_hi", "of_lo")] + [(c, pa.int32()) for c in ("at", "starts", "place", "least", "most")] + [("bytes", pa.binary())])
+        for batch in batches:
+            found = []
+            for name, hi, lo, own, place, least, most in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                count = len(own) - length + 1
+                if place is None:  # a window belongs to the first anchor at or after its start
+                    places = np.flatnonzero(windows.anchors(own) == np.uint64(name & (1 << 64) - 1)).tolist()
+                    runs = [(0 if i == 0 else places[i - 1] + 1, min(p + 1, count), p, 0, length - anchor) for i, p in enumerate(places)]
+                else:
+                    runs = [(0, count, place, least, most)]
+                for begin, end, p, low, high in runs:
+                    middle = (low + high) // 2
+                    for u, v in ((low, middle), (middle + 1, high)):
+                        a, b = max(begin, p - v), min(end, p - u + 1)
+                        if a < b:
+                            piece, shared = own[a : b + length - 1], own[p - u : p - v + length]
+                            d = digest(piece)
+                            found.append((_signed(short(shared, seed=u * (length + 1) + v)), _signed(d >> 64), _signed(d & (1 << 64) - 1), name, hi, lo, a, b - a, p - a, u, v, piece))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), fields, strict=True)], schema=fields)
+
+    return segments.select("name", "hi", "lo", "bytes", "place", "least", "most").mapInArrow(cut, f"{_KEY}, of_name long, of_hi long, of_lo long, at int, starts int, place int, least int, most int, bytes binary")
+
+
+def _marks(segments: DataFrame, length: int, anchor: int, hot: int) -> DataFrame:
+    """name, hi, lo and the repeated windows of different segments that share names (name, hi, lo, bytes, and of pieces place, least, most).
+
+    A name with more than ``hot`` bytes of different segments would be one large shard. Its segments are cut in halves, again
+    and again, until the shared bytes that name a piece tell the pieces apart; at the end a piece is one window.
+    """
+    names = spool(segments.groupBy("name").agg(F.sum(F.length("bytes")).alias("size"), F.max(F.coalesce(F.col("most") - F.col("least"), F.lit(length - anchor))).alias("room")), "names")
+    total, largest = names.agg(F.sum("size"), F.max(F.when(F.col("room") > 0, F.col("size")))).first()
+    if (largest or 0) <= hot:
+        return _sorted_marks(segments, total or 0, length)
+    split = names.where((F.col("size") > hot) & (F.col("room") > 0)).select("name")
+    cold = segments.join(split, "name", "left_anti")
+    pieces = spool(_halves(segments.join(split, "name", "left_semi"), length, anchor), "pieces", compression="zstd")
+    kinds = pieces.groupBy("name", "hi", "lo").agg(F.count("*").alias("n"))
+    several = spool(kinds.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1").select("name"), "several")
+    row = F.first(F.struct("bytes", "place", "least", "most")).alias("r")
+    one_each = spool(pieces.join(several, "name", "left_semi").groupBy("name", "hi", "lo").agg(row).select("name", "hi", "lo", "r.*"), "one-each", compression="zstd")
+    told = spool(kinds.where("n > 1").join(_marks(one_each, length, anchor, hot), ["name", "hi", "lo"], "full_outer"), "told-pieces")
+    found = pieces.select("name", "hi", "lo", "of_name", "of_hi", "of_lo", "at", "starts").join(told, ["name", "hi", "lo"])
+    windows = F.when(F.col("n") > 1, _pair(F.lit(0), F.col("starts"))).otherwise(F.col("windows"))
+    gathered = found.groupBy("of_name", "of_hi", "of_lo").agg(F.collect_list(F.struct("at", windows.alias("windows"))).alias("found"))  # of one segment
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            whole = [b"".join((np.frombuffer(f["windows"], "<i4") + np.int32(f["at"])).astype("<i4").tobytes() for f in found) for found in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(whole, pa.binary())], names=["name", "hi", "lo", "windows"])
 
-    return segments.select("name", "hi", "lo", "bytes").repartition(shards, "name").mapInArrow(sort, "name long, hi long, lo long, windows binary")
+    size = names.join(split, "name", "left_anti").agg(F.sum("size")).first()[0] or 0
+    return _sorted_marks(cold, size, length).unionByName(gathered.mapInArrow(moved, _MARKS))
 
 
 def repeated_windows(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -169,17 +254,16 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     places = postings.shared(rows.select("row", "text"), lambda: Windows(length, anchor), total // 100)
     stored = _segments(rows, places, length, anchor)
-    kinds = stored.groupBy("name", "hi", "lo").agg(F.count("*").alias("n"), F.max("doubled").alias("doubled"), F.max(F.col("end") - F.col("start")).alias("starts"))
-    by_name = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.max(F.col("doubled") & (F.col("n") == 1)).alias("alone"), F.sum(F.col("starts") + length).alias("size"))
-    mixed = spool(by_name.where((F.col("kinds") > 1) | F.col("alone")).select("name", "size"), "mixed")
-    size = mixed.agg(F.sum("size")).first()[0] or 0
-    one_each = stored.join(mixed.select("name"), "name", "left_semi").groupBy("name", "hi", "lo").agg(F.first("bytes").alias("bytes"))
-    marks = _sorted_marks(one_each, size, length)
-    told = kinds.where("n > 1").select("name", "hi", "lo", "n").join(marks, ["name", "hi", "lo"], "full_outer")
-    pair = lambda a, b: F.concat(*(F.unhex(F.concat(*(F.lpad(F.hex(F.shiftrightunsigned(c, s).bitwiseAND(255)), 2, "0") for s in (0, 8, 16, 24)))) for c in (a, b)))  # noqa: E731  little-endian
+    kinds = stored.groupBy("name", "hi", "lo").agg(F.count("*").alias("n"), F.max("doubled").alias("doubled"))
+    by_name = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.max(F.col("doubled") & (F.col("n") == 1)).alias("alone"))
+    mixed = spool(by_name.where((F.col("kinds") > 1) | F.col("alone")).select("name"), "mixed")
+    one_each = stored.join(mixed, "name", "left_semi").groupBy("name", "hi", "lo").agg(F.first("bytes").alias("bytes"))
+    none = F.lit(None).cast("int")
+    marks = _marks(spool(one_each.select("*", none.alias("place"), none.alias("least"), none.alias("most")), "kinds", compression="zstd"), length, anchor, HOT_BYTES)
+    # Stored, so that both sides of the next join are dealt out for it and Spark may split a segment with very many copies.
+    told = spool(kinds.where("n > 1").select("name", "hi", "lo", "n").join(marks, ["name", "hi", "lo"], "full_outer"), "told")
     found = stored.select("name", "hi", "lo", "row", "start", "end").join(told, ["name", "hi", "lo"])
-    whole = pair(F.lit(0), F.col("end") - F.col("start"))
-    windows = F.when(F.col("n") > 1, whole).otherwise(F.col("windows"))
+    windows = F.when(F.col("n") > 1, _pair(F.lit(0), F.col("end") - F.col("start"))).otherwise(F.col("windows"))
     return found.groupBy("row").agg(F.collect_list(F.struct("start", windows.alias("windows"))).alias("found"))
 
 

@@ -6,8 +6,10 @@ holds (suffix, common prefix with the one before it), by first symbol and then b
 order and putting the suffix one place to the left of each taken one back in the queue sorts those that fall; descending,
 those that rise. The value carried to a neighbour is one more than the least value between the two taken suffixes.
 
-The queue spills to files when it outgrows its memory, and the string may be a memory map: a block of a bucket is all
-that must be held at a time. Work goes by whole buckets and rounds of a repeated symbol, so it is done on arrays.
+The queue spills to files when it outgrows its memory (``spilled`` counts how often), and the string may be a memory map:
+a bucket is all of the order that must be held at a time. Work goes by whole buckets and rounds of a repeated symbol, so it
+is done on arrays. What stays in memory in proportion to the string are the seeds, about a third of its places, with their
+names: some 20 bytes for each byte of the string.
 Prefixes are told apart up to ``cap`` symbols; beyond, the order of equal ones is not defined.
 """
 
@@ -25,6 +27,7 @@ class SpillQueue:
         self.folder, self.memory = folder, memory
         self.held: dict[int, list] = {}
         self.size = 0
+        self.spills = 0
         self.files: list[str] = []
         self.spilled: dict[int, list[tuple[str, int, int]]] = {}
 
@@ -37,6 +40,7 @@ class SpillQueue:
     def _spill(self) -> None:
         handle, path = tempfile.mkstemp(dir=self.folder)
         self.files.append(path)
+        self.spills += 1
         with os.fdopen(handle, "wb") as f:
             for symbol in sorted(self.held):
                 for suffixes, prefixes in self.held[symbol]:
@@ -69,18 +73,33 @@ class SpillQueue:
         self.files = []
 
 
-def _shape(text):
-    """(rises, last): whether each suffix is less than the next one, and where the run of its first symbol ends."""
+def _seeds(text, block: int = 1 << 20):
+    """Where a rise begins after a fall (a suffix rises if it is less than the next one), block by block from the end."""
     import numpy as np
 
-    n = len(text)
-    last = np.full(n, n - 1, np.int64)
-    change = text[:-1] != text[1:]
-    last[:-1] = np.where(change, np.arange(n - 1), n - 1)
-    last = np.minimum.accumulate(last[::-1])[::-1]
-    up = np.zeros(n, np.bool_)
-    up[:-1] = text[:-1] < text[1:]
-    return up[last], last
+    n, found = len(text), []
+    rises = False  # of the suffix after the block, or the last one
+    for begin in range((n - 1) // block * block, -1, -block):
+        part = np.asarray(text[begin : min(begin + block + 1, n)])  # with the symbol after it
+        change = np.flatnonzero(part[:-1] != part[1:])
+        size = len(part) - (begin + block < n)
+        up = np.full(size, rises, np.bool_)  # the last run goes on after the block, or ends the text
+        if len(change):
+            run = np.searchsorted(change, np.arange(min(size, int(change[-1]) + 1)))
+            up[: len(run)] = (part[change] < part[change + 1])[run]
+        if size and begin + size < n and rises and not up[-1]:
+            found.append(np.array([begin + size], np.int64))
+        found.append(begin + 1 + np.flatnonzero(up[1:] & ~up[:-1]))
+        rises = bool(up[0])
+    return np.concatenate(found[::-1]) if found else np.empty(0, np.int64)
+
+
+def _run_length(text, at: int, most: int) -> int:
+    """How many equal symbols stand from a place on, ``most`` at most."""
+    import numpy as np
+
+    other = np.flatnonzero(np.asarray(text[at : at + most]) != text[at])
+    return int(other[0]) if len(other) else min(most, len(text) - at)
 
 
 def _packed(text, begin, end, ends_text):
@@ -173,9 +192,10 @@ def _between(values, starts, ends):
 class SuffixSorter:
     """Sorts the suffixes of an array of symbols (8-bit, or whole numbers from 0 in 64 bits)."""
 
-    def __init__(self, cap: int, folder: str | None = None, memory: int = 128 << 20, base: int = 8 << 20):
+    def __init__(self, cap: int, folder: str | None = None, memory: int = 2 << 20, base: int = 8 << 20):
         """memory: bytes of the queue; base: how many names are sorted in memory, a longer string of names by induction again."""
         self.cap, self.folder, self.memory, self.base = cap, folder, memory, base
+        self.spilled = 0
 
     def descending(self, text) -> Iterator[tuple]:
         """(suffixes, common prefix of each with the one before it) of every first symbol, greatest first, in descending order."""
@@ -183,12 +203,11 @@ class SuffixSorter:
 
         if not len(text):
             return
-        rises, last = _shape(text)
-        seeds = np.flatnonzero(rises[1:] & ~rises[:-1]) + 1
+        seeds = _seeds(text)
         order, common = self._sorted_seeds(text, seeds)
         ranked = seeds[order]
         with tempfile.TemporaryDirectory(dir=self.folder) as folder:
-            yield from self._induced(text, last, ranked, common, folder)
+            yield from self._induced(text, ranked, common, folder)
 
     def ascending(self, text):
         """(order, common prefixes) of all suffixes."""
@@ -262,7 +281,7 @@ class SuffixSorter:
             shared.append(common)
         return np.concatenate(parts), np.concatenate(shared), count
 
-    def _induced(self, text, last, seeds, seed_common, folder: str) -> Iterator[tuple]:
+    def _induced(self, text, seeds, seed_common, folder: str) -> Iterator[tuple]:
         import numpy as np
 
         symbols = np.unique(text)
@@ -278,7 +297,7 @@ class SuffixSorter:
                 falling.put(c, suffixes, common)
             own, shared = seeds[cut[k] : cut[k + 1]], seed_common[cut[k] : cut[k + 1]].copy()
             if len(own):
-                shared[0] = min(count, int(last[own[0]] - own[0]) + 1, self.cap) if len(suffixes) else 0
+                shared[0] = min(count, _run_length(text, int(own[0]), self.cap)) if len(suffixes) else 0
             suffixes, common = np.concatenate((suffixes, own)), np.concatenate((common, shared))
             left = suffixes - 1
             self._push(queue, text, suffixes, common, (left >= 0) & (text[left] > c))
@@ -296,3 +315,4 @@ class SuffixSorter:
             yield suffixes, common
         queue.close()
         falling.close()
+        self.spilled += queue.spills + falling.spills
