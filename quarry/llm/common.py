@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -57,6 +58,16 @@ def arrow_limits(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
 
 
+@contextlib.contextmanager
+def uncollected():
+    """In a Python worker: no looking for reference cycles meanwhile, where millions of small objects are made but no cycles."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def lean_memory() -> None:
     """In a Python worker: freed arrays of a megabyte or more go back to the system at once, so a reused worker doesn't keep its largest task's memory."""
     with contextlib.suppress(OSError, AttributeError):  # other C libraries manage on their own

@@ -20,12 +20,11 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain, filterfalse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import arrow_limits, narrow
+from quarry.llm.common import arrow_limits, narrow, uncollected
 
 CAPACITY = 4096
 END = 2
@@ -169,19 +168,20 @@ class WordTokens:
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """The ids of each text (in UTF-8) without the end token."""
         split = [(t or b"").split() for t in texts]
-        fresh = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
+        words = set().union(*split)
+        fresh = words.difference(self.known)
         if len(self.known) + len(fresh) > self.REMEMBERED:
             self.known, self.older = {b"": b""}, self.known
-            fresh = set().union(*split)
+            fresh = words
         self._move_up(fresh)
-        parts = {w: self._parts(w) for w in fresh.difference(self.known)}
-        new = set().union(*parts.values()).difference(self.known)
+        parts = [(w, *self._parts(w)) for w in fresh.difference(self.known)]
+        new = {p for _, *both in parts for p in both}.difference(self.known)
         self._move_up(new)
         if new := new.difference(self.known):
             self._learn(sorted(new))
-        for word, (core, tail) in parts.items():
-            self.known[word] = self.known[core] + self.known[tail]
-        get = self.known.__getitem__
+        known = self.known
+        known.update({w: known[core] + known[tail] for w, core, tail in parts})
+        get = known.__getitem__
         for words in split:
             yield b"".join(map(get, words))
 
@@ -225,15 +225,16 @@ def pack(docs: DataFrame, path: str, block_tokens: int = 8 << 20, ids: bool = Fa
             first += max((p.sequence for p in pieces), default=-1) + 1
 
         names, data, held = [], [], 0
-        for batch in batches:
-            for name, found in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).cast(pa.binary()).to_pylist()), strict=True):
-                names.append(name)
-                data.append(found + end)
-                held += len(found) // 2 + 1
-                if held >= block_tokens:
-                    yield from packed(names, data)
-                    names, data, held = [], [], 0
-        if data:
-            yield from packed(names, data)
+        with uncollected():
+            for batch in batches:
+                for name, found in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).cast(pa.binary()).to_pylist()), strict=True):
+                    names.append(name)
+                    data.append(found + end)
+                    held += len(found) // 2 + 1
+                    if held >= block_tokens:
+                        yield from packed(names, data)
+                        names, data, held = [], [], 0
+            if data:
+                yield from packed(names, data)
 
     return narrow(docs, "doc_id", "text").mapInArrow(told, schema)
