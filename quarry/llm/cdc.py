@@ -31,7 +31,7 @@ from quarry.llm.common import arrow_limits, narrow
 BITS = 4
 #: A cut depends on as many bytes before it.
 WINDOW = 16
-MIN_RUN, WORDS = 160, 50
+MIN_RUN, WORDS = 400, 50
 
 
 def gear_table():
