@@ -10,7 +10,7 @@ shards, one copy of each segment, and a shard's segments are joined into one str
 induction (``suffix_sort``): windows repeat where neighbours in that order share ``length`` bytes. The string is a file of
 the task's own temporary folder, and so is what the queue can't hold; the folder goes with the task. In memory are the
 seeds of a shard with their names, some 20 bytes for each byte, and a bucket. A shard has ``SHARD_BYTES`` on average; a name
-that more than ``HOT_BYTES`` of different segments share is split by the bytes around its anchor (``_marks``).
+that more bytes of different segments share is split by the bytes around its anchor (``_marks``).
 
 Defined results: a null text is empty; a null doc_id is carried; repeated rows are separate texts, so all their bytes go
 if they are long enough; an empty table gives no rows; other columns are ignored. The input must be a stored table, as
@@ -34,8 +34,10 @@ from quarry.llm.cdc import without
 from quarry.llm.common import arrow_limits, lean_memory, narrow, spool
 
 LENGTH, ANCHOR = 400, 200
-#: Bytes of a shard on average, and of one name's different segments before these are split.
-SHARD_BYTES, HOT_BYTES = 3 << 19, 3 << 17
+#: Bytes of a shard on average; a name with more bytes of different segments is split.
+SHARD_BYTES = 3 << 19
+#: Digests that a task remembers, so as not to send equal segments' bytes again.
+REMEMBERED = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -107,13 +109,13 @@ def _signed(name: int) -> int:
 
 
 def _segments(rows: DataFrame, places: DataFrame, length: int, anchor: int) -> DataFrame:
-    """The segments whose name is shared: name, digest (hi, lo), doubled, row, start, end and bytes, stored."""
+    """The segments whose name is shared: name, digest (hi, lo), doubled, row, start, end and bytes, stored. Of equal segments only a task's first holds its bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         from xxhash import xxh3_128_intdigest as digest
 
-        windows = Windows(length, anchor)
+        windows, seen = Windows(length, anchor), set()
         for batch in batches:
             for row, text, at in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 data = (text or "").encode()
@@ -123,7 +125,10 @@ def _segments(rows: DataFrame, places: DataFrame, length: int, anchor: int) -> D
                     a, b = int(starts[k]), int(ends[k])
                     own = data[a : b + length - 1]
                     d = digest(own)
-                    found.append((_signed(int(names[k])), _signed(d >> 64), _signed(d & (1 << 64) - 1), bool(doubled[k]), row, a, b, own))
+                    found.append((_signed(int(names[k])), _signed(d >> 64), _signed(d & (1 << 64) - 1), bool(doubled[k]), row, a, b, None if d in seen else own))
+                    seen.add(d)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
                 if found:
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=["name", "hi", "lo", "doubled", "row", "start", "end", "bytes"])
@@ -136,7 +141,7 @@ _MARKS = f"{_KEY}, windows binary"
 
 
 def _sorted_marks(segments: DataFrame, total: int, length: int) -> DataFrame:
-    """name, hi, lo and the windows (int pairs: from, to) of a segment that repeat, by sorting the suffixes of each shard."""
+    """name, hi, lo and the windows (int pairs: from, to) of a segment that repeat, by sorting the suffixes of each shard. Of equal segments one is sorted."""
     shards = max(1, ceil(total / SHARD_BYTES))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,16 +150,18 @@ def _sorted_marks(segments: DataFrame, total: int, length: int) -> DataFrame:
         from quarry.llm.suffix_sort import SuffixSorter
 
         lean_memory()
-        keys, begins, size = [], [np.zeros(1, np.int64)], 0
+        keys, ends, size = {}, [], 0
         with tempfile.TemporaryDirectory() as folder:  # the task's own, as its queue's
             path = os.path.join(folder, "shard")
             with open(path, "wb") as f:
                 for batch in batches:
-                    keys.append([batch.column(k).to_numpy() for k in range(3)])
-                    parts = batch.column(3).to_pylist()
-                    begins.append(size + np.cumsum([len(own) + 1 for own in parts]))
-                    size = int(begins[-1][-1]) if len(parts) else size
-                    f.writelines(x for own in parts for x in (own, b"\xff"))  # no byte of UTF-8
+                    for name, hi, lo, own in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                        if (name, hi, lo) not in keys:
+                            keys[name, hi, lo] = size
+                            f.write(own)
+                            f.write(b"\xff")  # no byte of UTF-8
+                            size += len(own) + 1
+                            ends.append(size)
             if not size:
                 return
             text = np.memmap(path, np.uint8, "r")
@@ -165,8 +172,7 @@ def _sorted_marks(segments: DataFrame, total: int, length: int) -> DataFrame:
                 marked[suffixes[hit - 1]] = True
             del text
         # The last length - 1 starts of a segment are no windows of it: what follows them is another segment.
-        edges = np.concatenate([x for x in begins if len(x)])
-        for name, hi, lo, a, b in zip(*(np.concatenate([k[i] for k in keys]).tolist() for i in range(3)), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        for (name, hi, lo), a, b in zip(keys, keys.values(), ends, strict=True):
             own = marked[a : b - length]
             if own.any():
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).astype(np.int8))).astype("<i4")
@@ -216,24 +222,25 @@ def _halves(segments: DataFrame, length: int, anchor: int) -> DataFrame:
     return segments.select("name", "hi", "lo", "bytes", "place", "least", "most").mapInArrow(cut, f"{_KEY}, of_name long, of_hi long, of_lo long, at int, starts int, place int, least int, most int, bytes binary")
 
 
-def _marks(segments: DataFrame, length: int, anchor: int, hot: int) -> DataFrame:
-    """name, hi, lo and the repeated windows of different segments that share names (name, hi, lo, bytes, and of pieces place, least, most).
+def _marks(segments: DataFrame, names: DataFrame, length: int, anchor: int) -> DataFrame:
+    """name, hi, lo and the repeated windows of the segments (name, hi, lo, bytes, and of pieces place, least, most) of some names.
 
-    A name with more than ``hot`` bytes of different segments would be one large shard. Its segments are cut in halves, again
-    and again, until the shared bytes that name a piece tell the pieces apart; at the end a piece is one window.
+    names: name, size (bytes of its different segments) and room (0 where it can't be split). A name of more than
+    ``SHARD_BYTES`` would be one large shard. Its segments are cut in halves, again and again, until the shared bytes that
+    name a piece tell the pieces apart; at the end a piece is one window.
     """
-    names = spool(segments.groupBy("name").agg(F.sum(F.length("bytes")).alias("size"), F.max(F.coalesce(F.col("most") - F.col("least"), F.lit(length - anchor))).alias("room")), "names")
-    total, largest = names.agg(F.sum("size"), F.max(F.when(F.col("room") > 0, F.col("size")))).first()
-    if (largest or 0) <= hot:
-        return _sorted_marks(segments, total or 0, length)
-    split = names.where((F.col("size") > hot) & (F.col("room") > 0)).select("name")
-    cold = segments.join(split, "name", "left_anti")
-    pieces = spool(_halves(segments.join(split, "name", "left_semi"), length, anchor), "pieces", compression="zstd")
-    kinds = pieces.groupBy("name", "hi", "lo").agg(F.count("*").alias("n"))
-    several = spool(kinds.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1").select("name"), "several")
+    hot = (F.col("size") > SHARD_BYTES) & (F.col("room") > 0)
+    total, any_hot = names.agg(F.sum(F.when(~hot, F.col("size"))), F.max(hot)).first()
+    cold = _sorted_marks(segments.join(names.where(~hot).select("name"), "name", "left_semi"), total or 0, length)
+    if not any_hot:
+        return cold
     row = F.first(F.struct("bytes", "place", "least", "most")).alias("r")
-    one_each = spool(pieces.join(several, "name", "left_semi").groupBy("name", "hi", "lo").agg(row).select("name", "hi", "lo", "r.*"), "one-each", compression="zstd")
-    told = spool(kinds.where("n > 1").join(_marks(one_each, length, anchor, hot), ["name", "hi", "lo"], "full_outer"), "told-pieces")
+    whole = segments.join(names.where(hot).select("name"), "name", "left_semi").groupBy("name", "hi", "lo").agg(row).select("name", "hi", "lo", "r.*")
+    pieces = spool(_halves(whole, length, anchor), "pieces", compression="zstd")
+    kinds = pieces.groupBy("name", "hi", "lo").agg(F.count("*").alias("n"), F.max("starts").alias("starts"), F.max(F.col("most") - F.col("least")).alias("room"))
+    several = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.sum(F.col("starts") + length).alias("size"), F.max("room").alias("room"))
+    several = spool(several.where("kinds > 1").drop("kinds"), "several")
+    told = spool(kinds.where("n > 1").select("name", "hi", "lo", "n").join(_marks(pieces, several, length, anchor), ["name", "hi", "lo"], "full_outer"), "told-pieces")
     found = pieces.select("name", "hi", "lo", "of_name", "of_hi", "of_lo", "at", "starts").join(told, ["name", "hi", "lo"])
     windows = F.when(F.col("n") > 1, _pair(F.lit(0), F.col("starts"))).otherwise(F.col("windows"))
     gathered = found.groupBy("of_name", "of_hi", "of_lo").agg(F.collect_list(F.struct("at", windows.alias("windows"))).alias("found"))  # of one segment
@@ -245,8 +252,7 @@ def _marks(segments: DataFrame, length: int, anchor: int, hot: int) -> DataFrame
             whole = [b"".join((np.frombuffer(f["windows"], "<i4") + np.int32(f["at"])).astype("<i4").tobytes() for f in found) for found in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(whole, pa.binary())], names=["name", "hi", "lo", "windows"])
 
-    size = names.join(split, "name", "left_anti").agg(F.sum("size")).first()[0] or 0
-    return _sorted_marks(cold, size, length).unionByName(gathered.mapInArrow(moved, _MARKS))
+    return cold.unionByName(gathered.mapInArrow(moved, _MARKS))
 
 
 def repeated_windows(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -254,12 +260,12 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     places = postings.shared(rows.select("row", "text"), lambda: Windows(length, anchor), total // 100)
     stored = _segments(rows, places, length, anchor)
-    kinds = stored.groupBy("name", "hi", "lo").agg(F.count("*").alias("n"), F.max("doubled").alias("doubled"))
-    by_name = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.max(F.col("doubled") & (F.col("n") == 1)).alias("alone"))
-    mixed = spool(by_name.where((F.col("kinds") > 1) | F.col("alone")).select("name"), "mixed")
-    one_each = stored.join(mixed, "name", "left_semi").groupBy("name", "hi", "lo").agg(F.first("bytes").alias("bytes"))
+    kinds = stored.groupBy("name", "hi", "lo").agg(F.count("*").alias("n"), F.max("doubled").alias("doubled"), F.max(F.col("end") - F.col("start")).alias("starts"))
+    by_name = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.max(F.col("doubled") & (F.col("n") == 1)).alias("alone"), F.sum(F.col("starts") + length).alias("size"))
+    mixed = spool(by_name.where((F.col("kinds") > 1) | F.col("alone")).select("name", "size", F.lit(length - anchor).alias("room")), "mixed")
     none = F.lit(None).cast("int")
-    marks = _marks(spool(one_each.select("*", none.alias("place"), none.alias("least"), none.alias("most")), "kinds", compression="zstd"), length, anchor, HOT_BYTES)
+    segments = stored.where("bytes is not null").select("name", "hi", "lo", "bytes", none.alias("place"), none.alias("least"), none.alias("most"))
+    marks = _marks(segments, mixed, length, anchor)
     # Stored, so that both sides of the next join are dealt out for it and Spark may split a segment with very many copies.
     told = spool(kinds.where("n > 1").select("name", "hi", "lo", "n").join(marks, ["name", "hi", "lo"], "full_outer"), "told")
     found = stored.select("name", "hi", "lo", "row", "start", "end").join(told, ["name", "hi", "lo"])

@@ -146,7 +146,8 @@ def test_repeats_equal_brute_force(docs, length, anchor):
 @pytest.mark.parametrize("hot", [1, 3000])
 def test_hot_names_are_split(spark, tmp_path, monkeypatch, hot):
     """One long line in many different contexts, some of them alike: split by the bytes around it, down to single windows."""
-    monkeypatch.setattr(repeats, "HOT_BYTES", hot)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", hot)
+    monkeypatch.setattr(repeats, "REMEMBERED", 3)
     r = random.Random(9)
     line, near = prose(12, 77), prose(6, 78)
     ends = ["", "x", near, near[:20], near[:20] + "y", line[:30]]
