@@ -141,7 +141,7 @@ _MARKS = f"{_KEY}, windows binary"
 
 
 def _sorted_marks(segments: DataFrame, total: int, length: int) -> DataFrame:
-    """name, hi, lo and the windows (int pairs: from, to) of a segment that repeat, by sorting the suffixes of each shard. Of equal segments one is sorted."""
+    """name, hi, lo and the windows (int pairs: from, to) of a segment that repeat, by sorting the suffixes of each shard. A segment comes once."""
     shards = max(1, ceil(total / SHARD_BYTES))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,12 +156,11 @@ def _sorted_marks(segments: DataFrame, total: int, length: int) -> DataFrame:
             with open(path, "wb") as f:
                 for batch in batches:
                     for name, hi, lo, own in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                        if (name, hi, lo) not in keys:
-                            keys[name, hi, lo] = size
-                            f.write(own)
-                            f.write(b"\xff")  # no byte of UTF-8
-                            size += len(own) + 1
-                            ends.append(size)
+                        keys[name, hi, lo] = size
+                        f.write(own)
+                        f.write(b"\xff")  # no byte of UTF-8
+                        size += len(own) + 1
+                        ends.append(size)
             if not size:
                 return
             text = np.memmap(path, np.uint8, "r")
@@ -231,12 +230,13 @@ def _marks(segments: DataFrame, names: DataFrame, length: int, anchor: int) -> D
     """
     hot = (F.col("size") > SHARD_BYTES) & (F.col("room") > 0)
     total, any_hot = names.agg(F.sum(F.when(~hot, F.col("size"))), F.max(hot)).first()
-    cold = _sorted_marks(segments.join(names.where(~hot).select("name"), "name", "left_semi"), total or 0, length)
+    row = F.first(F.struct("bytes", "place", "least", "most")).alias("r")
+    # One of equal segments, found by segment, so that a name's many copies don't meet in one task.
+    each = lambda of: segments.join(names.where(of).select("name"), "name", "left_semi").groupBy("name", "hi", "lo").agg(row).select("name", "hi", "lo", "r.*")
+    cold = _sorted_marks(each(~hot), total or 0, length)
     if not any_hot:
         return cold
-    row = F.first(F.struct("bytes", "place", "least", "most")).alias("r")
-    whole = segments.join(names.where(hot).select("name"), "name", "left_semi").groupBy("name", "hi", "lo").agg(row).select("name", "hi", "lo", "r.*")
-    pieces = spool(_halves(whole, length, anchor), "pieces", compression="zstd")
+    pieces = spool(_halves(each(hot), length, anchor), "pieces", compression="zstd")
     kinds = pieces.groupBy("name", "hi", "lo").agg(F.count("*").alias("n"), F.max("starts").alias("starts"), F.max(F.col("most") - F.col("least")).alias("room"))
     several = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.sum(F.col("starts") + length).alias("size"), F.max("room").alias("room"))
     several = spool(several.where("kinds > 1").drop("kinds"), "several")
