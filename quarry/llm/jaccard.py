@@ -147,7 +147,7 @@ def _marks(sets: Iterator[tuple[int, int, object, object]], total: int, whole: b
             continue
         seen.add(key)
         n = len(tokens)
-        parts.append(tokens if whole else tokens[: _required(n)[0]])
+        parts.append(tokens if whole else _mix(tokens[: _required(n)[0]], 21))  # a prefix has the least numbers: spread over all buckets again
         rows.append((ident, cls, n))
         size += len(parts[-1])
         if size >= most or len(rows) >= BLOCK_ROWS:

@@ -100,8 +100,11 @@ class Windows:
         return names, starts, ends, doubled
 
     def __call__(self, text: str | None):
+        """Names as tokens: least hashes are small numbers, so they are spread over all again."""
+        import numpy as np
+
         names, _, _, doubled = self.segments((text or "").encode())
-        return names, doubled
+        return (names ^ (names >> np.uint64(31))) * np.uint64(_BASE), doubled
 
 
 def _signed(name: int) -> int:
