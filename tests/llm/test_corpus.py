@@ -699,5 +699,5 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_names():
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in entries.queries())] == []
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in entries.queries())] == []
     assert "pipeline" in entries.queries()
