@@ -61,10 +61,6 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\s\p{Z}]+"), lambda t: t != "")
 
 
-def first_words(text: Column, n: int) -> Column:
-    return F.array_join(F.slice(F.split(F.coalesce(text, F.lit("")), " "), 1, n), " ")
-
-
 def normalise(text: Column) -> Column:
     """Lower case, articles out, ASCII punctuation deleted, white space collapsed, in that order."""
     t = F.trim(F.lower(F.coalesce(text, F.lit(""))))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators.ranking import top
+from quarry.sources.shared import spool
 
 
 def safe_pattern(pattern: str | None) -> str:
@@ -254,16 +254,6 @@ def bounded_expand(adjacency: DataFrame, seeds: DataFrame, details: DataFrame, m
     return found.select("query_id", "node", "place")
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """The rows, stored under spark.checkpoint.dir; where that is unset, in a local folder if all runs on one machine."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quarry-"))
-    return df.checkpoint()
-
-
 def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, rounds: int = 20, store=None, tolerance: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(node, rank): personalised rank over weighted edges (src, dst, weight) from equally weighted seeds (node); what reaches a node without edges is lost.
 
@@ -271,7 +261,7 @@ def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, rounds:
     lineage, called every five rounds (a checkpoint, or a function that writes a table and reads it). With ``tolerance`` the
     rounds end when the ranks change by less in all; each round's ranks are then stored.
     """
-    store, keys = store or _checkpoint, [*by, "node"]
+    store, keys = store or (lambda df: spool(df, "rounds")), [*by, "node"]
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     step = store(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     seeds = seeds.select(*keys).distinct()

@@ -1,6 +1,7 @@
 """Retrievers over units (id, content) and queries (query_id, query).
 
-Lexical ones join query terms with postings on the term, so work follows the matches. Ones that must look at every text
+BM25 searches a stored index (``inverted``); other lexical ones join query terms with postings on the term, so work follows
+the matches. Ones that must look at every text
 take the queries as a broadcast side only where Spark's own size check allows it; the queries are a stated, small set.
 """
 
@@ -10,46 +11,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.operators import inverted
 from quarry.operators.ranking import keep_best, standard_score, top
 
 
-def _counted(units: DataFrame, tokens: Column) -> DataFrame:
-    """id and ``t``: a unit's length and its terms with how often each stands, counted within the row, so nothing is shuffled."""
-    return units.select("id", X.let(tokens, lambda t: F.struct(F.size(t).alias("length"), X.counted(t).alias("terms"))).alias("t"))
-
-
-def postings(units: DataFrame, tokens: Column) -> DataFrame:
-    """term, id, tf and the unit's length."""
-    return _counted(units, tokens).select("id", "t.length", F.explode("t.terms").alias("p")).select("p.term", "id", "length", "p.tf")
-
-
-def _statistics(units: DataFrame, tokens: Column) -> tuple[DataFrame, DataFrame]:
-    """(term, df), and one row of the number of units and their mean length: one pass, in which each unit counts as a term of its own kind."""
-    told = _counted(units, tokens)
-    each = F.concat(F.transform("t.terms", lambda p: F.struct(p["term"].alias("term"), F.lit(0).alias("length"), F.lit(False).alias("whole"))), F.array(F.struct(F.lit("").alias("term"), F.col("t.length").alias("length"), F.lit(True).alias("whole"))))
-    # "whole" is asked for after the sums, so that both uses share them.
-    sums = told.select(F.explode(each).alias("e")).groupBy("e.term", "e.whole").agg(F.count("*").alias("df"), F.sum("e.length").alias("total"), F.max(F.col("e.whole")).alias("unit"))
-    return sums.where("not unit").select("term", "df"), sums.where("unit").select(F.col("df").alias("units"), (F.col("total") / F.col("df")).alias("mean"))
-
-
 def query_terms(queries: DataFrame, tokens: Column, distinct: bool = False) -> DataFrame:
     """query_id, term and how often the query has it."""
     n = F.lit(1) if distinct else F.count("*")
     return queries.select("query_id", F.explode(tokens).alias("term")).groupBy("query_id", "term").agg(n.alias("times"))
 
 
+def okapi(index: inverted.Index, floor: float = 0.25) -> Column:
+    """A term's weight from its df: a negative idf becomes ``floor`` times the mean idf of all terms."""
+    idf = F.log(F.lit(float(index.units)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean = index.dictionary.agg(F.avg(idf)).first()[0] or 0.0  # one number
+    return F.when(idf < 0, floor * mean).otherwise(idf)
+
+
 def bm25(units: DataFrame, queries: DataFrame, k: int, unit_tokens: Column, tokens: Column, fill: bool = True, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
-    """Okapi BM25 with a floor for common terms: a negative idf becomes ``floor`` times the mean idf. ``fill``: units without a match score 0."""
-    df, sizes = _statistics(units, unit_tokens)
-    idf = df.join(F.broadcast(sizes)).withColumn("idf", F.log(F.col("units") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # sizes is one row
-    mean = idf.agg(F.avg("idf").alias("mean_idf"))
-    wanted = query_terms(queries, tokens)
-    weights = idf.join(wanted, "term").join(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, floor * F.col("mean_idf")).otherwise(F.col("idf")))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = postings(units, unit_tokens).join(weights, "term").select("query_id", "id", part.alias("part")).groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    """Okapi BM25 with a floor for common terms, over a new index. ``fill``: units without a match score 0."""
+    return bm25_search(inverted.build(units, unit_tokens), units.select("id"), queries, k, tokens, fill, k1, b, floor)
+
+
+def bm25_search(index: inverted.Index, ids: DataFrame, queries: DataFrame, k: int, tokens: Column, fill: bool = True, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+    """Okapi BM25 over a stored index of units (ids: their id). A list is filled up with the first ids that don't match: of the first k ids those that match are scored too, so what is left of them is known."""
+    asked = query_terms(queries, tokens)
+    first = [r["id"] for r in ids.select("id").distinct().orderBy("id").limit(k).collect()] if fill else []  # k numbers
+    scored = inverted.search(index, asked, k, okapi(index, floor), first, k1, b)
     if not fill:
         return top(scored.where("score > 0"), k, ["query_id"])
-    return _filled(scored, lambda some: postings(some, unit_tokens).join(wanted, "term"), units, queries, k)
+    zeros = queries.select("query_id", F.explode(F.array(*map(F.lit, first)) if first else F.expr("array()").cast("array<long>")).alias("id"))
+    none = zeros.join(scored.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0))
+    return top(scored.unionByName(none), k, ["query_id"])
 
 
 def _filled(scored: DataFrame, matches, units: DataFrame, queries: DataFrame, k: int) -> DataFrame:

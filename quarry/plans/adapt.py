@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from contextvars import ContextVar
-from functools import wraps
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import text as X
-
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -31,37 +25,9 @@ def units(spark: SparkSession, sf: str) -> DataFrame:
     return dealt(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"), "lang", "source"), "id")
 
 
-#: Whether queries are whole benchmark passages.
-_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
-
-
-def whole(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The query with whole passages."""
-
-    @wraps(query)
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        token = _WHOLE.set(True)
-        try:
-            return query(spark, sf)
-        finally:
-            _WHOLE.reset(token)
-
-    return run
-
-
-def beginning(text: Column, words: int) -> Column:
-    """The first words of a text; the whole text in ``whole``."""
-    return F.coalesce(text, F.lit("")) if _WHOLE.get() else X.first_words(text, words)
-
-
-def half(words: Column) -> Column:
-    """How many of a passage's words are its first half."""
-    return F.floor((F.size(words) + 1) / 2).cast("int") if _WHOLE.get() else F.lit(6)
-
-
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    """The first twelve words of each benchmark passage as a query, or in ``whole`` the passage."""
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), beginning(F.col("text"), 12).alias("query"))
+    """Each benchmark passage as a query."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,9 +65,7 @@ def _list(words: list[str]) -> str:
 
 #: SQL of the same shapes.
 U = "u AS (SELECT doc_id AS id, coalesce(text,'') AS content, lang, source FROM documents)"
-Q = "q AS (SELECT item_id AS query_id, array_to_string((string_split(coalesce(text,''),' '))[1:12],' ') AS query FROM benchmark)"
-#: Whole passages, for ``whole``.
-QW = "q AS (SELECT item_id AS query_id, coalesce(text,'') AS query FROM benchmark)"
+Q = "q AS (SELECT item_id AS query_id, coalesce(text,'') AS query FROM benchmark)"
 T = "t AS (SELECT conv_id, turn, role, coalesce(text,'') AS content FROM conversations)"
 S = "s AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_id, event_type, value, ts, event_type='purchase' AS success, CASE event_type WHEN 'purchase' THEN 1.0::DOUBLE WHEN 'error' THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward FROM events)"
 WORDS = "regexp_extract_all(lower({0}),'[a-z0-9]+')"

@@ -47,13 +47,6 @@ def i15(spark, sf):
 
 
 def i18(spark, sf):
-    """Of the first 200 characters, as its SQL has it."""
-    words = adapt.units(spark, sf).select("id", F.explode(X.words(F.substring("content", 1, 200))).alias("concept"))
-    return chunking.concept_graph(words, 3)
-
-
-def i18_whole(spark, sf):
-    """As above, of whole contents."""
     words = adapt.units(spark, sf).select("id", F.explode(F.array_distinct(X.words(F.col("content")))).alias("concept"))
     return chunking.concept_graph(words, 3)
 
@@ -166,7 +159,6 @@ QUERIES = {
     "I08_I07_I13_line_groups": i08,
     "I15_W09_sentence_granularities": i15,
     "I18_concept_graph": i18,
-    "I18_concept_graph_whole": i18_whole,
     "I21_T10_state_snapshots": i21,
     "I22_I23_entity_bridge": i23,
     "I25_J13_state_graph": i25,
@@ -211,8 +203,7 @@ ORACLE = {
     r AS (SELECT id, part::BIGINT AS part, min(line)::INT AS first, count(*) AS lines, string_agg(text, chr(10) ORDER BY line) AS content FROM p GROUP BY id, part) SELECT id, part, first, lines, {_D} FROM r""",
     "I15_W09_sentence_granularities": f"""WITH {U}, s AS (SELECT id, content, list_filter(string_split(regexp_replace(content,'([.!?])\\s+','\\1'||chr(1),'g'),chr(1)), lambda x: x<>'') AS p FROM u), x AS (SELECT id, p, unnest(range(0,len(p))) AS nth FROM s),
     r AS (SELECT id, 'document' AS kind, 0 AS nth, content, len(p)>id%5 AS f FROM s UNION ALL SELECT id, 'sentence', nth, p[nth+1], nth=id%5 FROM x UNION ALL SELECT id, 'sentence_pair', nth, p[nth+1]||' '||p[nth+2], nth=id%5 OR nth+1=id%5 FROM x WHERE nth+1<len(p)) SELECT id, kind, nth::INT AS "at", f AS is_supporting_fact, {_D} FROM r""",
-    "I18_concept_graph": f"WITH {U}, c AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(substr(content,1,200)),'[a-z0-9]+')) AS concept FROM u) SELECT concept, count(*) AS units, list(id ORDER BY id) AS ids FROM c GROUP BY 1 HAVING count(*)>=3",
-    "I18_concept_graph_whole": f"WITH {U}, c AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(content),'[a-z0-9]+')) AS concept FROM u) SELECT concept, count(*) AS units, list(id ORDER BY id) AS ids FROM c GROUP BY 1 HAVING count(*)>=3",
+    "I18_concept_graph": f"WITH {U}, c AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(content),'[a-z0-9]+')) AS concept FROM u) SELECT concept, count(*) AS units, list(id ORDER BY id) AS ids FROM c GROUP BY 1 HAVING count(*)>=3",
     "I21_T10_state_snapshots": f"WITH {T}, r AS (SELECT conv_id AS key, turn AS seq, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS last, right(string_agg(content, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 4000) AS state FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT key, seq, n::INT AS n, md5(state) AS digest FROM r WHERE n%3=0 OR n=last",
     "I22_I23_entity_bridge": f"""WITH {U}, {_UW}, e AS (SELECT DISTINCT id, lower(trim(x, '.,;:!?"''()')) AS entity FROM (SELECT id, unnest(list_filter(list_transform(range(2, len(words)+1), lambda i: CASE WHEN length(words[i])>2 AND regexp_matches(words[i],'^\\p{{Lu}}') AND regexp_matches(words[i],'\\p{{Ll}}') AND NOT regexp_matches(words[i-1],'[.!?]$') THEN words[i] END), lambda x: x IS NOT NULL)) AS x FROM w))
     SELECT entity, count(*) AS units, min(id) AS first FROM e GROUP BY 1""",

@@ -277,11 +277,11 @@ def a15(spark, sf):
     return c.select("c_custkey", evaluation.canonical_usage(build, query).alias("u")).select("c_custkey", "u.*")
 
 
-# Named pipelines; queries are those with an id divisible by 50.
+# Named pipelines.
 
 
 def _inputs(spark, sf):
-    return adapt.units(spark, sf).select("id", "content"), adapt.questions(spark, sf).where("query_id % 50 = 0")
+    return adapt.units(spark, sf).select("id", "content"), adapt.questions(spark, sf)
 
 
 def c6(spark, sf):
@@ -388,7 +388,6 @@ _BUCKETS = "array_to_string(list_transform(range(0,16), lambda i: len(list_filte
 _SPLIT = "list_filter(regexp_split_to_array(lower({0}),'[\\s\\p{{Z}}]+'), lambda x: x<>'')"
 _STEP6 = f"{S}, e AS (SELECT key, seq, event_type AS kind, round(value)::INT AS n FROM s WHERE seq<6)"
 _HINT = "trim(role)||chr(10)||chr(10)||'Retrieval hint: '||"
-_Q50 = Q.replace("FROM benchmark", "FROM benchmark WHERE item_id%50=0")
 _TRIPLES = "w AS (SELECT id, list_filter(list_transform(string_split(content,'.'), lambda s: list_filter(regexp_split_to_array(s,'[\\s\\p{Z}]+'), lambda x: x<>'')), lambda w: len(w)>=3)[1:15] AS p FROM u0), x AS (SELECT id, generate_subscripts(p,1)-1 AS i, unnest(p) AS w FROM w), u AS (SELECT id*100+i AS id, lower(w[1])||' '||lower(w[2])||' '||lower(w[len(w)]) AS content FROM x UNION ALL SELECT id*100+99, content FROM u0 WHERE id IN (SELECT id FROM w WHERE len(p)=0))"
 _CAT = "CASE turn%6 WHEN 2 THEN '{2}' WHEN 3 THEN '{3}' WHEN 5 THEN '{5}' ELSE '{0}' END".format(prompts.CATEGORY_HINT, "", *(prompts.CATEGORY_HINTS.get(k, "") for k in (2, 3, 4, 5)))
 _DOM = "CASE WHEN turn%2=0 THEN '{1}' ELSE '{2}' END".format(*(h for _, h in prompts.DOMAIN_HINTS))
@@ -421,8 +420,8 @@ ORACLE = {
     "X24_task_hints": f"WITH {T}, k AS (SELECT *, CASE turn%3 WHEN 0 THEN 'pick | ' ELSE '' END AS p, trim(regexp_replace(lower(content),'\\s+',' ','g')) AS c FROM t) SELECT conv_id, turn, md5(CASE WHEN turn%4=3 THEN CASE WHEN turn%3=0 THEN 'Pick' ELSE '' END ELSE p||trim(regexp_replace(regexp_replace(regexp_replace(lower('Look  around Then '||content),'\\s+',' ','g'),'you are in the [^.]+\\.\\s*','','g'),'\\blook around\\b','','g')) END) AS task, CASE WHEN turn%2=0 THEN 'web' ELSE 'sql' END AS kind, md5({_HINT}{_CAT}) AS hinted, md5({_HINT}{_DOM}) AS hinted_domain, 3 AS hops FROM k",
     "X28_prompts": f"WITH {T}, k AS (SELECT *, chr(10)||chr(10) AS b, 'What did '||role||' say?' AS q FROM t) SELECT conv_id, turn, md5(CASE turn%6 WHEN 5 THEN 'Reply exactly: Not mentioned in the conversation.' WHEN 3 THEN 'Infer the likeliest answer from the snippets; don''t abstain. A yes/no question is answered Likely yes or Likely no where it isn''t certain.' ELSE 'Answer shortly from the snippets. Only without any evidence reply exactly: Not mentioned in the conversation.' END||b||'Memory snippets:'||chr(10)||content||b||'Question: '||q||b||CASE WHEN turn%6=2 THEN 'Give dates or the order of events where possible.'||chr(10) ELSE '' END||'Return only the answer.') AS answer, md5('Domain: web'||b||CASE WHEN turn%2=1 THEN 'Whole task:'||chr(10)||'all'||b ELSE '' END||'Background:'||chr(10)||'None'||b||'Memory of earlier sessions:'||chr(10)||CASE WHEN trim(regexp_replace(content,'\\s+',' ','g'))='' THEN 'None (first session).' ELSE regexp_replace(content,'^\\s+|\\s+$','','g') END||b||'Task:'||chr(10)||q||b||'Return only the final answer.') AS session FROM k",
     "A15_canonical_usage": "SELECT c_custkey, CASE WHEN c_custkey%2=0 THEN c_custkey ELSE c_custkey*2 END::BIGINT AS t_build_input, 0::BIGINT AS t_build_output, CASE WHEN c_custkey%3=0 THEN c_custkey*3 ELSE 0 END::BIGINT AS t_query_input, 0::BIGINT AS t_query_output, c_custkey/4.0::DOUBLE AS w_llm, 0.0::DOUBLE AS w_tool, c_custkey/10.0::DOUBLE AS w_llm_build, CASE WHEN c_custkey%5=0 THEN 0.5::DOUBLE END AS gpu_util_mean FROM customer",
-    "I28_U09_C6_causal_reasoner": f"WITH {q_retrieval._bm25_sql(q_retrieval._BM, True).replace(U, U.replace('u AS', 'u0 AS') + ', ' + _TRIPLES).replace(Q, _Q50)}, h AS ({top('sc', K)}) SELECT query_id, id, round(1.0::DOUBLE/rank,6) AS score, rank FROM h",
+    "I28_U09_C6_causal_reasoner": f"WITH {q_retrieval._bm25_sql(q_retrieval._BM, True).replace(U, U.replace('u AS', 'u0 AS') + ', ' + _TRIPLES)}, h AS ({top('sc', K)}) SELECT query_id, id, round(1.0::DOUBLE/rank,6) AS score, rank FROM h",
     "I28_C6_state_memory": f"WITH {U}, s AS (SELECT id AS key, list_filter(string_split(content,'.'), lambda x: trim(x)<>'') AS p FROM u), x AS (SELECT key, len(p) AS k, p, unnest(range(1,len(p)+1)) AS n FROM s) SELECT key, (n-1)::INT AS seq, n::INT AS n, md5(right(array_to_string(p[1:n],chr(10)),4000)) AS digest FROM x WHERE n%3=0 OR n=k",
-    "I28_U09_C7_concept_hops": f"WITH {U}, {_Q50}, s AS (SELECT id, list_filter(list_transform(string_split(content,'.'), lambda x: trim(x)), lambda x: x<>'')[1:10] AS p, content FROM u), p AS (SELECT id*100+unnest(range(0,greatest(len(p),1))) AS id, unnest(CASE WHEN len(p)>0 THEN p ELSE [content] END) AS content FROM s), c AS (SELECT DISTINCT id, unnest(list_filter({stopped(WORDS.format('content'), X.BM25_STOPWORDS)}, lambda x: length(x)>=4)) AS concept FROM p), n AS (SELECT DISTINCT query_id, unnest({WORDS.format('query')}) AS concept FROM q), sd AS (SELECT query_id, concept FROM n WHERE concept IN (SELECT concept FROM c) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY concept)<=5), h0 AS (SELECT DISTINCT query_id, id FROM sd JOIN c USING (concept)), c1 AS (SELECT DISTINCT query_id, concept FROM h0 JOIN c USING (id) WHERE (query_id, concept) NOT IN (SELECT query_id, concept FROM sd)), h1 AS (SELECT DISTINCT query_id, id FROM c1 JOIN c USING (concept)), sc AS (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, 1.0::DOUBLE AS score FROM h0 UNION ALL SELECT query_id, id, 0.5::DOUBLE FROM h1) GROUP BY ALL) {top('sc', K)}",
-    "U09_C9_late_interaction": f"WITH {U}, {_Q50}, w AS (SELECT id, list_filter(regexp_split_to_array(content,'[\\s\\p{{Z}}]+'), lambda x: x<>'') AS words FROM u), k AS (SELECT id, words, unnest(range(0, greatest(len(words),1), 224)) AS start FROM w), ch AS (SELECT id*100000+start//224 AS id, list_distinct(list_transform(words[start+1:start+256], lambda x: substr(md5(lower(x)),2,1))) AS b FROM k), qw AS (SELECT query_id, list_transform(({_SPLIT.format('query')})[1:32], lambda x: substr(md5(x),2,1)) AS t FROM q), sc AS (SELECT query_id, id, len(list_filter(t, lambda x: list_contains(b,x)))::DOUBLE AS score FROM ch, qw WHERE len(b)>0) {top('sc', K)}",
+    "I28_U09_C7_concept_hops": f"WITH {U}, {Q}, s AS (SELECT id, list_filter(list_transform(string_split(content,'.'), lambda x: trim(x)), lambda x: x<>'')[1:10] AS p, content FROM u), p AS (SELECT id*100+unnest(range(0,greatest(len(p),1))) AS id, unnest(CASE WHEN len(p)>0 THEN p ELSE [content] END) AS content FROM s), c AS (SELECT DISTINCT id, unnest(list_filter({stopped(WORDS.format('content'), X.BM25_STOPWORDS)}, lambda x: length(x)>=4)) AS concept FROM p), n AS (SELECT DISTINCT query_id, unnest({WORDS.format('query')}) AS concept FROM q), sd AS (SELECT query_id, concept FROM n WHERE concept IN (SELECT concept FROM c) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY concept)<=5), h0 AS (SELECT DISTINCT query_id, id FROM sd JOIN c USING (concept)), c1 AS (SELECT DISTINCT query_id, concept FROM h0 JOIN c USING (id) WHERE (query_id, concept) NOT IN (SELECT query_id, concept FROM sd)), h1 AS (SELECT DISTINCT query_id, id FROM c1 JOIN c USING (concept)), sc AS (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, 1.0::DOUBLE AS score FROM h0 UNION ALL SELECT query_id, id, 0.5::DOUBLE FROM h1) GROUP BY ALL) {top('sc', K)}",
+    "U09_C9_late_interaction": f"WITH {U}, {Q}, w AS (SELECT id, list_filter(regexp_split_to_array(content,'[\\s\\p{{Z}}]+'), lambda x: x<>'') AS words FROM u), k AS (SELECT id, words, unnest(range(0, greatest(len(words),1), 224)) AS start FROM w), ch AS (SELECT id*100000+start//224 AS id, list_distinct(list_transform(words[start+1:start+256], lambda x: substr(md5(lower(x)),2,1))) AS b FROM k), qw AS (SELECT query_id, list_transform(({_SPLIT.format('query')})[1:32], lambda x: substr(md5(x),2,1)) AS t FROM q), sc AS (SELECT query_id, id, len(list_filter(t, lambda x: list_contains(b,x)))::DOUBLE AS score FROM ch, qw WHERE len(b)>0) {top('sc', K)}",
 }

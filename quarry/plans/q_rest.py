@@ -66,7 +66,7 @@ def f05(spark, sf):
     """A query in two halves, each retrieved, the best score of an id kept."""
     q = adapt.questions(spark, sf)
     words = F.split("query", " ")
-    n = adapt.half(words)
+    n = F.floor((F.size(words) + 1) / 2).cast("int")
     half = lambda a: q.select("query_id", F.array_join(F.slice(words, a, n), " ").alias("query"))
     u = adapt.units(spark, sf)
     return ranking.union_best([retrieval.term_sets(u, half(F.lit(1)), K), retrieval.term_sets(u, half(n + 1), K)], K, ["query_id"])
@@ -110,7 +110,7 @@ QUERIES = {
 }
 
 _TRI = "w AS (SELECT id, list_filter(list_transform(string_split(content,'.'), lambda s: list_filter(regexp_split_to_array(s,'[\\s\\p{Z}]+'), lambda x: x<>'')), lambda w: len(w)>=3)[1:15] AS p FROM u), x AS (SELECT id, (generate_subscripts(p,1)-1)::INT AS i, unnest(p) AS w FROM w), tr AS (SELECT id, i, lower(w[1]) AS subject, lower(w[2]) AS predicate, lower(w[len(w)]) AS object FROM x)"
-_HALF = f"h AS (SELECT query_id, 1 AS part, array_to_string((string_split(query,' '))[1:6],' ') AS query FROM q UNION ALL SELECT query_id, 2, array_to_string((string_split(query,' '))[7:12],' ') FROM q), ut AS (SELECT DISTINCT id, unnest({WORDS.format('content')}) AS term FROM u), ht AS (SELECT DISTINCT query_id, part, unnest({WORDS.format('query')}) AS term FROM h)"
+_HALF = f"h AS (SELECT query_id, 1 AS part, array_to_string((string_split(query,' '))[1:(len(string_split(query,' '))+1)//2],' ') AS query FROM q UNION ALL SELECT query_id, 2, array_to_string((string_split(query,' '))[(len(string_split(query,' '))+1)//2+1:],' ') FROM q), ut AS (SELECT DISTINCT id, unnest({WORDS.format('content')}) AS term FROM u), ht AS (SELECT DISTINCT query_id, part, unnest({WORDS.format('query')}) AS term FROM h)"
 ORACLE = {
     "W14_quota_fill": f"WITH {U}, r AS (SELECT id, lang, row_number() OVER (PARTITION BY lang ORDER BY id) AS round FROM u) SELECT id, lang FROM r ORDER BY round, lang LIMIT 62",
     "I09_turn_passages": f"WITH {T} SELECT conv_id, (turn//3)::BIGINT AS passage, md5(string_agg(content, chr(10) ORDER BY turn)) AS digest FROM t GROUP BY ALL",

@@ -87,7 +87,7 @@ def r15(spark, sf):
 
 def r16(spark, sf):
     u = adapt.units(spark, sf).select("id", F.concat_ws("_", "source", "lang").alias("key"), "content")
-    q = adapt.questions(spark, sf).select("query_id", adapt.beginning(F.col("query"), 2).alias("query"))
+    q = adapt.questions(spark, sf)
     extra = u.groupBy("key").agg(F.min("id").alias("query_id")).select((-1 - F.col("query_id")).alias("query_id"), F.col("key").alias("query"))
     return retrieval.key_value(u, q.unionByName(extra), K)
 
@@ -236,7 +236,7 @@ ORACLE = {
     wh AS (SELECT query_id, id, 1.5::DOUBLE AS bonus FROM m JOIN a2 ON contains(lower(content), q)),
     f AS (SELECT query_id, id, weight, overlap, bonus FROM sh FULL JOIN wh USING (query_id, id)),
     sc AS (SELECT f.query_id, f.id, round((coalesce(weight,0)+coalesce(bonus,0)+0.75::DOUBLE*coalesce(overlap,0)/len(terms)+0.15::DOUBLE*(seq+1)/total+CASE WHEN list_contains(terms, lower(trim(speaker))) THEN 0.5 ELSE 0 END)*CASE WHEN source='qa_feedback' THEN 0.35::DOUBLE ELSE 1.0::DOUBLE END,6) AS score FROM f JOIN m USING (id) JOIN a2 USING (query_id)) {top('sc', K)}""",
-    "R16_key_value": f"""WITH {U}, {Q}, r AS (SELECT id, lower(source||'_'||lang) AS key, lower(content) AS low FROM u), qq AS (SELECT query_id, trim(lower(array_to_string(string_split(query,' ')[1:2],' '))) AS q FROM q UNION ALL SELECT -1-min(id), lower(source||'_'||lang) FROM u GROUP BY source, lang),
+    "R16_key_value": f"""WITH {U}, {Q}, r AS (SELECT id, lower(source||'_'||lang) AS key, lower(content) AS low FROM u), qq AS (SELECT query_id, trim(lower(query)) AS q FROM q UNION ALL SELECT -1-min(id), lower(source||'_'||lang) FROM u GROUP BY source, lang),
     x AS (SELECT query_id, id, q, key, len(list_intersect(list_filter(regexp_split_to_array(q,'[\\s\\p{{Z}}]+'), lambda z: z<>''), list_filter(regexp_split_to_array(low,'[\\s\\p{{Z}}]+'), lambda z: z<>''))) AS shared, contains(low,q) AS it, contains(key,q) AS ik FROM r, qq WHERE q<>''),
     sc AS (SELECT query_id, id, CASE WHEN q=key THEN 3.0::DOUBLE ELSE 1.0::DOUBLE+shared+CASE WHEN it THEN 0.5 ELSE 0 END+CASE WHEN ik THEN 0.5 ELSE 0 END END AS score FROM x WHERE q=key OR shared>0 OR it OR ik) {top('sc', K)}""",
     "R17_term_hits_recency": f"""WITH {U}, {Q}, p AS (SELECT DISTINCT id, unnest({UWORDS.format('content')}) AS term FROM u), a AS (SELECT DISTINCT query_id, unnest({UWORDS.format('query')}) AS term FROM q),

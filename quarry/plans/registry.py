@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with queries of the engine's own operators.
-MODULES: tuple[str, ...] = ("quarry.plans.q_retrieval", "quarry.plans.q_index", "quarry.plans.q_eval", "quarry.plans.q_plan", "quarry.plans.q_state", "quarry.plans.q_more", "quarry.plans.q_rest", "quarry.plans.q_loop", "quarry.plans.q_whole")
+MODULES: tuple[str, ...] = ("quarry.plans.q_retrieval", "quarry.plans.q_index", "quarry.plans.q_eval", "quarry.plans.q_plan", "quarry.plans.q_state", "quarry.plans.q_more", "quarry.plans.q_rest", "quarry.plans.q_loop")
 FLAGSHIP = "R01_bm25"
 
 

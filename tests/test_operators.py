@@ -167,7 +167,7 @@ def test_concepts_of_whole_contents(spark, tmp_path):
 
     rows = [(i, "filler " * 60 + "Zanzibar zanzibar", "en", "s") for i in range(3)] + [(3, None, "en", "s"), (4, "zanzibar", "en", "s")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["concept"]: (r["units"], r["ids"]) for r in registry.queries()["I18_concept_graph_whole"](spark, str(tmp_path)).collect()}
+    got = {r["concept"]: (r["units"], r["ids"]) for r in registry.queries()["I18_concept_graph"](spark, str(tmp_path)).collect()}
     assert got == {"filler": (3, [0, 1, 2]), "zanzibar": (4, [0, 1, 2, 4])}
 
 
@@ -179,11 +179,10 @@ def test_whole_passages_are_searched(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     passages = [(0, " ".join(f"w{i}" for i in range(1, 20)) + " zebra"), (1, None)]
     spark.createDataFrame(passages, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    for name in ("R23_term_sets_whole", "F05_decomposition_whole"):
+    for name in ("R23_term_sets", "F05_decomposition"):
         got = {(r["query_id"], r["id"]): r["score"] for r in registry.queries()[name](spark, str(tmp_path)).collect()}
         assert got == {(0, 1): 1.0, (0, 2): 2.0}, name
-    assert {r["query_id"]: len(r["query"].split()) for r in registry.queries()["R36_condensed_query_whole"](spark, str(tmp_path)).collect()}[0] == 6
-    assert "R01_bm25_whole" in registry.queries() and "U09_C3_C5_pipelines_whole" in registry.queries()
+    assert {r["query_id"]: len(r["query"].split()) for r in registry.queries()["R36_condensed_query"](spark, str(tmp_path)).collect()}[0] == 6
 
 
 def _ranks(edges, seed, rounds=50):
