@@ -9,7 +9,8 @@ copied: with two or more, all their windows repeat (by a 128-bit digest). Names
 shards, one copy of each segment, and a shard's segments are joined into one string whose suffixes are sorted by external
 induction (``suffix_sort``): windows repeat where neighbours in that order share ``length`` bytes. The string is a file of
 the task's own temporary folder, and so is what the queue can't hold; the folder goes with the task. In memory are the
-seeds of a shard with their names, some 20 bytes for each byte, and a bucket. A shard has ``SHARD_BYTES`` on average; a name
+seeds of a shard with their names, some 20 bytes for each byte, and a bucket. Long runs of one symbol or of a short period
+are cut to a period and their ends before (``Windows.periodic``), and a text is named in slabs, so that memory doesn't grow with either. A shard has ``SHARD_BYTES`` on average; a name
 that more bytes of different segments share is split by the bytes around its anchor (``_marks``).
 
 Defined results: a null text is empty; a null doc_id is carried; repeated rows are separate texts, so all their bytes go
@@ -36,6 +37,8 @@ from quarry.llm.common import arrow_limits, lean_memory, narrow, spool
 LENGTH, ANCHOR = 400, 200
 #: Bytes of a shard on average; a name with more bytes of different segments is split.
 SHARD_BYTES = 3 << 19
+#: Windows of a text that are named at a time, and bytes of pieces that a task holds.
+SLAB, HELD = 1 << 22, 1 << 23
 #: Digests that a task remembers, so as not to send equal segments' bytes again.
 REMEMBERED = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
@@ -72,7 +75,37 @@ class Windows:
         return x ^ (x >> np.uint64(29))
 
     def segments(self, data: bytes):
-        """(names, starts, ends, whether a name's anchor stands more than once in the segment)."""
+        """(names, starts, ends, whether a name's anchor stands more than once in the segment), of ``SLAB`` windows at a time."""
+        import numpy as np
+
+        parts = [(at, self._segments(data[at : at + SLAB + self.length - 1])) for at in range(0, max(1, len(data) - self.length + 1), SLAB)]
+        return tuple(np.concatenate([part[k] + (at if k in (1, 2) else part[k].dtype.type(0)) if k < 3 else part[k] for at, part in parts]) for k in range(4))
+
+    def periodic(self, own: bytes, name: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+        """Of a segment: the windows (from, to) to compare, and those that repeat for sure.
+
+        Where a name's anchors follow at equal distances of no more than their length, the bytes from the first to the last repeat with
+        that period. In such a run every window stands a period further on or back, and those after the first period's
+        are copies of it; so of a long run only the first period's windows, and those that reach beyond it, are compared.
+        """
+        import numpy as np
+
+        count = len(own) - self.length + 1
+        at = np.flatnonzero(self.anchors(own) == np.uint64(name))
+        gap = np.diff(at)
+        first = np.flatnonzero(np.concatenate(([True], gap[1:] != gap[:-1]))) if len(gap) else np.empty(0, np.int64)
+        last = np.append(first[1:], len(gap))
+        long = (at[last] - at[first] >= 3 * self.length) & (gap[first] <= self.anchor) if len(gap) else first.astype(np.bool_)
+        kept, sure, begin = [], [], 0
+        for i, j in zip(first[long].tolist(), last[long].tolist(), strict=True):
+            a, period, end = int(at[i]), int(gap[i]), int(at[j]) + self.anchor - self.length + 1
+            if begin < a + period:
+                kept.append((begin, a + period))
+            sure.append((a, end))
+            begin = max(begin, end)
+        return [*kept, *([(begin, count)] if begin < count else [])], sure
+
+    def _segments(self, data: bytes):
         import numpy as np
 
         if len(data) < self.length:
@@ -112,7 +145,10 @@ def _signed(name: int) -> int:
 
 
 def _segments(rows: DataFrame, places: DataFrame, length: int, anchor: int) -> DataFrame:
-    """The segments whose name is shared: name, digest (hi, lo), doubled, row, start, end and bytes, stored. Of equal segments only a task's first holds its bytes."""
+    """The segments whose name is shared: name, digest (hi, lo), doubled, row, start, end and bytes, stored. Of equal segments only a task's first holds its bytes.
+
+    Of a long periodic run only what ``Windows.periodic`` keeps is a segment; a row without a name tells windows that repeat for sure.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -126,10 +162,15 @@ def _segments(rows: DataFrame, places: DataFrame, length: int, anchor: int) -> D
                 found = []
                 for k in (np.frombuffer(at, np.uint32) & np.uint32((1 << 31) - 1)).tolist():
                     a, b = int(starts[k]), int(ends[k])
-                    own = data[a : b + length - 1]
-                    d = digest(own)
-                    found.append((_signed(int(names[k])), _signed(d >> 64), _signed(d & (1 << 64) - 1), bool(doubled[k]), row, a, b, None if d in seen else own))
-                    seen.add(d)
+                    kept, sure = [(0, b - a)], []
+                    if doubled[k] and b - a > 3 * length:
+                        kept, sure = windows.periodic(data[a : b + length - 1], int(names[k]))
+                    found += [(None, None, None, False, row, a + u, a + v, None) for u, v in sure]
+                    for u, v in kept:
+                        own = data[a + u : a + v + length - 1]
+                        d = digest(own)
+                        found.append((_signed(int(names[k])), _signed(d >> 64), _signed(d & (1 << 64) - 1), bool(doubled[k]), row, a + u, a + v, None if d in seen else own))
+                        seen.add(d)
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 if found:
@@ -201,8 +242,12 @@ def _halves(segments: DataFrame, length: int, anchor: int) -> DataFrame:
 
         windows = Windows(length, anchor)
         fields = pa.schema([(c, pa.int64()) for c in ("name", "hi", "lo", "of_name", "of_hi", "of_lo")] + [(c, pa.int32()) for c in ("at", "starts", "place", "least", "most")] + [("bytes", pa.binary())])
+
+        def made(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), fields, strict=True)], schema=fields)
+
         for batch in batches:
-            found = []
+            found, size = [], 0
             for name, hi, lo, own, place, least, most in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 count = len(own) - length + 1
                 if place is None:  # a window belongs to the first anchor at or after its start
@@ -218,8 +263,12 @@ def _halves(segments: DataFrame, length: int, anchor: int) -> DataFrame:
                             piece, shared = own[a : b + length - 1], own[p - u : p - v + length]
                             d = digest(piece)
                             found.append((_signed(short(shared, seed=u * (length + 1) + v)), _signed(d >> 64), _signed(d & (1 << 64) - 1), name, hi, lo, a, b - a, p - a, u, v, piece))
+                            size += len(piece)
+                    if size > HELD:
+                        yield made(found)
+                        found, size = [], 0
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), fields, strict=True)], schema=fields)
+                yield made(found)
 
     return segments.select("name", "hi", "lo", "bytes", "place", "least", "most").mapInArrow(cut, f"{_KEY}, of_name long, of_hi long, of_lo long, at int, starts int, place int, least int, most int, bytes binary")
 
@@ -262,7 +311,8 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     """row and ``windows``: a list of binaries of int pairs, the starts (from, to) of the windows that stand elsewhere too. rows: row, text."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     places = postings.shared(rows.select("row", "text"), lambda: Windows(length, anchor), total // 100)
-    stored = _segments(rows, places, length, anchor)
+    told = _segments(rows, places, length, anchor)
+    stored, sure = told.where("name is not null"), told.where("name is null")
     kinds = stored.groupBy("name", "hi", "lo").agg(F.count("*").alias("n"), F.max("doubled").alias("doubled"), F.max(F.col("end") - F.col("start")).alias("starts"))
     by_name = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.max(F.col("doubled") & (F.col("n") == 1)).alias("alone"), F.sum(F.col("starts") + length).alias("size"))
     mixed = spool(by_name.where((F.col("kinds") > 1) | F.col("alone")).select("name", "size", F.lit(length - anchor).alias("room")), "mixed")
@@ -273,7 +323,8 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     told = spool(kinds.where("n > 1").select("name", "hi", "lo", "n").join(marks, ["name", "hi", "lo"], "full_outer"), "told")
     found = stored.select("name", "hi", "lo", "row", "start", "end").join(told, ["name", "hi", "lo"])
     windows = F.when(F.col("n") > 1, _pair(F.lit(0), F.col("end") - F.col("start"))).otherwise(F.col("windows"))
-    return found.groupBy("row").agg(F.collect_list(F.struct("start", windows.alias("windows"))).alias("found"))
+    each = found.select("row", "start", windows.alias("windows")).unionByName(sure.select("row", "start", _pair(F.lit(0), F.col("end") - F.col("start")).alias("windows")))
+    return each.groupBy("row").agg(F.collect_list(F.struct("start", "windows")).alias("found"))
 
 
 def covered(found: list[dict] | None, length: int) -> list[tuple[int, int]]:
@@ -290,20 +341,85 @@ def covered(found: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return list(zip(pairs[first, 0].tolist(), reach[last].tolist(), strict=True))
 
 
-def long_runs(data: bytes, runs: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
-    """The runs of more than ``words`` words, or of ``LENGTH`` bytes where words are long or not told apart by spaces."""
-    return [(a, b) for a, b in runs if b - a >= LENGTH or len(data[a:b].split()) > words]
+class Passages:
+    """A text's sequences of so many words, as hashes."""
+
+    def __init__(self, words: int):
+        self.words = words
+
+    def __call__(self, text: str | None):
+        import numpy as np
+        from xxhash import xxh3_64_intdigest as digest
+
+        h = np.fromiter(map(digest, (text or "").encode().split()), np.uint64)
+        n = max(0, len(h) - self.words + 1)
+        powers = np.cumprod(np.full(len(h) + 1, _BASE, np.uint64))
+        running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers[: len(h)])))
+        x = (running[self.words :] - running[: n]) * np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)) if n else np.empty(0, np.uint64)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(29)), np.zeros(n, np.bool_)
+
+
+def passages(rows: DataFrame, found: DataFrame, length: int, words: int) -> DataFrame:
+    """(row, found): the passages of more than ``words`` words that stand twice, of what repeated windows (found) cover, as struct(start, end).
+
+    Windows of different origin may cover a long run that stands nowhere else as a whole. So the runs' sequences of words + 1
+    words are counted, and only those that stand twice go. Of runs whose words aren't told apart by spaces (over 16 bytes on
+    average) those of ``LENGTH`` bytes go.
+    """
+    kind = "row long, start long, text string, whole boolean"
+    fields = pa.schema([("row", pa.int64()), ("start", pa.int64()), ("text", pa.string()), ("whole", pa.bool_())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                data = (text or "").encode()
+                for a, b in covered(spans, length):
+                    n = len(data[a:b].split())
+                    whole = b - a >= LENGTH and 16 * n < b - a
+                    if n > words or whole:
+                        while a < b and data[a] & 0xC0 == 0x80:  # whole characters
+                            a += 1
+                        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((row, a, data[a:b].decode(errors="ignore"), whole), fields, strict=True)], schema=fields)
+
+    both = rows.select("row", "text").join(found, "row").select("row", "text", "found")
+    runs = spool(both.mapInArrow(cut, kind).withColumn("piece", F.monotonically_increasing_id()), "runs", compression="zstd")
+    total = runs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    places = postings.shared(runs.select("piece", "text"), lambda: Passages(words + 1), total // 6)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+
+        import numpy as np
+
+        for batch in batches:
+            for row, start, text, whole, at in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                data = text.encode()
+                if whole:
+                    spans = [(0, len(data))]
+                else:
+                    edges = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+                    first = np.sort((np.frombuffer(at, np.uint32) & np.uint32((1 << 31) - 1)).astype(np.int64))
+                    new = np.flatnonzero(np.concatenate(([True], first[1:] > first[:-1] + words + 1)))
+                    spans = [(edges[int(first[i])][0], edges[int(first[j]) + words][1]) for i, j in zip(new, np.append(new[1:], len(first)) - 1, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(spans), pa.int64()), pa.array([start + a for a, _ in spans], pa.int64()), pa.array([start + b for _, b in spans], pa.int64())], names=["row", "start", "end"])
+
+    told = runs.join(places.withColumnRenamed("row", "piece"), "piece", "left").where("whole or places is not null")
+    spans = told.select("row", "start", "text", "whole", "places").mapInArrow(keep, "row long, start long, end long")
+    return spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("found"))  # of one text
 
 
 def remove(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), length: int = LENGTH, anchor: int = ANCHOR, texts: bool = False, words: int | None = None) -> DataFrame:
     """The columns, n_bytes, n_removed, n_spans and kept_sha256 of every row; with ``texts`` also kept_text, without characters that a removal cut (null where the text is).
 
-    With ``words`` only ``long_runs`` go.
+    With ``words`` only ``passages`` of more words go.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
     rows = narrow(docs, *dict.fromkeys((*columns, "text"))).withColumn("row", F.monotonically_increasing_id())
     found = repeated_windows(rows.select("row", "text"), length, anchor)
+    if words is not None:
+        found = passages(rows, found, length, words)
     both = rows.join(found, "row", "left").select("text", "found", *(F.col(c).alias(f"own_{k}") for k, c in enumerate(columns)))
     kinds = [rows.schema[c].dataType.simpleString() for c in columns]
     schema = ", ".join(f"own_{k} {t}" for k, t in enumerate(kinds)) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts
@@ -313,9 +429,7 @@ def remove(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), length: int
             results = []
             for text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = (text or "").encode()
-                runs = covered(spans, length)
-                if words is not None:
-                    runs = long_runs(data, runs, words)
+                runs = covered(spans, length) if words is None else sorted((f["start"], f["end"]) for f in spans or [])
                 kept = without(data, runs)
                 results.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), *([None if text is None else kept.decode(errors="ignore")] if texts else [])))
             if results:

@@ -643,14 +643,65 @@ def test_chunk_dedup_of_short_texts_and_words(spark, tmp_path):
 
 
 def without_passages(texts):
-    """Brute force of the stage: runs covered by repeated strings of 204 bytes, of more than 50 words or 400 bytes."""
-    for t, (d, mask) in zip(texts, list(covered(texts, 204)), strict=True):
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(int), [0])))).reshape(-1, 2).tolist()
-        kept, at = b"", 0
-        for a, b in edge:
-            if b - a >= 400 or len(d[a:b].split()) > 50:
-                kept, at = kept + d[at:a], b
-        yield None if t is None else (kept + d[at:]).decode(errors="ignore")
+    """Brute force of the stage: sequences of 51 words that stand twice in runs covered by repeated strings of 101 bytes; runs of 400 bytes without spaces."""
+    runs = []
+    for d, mask in covered(texts, 101):
+        own = []
+        for a, b in np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(int), [0])))).reshape(-1, 2).tolist():
+            n = len(d[a:b].split())
+            unspaced = b - a >= 400 and 16 * n < b - a
+            if n > 50 or unspaced:
+                while a < b and d[a] & 0xC0 == 0x80:
+                    a += 1
+                text = d[a:b].decode(errors="ignore").encode()
+                own.append((a, text, unspaced, [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]))
+        runs.append((d, own))
+    words = lambda text, edges: [text[x:y] for x, y in edges]
+    seen = Counter(tuple(w[k : k + 51]) for _, own in runs for _, text, _, edges in own for w in [words(text, edges)] for k in range(len(w) - 50))
+    for t, (d, own) in zip(texts, runs, strict=True):
+        gone = np.zeros(len(d), bool)
+        for a, text, unspaced, edges in own:
+            if unspaced:
+                gone[a : a + len(text)] = True
+            w = words(text, edges)
+            for k in range(len(w) - 50):
+                if seen[tuple(w[k : k + 51])] > 1:
+                    gone[a + edges[k][0] : a + edges[k + 50][1]] = True
+        yield None if t is None else bytes(np.frombuffer(d, np.uint8)[~gone]).decode(errors="ignore")
+
+
+def test_passages_by_words(spark, tmp_path):
+    """Passages of 51 one-letter words go; two repeated runs of 30 words that only together have more, and 50 words, stay."""
+    import corpus_pipeline as cp
+
+    r = random.Random(31)
+    letters = [" ".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(51)) for _ in range(5)]
+    a, b, fifty = prose(30, 41), prose(30, 42), prose(50, 43)
+    texts = [f"{prose(20, 100 + i)} {x} {prose(20, 200 + i)}" for i, x in enumerate([*letters, *letters, f"{a} {b}", a, b, fifty, fifty, PASSAGE, PASSAGE.replace(" ", "\n", 1)])]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    table(spark, rows).repartition(3).write.parquet(path := f"{tmp_path}/t")
+    got = {x["doc_id"]: x["text"] for x in cp.repeated_substrings(spark, spark.read.parquet(path), "").collect()}
+    assert got == dict(enumerate(without_passages(texts)))
+    assert all(len(got[i].split()) == 40 for i in range(10)) and all(got[i] == texts[i] for i in range(10, 15))
+    assert len(got[15].split()) < 45
+
+
+def test_long_periodic_texts(spark, tmp_path):
+    """Megabytes of one symbol, of a period of 7 and of a line, among texts that share windows with them."""
+    from xxhash import xxh3_64_intdigest as digest
+
+    line = "=" * 79 + "\n"
+    texts = ["=" * 3_000_000, "ab cdef" * 200_000 + prose(30, 5), prose(40, 6) + line * 9000 + prose(40, 7), "x" + "=" * 500 + "y", prose(9, 8) + line * 8 + "=" * 390, "cdefab " * 60, "=" * 399, "-" * 401, "-" * 400 + "+", "=" * 1250 + "!" + "=" * 1300]
+    texts.append(texts[2][100_000:103_000] + "tail")
+    data = [t.encode() for t in texts]
+    seen = Counter(digest(d[i : i + 400]) for d in data for i in range(len(d) - 399))
+    table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).repartition(2).write.parquet(path := f"{tmp_path}/t")
+    got = {x["doc_id"]: x for x in repeats.remove(spark.read.parquet(path)).collect()}
+    for i, d in enumerate(data):
+        hit = np.array([seen[digest(d[k : k + 400])] > 1 for k in range(len(d) - 399)], np.int32)
+        mask = np.cumsum(np.concatenate((hit, np.zeros(min(len(d), 399), np.int32))) - np.concatenate((np.zeros(400, np.int32), hit))[: len(d)])[: len(d)] > 0
+        kept = bytes(np.frombuffer(d, np.uint8)[~mask])
+        assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (int(mask.sum()), hashlib.sha256(kept).hexdigest()), i
 
 
 def test_pipeline_edges(spark, docs, empty, tmp_path):
