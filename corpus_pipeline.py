@@ -13,9 +13,9 @@ from quarry.llm import jaccard, packing, pii, quality_rules, repeats
 from quarry.llm.common import DOCUMENT, narrow, spool
 
 
-#: A passage that goes has more than so many words; the strings compared are shorter than any such passage whose words have three letters or more on average.
+#: A passage that goes has more than so many words; so many bytes have those words if each is one letter.
 WORDS = 50
-PASSAGE = 4 * (WORDS + 1)
+PASSAGE = 2 * (WORDS + 1) - 1
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated passages: maximal runs of bytes that strings of PASSAGE bytes cover which stand twice, where a run has more than WORDS words or 400 bytes.
+    """Removes passages of more than WORDS words that stand twice, within runs that repeated strings of PASSAGE bytes cover (``repeats.passages``).
 
     All copies go, as strings are judged on the input; a character cut by a removal goes whole. A null text stays null and an
     empty one empty; repeated rows (if near duplicates were left in) lose the same bytes; an empty table stays empty.
