@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import inverted
+from quarry.operators import vectors as cells
 from quarry.operators.ranking import keep_best, standard_score, top
 
 
@@ -112,31 +113,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
-
-
-def dense_scores(vectors: DataFrame, queries: DataFrame, measure: str = "cosine") -> DataFrame:
-    """(query_id, id, score) of vectors (id, vector) for queries (query_id, query): ``cosine`` with 0 for a null vector, or ``l2`` as 1 / (1 + squared distance)."""
-    if measure == "cosine":
-        v = vectors.select("id", "vector", norm(F.col("vector")).alias("nv"))
-        q = queries.select("query_id", "query", norm(F.col("query")).alias("nq"))
-        size = F.col("nv") * F.col("nq")
-        score = F.when(size > 0, dot(F.col("query"), F.col("vector")) / size).otherwise(0.0)
-    else:
-        v, q = vectors, queries
-        score = 1 / (1 + F.aggregate(F.zip_with("query", "vector", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, d: s + d))
-    return v.join(q).select("query_id", "id", F.round(score, 6).alias("score"))
-
-
 def dense(vectors: DataFrame, queries: DataFrame, k: int, measure: str = "cosine") -> DataFrame:
-    """The k nearest vectors of each query."""
-    return top(dense_scores(vectors, queries, measure), k, ["query_id"])
+    """The k nearest vectors (id, vector) of each query (query_id, query), over a new index: by ``cosine`` with 0 for a null vector, or ``l2`` as 1 / (1 + squared distance)."""
+    return cells.search(cells.build(vectors, measure), queries, k)
 
 
 def near_seeds(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.5) -> DataFrame:
     """Seeds of a graph walk: the k nearest vectors of a cosine at or above the threshold."""
-    return top(dense_scores(vectors, queries).where(F.col("score") >= threshold), k, ["query_id"])
+    return dense(vectors, queries, k).where(F.col("score") >= threshold)
 
 
 def max_similarity(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:

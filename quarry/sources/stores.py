@@ -1,4 +1,4 @@
-"""Stored memories: a vector table as a log of changes, cached embeddings, and a whole store as JSON lines."""
+"""Stored memories over versioned tables: a vector table as a log of changes, cached embeddings, and a whole store as JSON lines."""
 
 from __future__ import annotations
 
@@ -8,29 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import models
-from quarry.operators import retrieval
-from quarry.sources.shared import shared_folder
+from quarry.operators import vectors
+from quarry.sources.shared import shared_folder  # noqa: F401  # named here for callers
+from quarry.sources.versions import VersionedTable
 
 
 class VectorStore:
-    """Records (id, content, meta, vector) in a folder. Every change appends files with its number; the latest of an id counts.
+    """Records (id, content, meta, vector) as a versioned log of changes; the latest of an id counts.
 
-    Adding an id again replaces it, deleting an unknown one does nothing, and a cleared or fresh store is empty. One writer
-    at a time numbers the changes.
+    Adding an id again replaces it, deleting an unknown one does nothing, and a cleared or fresh store is empty. Several writers may
+    change it at a time. An index of the vectors is built at the first search of a version and used until the next.
     """
 
-    SCHEMA = "id long, content string, meta string, vector array<float>, change long, gone boolean"
+    SCHEMA = "id long, content string, meta string, vector array<float>, gone boolean"
 
     def __init__(self, spark: SparkSession, path: str, model: Callable[[list[str]], list[list[float]]] = models.hashed_embedding):
-        self.spark, self.path, self.model = spark, path, model
-        spark.createDataFrame([], self.SCHEMA).write.mode("ignore").parquet(path)
-
-    def _log(self) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        self.spark, self.model = spark, model
+        self.table = VersionedTable(spark, path, self.SCHEMA)
+        self._index: tuple[int, vectors.VectorIndex] | None = None
 
     def _append(self, rows: DataFrame, gone: bool) -> None:
-        change = (self._log().agg(F.max("change")).first()[0] or 0) + 1
-        rows.withColumn("change", F.lit(change).cast("long")).withColumn("gone", F.lit(gone)).select("id", "content", "meta", "vector", "change", "gone").write.mode("append").parquet(self.path)
+        self.table.append(rows.withColumn("gone", F.lit(gone)).select("id", "content", "meta", "vector", "gone"))
 
     def add(self, rows: DataFrame) -> None:
         """rows: id, content and perhaps meta (JSON) and vector; without a vector the content is embedded."""
@@ -45,12 +43,16 @@ class VectorStore:
         self._append(ids.select("id", none("string").alias("content"), none("string").alias("meta"), none("array<float>").alias("vector")), True)
 
     def clear(self) -> None:
-        self.spark.createDataFrame([], self.SCHEMA).write.mode("overwrite").parquet(self.path)
+        self.table.replace(None)
 
-    def records(self) -> DataFrame:
-        """The records as they are now; of an id added twice in one change the greater content."""
+    @staticmethod
+    def _current(log: DataFrame) -> DataFrame:
         last = F.max(F.struct("change", "gone", "content", "meta", "vector")).alias("last")
-        return self._log().groupBy("id").agg(last).where("not last.gone").select("id", "last.content", "last.meta", "last.vector")
+        return log.groupBy("id").agg(last).where("not last.gone").select("id", "last.content", "last.meta", "last.vector")
+
+    def records(self, version: int | None = None) -> DataFrame:
+        """The records as they are now, or as a version had them; of an id added twice in one change the greater content."""
+        return self._current(self.table.rows(version))
 
     def get(self, ids: DataFrame) -> DataFrame:
         return self.records().join(ids.select("id").distinct(), "id")
@@ -63,14 +65,14 @@ class VectorStore:
         if dict(queries.dtypes)["query"] == "string":
             asked = models.embed(queries.where("trim(query) <> ''"), "query", self.model)
             queries = asked.select("query_id", F.col("embedding").alias("query"))
-        return retrieval.dense(self.records().select("id", "vector"), queries, k, "l2")
+        version, _ = self.table.latest()
+        if self._index is None or self._index[0] != version:
+            self._index = version, vectors.build(self.records(version or None).select("id", "vector"), "l2")
+        return vectors.search(self._index[1], queries, k)
 
     def compact(self) -> None:
         """Writes the records as one change, so that a long log of changes is read no more."""
-        fresh = shared_folder(self.spark, "compacted")
-        self.records().write.parquet(fresh)
-        self.clear()
-        self.add(self.spark.read.parquet(fresh))
+        self.table.compact(lambda log: self._current(log).withColumn("gone", F.lit(False)))
 
 
 def embedded(records: DataFrame, path: str, model: Callable[[list[str]], list[list[float]]] = models.hashed_embedding, limit: int = 1500) -> DataFrame:
@@ -84,19 +86,22 @@ def embedded(records: DataFrame, path: str, model: Callable[[list[str]], list[li
     named = F.substring(F.trim(F.concat(part("compact"), F.lit(" "), part("title"))), 1, limit)
     text = F.when(named != "", named).otherwise(F.substring(part("content"), 1, limit))
     rows = records.select("id", text.alias("text")).where("text <> ''").withColumn("key", F.sha2("text", 256))
-    kind = "key string, embedding array<float>"
-    spark.createDataFrame([], kind).write.mode("ignore").parquet(path)
-    fresh = rows.groupBy("key").agg(F.first("text").alias("text")).join(spark.read.schema(kind).parquet(path), "key", "left_anti")
-    models.embed(fresh, "text", model).select("key", "embedding").write.mode("append").parquet(path)
-    return rows.join(spark.read.schema(kind).parquet(path), "key").select("id", "key", "embedding")
+    known = VersionedTable(spark, path, "key string, embedding array<float>")
+    fresh = rows.groupBy("key").agg(F.first("text").alias("text")).join(known.rows(), "key", "left_anti")
+    known.append(models.embed(fresh, "text", model).select("key", "embedding"))
+    # Two writers may have stored one text.
+    return rows.join(known.rows().groupBy("key").agg(F.first("embedding").alias("embedding")), "key").select("id", "key", "embedding")
+
+
+_STORE = "kind string, id long, title string, content string"
 
 
 def persist_store(records: DataFrame, history: DataFrame, path: str, keep: int = 200) -> None:
     """A whole store as JSON lines: its records (id, title, content), and the last ``keep`` lines of its history (seq, content)."""
     last = history.orderBy(F.desc("seq")).limit(keep)
     rows = records.select(F.lit("record").alias("kind"), F.col("id").cast("long").alias("id"), "title", "content").unionByName(last.select(F.lit("history").alias("kind"), F.col("seq").cast("long").alias("id"), F.lit(None).cast("string").alias("title"), "content"))
-    rows.write.mode("overwrite").json(path)
+    VersionedTable(records.sparkSession, path, _STORE, "json").replace(rows)
 
 
 def restore_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("kind string, id long, title string, content string").json(path)
+    return VersionedTable(spark, path, _STORE, "json").rows().drop("change")
