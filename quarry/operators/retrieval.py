@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-from quarry.operators import inverted
+from quarry.operators import inverted, late
 from quarry.operators import vectors as cells
 from quarry.operators.ranking import keep_best, standard_score, top
 
@@ -109,10 +109,6 @@ def substring(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return _filled(scored, lambda some: holding(some, terms).join(terms, "term"), units, queries, k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
 def dense(vectors: DataFrame, queries: DataFrame, k: int, measure: str = "cosine") -> DataFrame:
     """The k nearest vectors (id, vector) of each query (query_id, query), over a new index: by ``cosine`` with 0 for a null vector, or ``l2`` as 1 / (1 + squared distance)."""
     return cells.search(cells.build(vectors, measure), queries, k)
@@ -125,9 +121,7 @@ def near_seeds(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: f
 
 def max_similarity(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Late interaction: for each query vector the best of a document's vectors (id, vector), summed over the query's (query_id, part, query, and perhaps times)."""
-    times = F.col("times") if "times" in queries.columns else F.lit(1)
-    pairs = vectors.join(queries).groupBy("query_id", "part", "id").agg((F.max(dot(F.col("query"), F.col("vector"))) * F.first(times)).alias("best"))
-    return top(pairs.groupBy("query_id", "id").agg(F.round(F.sum("best"), 5).alias("score")), k, ["query_id"])
+    return late.search(late.build(vectors), vectors, queries, k)
 
 
 def symbolic(entities: DataFrame, query_entities: DataFrame, k: int) -> DataFrame:

@@ -150,3 +150,33 @@ def test_neighbours_of_few(spark):
         assert retrieval.dense(none, q, 3, measure).count() == 0
         assert [r["id"] for r in retrieval.dense(one, q, 3, measure).collect()] == [4]
         assert retrieval.dense(one, q.where("false"), 3, measure).count() == 0
+
+
+def test_late_interaction(spark, monkeypatch):
+    """Equal to all pairs, with few documents scored."""
+    from quarry.operators import late
+
+    r = np.random.default_rng(4)
+    docs = []  # a document's vectors are of a few kinds
+    middles = r.normal(size=(20, 8))
+    for d in range(400):
+        kinds = r.integers(0, 20, 3)
+        docs += [(d, v.tolist()) for v in (middles[r.choice(kinds, r.integers(1, 12))] + r.normal(size=(1, 8)) * 0.01).astype(np.float32)]
+    docs += [(900, [0.0] * 8), (901, docs[0][1])]
+    queries = [(q, p, v.tolist(), t) for q in range(6) for p, (v, t) in enumerate(zip((middles[r.integers(0, 20, 5)]).astype(np.float32), [1, 2, 1, 1, 3], strict=True))]
+    v = spark.createDataFrame([*docs, (7, None)], "id long, vector array<float>").repartition(3)
+    q = spark.createDataFrame(queries, "query_id long, part int, query array<float>, times int")
+    monkeypatch.setattr(late, "TOGETHER", 10)
+    got = {}
+    for x in retrieval.max_similarity(v, q, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(x["query_id"], []).append((x["id"], x["score"]))
+    for k in range(6):
+        scores = {}
+        for d in {d for d, _ in docs}:
+            own = np.array([x for i, x in docs if i == d], np.float64)
+            scores[d] = round(sum(t * float((own @ np.array(x, np.float64)).max()) for i, _, x, t in queries if i == k), 5)
+        best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:5]
+        assert got[k] == [(d, pytest.approx(s, abs=1.1e-5)) for d, s in best]
+    index = late.build(v)
+    assert late.candidates(index, q, 5).count() < 6 * 402 / 4
+    assert retrieval.max_similarity(v.where("false"), q, 5).count() == 0 and retrieval.max_similarity(v, q.where("false"), 5).count() == 0
