@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quarry.functions import answers, models, prompts, reports, text as X
-from quarry.operators import chunking, evaluation, methods, plan as P, retrieval, search as L
+from quarry.operators import chunking, evaluation, loop, methods, plan as P, retrieval, search as L
 from quarry.plans import adapt, configs, q_plan, q_retrieval
 from quarry.plans.adapt import Q, S, T, U, WORDS, stopped, top
 from quarry.sources import registry, stores, tables
@@ -62,6 +64,32 @@ def q06(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _long_words(question: str) -> list[str]:
+    return sorted(set(re.findall("[a-z0-9]{6,}", question.lower())))
+
+
+def _planners(questions: list[str], hints: list[str]) -> list[dict]:
+    """A stand-in: a question's first long word, or the hint, with sets over the first two."""
+    plans = []
+    for question, hint in zip(questions, hints, strict=True):
+        w = _long_words(question)
+        operations = [{"op": op, "args": w[:2]} for op in ("count", "union", "intersect")] + [{"op": "temporal_sort"}]
+        plans.append({"queries": [hint] if hint else w[:1], "aggregate_ops": operations, "top_k": 5})
+    return plans
+
+
+def _judges(questions: list[str], contexts: list[str]) -> list[dict]:
+    """A stand-in: content with an even number of long words, else asking for the last of them."""
+    return [{"sufficient": len(_long_words(q)) % 2 == 0, "why_more": _long_words(q)[-1:] and _long_words(q)[-1]} for q in questions]
+
+
+def q03(spark, sf):
+    """All passages as questions of one loop."""
+    found = loop.search_all(_dated(spark, sf), adapt.questions(spark, sf).withColumnRenamed("query", "question"), _planners, _judges, L.VARIANTS["oneretry"])
+    told = F.when(F.col("kind") == "record", F.array_join("matches", "\n")).otherwise(F.array_join("matches", "|"))
+    return found.select("query_id", "round", "stage", "at", "kind", "id", "score", F.md5(told).alias("told"))
+
+
 def r18(spark, sf):
     """A plan whose filter nothing passes: the question itself ranks."""
     plan = P.SearchPlan.of({"queries": ["moron", "worthless"], "filters": ["qqqzzz"], "top_k": K})
@@ -307,6 +335,7 @@ def c9(spark, sf):
 QUERIES = {
     "Q04_Q03_Q05_F08_A24_search_loop": q04,
     "Q06_T11_loop_variants": q06,
+    "Q03_Q04_Q06_set_loop": q03,
     "R18_fallback_ranking": r18,
     "P14_read_only_guard": p14,
     "X21_question_patterns": x21,
@@ -365,6 +394,22 @@ _LOOP = f"""{_DATED}, r AS (SELECT id, content, {q_plan._terms('content')} AS w
     UNION ALL SELECT 0, 3, 'intersect', 'agg', 1.0, 'intersect_ids='||coalesce((SELECT string_agg(id,',' ORDER BY id) FROM (SELECT id FROM it ORDER BY id LIMIT 10)),'none')||'|count='||(SELECT count(*) FROM it)
     UNION ALL SELECT 0, 3, 'temporal_sort', 'agg', 1.0, 'order='||string_agg(id,',' ORDER BY day, rank) FROM da WHERE day IS NOT NULL HAVING count(*)>0
     UNION ALL SELECT 1, 1, 'record', id::VARCHAR, score, len(m)::VARCHAR FROM b1)"""
+_ESC = "list_transform({0}, lambda x: replace(x,'-','\\-'))"
+_SET_LOOP = f"""{_DATED}, r AS (SELECT id, content, {q_plan._terms('content')} AS w FROM d), {Q}, k AS (SELECT query_id, query, list_sort(list_distinct(regexp_extract_all(lower(query),'[a-z0-9]{{6,}}'))) AS x, {q_plan._terms('query')} AS g0 FROM q),
+    a AS (SELECT query_id, query, x, g0, 0 AS round, x[1] AS word FROM k UNION ALL SELECT query_id, query, x, g0, 1, x[len(x)] FROM k WHERE len(x)%2=1),
+    g AS (SELECT query_id, query, round, word, list_filter(t, lambda x, i: list_position(t, x)=i) AS g FROM (SELECT *, list_filter(regexp_extract_all(lower(query),'[a-z0-9][a-z0-9_''/-]+'), lambda x: list_contains(g0, x)) AS t FROM a)),
+    e AS (SELECT *, {_ESC.format('g[1:16]')} AS e FROM g),
+    u AS (SELECT DISTINCT query_id, round, query, unnest(list_concat([word], e, list_transform(range(1, least(12,len(g)-1)+1), lambda i: e[i]||'.*'||e[i+1]||'|'||e[i+1]||'.*'||e[i]), CASE WHEN len(g)>0 THEN [array_to_string(e[1:12],'|')] ELSE [] END)) AS pat FROM e),
+    h AS (SELECT pat, id, list_filter(list_transform(string_split(content, chr(10)), lambda x, i: CASE WHEN regexp_matches(x,'(?i)'||pat) THEN i||': '||substr(x,1,500) END), lambda x: x IS NOT NULL)[1:5] AS m FROM (SELECT DISTINCT pat FROM u), d WHERE regexp_matches(content,'(?i)'||pat)),
+    wu AS (SELECT query_id, round, pat, list_sort({q_plan._terms("(pat||' '||query)")}) AS w FROM u), wd AS (SELECT DISTINCT w, md5(array_to_string(w,' ')) AS wk FROM wu),
+    o AS (SELECT wk, r.id, len(list_intersect(wd.w, r.w))::DOUBLE/greatest(1,len(wd.w)) AS o FROM wd CROSS JOIN r),
+    s AS (SELECT query_id, round, o.id, o + 0.15::DOUBLE*len(coalesce(m, [])) AS score, coalesce(m, []) AS m FROM wu JOIN o ON o.wk=md5(array_to_string(wu.w,' ')) LEFT JOIN h ON h.pat=wu.pat AND h.id=o.id),
+    b AS (SELECT query_id, round, id, round(score,4) AS score, m, row_number() OVER (PARTITION BY query_id, round ORDER BY round(score,4) DESC, id)::INT AS rank FROM (SELECT * FROM s WHERE score>0 QUALIFY row_number() OVER (PARTITION BY query_id, round, id ORDER BY score DESC, m DESC)=1) QUALIFY rank<=5),
+    hit AS (SELECT query_id, id, len(list_filter(x[1:2], lambda y: contains(lower(content), y))) AS n, contains(lower(content), x[1]) AS f, len(x[1:2]) AS z FROM k, d),
+    agg AS (SELECT query_id, 0 AS at0, 'count' AS op, 'count='||count_if(f) AS told FROM hit GROUP BY 1
+    UNION ALL SELECT query_id, 1, 'union', 'union_ids='||coalesce(array_to_string(list_sort(list(id) FILTER (n>0))[1:10],','),'none')||'|count='||count_if(n>0) FROM hit GROUP BY 1
+    UNION ALL SELECT query_id, 2, 'intersect', 'intersect_ids='||coalesce(array_to_string(list_sort(list(id) FILTER (n=z))[1:10],','),'none')||'|count='||count_if(n=z) FROM hit GROUP BY 1
+    UNION ALL SELECT query_id, 3, 'temporal_sort', 'order='||string_agg(id, ',' ORDER BY day, rank) FROM (SELECT query_id, b.id, rank, nullif(regexp_extract(substr(content,1,400),'([0-9]{{4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}})',1),'') AS day FROM b JOIN d USING (id) WHERE round=0) WHERE day IS NOT NULL GROUP BY 1)"""
 _FALL = "regexp_extract_all(query,'[A-Za-z0-9][A-Za-z0-9_''/-]+')"
 _STOP = "[" + ",".join(f"'{w}'" for w in X.GREP_STOPWORDS) + "]"
 _AROUND = "range(greatest({0}-6,0),{0}+7)"
@@ -395,6 +440,7 @@ _DOM = "CASE WHEN turn%2=0 THEN '{1}' ELSE '{2}' END".format(*(h for _, h in pro
 ORACLE = {
     "Q04_Q03_Q05_F08_A24_search_loop": f"WITH {_LOOP} SELECT * FROM obs",
     "Q06_T11_loop_variants": f"WITH {_LOOP}, v AS (SELECT unnest(['u1','single','nograph']) AS variant) SELECT variant, round, stage, kind, id FROM v, obs WHERE CASE variant WHEN 'u1' THEN kind<>'dump' WHEN 'single' THEN kind<>'dump' AND round=0 ELSE kind<>'graph' END",
+    "Q03_Q04_Q06_set_loop": f"WITH {_SET_LOOP} SELECT query_id, round, 1 AS stage, rank AS at, 'record' AS kind, id::VARCHAR AS id, score, md5(array_to_string(m, chr(10))) AS told FROM b UNION ALL SELECT query_id, 0, 3, at0, op, 'agg', 1.0, md5(told) FROM agg",
     "R18_fallback_ranking": f"WITH {U}, r AS (SELECT id, {q_plan._terms('content')} AS w FROM u), q AS (SELECT {q_plan._terms(chr(39) + QUESTION + chr(39))} AS t) SELECT id, score, 0 AS matches, rank FROM (SELECT id, round(len(list_intersect(t,w))::DOUBLE/len(t),4) AS score, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM r, q) WHERE rank<={K}",
     "P14_read_only_guard": "SELECT event_id, event_id%10 IN (0,3,6,8) AS allowed FROM events",
     "X21_question_patterns": f"""WITH b AS (SELECT item_id AS query_id, coalesce(text,'') AS plain, coalesce(text,'')||' from step 3 to step '||(3+item_id%35)||' and turn '||(item_id%40)||' in "the plot"' AS query FROM benchmark),
