@@ -1,7 +1,6 @@
 """State that follows sessions, in batch and as Structured Streaming.
 
-The batch twins fold each key's rows in order inside one row of the plan; the streaming ones keep a key's state between
-micro-batches. Both give the same rows for the same input.
+The batch twins fold each key's rows in order; the streaming ones keep a key's state between micro-batches. Both give the same rows for the same input.
 """
 
 from __future__ import annotations
@@ -9,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -43,16 +43,47 @@ def capped(store: DataFrame, most: int) -> DataFrame:
 
 
 def utilities(rows: DataFrame, alpha: float = 0.3, start: float = 0.0, floor: float | None = None) -> DataFrame:
-    """The value of each key after its rewards in order: q becomes (1 - alpha) q + alpha reward, not below the floor; with visits and the mean reward's trace."""
-    ordered = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("seq", "reward"))).alias("all"))
-
-    def step(a, r):
-        q = (1 - alpha) * a["q"] + alpha * r["reward"]
-        q = q if floor is None else F.greatest(F.lit(floor), q)
-        return F.struct(q.alias("q"), ((1 - alpha) * a["mean"] + alpha * r["reward"]).alias("mean"))
-
-    folded = F.aggregate("all", F.struct(F.lit(start).alias("q"), F.lit(0.0).alias("mean")), step)
-    return ordered.select("key", F.size("all").cast("long").alias("visits"), folded.alias("s")).select("key", "visits", F.round("s.q", 9).alias("q"), F.round("s.mean", 9).alias("reward_mean"))
+    """The value of each key after its rewards in order (key, seq, reward): q becomes (1 - alpha) q + alpha reward, not below the floor; with visits and the mean reward's trace.
+
+    A step is a map q -> max(c, a q + b), and two such maps in turn are one again. So rows are dealt out by ranges of key and seq; a task
+    folds each run of a key that it holds into one map, and a key's maps, one for each task, are applied in order. A key with most of the
+    rows is folded by many tasks.
+    """
+    least = float("-inf") if floor is None else floor
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, last, state = TaskContext.get().partitionId(), [], (0, 1.0, 0.0, least, 0.0)
+        names = ["key", "part", "n", "a", "b", "c", "m"]
+
+        def made(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+            kinds = [kind, pa.int32(), pa.int64(), *[pa.float64()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
+
+        kind = None
+        for batch in batches:
+            done, kind = [], batch.column(0).type
+            for key, reward in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if last != [key]:
+                    if last:
+                        done.append((last[0], part, *state))
+                    last, state = [key], (0, 1.0, 0.0, least, 0.0)
+                n, a, b, c, m = state
+                step = (1 - alpha) * c + alpha * reward if n else least
+                state = (n + 1, (1 - alpha) * a, (1 - alpha) * b + alpha * reward, max(least, step), (1 - alpha) * m + alpha * reward)
+            if done:
+                yield made(done, kind)
+        if last:
+            yield made([(last[0], part, *state)], kind)
+
+    order = [F.col(c).asc_nulls_first() for c in ("key", "seq", "reward")]
+    ranged = rows.select("key", "seq", F.coalesce(F.col("reward").cast("double"), F.lit(0.0)).alias("reward")).repartitionByRange(*order).sortWithinPartitions(*order)
+    maps = ranged.mapInArrow(folded, f"key {rows.schema['key'].dataType.simpleString()}, part int, n long, a double, b double, c double, m double")
+    runs = maps.groupBy("key").agg(F.sum("n").alias("visits"), F.sort_array(F.collect_list(F.struct("part", "a", "b", "c", "m"))).alias("maps"))  # one of each task at most
+    apply = lambda s, f: F.struct(F.greatest(f["c"], f["a"] * s["q"] + f["b"]).alias("q"), (f["a"] * s["mean"] + f["m"]).alias("mean"))
+    result = F.aggregate("maps", F.struct(F.lit(start).alias("q"), F.lit(0.0).alias("mean")), apply)
+    return runs.select("key", "visits", result.alias("s")).select("key", "visits", F.round("s.q", 9).alias("q"), F.round("s.mean", 9).alias("reward_mean"))
 
 
 class Utility(StatefulProcessor):
