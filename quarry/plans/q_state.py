@@ -8,7 +8,7 @@ from quarry.functions import models, text as X
 from quarry.plans import adapt
 from quarry.plans.adapt import S, T, U
 from quarry.sources import tables
-from quarry.streaming import sessions
+from quarry.streaming import sessions, stateful
 
 
 def _rows(spark, sf):
@@ -43,6 +43,26 @@ def t06(spark, sf):
     return sessions.utilities(adapt.steps(spark, sf).select("key", "seq", "reward"), floor=-0.5)
 
 
+def t02_stream(spark, sf):
+    rows = _rows(spark, sf).select("key", "seq", "content")
+    return stateful.replayed(rows, lambda r: stateful.buffered(r, 3, 800), "content", ["key", "seq"]).select("key", "seq", F.md5("memory").alias("digest"))
+
+
+def t03_stream(spark, sf):
+    e = adapt.steps(spark, sf)
+    rows = e.select("key", "seq", F.col("event_type").alias("name"), F.when(F.col("value") > 50, "accept").otherwise("reject").alias("verdict"), F.col("event_id").cast("string").alias("content"))
+    return stateful.replayed(rows, stateful.beliefs, "content", ["key", "name"]).select("key", "name", "first", "last", "verdict", F.array_join("evidence", ",").alias("evidence"))
+
+
+def t05_stream(spark, sf):
+    return stateful.replayed(_changes(spark, sf), stateful.change_log, "seq", ["id"]).where("place is not null")
+
+
+def t06_stream(spark, sf):
+    rows = adapt.steps(spark, sf).select("key", "seq", "reward", "event_id")
+    return stateful.replayed(rows, lambda r: stateful.utilities(r, floor=-0.5), "event_id", ["key"])
+
+
 def ext(spark, sf):
     return sessions.windowed(adapt.table(spark, sf, "events")).select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", "n", "value")
 
@@ -120,6 +140,10 @@ QUERIES = {
     "T04_T09_capped_store": t04,
     "T05_change_log": t05,
     "T06_T01_utilities": t06,
+    "T02_stream_buffer": t02_stream,
+    "T03_stream_beliefs": t03_stream,
+    "T05_stream_change_log": t05_stream,
+    "T06_T01_stream_utilities": t06_stream,
     "EXT_event_time_windows": ext,
     "S06_S07_S08_dialogue_turns": s06,
     "S09_numbered_documents": s09,
@@ -157,3 +181,4 @@ ORACLE = {
     "S28_first_urls": "WITH r AS (SELECT page_id AS call, 0 AS pos, url FROM pages UNION ALL SELECT page_id+1, 1, url FROM pages) SELECT call, pos, url FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY call, pos) AS k FROM r) WHERE k=1",
     "U07_S23_generate": f"WITH {adapt.Q} SELECT query_id, md5(trim(string_split(query,'.')[1], chr(10)||chr(9)||chr(13)||' ')) AS answer FROM q",
 }
+ORACLE |= {f"{name}_stream_{rest}": ORACLE[of] for name, rest, of in (("T02", "buffer", "T02_session_buffer"), ("T03", "beliefs", "T03_belief_state"), ("T05", "change_log", "T05_change_log"), ("T06_T01", "utilities", "T06_T01_utilities"))}
