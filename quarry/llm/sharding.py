@@ -22,6 +22,8 @@ from quarry.llm.common import narrow, spool
 ROW_BYTES = 16
 #: Buckets whose counts are summed in one task: at 100 TB some 3,000 tasks with as many buckets each, and one with 3,000 sums.
 RUN = 4096
+#: Buckets that a partition takes one after another where there are very many: at 100 TB 800,000 partitions of 128 MB.
+TOGETHER = 16
 
 
 def two_pass_shuffle(df: DataFrame, columns: tuple[str, ...], seed: int = 17, bucket_bytes: int = 8 << 20, text: str = "text") -> DataFrame:
@@ -29,11 +31,19 @@ def two_pass_shuffle(df: DataFrame, columns: tuple[str, ...], seed: int = 17, bu
     rows = narrow(df, *columns)
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES
     total = rows.agg(F.sum(size)).first()[0] or 0
-    buckets = max(1, ceil(total / bucket_bytes))
+    spark, buckets = df.sparkSession, max(1, ceil(total / bucket_bytes))
+    partitions = min(buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(buckets / TOGETHER)))
     scattered = rows.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(columns[0]), F.monotonically_increasing_id()), F.lit(buckets)).cast("int"))
-    gathered = scattered.repartition(buckets, "__bucket").groupBy("__bucket").agg(F.collect_list(F.struct(*columns)).alias("__rows"))
+    gathered = scattered.repartition(partitions, "__bucket").groupBy("__bucket").agg(F.collect_list(F.struct(*columns)).alias("__rows"))
     mixed = gathered.select("__bucket", F.posexplode(F.shuffle(F.sort_array("__rows"), seed)).alias("__at", "__row"))
-    return spool(mixed.select("__bucket", "__at", "__row.*"), "shuffled")
+    # A partition's buckets are sorted and taken one after another; the hash aggregate would hold them side by side.
+    hashed = "spark.sql.execution.useObjectHashAggregateExec"
+    before = spark.conf.get(hashed)
+    spark.conf.set(hashed, "false")
+    try:
+        return spool(mixed.select("__bucket", "__at", "__row.*"), "shuffled")
+    finally:
+        spark.conf.set(hashed, before)
 
 
 def _offsets(counts: DataFrame, run: int = RUN) -> DataFrame:
