@@ -399,12 +399,12 @@ _SET_LOOP = f"""{_DATED}, r AS (SELECT id, content, {q_plan._terms('content')} A
     a AS (SELECT query_id, query, x, g0, 0 AS round, x[1] AS word FROM k UNION ALL SELECT query_id, query, x, g0, 1, x[len(x)] FROM k WHERE len(x)%2=1),
     g AS (SELECT query_id, query, round, word, list_filter(t, lambda x, i: list_position(t, x)=i) AS g FROM (SELECT *, list_filter(regexp_extract_all(lower(query),'[a-z0-9][a-z0-9_''/-]+'), lambda x: list_contains(g0, x)) AS t FROM a)),
     e AS (SELECT *, {_ESC.format('g[1:16]')} AS e FROM g),
-    u AS (SELECT DISTINCT query_id, round, query, unnest(list_concat([word], e, list_transform(range(1, least(12,len(g)-1)+1), lambda i: e[i]||'.*'||e[i+1]||'|'||e[i+1]||'.*'||e[i]), CASE WHEN len(g)>0 THEN [array_to_string(e[1:12],'|')] ELSE [] END)) AS pat FROM e),
-    h AS (SELECT pat, id, list_filter(list_transform(string_split(content, chr(10)), lambda x, i: CASE WHEN regexp_matches(x,'(?i)'||pat) THEN i||': '||substr(x,1,500) END), lambda x: x IS NOT NULL)[1:5] AS m FROM (SELECT DISTINCT pat FROM u), d WHERE regexp_matches(content,'(?i)'||pat)),
-    wu AS (SELECT query_id, round, pat, list_sort({q_plan._terms("(pat||' '||query)")}) AS w FROM u), wd AS (SELECT DISTINCT w, md5(array_to_string(w,' ')) AS wk FROM wu),
+    u AS (SELECT DISTINCT query_id, round, query, t.p AS pat, t.a AS a, t.b AS b FROM (SELECT query_id, round, query, unnest(list_concat([struct_pack(p:=word, a:=word, b:=word)], list_transform(g[1:16], lambda x: struct_pack(p:=replace(x,'-','\\-'), a:=x, b:=x)), list_transform(range(1, least(12,len(g)-1)+1), lambda i: struct_pack(p:=e[i]||'.*'||e[i+1]||'|'||e[i+1]||'.*'||e[i], a:=g[i], b:=g[i+1])), CASE WHEN len(g)>0 THEN [struct_pack(p:=array_to_string(e[1:12],'|'), a:='', b:='')] ELSE [] END)) AS t FROM e)),
+    h AS MATERIALIZED (SELECT pat, id, list_filter(list_transform(string_split(content, chr(10)), lambda x, i: CASE WHEN (a=b AND a<>'' AND contains(lower(x),a)) OR ((a<>b OR a='') AND contains(lower(x),a) AND contains(lower(x),b) AND regexp_matches(x,'(?i)'||pat)) THEN i||': '||substr(x,1,500) END), lambda x: x IS NOT NULL)[1:5] AS m FROM (SELECT DISTINCT pat, a, b FROM u), (SELECT id, content, lower(content) AS low FROM d) WHERE contains(low,a) AND contains(low,b)),
+    wu AS (SELECT DISTINCT query_id, round, pat, list_sort({q_plan._terms("(pat||' '||query)")}) AS w FROM u), wd AS (SELECT DISTINCT w, md5(array_to_string(w,' ')) AS wk FROM wu),
     o AS (SELECT wk, r.id, len(list_intersect(wd.w, r.w))::DOUBLE/greatest(1,len(wd.w)) AS o FROM wd CROSS JOIN r),
-    s AS (SELECT query_id, round, o.id, o + 0.15::DOUBLE*len(coalesce(m, [])) AS score, coalesce(m, []) AS m FROM wu JOIN o ON o.wk=md5(array_to_string(wu.w,' ')) LEFT JOIN h ON h.pat=wu.pat AND h.id=o.id),
-    b AS (SELECT query_id, round, id, round(score,4) AS score, m, row_number() OVER (PARTITION BY query_id, round ORDER BY round(score,4) DESC, id)::INT AS rank FROM (SELECT * FROM s WHERE score>0 QUALIFY row_number() OVER (PARTITION BY query_id, round, id ORDER BY score DESC, m DESC)=1) QUALIFY rank<=5),
+    s AS (SELECT query_id, round, o.id, o + 0.15::DOUBLE*len(coalesce(m, [])) AS score, coalesce(m, []) AS m FROM wu JOIN o ON o.wk=md5(array_to_string(wu.w,' ')) LEFT JOIN h ON h.pat=wu.pat AND h.id=o.id AND len(h.m)>0),
+    b AS MATERIALIZED (SELECT query_id, round, id, round(score,4) AS score, m, row_number() OVER (PARTITION BY query_id, round ORDER BY round(score,4) DESC, id)::INT AS rank FROM (SELECT * FROM s WHERE score>0 QUALIFY row_number() OVER (PARTITION BY query_id, round, id ORDER BY score DESC, m DESC)=1) QUALIFY rank<=5),
     hit AS (SELECT query_id, id, len(list_filter(x[1:2], lambda y: contains(lower(content), y))) AS n, contains(lower(content), x[1]) AS f, len(x[1:2]) AS z FROM k, d),
     agg AS (SELECT query_id, 0 AS at0, 'count' AS op, 'count='||count_if(f) AS told FROM hit GROUP BY 1
     UNION ALL SELECT query_id, 1, 'union', 'union_ids='||coalesce(array_to_string(list_sort(list(id) FILTER (n>0))[1:10],','),'none')||'|count='||count_if(n>0) FROM hit GROUP BY 1
