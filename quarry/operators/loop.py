@@ -323,7 +323,7 @@ def search_all(
     planner(questions, hints) gives raw plans, judge(questions, contexts) verdicts, dump(questions) answers; each sees batches. Graph
     templates are ``search.search``'s.
     """
-    texts = questions.select("query_id", F.coalesce("question", F.lit("")).alias("question"))
+    texts = questions.select(F.col("query_id").cast("long").alias("query_id"), F.coalesce("question", F.lit("")).alias("question"))
     asked = spool(texts.withColumn("hint", F.lit("")), "questions")
     told: DataFrame | None = None
     for turn in range(variant.rounds + 1):
