@@ -161,6 +161,7 @@ ANSWER_LABELS = ["answer", "final", "exact", "confidence", "month", "country", "
 def exact_answer(text: Column) -> Column:
     """What a text gives as its exact answer, up to its confidence; else the text before that, if it is one line of twelve words or less; else null."""
     raw = _bare(F.coalesce(text, F.lit("")))
+    # The patterns of the labels, here and below.
     confidence = r"(?:\*\*)?\s*Confidence\s*(?:\*\*)?\s*:"
     marked = rf"(?is)(?:\*\*)?\s*Exact\s+Answer\s*(?:\*\*)?\s*:\s*(.+?)(?:\n\s*{confidence}|\z)"
     line = lambda c: F.regexp_replace(_bare(c), r"\s+", " ")
@@ -206,6 +207,7 @@ def dialogue_prediction(raw: Column, category: Column, question: Column) -> Colu
     """A dialogue answer as it is scored: thoughts and fences out, last line, abstentions as one phrase; category 5 always abstains, a yes/no question of category 3 becomes likely yes or no."""
     text = F.coalesce(raw, F.lit(""))
     cleaned = text
+    # What is cut from a reply.
     for pattern in (r"(?i)```(?:json)?", r"(?is)<think>.*?</think>", r"(?is)<tool_call>.*?</tool_call>", r"(?is)^\s*<think>.*$"):
         cleaned = F.regexp_replace(cleaned, pattern, " ")
     line = _quotes(F.regexp_replace(last_line(cleaned), r"(?i)^\s*answer\s*:\s*", ""))
@@ -221,6 +223,7 @@ def dialogue_prediction(raw: Column, category: Column, question: Column) -> Colu
 def hop_prediction(raw: Column) -> Column:
     """A multi-hop answer as it is scored: after the last marker, the last line of the last paragraph, without lead-ins, its first sentence; yes, no and no answer in one spelling."""
     plain = F.coalesce(raw, F.lit(""))
+    # What is cut from a reply, and the patterns of its markers below.
     for pattern in (r"(?is)<think>.*?</think>", r"(?is)<tool_call>.*?</tool_call>"):
         plain = F.regexp_replace(plain, pattern, " ")
     plain = F.btrim(F.btrim(_bare(plain), F.lit("`")), F.lit("\"'"))

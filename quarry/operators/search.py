@@ -18,6 +18,7 @@ from quarry.operators import plan as P
 
 # What a question asks for, as arrays of patterns.
 
+# What counts as a word of a question, how far around a step is read, and how long a range may be.
 _WORD = "[A-Za-z0-9][A-Za-z0-9_'/-]+"
 _REACH, _RANGE = 6, 30
 
@@ -43,6 +44,7 @@ def fallback_queries(question: Column) -> Column:
 def anchors(question: Column) -> Column:
     """Numbers of the steps that a question names: ranges of at most thirty, and six around each."""
     low = F.lower(question)
+    # How a question names a range of steps, and below one of them.
     pair = r"\b(?:between|from)\s+(?:step|turn)\s+(\d+)\s+(?:and|to|-)\s+(?:step|turn)?\s*(\d+)"
     numbers = lambda p, g: F.transform(F.regexp_extract_all(low, F.lit(p), F.lit(g)), lambda n: n.try_cast("int"))
     ends = F.filter(F.zip_with(numbers(pair, 1), numbers(pair, 2), lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))), lambda r: r["b"] - r["a"] <= _RANGE)
