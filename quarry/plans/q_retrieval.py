@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
@@ -98,7 +99,7 @@ def r17(spark, sf):
 
 
 def r19(spark, sf):
-    return retrieval.count_ranker(adapt.units(spark, sf), adapt.questions(spark, sf), K, F.array_distinct(X.keywords(F.col("query"))), lambda n, _: 1 + F.least(n, F.lit(5)) / 5)
+    return retrieval.count_ranker(adapt.units(spark, sf), adapt.questions(spark, sf), K, F.array_distinct(X.keywords(F.col("query"))), lambda n, _: 1 + np.minimum(n, 5) / 5)
 
 
 def r20(spark, sf):
