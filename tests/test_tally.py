@@ -59,3 +59,25 @@ def test_a_task_keeps_k(spark):
         block.read(range(start + 49_999, start - 1, -1), ["a"] * 50_000)
     (out,) = block.results()
     assert out.to_pydict() == {"query_id": [7, 7, 7], "id": [0, 1, 2], "score": [1.0, 1.0, 1.0]}
+
+
+def test_equal_labels_are_compared_once(spark, sf):
+    from quarry.plans import q_rest
+
+    plan = q_rest.r22(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [label" in plan and plan.count("Join") == 2
+
+
+def test_best_hops(spark):
+    """The k best of three hops are those of all; a list of 3,000 ids gives 2k."""
+    from quarry.operators import plan, ranking
+
+    r = random.Random(5)
+    rows = [("all", i) for i in range(3000)] + [(f"c{r.randint(0, 60)}", r.randint(0, 150)) for _ in range(200)]
+    concepts = spark.createDataFrame([*rows, *rows[3000:3010]], "concept string, id long")
+    seeds = spark.createDataFrame([(q, f"c{q}") for q in range(40)] + [(99, "all"), (98, "none")], "query_id long, concept string")
+    for k in (1, 4, 12):
+        want = ranking.top(plan.multi_hop(concepts, seeds, 3), k, ["query_id"])
+        bounded = plan.multi_hop(concepts, seeds, 3, k)
+        assert bounded.where("query_id = 99").count() == k
+        assert {tuple(x) for x in ranking.top(bounded, k, ["query_id"]).collect()} == {tuple(x) for x in want.collect()}
