@@ -81,3 +81,20 @@ def test_best_hops(spark):
         bounded = plan.multi_hop(concepts, seeds, 3, k)
         assert bounded.where("query_id = 99").count() == k
         assert {tuple(x) for x in ranking.top(bounded, k, ["query_id"]).collect()} == {tuple(x) for x in want.collect()}
+
+
+def test_a_task_gives_k_neighbours(spark):
+    """Of 60 and more blocks a task gives k rows for each query, with ties to the lower id."""
+    from quarry.operators import vectors
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(2000, 4)).astype(np.float32)
+    x[1000:] = x[:1000]
+    v = spark.createDataFrame([(i, a) for i, a in enumerate(x.tolist())], "id long, vector array<float>").repartition(2)
+    q = v.where("id < 20").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    for measure in ("cosine", "l2"):
+        index = vectors.build(v, measure)
+        assert index.blocks.count() > 60
+        asked = q.withColumn("reach", F.lit(None).cast("double")).withColumn("kth", F.lit(None).cast("double"))
+        assert vectors._met(index, asked, 3, 20, None).count() <= index.blocks.rdd.getNumPartitions() * 20 * 3
+        assert {tuple(r) for r in vectors.search(index, q, 2).select("query_id", "id", "score").collect()} == {(i, j, 1.0) for i in range(20) for j in (i, i + 1000)}
