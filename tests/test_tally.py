@@ -98,3 +98,15 @@ def test_a_task_gives_k_neighbours(spark):
         asked = q.withColumn("reach", F.lit(None).cast("double")).withColumn("kth", F.lit(None).cast("double"))
         assert vectors._met(index, asked, 3, 20, None).count() <= index.blocks.rdd.getNumPartitions() * 20 * 3
         assert {tuple(r) for r in vectors.search(index, q, 2).select("query_id", "id", "score").collect()} == {(i, j, 1.0) for i in range(20) for j in (i, i + 1000)}
+
+
+def test_equal_late_scores_are_k_of_a_task(spark):
+    """Of 3,000 documents of one score a task tells k for each query; those that it can't tell are told once, by their id."""
+    from quarry.operators import late
+
+    v = spark.createDataFrame([(d, [1.0, 0.0] if p else [0.0, 1.0]) for d in range(3000) for p in (0, 1)], "id long, vector array<float>").repartition(2)
+    q = spark.createDataFrame([(i, 0, [1.0, 0.5], 2) for i in range(10)], "query_id long, part int, query array<float>, times int")
+    index = late.build(v, 2)
+    (sent,) = late._blocks(q)
+    assert late._told(index, sent, 5).count() <= index.documents.rdd.getNumPartitions() * 10 * 5
+    assert {(r["query_id"], r["id"], r["score"]) for r in late.search(index, v, q, 5).collect()} == {(i, d, 2.0) for i in range(10) for d in range(5)}
