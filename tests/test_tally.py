@@ -110,3 +110,14 @@ def test_equal_late_scores_are_k_of_a_task(spark):
     (sent,) = late._blocks(q)
     assert late._told(index, sent, 5).count() <= index.documents.rdd.getNumPartitions() * 10 * 5
     assert {(r["query_id"], r["id"], r["score"]) for r in late.search(index, v, q, 5).collect()} == {(i, d, 2.0) for i in range(10) for d in range(5)}
+
+
+def test_questions_are_not_sent_with_every_shard(spark):
+    from quarry.operators import inverted
+
+    units = spark.createDataFrame([(i, f"a{i % 7} b") for i in range(50)], "id long, content string")
+    index = inverted.build(units, F.split("content", " "), shard_tokens=10)
+    asked = spark.createDataFrame([(0, "a1", 1), (1, "b", 1)], "query_id long, term string, times long")
+    found = inverted.search(index, asked, 3, F.lit(1.0) / F.col("df"))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["query_id"], r["id"]) for r in retrieval.top(found, 3, ["query_id"]).collect()} == {(0, 1), (0, 8), (0, 15), (1, 0), (1, 1), (1, 2)}
