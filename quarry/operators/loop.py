@@ -29,6 +29,7 @@ from quarry.sources.shared import arrow_rows, spool
 #: Patterns that meet every record together, on average; lines that a query shows, and how long.
 TOGETHER, LINES, WIDTH = 1 << 14, 5, 500
 _PLAN = "query_id long, queries array<string>, filters array<string>, read_ids array<long>, top_k int, use_dump boolean, operations array<struct<op string, args array<string>>>"
+FOUND = "query_id long, kind int, id long, score double, matches array<string>, n long, ids array<long>"
 OBSERVATIONS = "query_id long, round int, stage int, at int, kind string, id string, score double, matches array<string>"
 
 
@@ -65,6 +66,36 @@ def required(pattern: str) -> list[str] | None:
     return walk(parser.parse(pattern, re.I | re.A))
 
 
+def spelled(pattern: str, most: int = 16) -> list[str] | None:
+    """All strings that a pattern matches, as ``required`` writes them, where it is but a choice of a few of one line; else None. Such a text matches just if it holds one."""
+    from re import _parser as parser
+
+    def walk(items) -> list[str] | None:
+        told = [""]
+        for op, arg in items:
+            if op is parser.LITERAL:
+                some = [chr(arg).lower() if arg < 128 else chr(arg)]
+            elif op is parser.IN and all(o is parser.LITERAL for o, _ in arg):
+                some = walk_any([[x] for x in arg])
+            elif op is parser.BRANCH:
+                some = walk_any(arg[1])
+            elif op is parser.SUBPATTERN and not arg[1] and not arg[2]:
+                some = walk(arg[3])
+            else:
+                return None
+            if some is None or len(told) * len(some) > most:
+                return None
+            told = [a + b for a in told for b in some]
+        return told
+
+    def walk_any(parts) -> list[str] | None:
+        found = [walk(p) for p in parts]
+        return None if any(f is None for f in found) else list(dict.fromkeys(s for f in found for s in f))
+
+    told = walk(parser.parse(pattern, re.I | re.A))
+    return told if told and all(s and "\n" not in s for s in told) else None
+
+
 def _low(text: str) -> str:
     return text.encode("utf-8", "replace").lower().decode()
 
@@ -100,12 +131,16 @@ class _Block:
         self.literals: dict[str, int] = {}
         self.compiled: dict[str, re.Pattern] = {}
         known: dict[str, list[int] | None] = {}
+        exact: set[str] = set()
 
         def literals(pattern: str) -> list[int] | None:
             if pattern not in known:
                 safe = P.safe_pattern(pattern)
                 self.compiled[pattern] = re.compile(safe, re.A)
-                found = required(safe)
+                found = spelled(safe)
+                if found:
+                    exact.add(pattern)
+                found = found or required(safe)
                 known[pattern] = None if found is None else [self.literals.setdefault(s, len(self.literals)) for s in found]
             return known[pattern]
 
@@ -113,7 +148,8 @@ class _Block:
             return sets.setdefault(tuple(sorted(self.terms.setdefault(w, len(self.terms)) for w in set(words))), len(sets))
 
         flat, starts, open_, anchors, shared, of = [], [], [], [], [], [0]
-        self.own, self.operations = [], []
+        self.own, self.exact, self.operations = [], [], []
+        sought: dict[str, int] = {}
         for p in plans:
             for q, words in zip(p["patterns"], p["pattern_terms"], strict=True):
                 found = literals(q)
@@ -121,18 +157,34 @@ class _Block:
                 flat += found if found else [0]
                 open_.append(found is None)
                 anchors.append(bool(P.ANCHOR.search(q)))
+                self.exact.append(q in exact)
                 shared.append(numbered(words))
             of.append(len(starts))
             for f in p["filters"]:
                 literals(f)
             self.own.append(numbered(p["own_terms"]))
-            self.operations.append([(o["op"], [(a, literals(a)) for a in (o["args"][:1] if o["op"] == "count" else o["args"])]) for o in p["operations"]])
+            for o in p["operations"]:
+                args = o["args"][:1] if o["op"] == "count" else o["args"]
+                told = o["op"] in ("count", "union", "intersect") and args
+                self.operations.append((o["op"], [sought.setdefault(a, len(sought)) for a in args] if told else []))
         self.flat, self.starts, self.open, self.anchors = np.array(flat, np.int64), np.array(starts, np.int64), np.array(open_, np.bool_), np.array(anchors, np.bool_)
         self.shared, self.of, self.own = np.array(shared, np.int64), of, np.array(self.own, np.int64)
+        self.literals_of = [sorted(set(flat[a:b])) for a, b in zip(starts, [*starts[1:], len(flat)], strict=True)]
+        # Patterns of set operations, each looked for once: their literals, those without, and those that literals alone decide.
+        self.sought = [self.compiled[a].search if literals(a) is None or a not in exact else None for a in sought]
+        self.sought_open = np.array([known[a] is None for a in sought], np.bool_)
+        parts = [known[a] or [0] for a in sought]
+        self.sought_flat = np.array([x for p in parts for x in p], np.int64)
+        self.sought_starts = np.cumsum([0, *map(len, parts)])[:-1]
+        of_told = [(at, args, op) for at, (op, args) in enumerate(self.operations) if args]
+        self.told_at, self.told_flat = np.array([at for at, _, _ in of_told], np.int64), np.array([x for _, args, _ in of_told for x in args], np.int64)
+        self.told_starts = np.cumsum([0, *(len(args) for _, args, _ in of_told)])[:-1]
+        self.told_needs = np.array([1 if op == "union" else len(args) for _, args, op in of_told], np.int64)
         lists = [list(s) for s in sets]
         self.sizes = np.array([max(1, len(s)) for s in lists])
         self.set_flat = np.array([t for s in lists for t in (s or [len(self.terms)])], np.int64)  # an empty set: a term that no record has
         self.set_starts = np.cumsum([0, *(max(1, len(s)) for s in lists)])[:-1]
+        self.numbers = np.arange(len(self.literals) + 1)
         self.automaton = ahocorasick.Automaton()
         for s, i in self.literals.items():
             self.automaton.add_word(s, i)
@@ -140,15 +192,19 @@ class _Block:
             self.automaton.make_automaton()
         self.hits = [_Best(p["top_k"]) for p in plans]
         self.instead = [_Best(p["top_k"]) for p in plans]
-        self.told = [[[0, []] for _ in ops] for ops in self.operations]
-        self.floor, self.low, self.low_id = np.full(len(plans), -1.0), np.full(len(plans), -1.0), np.full(len(plans), -1)
+        # Of every operation how many records, and the first ids; an id from ``told_last`` on isn't one of them.
+        self.told_n, self.told_ids = np.zeros(len(self.operations), np.int64), [[] for _ in self.operations]
+        self.told_last = np.full(len(self.operations), np.iinfo(np.int64).max)
+        self.reading = [(k, set(p["read_ids"])) for k, p in enumerate(plans) if p["read_ids"]]
+        self.floor, self.floor_id = np.full(len(plans), -1.0), np.full(len(plans), -1)
+        self.low, self.low_id = np.full(len(plans), -1.0), np.full(len(plans), -1)
 
     def scan(self, i: int, content: str, terms: list[str]) -> None:
         import numpy as np
 
         text = _low(content)
         lines = content.split("\n")
-        count = np.zeros(max(1, len(self.literals)), np.int64)
+        count, held = np.zeros(max(1, len(self.literals)), np.int64), np.empty(0, np.int64)
         if self.literals and text:
             found = np.array([x for pair in self.automaton.iter(text) for x in pair], np.int64).reshape(-1, 2)
             at = np.searchsorted(np.flatnonzero(np.array([c == "\n" for c in text])) if len(lines) > 1 else np.empty(0, np.int64), found[:, 0])
@@ -162,40 +218,62 @@ class _Block:
         most = overlap[self.shared] + 0.15 * lined + 2.0 * self.anchors
         most[self.anchors & (lined == 0)] = 0.0
         most = np.maximum.reduceat(most, self.of[:-1])
-        for k in np.flatnonzero((most > 0) & (most + 1e-4 >= self.floor)).tolist():
-            score, matches = self._exact(k, content, lines, overlap, lined)
+        # A score is rounded to four places, and of equal ones the lower id is better.
+        able = (most > 0) & ((most > self.floor + 4.9e-5) | (most > self.floor - 5.1e-5) & (i < self.floor_id))
+        where = ((held % (len(lines) + 1)).tolist(), np.searchsorted(held, self.numbers * (len(lines) + 1)).tolist()) if able.any() or self.reading else ()
+        for k in np.flatnonzero(able).tolist():
+            score, matches = self._exact(k, content, lines, overlap, lined, *where)
             if score > 0:
-                self.hits[k].put(_rounded(score), i, matches)
-                self.floor[k] = self.hits[k].last[0]
-        for k, p in enumerate(self.plans):
-            if p["read_ids"] and i in p["read_ids"] and not any(x[1] == i for x in self.hits[k].rows):
-                score, _ = self._exact(k, content, lines, overlap, lined)
+                self._hit(k, _rounded(score), i, matches)
+        for k, wanted in self.reading:
+            if i in wanted and not any(x[1] == i for x in self.hits[k].rows):
+                score, _ = self._exact(k, content, lines, overlap, lined, *where)
                 if score <= 0:
-                    self.hits[k].put(1.0, i, [])
-                    self.floor[k] = self.hits[k].last[0]
+                    self._hit(k, 1.0, i, [])
         for k in np.flatnonzero((own + 1e-4 >= self.low) & ((own > self.low - 1e-4) | (i < self.low_id))).tolist():
             self.instead[k].put(_rounded(float(own[k])), i, [])
             self.low[k], self.low_id[k] = self.instead[k].last
-        for k, ops in enumerate(self.operations):
-            for told, (op, args) in zip(self.told[k], ops, strict=True):
-                if not args or op not in ("count", "union", "intersect"):
-                    continue
-                matched = ((literals is None or count[literals].any()) and self.compiled[a].search(content) is not None for a, literals in args)
-                if (any if op == "union" else all)(matched):
-                    told[0] += 1
-                    told[1] = sorted([*told[1], i])[: L.SHOWN]
-
-    def _exact(self, k: int, content: str, lines: list[str], overlap, lined) -> tuple[float, list[str]]:
+        if len(self.told_at):
+            found = self.sought_open | (np.add.reduceat(count[self.sought_flat], self.sought_starts) > 0)
+            for a in np.flatnonzero(found).tolist():
+                if self.sought[a] is not None:
+                    found[a] = self.sought[a](content) is not None
+            told = self.told_at[np.add.reduceat(found[self.told_flat].astype(np.int64), self.told_starts) >= self.told_needs]
+            self.told_n[told] += 1
+            for at in told[i < self.told_last[told]].tolist():
+                ids = self.told_ids[at] = sorted([*self.told_ids[at], i])[: L.SHOWN]
+                if len(ids) == L.SHOWN:
+                    self.told_last[at] = ids[-1]
+
+    def _hit(self, k: int, score: float, i: int, matches: list[str]) -> None:
+        self.hits[k].put(score, i, matches)
+        self.floor[k], self.floor_id[k] = self.hits[k].last
+
+    def _lines(self, j: int, lines: list[str], held: list[int], at: list[int]) -> list[int]:
+        """Of the lines those that hold a literal of a pattern, or all for one without. held: lines by literal; those of literal x from at[x] on."""
+        if self.open[j]:
+            return list(range(len(lines)))
+        own = self.literals_of[j]
+        return held[at[own[0]] : at[own[0] + 1]] if len(own) == 1 else sorted({n for x in own for n in held[at[x] : at[x + 1]]})
+
+    def _exact(self, k: int, content: str, lines: list[str], overlap, lined, held: list[int], at_literal: list[int]) -> tuple[float, list[str]]:
+        import numpy as np
+
         best: tuple[float, list[str]] = (0.0, [])
         plan = self.plans[k]
         filters = [self.compiled[f] for f in plan["filters"]]
-        for j, q in enumerate(plan["patterns"], self.of[k]):
+        first, last = self.of[k], self.of[k + 1]
+        most = overlap[self.shared[first:last]] + 0.15 * lined[first:last] + 2.0 * self.anchors[first:last]
+        for at in np.argsort(-most, kind="stable").tolist():
+            if most[at] + 1e-9 < best[0]:  # nor can one after it be better
+                break
+            j, q = first + at, plan["patterns"][at]
             found: list[str] = []
             if lined[j]:
                 match = self.compiled[q].search
-                for n, line in enumerate(lines, 1):
-                    if match(line):
-                        found.append(f"{n}: {line[:WIDTH]}")
+                for n in self._lines(j, lines, held, at_literal):
+                    if self.exact[j] or match(lines[n]):
+                        found.append(f"{n + 1}: {lines[n][:WIDTH]}")
                         if len(found) == LINES:
                             break
             score = float(overlap[self.shared[j]]) + 0.15 * len(found)
@@ -209,10 +287,13 @@ class _Block:
 
     def results(self) -> Iterator[tuple]:
         """(query_id, kind, id, score, matches, n, ids): kind 0 hits, 1 the question's own ranking, from 2 on the plan's set operations."""
+        done = 0
         for k, p in enumerate(self.plans):
             for kind, rows in enumerate((self.hits[k].rows, self.instead[k].rows)):
                 yield from ((p["query_id"], kind, i, s, m, 0, []) for s, i, m in rows)
-            yield from ((p["query_id"], 2 + at, None, 0.0, [], n, ids) for at, (n, ids) in enumerate(self.told[k]))
+            for at in range(len(p["operations"])):
+                yield p["query_id"], 2 + at, None, 0.0, [], int(self.told_n[done + at]), self.told_ids[done + at]
+            done += len(p["operations"])
 
 
 def planned(questions: DataFrame, planner: Callable[[list[str], list[str]], list[dict]], cached: bool = True) -> DataFrame:
@@ -251,26 +332,30 @@ def scanned(records: DataFrame, plans: DataFrame) -> DataFrame:
     blocks = max(1, ceil((packed.agg(F.sum(F.size("patterns"))).first()[0] or 0) / TOGETHER))
     named = F.concat_ws(" ", "title", "content") if "title" in records.columns else F.col("content")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if block is None:  # a plan of Spark has one block, the same in every row
-                block = _Block(batch.column(3)[0].as_py())
-            for i, content, terms in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                block.scan(i, content or "", terms)
-        found = list(block.results()) if block else []
-        if found:
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=["query_id", "kind", "id", "score", "matches", "n", "ids"])
-
-    arrow_rows(records.sparkSession, 200)
+    spark = records.sparkSession
+    arrow_rows(spark, 200)
     rows = records.select("id", "content", P.grep_terms(named).alias("terms"))
     parts = []
-    for b in range(blocks):  # TOGETHER patterns on average, so a block may be sent to every task
-        block = packed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).agg(F.collect_list(F.struct(*packed.columns)).alias("plans")).where("size(plans) > 0")
-        parts.append(rows.join(F.broadcast(block)).mapInArrow(scan, "query_id long, kind int, id long, score double, matches array<string>, n long, ids array<long>"))
+    for b in range(blocks):  # TOGETHER patterns on average, so a block may be sent to every task, once
+        block = packed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        sent = spark.sparkContext.broadcast(block)
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            block = None
+            for batch in batches:
+                if batch.num_rows and block is None:
+                    block = _Block(sent.value.to_pylist())
+                for i, content, terms in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                    block.scan(i, content or "", terms)
+            found = list(block.results()) if block else []
+            if found:
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=["query_id", "kind", "id", "score", "matches", "n", "ids"])
+
+        if block.num_rows:
+            parts.append(rows.mapInArrow(scan, FOUND))
+    if not parts:
+        return spark.createDataFrame([], FOUND)
     return spool(reduce(DataFrame.unionByName, parts), "scanned")
 
 

@@ -98,3 +98,33 @@ def test_plans_are_cached_and_edges(spark):
     none = loop.search_all(records.where("false"), asked.drop("hint"), lambda qs, hs: [{"queries": ["red"]} for _ in qs], lambda qs, cs: [{} for _ in qs])
     assert none.count() == 0
     assert loop.search_all(records, asked.drop("hint").where("false"), lambda qs, hs: [], lambda qs, cs: []).count() == 0
+
+
+@pytest.mark.parametrize("pattern,strings", [("(?i)Moron", ["moron"]), (r"foo\-bar", ["foo-bar"]), ("text|tests|b", ["text", "tests", "b"]), ("(ab|c)d", ["abd", "cd"]), ("Ünï", ["Ünï"]), ("a|", None), ("a.*b", None), (r"a\nb", None), ("[^a]b", None), ("^a", None), ("(?!)", None)])
+def test_spelled(pattern, strings):
+    found = loop.spelled(pattern)
+    assert (found and sorted(found)) == (strings and sorted(strings))
+    r = random.Random(5)
+    for _ in range(200 if strings else 0):
+        text = "".join(r.choice(["Moron", "foo-bar", "te", "xt", "sts", "A", "b", "c", "D", "Ünï", "ünï", "\n"]) for _ in range(4))
+        assert bool(re.search(pattern, text, re.I | re.A)) == any(s in loop._low(text) for s in strings)
+
+
+def test_words_are_counted_without_expressions():
+    """Lines and set operations of plain words come from the one pass over the literals, in whatever order records are read."""
+    operations = [{"op": "count", "args": ["red", "x"]}, {"op": "union", "args": ["boat", "sky"]}, {"op": "intersect", "args": ["boat", "red"]}]
+    plan = {"query_id": 1, "patterns": ["red", "boat|sky"], "pattern_terms": [["red"], ["boat"]], "own_terms": ["red"], "filters": [], "read_ids": [], "top_k": 2, "operations": operations}
+    block = loop._Block([plan])
+
+    class Never:
+        def search(self, text):
+            raise AssertionError(text)
+
+    block.compiled = {p: Never() for p in block.compiled}
+    texts = {i: ["Red boat\nsky", "a RED\nred red\nx", "none", "boat"][i % 4] for i in range(40)}
+    for i in sorted(texts, key=lambda i: i * 7 % 40):
+        block.scan(i, texts[i], texts[i].lower().split())
+    got = {(kind, i): (score, lines, n, ids) for _, kind, i, score, lines, n, ids in block.results()}
+    assert got[0, 0][:2] == (1.3, ["1: Red boat", "2: sky"]) and got[0, 1][:2] == (1.3, ["1: a RED", "2: red red"])
+    told = [got[2 + k, None][2:] for k in range(3)]
+    assert told == [(20, [0, 1, 4, 5, 8, 9, 12, 13, 16, 17]), (20, [0, 3, 4, 7, 8, 11, 12, 15, 16, 19]), (10, list(range(0, 40, 4)))]
