@@ -160,7 +160,10 @@ ANSWER_LABELS = ["answer", "final", "exact", "confidence", "month", "country", "
 
 def exact_answer(text: Column) -> Column:
     """What a text gives as its exact answer, up to its confidence; else the text before that, if it is one line of twelve words or less; else null."""
-    raw = _bare(F.coalesce(text, F.lit("")))
+    return X.let(_bare(F.coalesce(text, F.lit(""))), lambda raw: F.when(text.isNotNull(), _stated(raw)))
+
+
+def _stated(raw: Column) -> Column:
     # The patterns of the labels, here and below.
     confidence = r"(?:\*\*)?\s*Confidence\s*(?:\*\*)?\s*:"
     marked = rf"(?is)(?:\*\*)?\s*Exact\s+Answer\s*(?:\*\*)?\s*:\s*(.+?)(?:\n\s*{confidence}|\z)"
@@ -168,25 +171,27 @@ def exact_answer(text: Column) -> Column:
     given = F.regexp_replace(line(F.regexp_extract(raw, marked, 1)), r"^[ *]+|[ *]+$", "")
     before = _bare(F.split(raw, f"(?i){confidence}", 2)[0])
     plain = F.regexp_replace(F.regexp_replace(before, r"(?i)^\s*(?:\*\*)?\s*(?:Answer|Final Answer)\s*(?:\*\*)?\s*:\s*", ""), r"^[ *\n\t]+|[ *\n\t]+$", "")
-    short = (plain != "") & (F.size(X.split_words(plain)) <= 12) & ~F.contains(plain, F.lit("\n"))
-    return F.when(text.isNull(), F.lit(None).cast("string")).when(raw.rlike(marked), given).when(short, line(plain))
+    short = lambda c: (c != "") & (F.size(X.split_words(c)) <= 12) & ~F.contains(c, F.lit("\n"))
+    return F.when(raw.rlike(marked), given).otherwise(X.let(plain, lambda c: F.when(short(c), line(c))))
 
 
 def progressive_correct(prediction: Column, gold: Column) -> Column:
     """Whether a final answer is right: the exact answers are equal, one holds the gold one, or all its content words are there; without a gold exact answer, whether the gold text is held."""
-    want, got = exact_answer(gold), exact_answer(prediction)
-    said = F.coalesce(got, prediction, F.lit(""))
     tokens = lambda c: F.array_except(F.array_distinct(X.words(c)), F.array(*map(F.lit, ANSWER_LABELS)))
-    inside = (F.size(tokens(want)) > 0) & (F.size(F.array_except(tokens(want), tokens(said))) == 0)
-    return F.when(F.coalesce(want, F.lit("")) != "", F.contains(_loose(said), _loose(want)) | inside).otherwise(holds_gold(prediction, gold))
+
+    def against(want: Column, said: Column) -> Column:
+        inside = X.let(tokens(want), lambda w: (F.size(w) > 0) & (F.size(F.array_except(w, tokens(said))) == 0))
+        return F.when(F.coalesce(want, F.lit("")) != "", F.contains(_loose(said), _loose(want)) | inside).otherwise(holds_gold(prediction, gold))
+
+    return X.let(exact_answer(gold), lambda want: X.let(F.coalesce(exact_answer(prediction), prediction, F.lit("")), lambda said: against(want, said)))
 
 
 def leaf_recall(prediction: Column, gold_json: Column) -> Column:
     """(matched, total, score): how many of a structured plan's leaves a prediction holds; blanks and dashes don't count."""
     leaves = F.filter(F.transform(json_leaves(gold_json), _loose), lambda x: (x != "") & (x != "-"))
-    said = _loose(prediction)
-    matched = F.size(F.filter(leaves, lambda x: F.contains(said, x)))
-    return F.struct(matched.alias("matched"), F.size(leaves).alias("total"), F.when(F.size(leaves) > 0, matched / F.size(leaves)).otherwise(0.0).alias("score"))
+    score = lambda some, n: F.struct(some.alias("matched"), n.alias("total"), F.when(n > 0, some / n).otherwise(0.0).alias("score"))
+    held = lambda found, said: X.let(F.size(F.filter(found, lambda x: F.contains(said, x))), lambda some: score(some, F.size(found)))
+    return X.let(leaves, lambda found: X.let(_loose(prediction), lambda said: held(found, said)))
 
 
 # Predictions as they are scored.

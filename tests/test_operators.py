@@ -463,3 +463,13 @@ def test_episodes_end(spark):
     m = Method(lambda d: d, Fused(()))
     assert m.run_episode(lambda a: (a.upper(), a == "c"), lambda seen: "abc"[len(seen)]) == [("a", "A"), ("b", "B"), ("c", "C")]
     assert len(m.run_episode(lambda a: ("", False), lambda seen: "x", most=4)) == 4 and m.counters["steps"] == 7
+
+
+def test_judges_compute_an_answer_once(spark):
+    """The judges' expressions name what they use several times once, so their plans stay small."""
+    from quarry.functions import answers
+
+    rows = spark.createDataFrame([("Exact Answer: **Paris**\nConfidence: 90%", "so\n**Exact Answer**: paris", '{"a": "Paris", "b": "-", "c": 7}'), (None, "Answer: a b", "{}"), ("x\ny", None, None), ("the answer is the b of a", "a b", "[1]")], "p string, g string, j string")
+    told = rows.select(answers.exact_answer(F.col("p")).alias("e"), answers.progressive_correct(F.col("p"), F.col("g")).alias("c"), answers.leaf_recall(F.col("p"), F.col("j")).alias("r"))
+    assert [(x["e"], x["c"], tuple(x["r"])) for x in told.collect()] == [("Paris", True, (1, 2, 0.5)), (None, False, (0, 0, 0.0)), (None, True, (0, 0, 0.0)), ("the answer is the b of a", True, (0, 1, 0.0))]
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("(?i)(?:\\*\\*)?\\s*Confidence") <= 3
