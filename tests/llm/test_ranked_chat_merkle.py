@@ -97,6 +97,22 @@ def test_chat_examples(spark):
     assert {r["conv_id"]: r["formatted_chars"] for r in chat.digests(out).collect()} == {c: totals[c] for c in told}
 
 
+def test_chat_examples_are_written(spark):
+    out = chat.expand(chat_table(spark, TURNS))
+    whole = {(r["conv_id"], r["at"]): r["context"] + r["rest"] for r in chat.render(out).collect()}
+    masks = {(r["conv_id"], r["at"]): (r["loss_start"], r["loss_stop"]) for r in chat.examples(out).collect()}
+    for part in (chat.PART, 300):
+        texts, shown, begun = {}, {}, {}
+        for r in chat.written(out, part).where("example is not null").orderBy("conv_id", "example", "part").collect():
+            key = r["conv_id"], r["example"]
+            texts[key] = texts.get(key, "") + r["text"]
+            begun[key] = begun.get(key, 0)
+            if r["loss_start"] is not None:
+                shown[key] = r["loss_start"] + begun[key], r["loss_stop"] + begun[key]
+            begun[key] += len(r["text"])
+        assert texts == whole and shown == masks
+
+
 def test_chat_escapes(spark):
     r = random.Random(2)
     bits = ["<", "[", "\\", "s>", "/s>", "INST]", "/INST]", "|im_end|>", "|im_start|>", "x", "\n", "]", ">", "<|", "<|endoftext|>"]
