@@ -367,10 +367,15 @@ def ranked(found: DataFrame, plans: DataFrame) -> DataFrame:
     return kept.where("kind = first").select("query_id", "id", "score", "matches", "rank")
 
 
+def summed(found: DataFrame) -> DataFrame:
+    """query_id, at, n and the first ids of the plans' set operations."""
+    return found.where("kind >= 2").groupBy("query_id", (F.col("kind") - 2).alias("at")).agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, L.SHOWN).alias("ids"))  # ten of each task
+
+
 def aggregated(found: DataFrame, plans: DataFrame, records: DataFrame, seen: DataFrame) -> DataFrame:
     """query_id, at, op and matches of the plans' set operations, and of temporal sorts over what was seen (query_id, id, rank)."""
     asked = plans.select("query_id", F.posexplode("operations").alias("at", "o")).select("query_id", "at", "o.op", F.size("o.args").alias("args"))
-    sums = found.where("kind >= 2").groupBy("query_id", (F.col("kind") - 2).alias("at")).agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, L.SHOWN).alias("ids"))  # ten of each task
+    sums = summed(found)
     shown = F.when(F.size("ids") > 0, F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).otherwise("none")
     n = F.concat(F.lit("count="), F.col("n").cast("string"))
     sets = asked.where("args > 0 and op in ('count', 'union', 'intersect')").join(sums, ["query_id", "at"], "left").na.fill(0, ["n"]).withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))

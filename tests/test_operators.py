@@ -308,6 +308,25 @@ def test_search_loop_asks_again(spark):
     assert run("u3", caches=caches) == run("u3", caches=caches) and len(hints) == before + 1
 
 
+def test_variants_share_passes(spark, monkeypatch):
+    from quarry.operators import loop, search
+
+    rows = spark.createDataFrame([(i, f"record {i}\nred {'blue' * (i % 2)}") for i in range(6)], "id long, content string")
+    plans = {"queries": ["blue"], "aggregate_ops": [{"op": o, "args": ["blue", "record 3"]} for o in ("count", "union", "intersect")], "top_k": 2}
+    passes, scans, scan = [], {}, loop.scanned
+    monkeypatch.setattr(loop, "scanned", lambda *a: passes.append(a) or scan(*a))
+    for v in ("u1", "single", "nograph"):
+        told = search.search(rows, "which colour", lambda q, h: plans, lambda q, s: {"sufficient": True}, search.VARIANTS[v], scans=scans).collect()
+        assert [(r["kind"], r["id"], list(r["matches"])) for r in told] == [
+            ("record", "1", ["2: red blue"]),
+            ("record", "3", ["2: red blue"]),
+            ("count", "agg", ["count=3"]),
+            ("union", "agg", ["union_ids=1,3,5", "count=3"]),
+            ("intersect", "agg", ["intersect_ids=3", "count=1"]),
+        ]
+    assert len(passes) == 1
+
+
 def test_named_sources(tmp_path, spark):
     from quarry.sources import registry as sources
 
