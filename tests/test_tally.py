@@ -121,3 +121,22 @@ def test_questions_are_not_sent_with_every_shard(spark):
     found = inverted.search(index, asked, 3, F.lit(1.0) / F.col("df"))
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["query_id"], r["id"]) for r in retrieval.top(found, 3, ["query_id"]).collect()} == {(0, 1), (0, 8), (0, 15), (1, 0), (1, 1), (1, 2)}
+
+
+def test_key_value_keeps_k_rows_of_a_task(spark):
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice(["ab", "Ba", "c", " ", "  ", "\n", "-"]) for _ in range(n))
+    rows = [(i, r.choice(["ab", "c", "x_ab"]), text(r.randint(0, 14))) for i in range(300)] + [(900, None, None)]
+    asked = [(i, text(r.randint(1, 6))) for i in range(40)] + [(50, "ab"), (51, " X_AB "), (52, None)]
+    told = set()
+    for query, q in ((i, (q or "").lower().strip(" ")) for i, q in asked):
+        found = []
+        for i, key, content in rows if q else ():
+            low = (content or "").lower()
+            shared, parts = len(set(q.split()) & set(low.split())), (q in low) + (key is not None and q in key)
+            if q == key or shared or parts:
+                found.append((-3.0 if q == key else -(1 + shared + 0.5 * parts), i))
+        told |= {(query, i, -s, at + 1) for at, (s, i) in enumerate(sorted(found)[:4])}
+    found = retrieval.key_value(spark.createDataFrame(rows, "id long, key string, content string").repartition(3), spark.createDataFrame(asked, "query_id long, query string"), 4)
+    assert {(x["query_id"], x["id"], x["score"], x["rank"]) for x in found.collect()} == told
+    assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
