@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,13 @@ def test_blocks_are_left_unread(spark):
     told = inverted.search(index, asked, 10, retrieval.okapi(index), counted=True).agg(F.sum("read"), F.sum("blocks")).first()
     assert told[1] > 40 and told[0] < told[1] / 2
     assert results(retrieval.bm25_search(index, u.select("id"), q, 10, X.terms(F.col("query")))) == brute(rows, [(0, "rare common")], 10)
+
+
+def test_row_groups_are_small(spark):
+    """A row group is held whole by tasks that write or read it, so it has few shards, however many a file has."""
+    words = "transform(sequence(1, 20000), i -> hex(xxhash64(id, i)))"
+    u = spark.range(60).coalesce(1).select("id", F.expr(words).alias("words"))
+    index = inverted.build(u, F.col("words"), shard_tokens=20000)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.shards.inputFiles()]
+    sizes = [m.row_group(i).total_byte_size for m in files for i in range(m.num_row_groups)]
+    assert sum(m.num_rows for m in files) == 60 and sum(sizes) > 30 << 20 and max(sizes) < 16 << 20
