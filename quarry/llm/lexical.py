@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_limits, lean_memory, narrow, spool, uncollected
+from quarry.llm.common import LARGE_ROWS, arrow_limits, lean_memory, narrow, spool, uncollected
 
 #: Terms of a shard, after which the next one begins with the next document.
 SHARD_TERMS = 1 << 20
@@ -145,7 +145,7 @@ def build(docs: DataFrame, shard_terms: int = SHARD_TERMS) -> Index:
         if ids:
             yield pa.RecordBatch.from_pylist([_shard(ids, lengths, parts, known, documents, total)], schema=schema)
 
-    shards = spool(rows.mapInArrow(put, _SHARD), "lexical-shards", compression="zstd", **{"parquet.block.size": str(32 << 20)})
+    shards = spool(rows.mapInArrow(put, _SHARD), "lexical-shards", compression="zstd", **LARGE_ROWS)
 
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -160,8 +160,8 @@ def build(docs: DataFrame, shard_terms: int = SHARD_TERMS) -> Index:
 
 
 def few_rows(spark) -> None:
-    """Shards go to Python four at a time: each has some ten megabytes."""
-    arrow_limits(spark, 4)
+    """Shards go to Python one at a time: each has some ten megabytes."""
+    arrow_limits(spark, 1)
 
 
 def _questions(items: DataFrame) -> DataFrame:
@@ -258,17 +258,14 @@ def search(index: Index, items: DataFrame, k: int = 10) -> DataFrame:
     weighed = _questions(asked).join(index.dictionary, "term").select("question", F.struct("term", (F.col("times") * weight).alias("weight")).alias("t")).groupBy("question").agg(F.collect_list("t").alias("terms"))  # of one question
     stored = spool(weighed.join(asked.select("question", "item_id"), "question").withColumn("block", F.pmod(F.xxhash64("question"), F.lit(blocks))), "weighed-questions")
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
         lean_memory()
-        questions: list[tuple] = []
-        wanted: dict[bytes, int] = {}
+        questions = [(q["question"], q["item_id"], [(t["term"].encode(), t["weight"]) for t in q["terms"] if t["weight"]]) for q in sent.value.to_pylist()]
+        wanted = dict.fromkeys((t for _, _, ts in questions for t, _ in ts), 1)
         kept: dict[int, list] = {}
         with uncollected():
             for batch in batches:
                 for row in batch.to_pylist():
-                    if not questions:  # a plan has one block, the same in every row
-                        questions = [(q["question"], q["item_id"], [(t["term"].encode(), t["weight"]) for t in q["terms"] if t["weight"]]) for q in row["questions"]]
-                        wanted = dict.fromkeys((t for _, _, ts in questions for t, _ in ts), 1)
                     shard = _Shard(row, wanted)
                     for q, _, ts in questions:
                         here = [(shard.place[t], w) for t, w in ts if t in shard.place]
@@ -280,9 +277,9 @@ def search(index: Index, items: DataFrame, k: int = 10) -> DataFrame:
 
     few_rows(spark)
     parts = []
-    for b in range(blocks):  # a block is BLOCK_CHARS on average, so it may be sent to every task
-        block = stored.where(F.col("block") == b).agg(F.collect_list(F.struct("question", "item_id", "terms")).alias("questions"))
-        parts.append(index.shards.join(F.broadcast(block)).mapInArrow(meet, "question long, item_id long, doc_id long, score long"))
+    for b in range(blocks):  # a block is BLOCK_CHARS on average, so it may be sent to every task, once and not with every shard
+        sent = spark.sparkContext.broadcast(stored.where(F.col("block") == b).select("question", "item_id", "terms").toArrow())
+        parts.append(index.shards.mapInArrow(lambda batches, sent=sent: meet(batches, sent), "question long, item_id long, doc_id long, score long"))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from quarry.llm import chat, entries, lexical, merkle, ordered
 
@@ -233,3 +234,13 @@ def test_merkle(spark):
     assert 0 < sum(not x[-1] for x in got) < len(got)
     assert sorted(map(tuple, merkle.manifest(table(rows[:1])).collect())) == brute_manifest(rows[:1])
     assert merkle.manifest(table(rows).where("false")).count() == 0
+
+
+def test_row_groups_of_shards_are_small(spark):
+    """A row group is held whole by tasks that write or read it, so it has few shards, however many a file has; and a writer keeps no values for statistics."""
+    docs = spark.range(40).coalesce(1).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 20000), i -> hex(xxhash64(id, i))), ' ') AS text")
+    index = lexical.build(docs, shard_terms=20000)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.shards.inputFiles()]
+    sizes = [m.row_group(i).total_byte_size for m in files for i in range(m.num_row_groups)]
+    assert not any(m.row_group(0).column(c).is_stats_set for m in files for c in range(m.num_columns))
+    assert sum(m.num_rows for m in files) == 40 and sum(sizes) > 30 << 20 and max(sizes) < 24 << 20  # a group ends at 8 MB compressed
